@@ -8,10 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, licenses, pii, quality, tokencount, toxicity
+from . import bpe, decontaminate, htmlblocks, licenses, ngramjoin, pii, quality, substrings, tokencount, toxicity
 from .chunks import prepare, read
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the words of 35-word windows that start anywhere else, too."""
+    prepare(spark)
+    kept = substrings.repeated_substrings(read(spark, sf_dir, "documents"), window=35)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document, by anchor expansion."""
     prepare(spark)
@@ -33,6 +40,19 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read(spark, sf_dir, "documents"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingle sets have a Jaccard similarity of 0.9 or more."""
+    prepare(spark)
+    return ngramjoin.jaccard_components(read(spark, sf_dir, "documents"), n=3, percent=90)
+
+
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    prepare(spark)
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return htmlblocks.extract_main_text(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the benchmark items that they hold within the edit budget."""
     prepare(spark)
@@ -60,7 +80,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_pii, op3_byte_bpe, op4_license_scan, op7_decontamination, op8_token_counts, op9_toxicity, op10_quality_rules)
+    f.__name__: f for f in (op1_substring_dedup, op2_pii, op3_byte_bpe, op4_license_scan, op5_ngram_jaccard, op6_main_text, op7_decontamination, op8_token_counts, op9_toxicity, op10_quality_rules)
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
