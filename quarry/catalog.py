@@ -5,6 +5,473 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.functions import fixed, scores
+from quarry.operators import analytics as A
+from quarry.operators import discovery as D
+from quarry.operators import filters as K
+from quarry.operators import joins as J
+from quarry.operators import pages as H
+from quarry.operators import similarity as M
+from quarry.operators import writes as I
+from quarry.plans.scratch import run_stream
+from quarry.sources import domain as S
+from quarry.sources import payloads as P
+from quarry.sources.domain import NOW
+from quarry.streaming import streams as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+PRELUDE = S.prelude()
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query, with SQL over the same tables where SQL can say it."""
+
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = PRELUDE + sql
+        return f
+
+    return add
+
+
+def now():
+    return S.as_of()
+
+
+def r(column: str, digits: int = 6):
+    return F.round(column, digits).alias(column)
+
+
+# -- scans ------------------------------------------------------------------------------------------
+
+for _name, _columns in {
+    "articles": "id, source_id, url, title, content_hash, language, category, author, published_at, crawled_at, quality_score", "sources": "id, domain, url, source_type, category, is_active, trust_score, quality_score, created_at, last_crawled",
+    "crawl_jobs": "id, source_id, status, started_at", "system_metrics": "id, metric_name, value, recorded_at", "discovery_results": "id, search_query, discovered_url, domain, title, tech_relevance_score, is_tech_relevant, discovered_at",
+    "content_hashes": "content_hash, first_article_id, duplicate_count, first_seen_at, last_seen_at, content_length",
+}.items():
+    query(f"scan_{_name}", f"SELECT {_columns} FROM {_name}")(lambda spark, sf, n=_name, c=_columns: getattr(S, n)(spark, sf).select(*c.split(", ")))
+
+
+def _payloads(spark, sf, engine: str) -> DataFrame:
+    """A search payload for each query, built from the pages that it found."""
+    c = S.candidates(spark, sf)
+    items = {"google": F.struct(F.col("url").alias("link"), "title", F.col("description").alias("snippet")), "bing": F.struct("url", F.col("title").alias("name"), F.col("description").alias("snippet")), "duckduckgo": F.struct(F.col("url").alias("FirstURL"), F.concat_ws(" - ", "title", "domain").alias("Text"))}[engine]
+    rows = c.groupBy("search_query").agg(F.array_sort(F.collect_list(F.struct("seq", items.alias("item")))).alias("l"), F.min("url").alias("u")).select(F.col("search_query").alias("query"), F.transform("l", lambda x: x["item"]).alias("items"), "u")
+    body = {"google": F.struct("items"), "bing": F.struct(F.struct(F.col("items").alias("value")).alias("webPages")), "duckduckgo": F.struct(F.concat(F.lit("about "), "query").alias("Abstract"), F.col("u").alias("AbstractURL"), F.col("query").alias("Heading"), F.col("items").alias("RelatedTopics"))}[engine]
+    return rows.select("query", F.lit(engine).alias("engine"), F.to_json(body).alias("payload"))
+
+
+for _name, _engine in (("parse_google_results", "google"), ("parse_bing_results", "bing")):
+    query(_name, "SELECT search_query AS query, (row_number() OVER (PARTITION BY search_query ORDER BY seq) - 1)::INT AS rank, url, title, description FROM candidates")(
+        lambda spark, sf, e=_engine: P.parse_search(_payloads(spark, sf, e), e).drop("source_engine")
+    )
+
+
+@query("parse_ddg_results", """, t AS (SELECT search_query AS query, (row_number() OVER (PARTITION BY search_query ORDER BY seq))::INT AS rank, url, CASE WHEN title = '' THEN domain ELSE split_part(title || ' - ' || domain, ' - ', 1) END AS title, title || ' - ' || domain AS description FROM candidates)
+SELECT * FROM (SELECT search_query AS query, 0 AS rank, min(url) AS url, search_query AS title, 'about ' || search_query AS description FROM candidates GROUP BY search_query UNION ALL SELECT * FROM t) WHERE rank < 10""")
+def _(spark, sf):
+    return P.parse_search(_payloads(spark, sf, "duckduckgo"), "duckduckgo").drop("source_engine")
+
+
+def _xml(spark, sf, start: str, one: str, end: str) -> DataFrame:
+    """An XML document for each host from its page urls; hosts of an odd name length get one that is cut off."""
+    h = S.page_hosts(spark, sf).groupBy("domain").agg(F.array_join(F.transform(F.array_sort(F.collect_list("url")), lambda u: F.format_string(one, F.replace(u, F.lit("&"), F.lit("&amp;")))), "").alias("body"))
+    return h.select(F.col("domain").alias("source_id"), F.concat(F.lit(start), "body", F.when(F.length("domain") % 2 == 0, F.lit(end)).otherwise(F.lit(""))).alias("xml"))
+
+
+query("parse_sitemaps")(lambda spark, sf: P.parse_sitemaps(_xml(spark, sf, '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">', "<url><loc>%s</loc></url>", "</urlset>")))
+query("parse_feeds")(lambda spark, sf: P.parse_feeds(_xml(spark, sf, "<rss><channel>", "<item><link>%s</link></item>", "</channel></rss>")))
+query("page_internal_links")(lambda spark, sf: P.internal_links(P.page_links(S.raw(spark, sf, "pages")), 50))
+query("page_external_links")(lambda spark, sf: P.external_links(P.page_links(S.raw(spark, sf, "pages"))))
+query("links_to_sources")(lambda spark, sf: J.links_to_sources(P.external_links(P.page_links(S.raw(spark, sf, "pages"))), S.sources(spark, sf)))
+query("first_n_links")(lambda spark, sf: K.top_per_group(P.page_links(S.raw(spark, sf, "pages")), ["page_id"], [F.asc("seq")], 20))
+query("extract_pages")(lambda spark, sf: H.extract_pages(S.raw(spark, sf, "pages")))
+query("page_type")(lambda spark, sf: H.extract_pages(S.raw(spark, sf, "pages")).select("page_id", "content_type"))
+
+
+@query("robots_allowed")
+def _(spark, sf):
+    hosts = S.page_hosts(spark, sf)
+    robots = hosts.select("domain").distinct().where(F.length("domain") % 2 == 0).withColumn("robots_txt", F.lit("User-agent: *\nDisallow: /fr/\n"))
+    return P.robots_allowed(hosts, robots)
+
+
+# -- filters ----------------------------------------------------------------------------------------
+
+_ART = "id, url, title, category, quality_score, crawled_at"
+query("articles_filtered", f"SELECT {_ART} FROM articles WHERE language = 'en' AND quality_score >= 0.6 ORDER BY crawled_at DESC, id LIMIT 20 OFFSET 20")(lambda spark, sf: K.articles_filtered(S.articles(spark, sf), page=2, language="en", min_quality=0.6).select(*_ART.split(", ")))
+query("articles_text_search", "SELECT id FROM articles WHERE title ILIKE '%the%' OR content ILIKE '%license%'  OR content ILIKE '%the%'")(lambda spark, sf: K.text_search(S.articles(spark, sf), "the").select("id").unionByName(K.text_search(S.articles(spark, sf), "license").select("id")).distinct())
+query("article_by_id", "SELECT id, url FROM articles WHERE id = 42")(lambda spark, sf: K.by_id(S.articles(spark, sf), 42).select("id", "url"))
+query("sources_filtered", "SELECT id, quality_score FROM sources WHERE is_active ORDER BY quality_score DESC NULLS FIRST, id LIMIT 20")(lambda spark, sf: K.sources_filtered(S.sources(spark, sf)).select("id", "quality_score"))
+query("source_by_id", "SELECT id, domain FROM sources WHERE id = 'src3'")(lambda spark, sf: K.by_id(S.sources(spark, sf), "src3").select("id", "domain"))
+query("discovery_results_filtered", "SELECT id, search_query, discovered_url, domain, title, round(relevance_score, 6) AS relevance_score, tech_relevance_score, became_source, discovered_at FROM discovery_results WHERE tech_relevance_score >= 0.5 ORDER BY tech_relevance_score DESC, id LIMIT 20")(
+    lambda spark, sf: K.discovery_filtered(S.discovery_results(spark, sf)).withColumn("relevance_score", F.round("relevance_score", 6))
+)
+query("tag_or_title_match", "SELECT id FROM articles WHERE title ILIKE '%src1%' OR len(list_filter(tags, lambda t: t ILIKE '%src1%')) > 0")(lambda spark, sf: K.tag_or_title_match(S.articles(spark, sf), "src1").select("id"))
+query("content_preview", "SELECT id, CASE WHEN length(content) > 500 THEN substring(content, 1, 500) || '...' ELSE content END AS preview FROM articles")(lambda spark, sf: S.articles(spark, sf).select("id", K.content_preview(F.col("content")).alias("preview")))
+query("promotable_discoveries", "SELECT id, tech_relevance_score FROM discovery_results WHERE tech_relevance_score >= 0.7 AND NOT became_source AND is_tech_relevant ORDER BY tech_relevance_score DESC, id LIMIT 50")(lambda spark, sf: K.promotable(S.discovery_results(spark, sf)).select("id", "tech_relevance_score"))
+_REQ = "SELECT 'n' || seq AS name, url, CASE WHEN seq % 5 = 0 THEN '' ELSE 'tech' END AS category, CASE WHEN seq % 7 = 0 THEN 'magazine' ELSE 'blog' END AS source_type, (seq * 100)::INT AS crawl_frequency, seq FROM candidates"
+
+
+def _requests(spark, sf):
+    c = S.candidates(spark, sf)
+    n = F.col("seq")
+    return c.select(F.concat(F.lit("n"), n.cast("string")).alias("name"), "url", F.when(n % 5 == 0, "").otherwise("tech").alias("category"), F.when(n % 7 == 0, "magazine").otherwise("blog").alias("source_type"), (n * 100).cast("int").alias("crawl_frequency"), "seq")
+
+
+_REASONS = f", q AS ({_REQ}), v AS (SELECT *, list_filter([CASE WHEN length(name) NOT BETWEEN 1 AND 255 THEN 'name' END, CASE WHEN length(category) NOT BETWEEN 1 AND 100 THEN 'category' END, CASE WHEN source_type NOT IN ('website', 'blog', 'news', 'docs', 'forum') THEN 'source_type' END, CASE WHEN crawl_frequency NOT BETWEEN 300 AND 86400 THEN 'crawl_frequency' END], lambda x: x IS NOT NULL) AS reasons FROM q)"
+query("validate_source_requests", _REASONS + " SELECT seq, array_to_string(reasons, ',') AS reasons FROM v")(lambda spark, sf: K.validate_sources(_requests(spark, sf)).select("seq", F.array_join("reasons", ",").alias("reasons")))
+_VALID = f"domain NOT IN ({', '.join(map(S._q, fixed.EXCLUDED_DOMAINS))}) AND {S.sql_any('lower(title || chr(32) || description)', fixed.CANDIDATE_WORDS)}"
+query("valid_candidates", f"SELECT seq FROM candidates WHERE {_VALID}")(lambda spark, sf: K.valid_candidates(S.candidates(spark, sf)).select("seq"))
+query("validate_new_sources", f"SELECT id, ok AS is_active FROM (SELECT id, created_at FROM sources WHERE created_at >= {NOW} - INTERVAL 20 DAY - INTERVAL 24 HOUR AND last_crawled IS NULL ORDER BY created_at, id LIMIT 50) JOIN (SELECT id, https_status IS NOT NULL OR http_status IS NOT NULL AS ok FROM response_meta) USING (id)")(
+    lambda spark, sf: K.validate_new_sources(S.sources(spark, sf), S.response_meta(spark, sf).select("id", (F.col("https_status").isNotNull() | F.col("http_status").isNotNull()).alias("ok")), now() - F.expr("interval 20 days"))
+)
+query("update_check_selection", f"SELECT id, source_id FROM articles WHERE crawled_at >= {NOW} - INTERVAL 7 DAY QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY crawled_at DESC, id) <= 50")(lambda spark, sf: K.update_check_selection(S.articles(spark, sf), now()).select("id", "source_id"))
+query("hash_window", f"SELECT content_hash FROM content_hashes WHERE first_seen_at >= {NOW} - INTERVAL 10 DAY")(lambda spark, sf: K.hash_window(S.content_hashes(spark, sf), now(), 10).select("content_hash"))
+query("expired_hashes", f"SELECT content_hash FROM content_hashes WHERE NOT (first_seen_at < {NOW} - INTERVAL 10 DAY AND duplicate_count = 0)")(lambda spark, sf: K.expire_hashes(S.content_hashes(spark, sf), now(), 10).select("content_hash"))
+query("likely_tech_domains", f"SELECT id FROM sources WHERE {S.sql_any('lower(domain)', fixed.TECH_DOMAIN_WORDS)}")(lambda spark, sf: K.likely_tech(S.sources(spark, sf)).select("id"))
+query("unprocessed_articles", "SELECT id FROM articles_emb WHERE id % 3 <> 0 OR content_embedding IS NULL ORDER BY crawled_at DESC, id LIMIT 1000")(lambda spark, sf: K.unprocessed(S.articles_emb(spark, sf).withColumn("is_processed", F.col("id") % 3 == 0)).select("id"))
+
+
+@query("api_search_params", "SELECT id FROM articles WHERE title ILIKE '%of%' OR content ILIKE '%of%' ORDER BY crawled_at DESC, id LIMIT 20 OFFSET 40")
+def _(spark, sf):
+    return K.articles_filtered(S.articles(spark, sf), page=3, limit=20, search=K.check_search("  of ", 0.7)).select("id")
+
+
+query("paged_articles", "SELECT id FROM articles ORDER BY crawled_at DESC, id LIMIT 50 OFFSET 50")(lambda spark, sf: K.page_of(S.articles(spark, sf), [F.desc("crawled_at"), F.asc("id")], 2, 50).select("id"))
+query("fallback_quality_search", "SELECT id, quality_score, 0.5::DOUBLE AS similarity_score FROM articles ORDER BY quality_score DESC NULLS FIRST, id LIMIT 10")(lambda spark, sf: K.fallback_quality(S.articles(spark, sf)).select("id", "quality_score", "similarity_score"))
+query("top_k_per_group", "SELECT id, source_id FROM articles QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY quality_score DESC, id) <= 3")(lambda spark, sf: K.top_per_group(S.articles(spark, sf), ["source_id"], [F.desc("quality_score"), F.asc("id")], 3).select("id", "source_id"))
+
+# -- joins ------------------------------------------------------------------------------------------
+
+_PER = f"per AS (SELECT source_id AS id, count(*) AS articles, avg(quality_score) AS quality, count(*) FILTER (crawled_at >= {NOW} - INTERVAL 7 DAY) AS recent, count(*) FILTER (crawled_at >= {NOW} - INTERVAL 24 HOUR) AS day, max(crawled_at) AS last_crawl, count(DISTINCT category) AS categories FROM articles GROUP BY source_id), sa AS (SELECT s.*, coalesce(articles, 0) AS articles, quality, coalesce(recent, 0) AS recent, coalesce(day, 0) AS day, last_crawl, coalesce(categories, 0) AS categories FROM sources s LEFT JOIN per USING (id))"
+query("source_article_left", f", {_PER} SELECT id, articles, round(quality, 6) AS quality, recent, day, last_crawl, categories FROM sa")(lambda spark, sf: J_select(A.source_article_left(S.sources(spark, sf), S.articles(spark, sf), now())))
+
+
+def J_select(df: DataFrame) -> DataFrame:
+    return df.select("id", "articles", r("quality"), "recent", "day", "last_crawl", "categories")
+
+
+query("duplicate_domains", "SELECT domain, count(*) AS hash_count, sum(duplicate_count)::BIGINT AS duplicate_count FROM content_hashes h JOIN articles a ON h.first_article_id = a.id JOIN sources s ON a.source_id = s.id GROUP BY domain ORDER BY duplicate_count DESC, domain LIMIT 10")(lambda spark, sf: J.duplicate_domains(S.content_hashes(spark, sf), S.articles(spark, sf), S.sources(spark, sf)))
+query("known_domain_anti", "SELECT seq FROM candidates WHERE domain NOT IN (SELECT domain FROM sources WHERE is_active)")(lambda spark, sf: J.known_domain_anti(S.candidates(spark, sf), S.sources(spark, sf)).select("seq"))
+query("new_discoveries_anti", "SELECT seq FROM candidates c WHERE NOT EXISTS (SELECT 1 FROM discovery_results d WHERE d.id % 2 = 0 AND d.search_query = c.search_query AND d.discovered_url = c.url)")(lambda spark, sf: J.new_discoveries_anti(S.candidates(spark, sf), S.discovery_results(spark, sf).where("id % 2 = 0")).select("seq"))
+query("new_sources_anti", f", q AS ({_REQ} UNION ALL SELECT name, url, category, source_type, crawl_frequency, 0 FROM sources) SELECT seq, url, EXISTS (SELECT 1 FROM sources s WHERE s.url = q.url) AS conflict FROM q")(
+    lambda spark, sf: J.new_sources_anti(_requests(spark, sf).unionByName(S.sources(spark, sf).select("name", "url", "category", "source_type", "crawl_frequency", F.lit(0).cast("long").alias("seq"))), S.sources(spark, sf)).select("seq", "url", "conflict")
+)
+query("exact_duplicates_semi", "SELECT id FROM articles WHERE content_hash IN (SELECT content_hash FROM content_hashes WHERE duplicate_count > 0)")(lambda spark, sf: J.exact_duplicates_semi(S.articles(spark, sf), S.content_hashes(spark, sf).where("duplicate_count > 0")).select("id"))
+query("length_band_pairs", f"SELECT p.id AS probe_id, a.id, a.quality_score FROM (SELECT * FROM articles WHERE id % 50 = 0) p JOIN articles a ON a.crawled_at >= {NOW} - INTERVAL 30 DAY AND a.id <> p.id AND length(a.content)::DOUBLE BETWEEN length(p.content)::DOUBLE * 0.7::DOUBLE AND length(p.content)::DOUBLE * 1.3::DOUBLE QUALIFY row_number() OVER (PARTITION BY p.id ORDER BY a.quality_score DESC, a.id) <= 50")(
+    lambda spark, sf: J.length_band_pairs(S.articles(spark, sf).where("id % 50 = 0"), S.articles(spark, sf), now())
+)
+
+
+def _observed(spark, sf):
+    return S.articles(spark, sf).select("url", F.when(F.col("id") % 3 == 0, F.lit("other")).otherwise(F.col("etag")).alias("etag"), F.when(F.col("id") % 2 == 0, F.col("last_modified")).alias("last_modified"))
+
+
+query("freshness_join", "SELECT url, coalesce((CASE WHEN id % 3 = 0 THEN 'other' ELSE etag END) = etag OR (CASE WHEN id % 2 = 0 THEN last_modified END) = last_modified, false) AS is_fresh FROM articles")(lambda spark, sf: J.freshness_join(_observed(spark, sf), S.articles(spark, sf)))
+
+
+def _queries(spark, sf):
+    return S.raw(spark, sf, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+_COS = "round(list_dot_product(q.embedding::DOUBLE[], a.content_embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(a.content_embedding::DOUBLE[], a.content_embedding::DOUBLE[]))), 6)"
+_QV = "(SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 50 = 0) q"
+query("cosine_pairs", f"SELECT * FROM (SELECT query_id, id, {_COS} AS similarity FROM {_QV}, articles_emb a WHERE content_embedding IS NOT NULL) WHERE similarity >= 0.3")(lambda spark, sf: M.cosine_pairs(_queries(spark, sf), S.articles_emb(spark, sf), 0.3))
+query("semantic_search", f", f AS (SELECT query_id, id, title, content, {_COS} AS similarity FROM {_QV}, articles_emb a WHERE content_embedding IS NOT NULL) SELECT query_id, id, title, similarity, CASE WHEN length(content) > 500 THEN substring(content, 1, 500) || '...' ELSE content END AS preview FROM f WHERE similarity >= 0.1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) <= 10")(
+    lambda spark, sf: M.semantic_search(_queries(spark, sf), S.articles_emb(spark, sf), 10, 0.1)
+)
+_VECTOR = [((7 * k) % 13 - 6) / 10 for k in range(64)]
+query("topk_similarity", f"SELECT id, {_COS} AS similarity FROM (SELECT {_VECTOR} AS embedding) q, articles_emb a WHERE content_embedding IS NOT NULL ORDER BY similarity DESC, id LIMIT 10")(lambda spark, sf: M.topk_similarity(S.articles_emb(spark, sf), _VECTOR))
+_NEAR = _COS.replace("q.embedding", "q.content_embedding")
+query("similar_articles", f"SELECT a.id, {_NEAR} AS similarity FROM articles_emb q JOIN articles_emb a USING (category) WHERE q.id = 7 AND a.id <> 7 AND a.content_embedding IS NOT NULL ORDER BY similarity DESC, a.id LIMIT 5")(lambda spark, sf: M.similar_articles(S.articles_emb(spark, sf), 7))
+query("similar_articles_per_article", f"SELECT q.id, a.id AS other_id, {_NEAR} AS similarity FROM articles_emb q JOIN articles_emb a ON q.category || q.emb_category = a.category || a.emb_category AND a.id <> q.id WHERE a.content_embedding IS NOT NULL AND q.content_embedding IS NOT NULL QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY similarity DESC, a.id) <= 5")(
+    lambda spark, sf: M.similar_per_article(S.articles_emb(spark, sf).withColumn("category", F.concat("category", F.col("emb_category").cast("string"))))
+)
+query("embedding_backfill", "SELECT id, true AS processed FROM articles_emb WHERE content_embedding IS NULL OR id % 3 <> 0 ORDER BY crawled_at DESC, id LIMIT 1000")(lambda spark, sf: M.embedding_backfill(S.articles_emb(spark, sf).withColumn("is_processed", F.col("id") % 3 == 0), now()))
+
+# -- aggregates -------------------------------------------------------------------------------------
+
+_Q = "round(coalesce(avg(quality_score), 0.0), 2)"
+
+
+def _ago(column: str, days: int) -> str:
+    return f"{column} >= {NOW} - INTERVAL {days} DAY"
+
+
+query("dashboard_counts", f"SELECT count(*) AS total_articles, count(*) FILTER (crawled_at >= {NOW}) AS articles_today, count(*) FILTER ({_ago('crawled_at', 7)}) AS articles_this_week, count(*) FILTER ({_ago('crawled_at', 30)}) AS articles_this_month, {_Q} AS avg_quality_score FROM articles")(lambda spark, sf: A.dashboard_counts(S.articles(spark, sf), now()))
+query("top_categories", f"SELECT category, count(*) AS article_count, {_Q} AS avg_quality, count(*) FILTER ({_ago('crawled_at', 7)}) AS recent_count, round(count(*) FILTER ({_ago('crawled_at', 7)}) / greatest(count(*), 1) * 100, 1) AS growth_rate FROM articles GROUP BY category ORDER BY article_count DESC, category LIMIT 10")(lambda spark, sf: A.top_categories(S.articles(spark, sf), now()))
+query("top_sources", f", {_PER} SELECT name, url AS base_url, articles AS article_count, round(coalesce(quality, 0.0), 2) AS avg_quality, round(coalesce(trust_score, 0.0), 2)::DOUBLE AS trust_score, recent AS recent_count, round(recent / greatest(articles, 1) * 100, 1) AS growth_rate FROM sa ORDER BY article_count DESC, name LIMIT 10")(lambda spark, sf: A.top_sources(S.sources(spark, sf), S.articles(spark, sf), now()))
+query("crawl_success_rate", f"SELECT round(coalesce(count(*) FILTER (status = 'completed') * 100.0::DOUBLE / nullif(count(*), 0), 0.0), 1) AS success_rate FROM crawl_jobs WHERE {_ago('started_at', 10)}")(lambda spark, sf: A.crawl_success_rate(S.crawl_jobs(spark, sf), now() - F.expr("interval 9 days")))
+query("quality_distribution", "SELECT CASE WHEN quality_score >= 0.8 THEN 'high' WHEN quality_score >= 0.6 THEN 'medium' WHEN quality_score >= 0.4 THEN 'low' ELSE 'very_low' END AS quality_level, count(*) AS article_count FROM articles GROUP BY 1")(lambda spark, sf: A.quality_distribution(S.articles(spark, sf)))
+query("daily_trends", f"SELECT crawled_at::DATE AS date, count(*) AS article_count, {_Q} AS avg_quality FROM articles WHERE {_ago('crawled_at', 30)} GROUP BY 1")(lambda spark, sf: A.daily_trends(S.articles(spark, sf), now()))
+query("top_keywords", f"SELECT keyword, count(*) AS frequency FROM (SELECT unnest(tags) AS keyword FROM articles WHERE {_ago('crawled_at', 30)}) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")(lambda spark, sf: A.top_keywords(S.articles(spark, sf), now()))
+query("duplication_stats", "SELECT count(*) AS total_articles, count(DISTINCT content_hash) AS unique_articles, count(*) - count(DISTINCT content_hash) AS duplicates, round((count(*) - count(DISTINCT content_hash)) * 100.0::DOUBLE / greatest(count(*), 1), 2) AS duplication_rate FROM articles")(lambda spark, sf: A.duplication_stats(S.articles(spark, sf)))
+_PERF = "round(least(CASE WHEN articles > 100 THEN 30 WHEN articles > 50 THEN 20 WHEN articles > 10 THEN 10 ELSE 0 END + coalesce(quality, 0.0::DOUBLE) * 40 + CASE WHEN recent > 10 THEN 20 WHEN recent > 5 THEN 15 WHEN recent > 0 THEN 10 ELSE 0 END + coalesce(trust_score, 0.0)::DOUBLE * 10, 100.0), 1)"
+query("source_performance", f", {_PER} SELECT id AS source_id, name, url AS base_url, round(coalesce(trust_score, 0.0), 2)::DOUBLE AS trust_score, articles AS total_articles, round(coalesce(quality, 0.0), 2) AS avg_quality, recent AS recent_articles, day AS today_articles, last_crawl, categories AS category_diversity, {_PERF} AS performance_score FROM sa")(lambda spark, sf: A.source_performance(S.sources(spark, sf), S.articles(spark, sf), now()))
+query("source_daily", f"SELECT source_id, crawled_at::DATE AS date, count(*) AS article_count FROM articles WHERE {_ago('crawled_at', 30)} GROUP BY 1, 2")(lambda spark, sf: A.source_daily(S.articles(spark, sf), now()))
+query("source_categories", f"SELECT source_id, category, count(*) AS article_count, {_Q} AS avg_quality FROM articles GROUP BY 1, 2")(lambda spark, sf: A.source_categories(S.articles(spark, sf)))
+query("running_and_active", "SELECT (SELECT count(*) FROM sources WHERE is_active) AS active_sources, (SELECT count(*) FROM crawl_jobs WHERE status = 'running') AS running_jobs")(lambda spark, sf: A.running_and_active(S.sources(spark, sf), S.crawl_jobs(spark, sf)))
+_HEALTH = f", m AS (SELECT coalesce(avg(value) FILTER (metric_name = 'cpu_usage'), 0) AS cpu, coalesce(avg(value) FILTER (metric_name = 'memory_usage'), 0) AS mem, coalesce(avg(value) FILTER (metric_name = 'disk_usage'), 0) AS disk, count(*) AS n FROM system_metrics WHERE recorded_at >= {NOW} - INTERVAL 1 HOUR), h AS (SELECT *, 100 - CASE WHEN n > 0 THEN CASE WHEN cpu > 80 THEN 20 WHEN cpu > 60 THEN 10 ELSE 0 END + CASE WHEN mem > 90 THEN 20 WHEN mem > 70 THEN 10 ELSE 0 END + CASE WHEN disk > 90 THEN 30 WHEN disk > 80 THEN 15 ELSE 0 END ELSE 10 END AS s FROM m) SELECT greatest(s, 0) AS health_score, CASE WHEN s >= 90 THEN 'excellent' WHEN s >= 70 THEN 'good' WHEN s >= 50 THEN 'warning' ELSE 'critical' END AS status, round(cpu, 1) AS cpu_usage, round(mem, 1) AS memory_usage, round(disk, 1) AS disk_usage FROM h"
+query("system_health", _HEALTH)(lambda spark, sf: A.system_health(S.system_metrics(spark, sf), now()))
+query("underperforming_sources", f", {_PER} SELECT name, articles AS article_count, round(quality, 6) AS avg_quality FROM sa WHERE is_active AND (articles < 10 OR quality < 0.4)")(lambda spark, sf: A.underperforming_sources(S.sources(spark, sf), S.articles(spark, sf), now()))
+_EMERGE = f"SELECT category, count(*) FILTER ({_ago('crawled_at', 7)}) AS recent_count, count(*) FILTER ({_ago('crawled_at', 30)} AND NOT {_ago('crawled_at', 7)}) AS previous_count FROM articles GROUP BY category"
+query("emerging_categories", f"SELECT *, round((recent_count - previous_count) * 100.0::DOUBLE / previous_count, 1) AS growth_rate FROM ({_EMERGE}) WHERE recent_count > 5 AND previous_count > 0 AND (recent_count - previous_count) * 100.0 / previous_count > 50")(lambda spark, sf: A.emerging_categories(S.articles(spark, sf), now()))
+_ALERT = f"SELECT round(100.0::DOUBLE * avg(CASE WHEN status = 'completed' THEN 1.0::DOUBLE ELSE 0.0 END), 1) AS success_rate, count(*) AS total_jobs FROM crawl_jobs WHERE {_ago('started_at', 10)} HAVING count(*) > 0 AND avg(CASE WHEN status = 'completed' THEN 100.0 ELSE 0.0 END) < 80"
+query("crawl_efficiency_alert", _ALERT)(lambda spark, sf: A.crawl_efficiency_alert(S.crawl_jobs(spark, sf), now() - F.expr("interval 9 days")))
+query("insights")(lambda spark, sf: A.insights(S.sources(spark, sf), S.articles(spark, sf), S.crawl_jobs(spark, sf), now()))
+query("sources_stats", f"SELECT count(*) AS total_sources, count(*) FILTER (is_active) AS active_sources, count(*) FILTER ({_ago('last_crawled', 1)}) AS crawled_today, {_Q} AS avg_quality, count(DISTINCT category) AS categories FROM sources")(lambda spark, sf: A.sources_stats(S.sources(spark, sf), now()))
+query("sources_by_category", f"SELECT category, count(*) AS source_count, {_Q} AS avg_quality FROM sources WHERE is_active GROUP BY category")(lambda spark, sf: A.sources_by_category(S.sources(spark, sf)))
+query("articles_stats", f"SELECT count(*) AS total_articles, count(*) FILTER ({_ago('crawled_at', 1)}) AS articles_24h, count(*) FILTER ({_ago('crawled_at', 7)}) AS articles_7d, {_Q} AS avg_quality, count(DISTINCT language) AS languages FROM articles")(lambda spark, sf: A.articles_stats(S.articles(spark, sf), now()))
+query("articles_by_language", "SELECT language, count(*) AS article_count FROM articles GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")(lambda spark, sf: A.articles_by_language(S.articles(spark, sf)))
+query("hash_stats", "SELECT count(*) AS total_hashes, sum(duplicate_count)::BIGINT AS total_duplicates, round(avg(duplicate_count), 6) AS avg_duplicates_per_hash, count(*) FILTER (duplicate_count > 0) AS hashes_with_duplicates FROM content_hashes")(lambda spark, sf: A.hash_stats(S.content_hashes(spark, sf)))
+query("successful_queries", f"SELECT search_query, round(avg(tech_relevance_score), 6) AS avg_score, count(*) AS n FROM discovery_results WHERE {_ago('discovered_at', 30)} AND is_tech_relevant GROUP BY 1 HAVING count(*) >= 3 ORDER BY 2 DESC, 1 LIMIT 10")(lambda spark, sf: A.successful_queries(S.discovery_results(spark, sf), now()))
+query("duplicate_sources", "SELECT url, list(id ORDER BY created_at, id) AS ids, list(id ORDER BY created_at, id)[2:] AS redundant FROM sources_dup GROUP BY url HAVING count(*) > 1")(lambda spark, sf: A.duplicate_sources(S.sources_dup(spark, sf)))
+_OUT = "SELECT source_id, CASE status WHEN 'failed' THEN 'failed' WHEN 'pending' THEN 'duplicate' WHEN 'running' THEN 'updated' ELSE 'new' END AS outcome FROM crawl_jobs"
+
+
+def _runs(spark, sf):
+    s = F.col("status")
+    return S.crawl_jobs(spark, sf).select("source_id", F.when(s == "failed", "failed").when(s == "pending", "duplicate").when(s == "running", "updated").otherwise("new").alias("outcome"))
+
+
+query("crawl_run_stats", f"SELECT source_id, count(*) AS crawled, count(*) FILTER (outcome <> 'failed') AS processed, count(*) FILTER (outcome = 'failed') AS failed, count(*) FILTER (outcome = 'new') AS new, count(*) FILTER (outcome = 'updated') AS updated, count(*) FILTER (outcome = 'duplicate') AS duplicate FROM ({_OUT}) GROUP BY source_id")(lambda spark, sf: A.crawl_run_stats(_runs(spark, sf)))
+query("rate_domain_stats", f"SELECT domain, count(*) FILTER (ts >= {NOW} - INTERVAL 60 SECOND) AS recent_requests, count(*) FILTER (status_code <> 200) AS errors, datediff('microsecond', max(ts), {NOW}) // 1000000 AS last_request_ago, count(*) AS total_requests FROM request_log GROUP BY domain")(lambda spark, sf: A.rate_domain_stats(S.request_log(spark, sf), now()))
+query("known_domains", "SELECT DISTINCT domain FROM sources WHERE is_active")(lambda spark, sf: A.known_domains(S.sources(spark, sf)))
+query("discovery_run_stats", f", c AS (SELECT url, {S.sql_category('title', 'description')} AS category, {_VALID} AS valid FROM candidates) SELECT category, count(*) AS explored, count(*) FILTER (valid) AS discovered, count(*) FILTER (valid AND url NOT IN (SELECT url FROM sources)) AS added FROM c GROUP BY category")(
+    lambda spark, sf: A.discovery_run_stats(S.candidates(spark, sf).select("seq", "url", scores.detect_category(F.col("title"), F.col("description")).alias("category")).join(K.valid_candidates(S.candidates(spark, sf)).select("seq", F.lit(True).alias("v")), "seq", "left").withColumn("valid", F.coalesce("v", F.lit(False))), S.sources(spark, sf))
+)
+
+# -- windows and sets -------------------------------------------------------------------------------
+
+query("first_candidate_per_domain", "SELECT seq, domain FROM candidates QUALIFY row_number() OVER (PARTITION BY domain ORDER BY seq) = 1")(lambda spark, sf: J.first_per_domain(S.candidates(spark, sf)).select("seq", "domain"))
+_GONE = "(SELECT id FROM sources_dup QUALIFY row_number() OVER (PARTITION BY url ORDER BY created_at, id) > 1)"
+query("oldest_source_per_url", f"SELECT id FROM sources_dup WHERE id NOT IN {_GONE}")(lambda spark, sf: J.oldest_per_url(S.sources_dup(spark, sf), S.articles_dup(spark, sf))[0].select("id"))
+query("oldest_source_articles", f"SELECT id, source_id FROM articles_dup WHERE source_id NOT IN {_GONE}")(lambda spark, sf: J.oldest_per_url(S.sources_dup(spark, sf), S.articles_dup(spark, sf))[1].select("id", "source_id"))
+
+
+def _versions(spark, sf):
+    """Articles as versions of 40 urls."""
+    return S.articles(spark, sf).withColumn("url", F.concat_ws("/", "source_id", (F.col("id") % 2).cast("string")))
+
+
+query("latest_article_per_url", "SELECT id, url FROM (SELECT * REPLACE (source_id || '/' || (id % 2) AS url) FROM articles) QUALIFY row_number() OVER (PARTITION BY url ORDER BY crawled_at DESC, id DESC) = 1")(lambda spark, sf: J.latest_per_url(_versions(spark, sf)).select("id", "url"))
+query("rate_violations", ", w AS (SELECT event_id, domain, count(*) OVER (PARTITION BY domain ORDER BY ts RANGE BETWEEN INTERVAL 1 SECOND PRECEDING AND CURRENT ROW) AS in_1s, count(*) OVER (PARTITION BY domain ORDER BY ts RANGE BETWEEN INTERVAL 10 SECOND PRECEDING AND CURRENT ROW) AS in_10s, count(*) OVER (PARTITION BY domain ORDER BY ts RANGE BETWEEN INTERVAL 60 SECOND PRECEDING AND CURRENT ROW) AS in_60s, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY domain ORDER BY ts, event_id) AS gap_us FROM request_log) SELECT * FROM w WHERE in_1s > 1 OR in_10s > 3 OR in_60s > 10")(lambda spark, sf: J.rate_violations(S.request_log(spark, sf)))
+query("content_versions")(lambda spark, sf: M.content_versions(_versions(spark, sf), "jaccard"))
+query("content_updates")(lambda spark, sf: M.content_versions(_versions(spark, sf).where(F.length("content") < 3000), "sequence"))
+query("candidate_union", "SELECT seq, source_engine FROM candidates")(lambda spark, sf: J.candidate_union(*[S.candidates(spark, sf).where(F.col("source_engine") == e).select("seq", "source_engine") for e in P.ADAPTERS]))
+
+
+def _urls(spark, sf, start: int):
+    c = S.candidates(spark, sf).where((F.col("seq") % 4 == start) | (F.col("seq") % 8 == start))
+    return c.select(F.col("domain").alias("source_id"), "url", "seq")
+
+
+_FRONT = ", p AS (" + " UNION ALL ".join(f"SELECT * FROM (SELECT domain AS source_id, url, seq, {k} AS origin FROM candidates WHERE seq % 4 = {k} OR seq % 8 = {k} QUALIFY row_number() OVER (PARTITION BY domain ORDER BY seq, url) <= {n})" for k, n in enumerate((1, 4, 2, 8))) + "), o AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY source_id, url ORDER BY origin, seq) = 1) SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY origin, seq, url) <= 8"
+query("url_frontier", _FRONT)(lambda spark, sf: J.url_frontier(*[_urls(spark, sf, k) for k in range(4)], 8))
+_BASE = ", b AS (SELECT row_number() OVER (ORDER BY search_query) - 1 AS seq, search_query AS query FROM (SELECT DISTINCT search_query FROM discovery_results))"
+_TREND = "(VALUES " + ", ".join(f"({k}, {S._q(t)})" for k, t in enumerate(fixed.TRENDING)) + ") AS t(seq, query)"
+_POOL = _BASE + f" SELECT DISTINCT query FROM (SELECT query FROM b UNION ALL SELECT query FROM {_TREND} UNION ALL SELECT query || ' 2024' FROM {_TREND} WHERE seq < 5 UNION ALL SELECT query || ' ' || m FROM b, (SELECT unnest({fixed.MODIFIERS}) AS m) WHERE seq < 5) ORDER BY query LIMIT 20"
+
+
+def _pool(spark, sf):
+    q = S.discovery_results(spark, sf).groupBy("search_query").agg(F.count("*").alias("n"))
+    # Ranks of a dozen distinct queries.
+    from pyspark.sql import Window
+
+    base = q.select((F.row_number().over(Window.orderBy("search_query")) - 1).alias("seq"), F.col("search_query").alias("query"))
+    return J.query_pool(base, base, 2024)
+
+
+query("query_pool", _POOL)(_pool)
+query("suggestions", ", m AS (SELECT * FROM articles WHERE title ILIKE '%en%' OR len(list_filter(tags, lambda t: t ILIKE '%en%')) > 0 ORDER BY quality_score DESC, id LIMIT 10) SELECT DISTINCT suggestion FROM (SELECT title AS suggestion FROM m UNION ALL SELECT unnest(tags) FROM m) WHERE contains(lower(suggestion), 'en') ORDER BY 1 LIMIT 5")(lambda spark, sf: J.suggestions(S.articles(spark, sf), "en"))
+query("keyword_token_set", f"SELECT id, list_sort(list_intersect(list_distinct({S.sql_tokens('lower(content)')}), {list(fixed.TECH_WEIGHTS)})) AS words FROM articles")(lambda spark, sf: S.articles(spark, sf).select("id", J.keyword_token_set(F.col("content")).alias("words")))
+query("ranked_candidates", "SELECT id, tech_relevance_score FROM discovery_results ORDER BY tech_relevance_score DESC, discovered_url, id LIMIT 100")(lambda spark, sf: S.discovery_results(spark, sf).withColumn("url", F.col("discovered_url")).orderBy(F.desc("tech_relevance_score"), "url", "id").limit(100).select("id", "tech_relevance_score"))
+
+# -- writes -----------------------------------------------------------------------------------------
+
+
+def _stored(spark, sf):
+    return S.articles(spark, sf).where("id % 3 <> 0").select("url", "title", "content", "content_hash", "author", "published_at", "crawled_at")
+
+
+def _batch(spark, sf):
+    changed = F.when(F.col("id") % 4 == 0, F.concat("content", F.lit(" more"))).otherwise(F.col("content"))
+    return S.articles(spark, sf).where("id % 5 <> 1").withColumn("content", changed).withColumn("content_hash", scores.content_hash(F.col("content")))
+
+
+query("upsert_articles", r", n AS (SELECT url, title, CASE WHEN id % 4 = 0 THEN content || ' more' ELSE content END AS content FROM articles WHERE id % 5 <> 1), n2 AS (SELECT *, sha256(regexp_replace(lower(regexp_replace(content, '^\s+|\s+$', '', 'g')), '\s+', ' ', 'g')) AS content_hash FROM n), o AS (SELECT url, content_hash FROM articles WHERE id % 3 <> 0) SELECT url, CASE WHEN n2.content_hash IS NULL THEN o.content_hash ELSE n2.content_hash END AS content_hash, CASE WHEN n2.content_hash IS NULL THEN 'kept' WHEN o.content_hash IS NULL THEN 'new' WHEN o.content_hash <> n2.content_hash THEN 'updated' ELSE 'unchanged' END AS outcome FROM o FULL JOIN n2 USING (url)")(
+    lambda spark, sf: I.upsert_articles(_stored(spark, sf), _batch(spark, sf), now()).select("url", "content_hash", "outcome")
+)
+query("register_hashes", ", o AS (SELECT * FROM content_hashes WHERE first_article_id % 2 = 0), n AS (SELECT content_hash, count(*) AS n, arg_min(id, (crawled_at, id)) AS f, min(crawled_at) AS a, max(crawled_at) AS z, max(length(content)) AS l FROM articles GROUP BY 1) SELECT content_hash, coalesce(first_article_id, f) AS first_article_id, CASE WHEN duplicate_count IS NULL THEN n - 1 ELSE duplicate_count + coalesce(n, 0) END AS duplicate_count, coalesce(first_seen_at, a) AS first_seen_at, greatest(last_seen_at, z) AS last_seen_at, coalesce(content_length, l) AS content_length FROM o FULL JOIN n USING (content_hash)")(
+    lambda spark, sf: I.register_hashes(S.content_hashes(spark, sf).where("first_article_id % 2 = 0"), S.articles(spark, sf))
+)
+
+
+def _scored(spark, sf):
+    return D.score_candidates(S.candidates(spark, sf))
+
+
+query("save_discoveries", f", c AS (SELECT *, {S.sql_tech_relevance('title', 'description', 'domain')} AS t FROM candidates QUALIFY row_number() OVER (PARTITION BY search_query, url ORDER BY seq) = 1) SELECT seq, t >= 0.7 AS is_tech_relevant FROM c WHERE NOT EXISTS (SELECT 1 FROM discovery_results d WHERE d.id % 3 = 0 AND d.search_query = c.search_query AND d.discovered_url = c.url)")(
+    lambda spark, sf: I.save_discoveries(_scored(spark, sf), S.discovery_results(spark, sf).where("id % 3 = 0")).select("seq", "is_tech_relevant")
+)
+_BEST = "(SELECT * FROM discovery_results WHERE tech_relevance_score >= 0.7 AND NOT became_source AND is_tech_relevant ORDER BY tech_relevance_score DESC, id LIMIT 50)"
+query("promote_discoveries", f"SELECT CASE WHEN title <> '' THEN title ELSE domain END AS name, discovered_url AS url, domain, {S.sql_source_type('domain')} AS source_type, {S.sql_category('title', 'description')} AS category FROM {_BEST}")(lambda spark, sf: I.promote_discoveries(S.discovery_results(spark, sf))[0].select("name", "url", "domain", "source_type", "category"))
+query("mark_promoted", f"SELECT id, became_source OR id IN (SELECT id FROM {_BEST}) AS became_source FROM discovery_results")(lambda spark, sf: I.promote_discoveries(S.discovery_results(spark, sf))[1].select("id", "became_source"))
+query("update_source_stats", f", f AS (SELECT source_id AS id, count(*) FILTER (status = 'failed') AS failed FROM crawl_jobs GROUP BY 1) SELECT id, CASE WHEN failed IS NOT NULL THEN {NOW} ELSE last_crawled END AS last_crawled, crawl_count + CASE WHEN failed IS NOT NULL THEN 1 ELSE 0 END AS crawl_count, error_count + coalesce(failed, 0) AS error_count FROM sources LEFT JOIN f USING (id)")(
+    lambda spark, sf: I.update_source_stats(S.sources(spark, sf), A.crawl_run_stats(_runs(spark, sf)), now())
+)
+query("toggle_sources", "SELECT id, CASE WHEN source_type = 'website' THEN NOT is_active ELSE is_active END AS is_active FROM sources")(lambda spark, sf: I.toggle_sources(S.sources(spark, sf), S.sources(spark, sf).where("source_type = 'website'")).select("id", "is_active"))
+query("create_sources", _REASONS + " SELECT name, url, category, source_type, crawl_frequency FROM v WHERE len(reasons) = 0 AND url NOT IN (SELECT url FROM sources) QUALIFY row_number() OVER (PARTITION BY url ORDER BY name) = 1")(lambda spark, sf: I.create_sources(_requests(spark, sf), S.sources(spark, sf)).drop("domain"))
+_VEC = "list_transform(range(0, 16), lambda i: ('0x' || substring(md5({0}), (i * 2 + 1)::INT, 2))::INT / 255.0::DOUBLE - 0.5::DOUBLE)"
+_BOTH = "(coalesce(title, '') || ' ' || coalesce(content, ''))"
+query("embed_articles", f"SELECT id, list_transform({_VEC.format(_BOTH)}, lambda x: round(x, 6)) AS head, true AS is_processed FROM articles")(lambda spark, sf: I.embed_articles(S.articles(spark, sf), now()).select("id", F.transform(F.slice("content_embedding", 1, 16), lambda x: F.round(x, 6)).alias("head"), "is_processed"))
+
+# -- scalar functions -------------------------------------------------------------------------------
+
+_TXT = "substring(content, 1, 2000)"
+
+
+def _scalar(name: str, column: str, sql: str, make, table: str = "articles") -> None:
+    read = {"articles": S.articles, "sources": S.sources}[table]
+    query(name, f"SELECT id, {sql} AS {column} FROM {table}")(lambda spark, sf: read(spark, sf).select("id", make().alias(column)))
+
+
+def _c(name: str):
+    return F.col(name)
+
+
+def _text():
+    return F.concat_ws(" ", F.lit("how to learn the latest api"), "content")
+
+
+_STXT = "('how to learn the latest api' || ' ' || content)"
+_scalar("content_hash", "h", "content_hash", lambda: _c("content_hash"))
+_scalar("url_hash", "h", "sha256(url)", lambda: scores.url_hash(_c("url")))
+_SIG = S.sql_tokens("content").replace("x <> ''", "length(x) > 3")
+query("structure_hash", f", w AS (SELECT id, {_SIG} AS w FROM articles), s AS (SELECT id, CASE WHEN len(w) > 50 THEN w[1:20] || w[len(w) // 2 - 9 : len(w) // 2 + 10] || w[-20:] ELSE w END AS w FROM w) SELECT id, md5(array_to_string(list_sort(list_distinct(w)), ' ')) AS h FROM s")(lambda spark, sf: S.articles(spark, sf).select("id", scores.structure_hash(F.col("content")).alias("h")))
+_scalar("normalize_content", "t", r"regexp_replace(lower(content), '^\s+|\s+$', '', 'g')", lambda: scores.normalize(_c("content")))
+_scalar("normalize_content_intended", "t", r"regexp_replace(lower(regexp_replace(regexp_replace(content, '\s+', ' ', 'g'), '[.,;:!?()\[\]{}""'']', '', 'g')), '^\s+|\s+$', '', 'g')".replace('""', '"'), lambda: scores.normalize(_c("content"), "intended"))
+_scalar("crawl_quality", "s", "quality_score", lambda: _c("quality_score"))
+_EX = f"CASE WHEN title <> '' THEN 20 ELSE 0 END + CASE WHEN length(content) > 500 THEN 30 ELSE 0 END + CASE WHEN coalesce(author, '') <> '' THEN 10 ELSE 0 END + CASE WHEN published_at IS NOT NULL THEN 10 ELSE 0 END + CASE WHEN len(tags) > 0 THEN 10 ELSE 0 END + least({S.sql_hits('lower(content)', [(w, 5) for w in fixed.EXTRACT_WORDS])}, 20)"
+_scalar("extraction_quality", "s", S.sql_clamp(_EX), lambda: scores.extraction_quality(_c("content"), _c("title"), _c("author"), _c("published_at"), _c("tags")))
+_scalar("word_count", "n", f"len({S.sql_tokens('content')})", lambda: scores.word_count(_c("content")))
+query("language_detect")(lambda spark, sf: S.articles(spark, sf).select("id", "language", scores.detect_language(F.col("content")).alias("detected")))
+_scalar("hash_embedding", "v", f"list_transform({_VEC.format('content')}, lambda x: round(x, 6))", lambda: F.transform(F.slice(scores.hash_embedding(_c("content")), 17, 16), lambda x: F.round(x, 6)))
+query("cosine_similarity", f"SELECT query_id, id, {_COS} AS similarity FROM {_QV}, articles_emb a WHERE content_embedding IS NOT NULL")(lambda spark, sf: M.cosine_pairs(_queries(spark, sf), S.articles_emb(spark, sf), -2.0))
+_scalar("tech_keyword_score", "s", f"round({S.sql_keyword_score(_STXT)}, 6)", lambda: F.round(scores.tech_keyword_score(_text()), 6))
+_scalar("content_depth_score", "s", f"round({S.sql_depth(_STXT)}, 6)", lambda: F.round(scores.content_depth_score(_text()), 6))
+_scalar("language_quality_score", "s", S.sql_language(_STXT), lambda: scores.language_quality_score(_text()))
+_scalar("structure_score", "s", S.sql_structure(_STXT), lambda: scores.structure_score(_text()))
+_scalar("relevance_score", "s", f"round({S.sql_relevance(_STXT)}, 6)", lambda: F.round(scores.relevance_score(_text()), 6))
+_MATCH = "list_filter([" + ", ".join(f"CASE WHEN contains(lower({_STXT}), {S._q(k)}) THEN {S._q(k)} END" for k in fixed.TECH_WEIGHTS) + "], lambda x: x IS NOT NULL)"
+_scalar("keyword_matches", "w", f"array_to_string({_MATCH}, ',')", lambda: F.array_join(scores.keyword_matches(_text()), ","))
+query("explain_relevance", f"SELECT id, round({S.sql_keyword_score(_STXT)}, 6) AS tech_keywords_score, round({S.sql_depth(_STXT)}, 6) AS content_depth_score, {S.sql_language(_STXT)} AS language_quality_score, {S.sql_structure(_STXT)} AS structure_score, array_to_string({_MATCH}, ',') AS found, length({_STXT}) AS text_length FROM articles")(
+    lambda spark, sf: S.articles(spark, sf).select("id", scores.explain_relevance(_text()).alias("e")).select("id", F.round("e.tech_keywords_score", 6).alias("tech_keywords_score"), F.round("e.content_depth_score", 6).alias("content_depth_score"), "e.language_quality_score", "e.structure_score", F.array_join("e.tech_keywords_found", ",").alias("found"), "e.text_length")
+)
+query("tech_relevance", "SELECT id, tech_relevance_score FROM discovery_results")(lambda spark, sf: S.discovery_results(spark, sf).select("id", "tech_relevance_score"))
+_scalar("domain_reputation", "s", "quality_score", lambda: scores.domain_reputation(_c("domain")), "sources")
+_HQ = f"50 + {S.sql_hits('lower(html)', [(w, 5) for w in fixed.PAGE_INDICATORS])} + CASE WHEN contains(html, '<title>') AND contains(html, '</title>') THEN 10 ELSE 0 END + CASE WHEN contains(html, '<meta name=\"description\"') THEN 10 ELSE 0 END + " + " + ".join(f"CASE WHEN regexp_matches(html, {S._q(p)}, 'i') THEN 5 ELSE 0 END" for p in fixed.PAGE_PATTERNS) + f" - {S.sql_hits('lower(html)', [(w, 5) for w in fixed.PAGE_SPAM])} + CASE WHEN length(html) > 5000 THEN 10 WHEN length(html) < 1000 THEN -10 ELSE 0 END"
+query("html_quality", f"SELECT page_id, {_HQ} AS points FROM pages")(lambda spark, sf: S.raw(spark, sf, "pages").select("page_id", scores.html_quality(F.col("html")).alias("points")))
+_scalar("source_type", "t", "source_type", lambda: _c("source_type"), "sources")
+_scalar("detect_category", "t", "category", lambda: _c("category"))
+_TI = "greatest(least(CASE WHEN https_status IS NOT NULL THEN 600 + CASE WHEN https_status = 200 THEN 200 WHEN https_status IN (301, 302) THEN 100 ELSE -200 END + CASE WHEN safe THEN 50 ELSE 0 END ELSE CASE WHEN http_status IS NULL THEN 100 WHEN http_status = 200 THEN 600 ELSE 200 END END, 1000), 0) / 1000.0"
+query("technical_indicators", f"SELECT id, {_TI} AS s FROM response_meta")(lambda spark, sf: S.response_meta(spark, sf).select("id", scores.technical_indicators(F.col("https_status"), F.col("http_status"), F.col("headers")).alias("s")))
+
+
+def _one_page(spark, sf):
+    return S.page_hosts(spark, sf).groupBy("domain").agg(F.min_by("html", "page_id").alias("html"))
+
+
+_PS = S.sql_clamp(f"CASE WHEN https_status = 200 THEN {_HQ} WHEN https_status IS NOT NULL THEN 50 WHEN http_status = 200 THEN {_HQ} - 10 WHEN http_status IS NOT NULL THEN 50 ELSE 30 END")
+_DQ = f", pg AS (SELECT lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) AS domain, arg_min(html, page_id) AS html FROM pages GROUP BY 1), dq AS (SELECT domain, list_avg(list_filter([{S.sql_reputation('domain')}, {_TI}, CASE WHEN html IS NOT NULL THEN {_PS} END], lambda x: x IS NOT NULL)) AS q, html, r.last_modified FROM response_meta r LEFT JOIN pg USING (domain))"
+
+
+def _quality(spark, sf):
+    return D.domain_quality(S.sources(spark, sf).select("domain"), S.response_meta(spark, sf).drop("id"), _one_page(spark, sf))
+
+
+query("domain_quality", _DQ + " SELECT domain, round(q, 6) AS quality_score FROM dq")(_quality)
+
+
+@query("source_reliability", _DQ + " SELECT domain, round((round(q, 6) + CASE WHEN last_modified IS NOT NULL THEN 0.8::DOUBLE ELSE 0.6 END + 0.7::DOUBLE + CASE WHEN html IS NULL THEN 0.5::DOUBLE WHEN contains(html, 'github.com') OR contains(html, 'stackoverflow.com') THEN 0.8 ELSE 0.6 END) / 4, 5) AS overall FROM dq")
+def _(spark, sf):
+    j = _quality(spark, sf).join(S.response_meta(spark, sf).select("domain", "last_modified"), "domain").join(_one_page(spark, sf), "domain", "left")
+    fresh = F.when(F.col("last_modified").isNotNull(), 0.8).otherwise(0.6)
+    links = F.when(F.col("html").isNull(), 0.5).when(scores.any_of(F.col("html"), ["github.com", "stackoverflow.com"]), 0.8).otherwise(0.6)
+    return j.select("domain", F.round((F.col("quality_score") + fresh + F.lit(0.7) + links) / 4, 5).alias("overall"))
+
+
+query("domain_explanation", f"SELECT id, array_to_string(list_filter([CASE WHEN {S.sql_any('domain', fixed.KNOWN_TECH_SITES)} THEN 'known site' END, CASE WHEN ends_with(domain, '.edu') OR ends_with(domain, '.org') THEN 'organization' END], lambda x: x IS NOT NULL), ',') AS factors FROM sources")(
+    lambda spark, sf: S.sources(spark, sf).select("id", F.array_join(F.array_compact(F.array(F.when(scores.any_of(F.col("domain"), fixed.KNOWN_TECH_SITES), F.lit("known site")), F.when(F.endswith("domain", F.lit(".edu")) | F.endswith("domain", F.lit(".org")), F.lit("organization")))), ",").alias("factors"))
+)
+query("growth_rate", f"SELECT source_id, round(count(*) FILTER ({_ago('crawled_at', 7)}) / greatest(count(*), 1) * 100, 1) AS g FROM articles GROUP BY 1")(lambda spark, sf: A.by_source(S.articles(spark, sf), now()).select(F.col("id").alias("source_id"), scores.growth_rate(F.col("articles"), F.col("recent")).alias("g")))
+query("performance_score", f", {_PER} SELECT id, {_PERF} AS s FROM sa")(lambda spark, sf: A.source_performance(S.sources(spark, sf), S.articles(spark, sf), now()).select(F.col("source_id").alias("id"), F.col("performance_score").alias("s")))
+_HP = "CASE WHEN value > 80 THEN 20 WHEN value > 60 THEN 10 ELSE 0 END + CASE WHEN value > 90 THEN 20 WHEN value > 70 THEN 10 ELSE 0 END + CASE WHEN value > 90 THEN 30 WHEN value > 80 THEN 15 ELSE 0 END"
+query("health_penalty", f"SELECT id, 100 - ({_HP}) AS s FROM system_metrics")(lambda spark, sf: S.system_metrics(spark, sf).select("id", scores.health_score(F.col("value"), F.col("value"), F.col("value"), F.lit(1)).alias("s")))
+query("update_type", "SELECT id, CASE WHEN value / 100 > 0.95 THEN 'minor_edit' WHEN value / 100 > 0.8 THEN 'content_update' WHEN value / 100 > 0.5 THEN 'major_revision' ELSE 'complete_rewrite' END AS t FROM system_metrics")(lambda spark, sf: S.system_metrics(spark, sf).select("id", scores.update_type(F.col("value") / 100).alias("t")))
+
+
+@query("parse_dates", "SELECT event_id, CASE event_id % 5 WHEN 4 THEN NULL WHEN 3 THEN ts::DATE::TIMESTAMP WHEN 2 THEN ts::DATE::TIMESTAMP ELSE date_trunc('second', ts) END AS d FROM events")
+def _(spark, sf):
+    ts, k = F.col("ts"), F.col("event_id") % 5
+    text = F.when(k == 0, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k == 1, F.date_format(ts, "yyyy-MM-dd HH:mm:ss")).when(k == 2, F.date_format(ts, "yyyy-MM-dd")).when(k == 3, F.date_format(ts, "d/M/yyyy")).otherwise("soon")
+    return S.raw(spark, sf, "events").select("event_id", scores.parse_date(text).cast("timestamp_ntz").alias("d"))
+
+
+# -- corpus -----------------------------------------------------------------------------------------
+
+query("exact_dedup", "SELECT id, content_hash, count(*) OVER (PARTITION BY content_hash) AS copies, row_number() OVER (PARTITION BY content_hash ORDER BY crawled_at, id) > 1 AS is_duplicate FROM articles")(lambda spark, sf: M.exact_dedup(S.articles(spark, sf)))
+query("near_dup_pairs")(lambda spark, sf: M.near_dup_pairs(S.articles(spark, sf), metric="jaccard"))
+query("find_similar_content")(lambda spark, sf: M.find_similar_content(J.length_band_pairs(S.articles(spark, sf).where("id % 50 = 0"), S.articles(spark, sf), now()), S.articles(spark, sf).where("id % 50 = 0"), S.articles(spark, sf), 0.3, "jaccard"))
+query("score_candidates", f"SELECT seq, round({S.sql_relevance(chr(40) + 'title || chr(32) || description' + chr(41))}, 6) AS relevance_score, {S.sql_tech_relevance('title', 'description', 'domain')} AS tech_relevance_score, {S.sql_reputation('domain')} AS quality_score FROM candidates")(lambda spark, sf: _scored(spark, sf).select("seq", "relevance_score", "tech_relevance_score", "quality_score"))
+query("discovery_pipeline")(lambda spark, sf: D.discovery_pipeline(S.candidates(spark, sf), S.sources(spark, sf).where("length(id) % 2 = 0"), S.discovery_results(spark, sf).where("id % 9 = 0"), P.external_links(P.page_links(S.raw(spark, sf, "pages"))).join(S.raw(spark, sf, "pages").select("page_id", F.col("url").alias("page_url")), "page_id")))
+query("crawl_batch_pipeline")(lambda spark, sf: D.crawl_batch(S.raw(spark, sf, "pages"), _stored(spark, sf), S.content_hashes(spark, sf), now())[1])
+
+# -- streams ----------------------------------------------------------------------------------------
+
+
+def _stream(spark, sf):
+    """The events table as a file stream."""
+    schema = S.raw(spark, sf, "events").schema
+    return T.file_stream(spark, sf, schema, "events.parquet")
+
+
+def _metrics_stream(spark, sf):
+    names = F.array(F.lit("cpu_usage"), F.lit("memory_usage"), F.lit("disk_usage"))
+    return T.event_time(_stream(spark, sf)).select("ts", F.get(names, (F.col("event_id") % 3).cast("int")).alias("metric_name"), F.least("value", F.lit(100.0)).alias("value"))
+
+
+def _requests_stream(spark, sf):
+    status = F.when(F.col("event_type") != "error", 200).when(F.col("event_id") % 2 == 0, 500).otherwise(429)
+    return T.event_time(_stream(spark, sf)).select("event_id", "ts", F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string"), F.lit(".example.org")).alias("domain"), status.alias("status_code"), (F.col("value") / 100).alias("response_time"))
+
+
+def _hash_stream(spark, sf):
+    return T.event_time(_stream(spark, sf)).select("ts", F.sha2(F.concat_ws(":", "user_id", "event_type"), 256).alias("content_hash"))
+
+
+def _plain(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
+
+
+query("stream_tumbling_metrics", "SELECT time_bucket(INTERVAL 15 MINUTE, recorded_at) AS start, metric_name, count(*) AS n, round(avg(value), 6) AS avg_value FROM system_metrics GROUP BY 1, 2")(lambda spark, sf: _plain(run_stream(T.tumbling(_metrics_stream(spark, sf)), "complete"), "start"))
+query("stream_sliding_rate", "SELECT time_bucket(INTERVAL 1 SECOND, ts) - to_seconds(k) AS start, domain, count(*) AS requests FROM request_log, (SELECT unnest(range(0, 10)) AS k) GROUP BY 1, 2")(lambda spark, sf: _plain(run_stream(T.sliding_rate(_requests_stream(spark, sf)), "complete"), "start"))
+query("stream_crawl_sessions", ", g AS (SELECT domain, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM request_log WINDOW w AS (PARTITION BY domain ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY domain ORDER BY ts) AS k FROM g) SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", domain, count(*) AS requests FROM s GROUP BY domain, k")(lambda spark, sf: _plain(run_stream(T.crawl_sessions(_requests_stream(spark, sf)), "complete"), "start", "end"))
+query("stream_dedup", "SELECT DISTINCT sha256(user_id || ':' || event_type) AS content_hash FROM events")(lambda spark, sf: run_stream(T.dedup(_hash_stream(spark, sf)), "append").select("content_hash"))
+query("stream_hash_registry", "SELECT sha256(user_id || ':' || event_type) AS content_hash, count(*) - 1 AS duplicate_count, max(ts) AS last_seen FROM events GROUP BY 1")(lambda spark, sf: _plain(run_stream(T.hash_registry(_hash_stream(spark, sf)), "update").where("not expired").groupBy("content_hash").agg(F.max("duplicate_count").alias("duplicate_count"), F.max("last_seen").alias("last_seen")), "last_seen"))
+query("late_data", "SELECT date_trunc('day', ts) AS day, count(*) AS n FROM events GROUP BY 1")(lambda spark, sf: _plain(run_stream(T.daily_counts(T.event_time(_stream(spark, sf))), "complete"), "day"))
+query("stream_adaptive_rate")(lambda spark, sf: run_stream(T.adaptive_rate(_requests_stream(spark, sf)), "update"))
+query("adaptive_rate_batch")(lambda spark, sf: T.adaptive_rate_batch(S.request_log(spark, sf)))
+query("stream_ingest")(lambda spark, sf: run_stream(H.extract_pages(T.file_stream(spark, sf, S.raw(spark, sf, "pages").schema, "pages.parquet")), "append"))
+
+
+@query("stream_windowed_insights", "SELECT time_bucket(INTERVAL 1 DAY, started_at) AS start, count(*) AS total_jobs, count(*) FILTER (status = 'completed') AS completed FROM crawl_jobs GROUP BY 1")
+def _(spark, sf):
+    jobs = T.event_time(_stream(spark, sf)).select("ts", (~F.col("event_type").isin("purchase", "error", "signup")).alias("done"))
+    w = jobs.withWatermark("ts", "1 day").groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("total_jobs"), F.count_if("done").alias("completed"))
+    return _plain(run_stream(w.select(F.col("window.start").alias("start"), "total_jobs", "completed"), "complete"), "start")
