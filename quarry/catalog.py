@@ -355,7 +355,7 @@ _scalar("url_hash", "h", "sha256(url)", lambda: scores.url_hash(_c("url")))
 _SIG = S.sql_tokens("content").replace("x <> ''", "length(x) > 3")
 query("structure_hash", f", w AS (SELECT id, {_SIG} AS w FROM articles), s AS (SELECT id, CASE WHEN len(w) > 50 THEN w[1:20] || w[len(w) // 2 - 9 : len(w) // 2 + 10] || w[-20:] ELSE w END AS w FROM w) SELECT id, md5(array_to_string(list_sort(list_distinct(w)), ' ')) AS h FROM s")(lambda spark, sf: S.articles(spark, sf).select("id", scores.structure_hash(F.col("content")).alias("h")))
 _scalar("normalize_content", "t", r"regexp_replace(lower(content), '^\s+|\s+$', '', 'g')", lambda: scores.normalize(_c("content")))
-_scalar("normalize_content_intended", "t", r"regexp_replace(lower(regexp_replace(regexp_replace(content, '\s+', ' ', 'g'), '[.,;:!?()\[\]{}""'']', '', 'g')), '^\s+|\s+$', '', 'g')".replace('""', '"'), lambda: scores.normalize(_c("content"), "intended"))
+_scalar("normalize_content_intended", "t", r"""regexp_replace(lower(regexp_replace(regexp_replace(content, '\s+', ' ', 'g'), '[.,;:!?()\[\]{}"'']', '', 'g')), '^\s+|\s+$', '', 'g')""", lambda: scores.normalize(_c("content"), "intended"))
 _scalar("crawl_quality", "s", "quality_score", lambda: _c("quality_score"))
 _EX = f"CASE WHEN title <> '' THEN 20 ELSE 0 END + CASE WHEN length(content) > 500 THEN 30 ELSE 0 END + CASE WHEN coalesce(author, '') <> '' THEN 10 ELSE 0 END + CASE WHEN published_at IS NOT NULL THEN 10 ELSE 0 END + CASE WHEN len(tags) > 0 THEN 10 ELSE 0 END + least({S.sql_hits('lower(content)', [(w, 5) for w in fixed.EXTRACT_WORDS])}, 20)"
 _scalar("extraction_quality", "s", S.sql_clamp(_EX), lambda: scores.extraction_quality(_c("content"), _c("title"), _c("author"), _c("published_at"), _c("tags")))

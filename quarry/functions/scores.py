@@ -84,18 +84,19 @@ def word_count(text: Column) -> Column:
 
 def detect_language(text: Column, default: str = "en") -> Column:
     """The language with most function words in the first 1000 characters; ties in the order of the list."""
-    words = tokens(F.lower(F.substring(text, 1, 1000)))
-    counts = {k: F.size(F.filter(words, lambda w, k=k: w.isin(*fixed.STOP_WORDS[k]))) for k in fixed.LANGUAGES}
+
+    def known(w: Column, language: str) -> Column:
+        return F.size(F.filter(w, lambda x: x.isin(*fixed.STOP_WORDS[language])))
 
     def best(w: Column) -> Column:
-        pairs = [F.size(F.filter(w, lambda x, k=k: x.isin(*fixed.STOP_WORDS[k]))) for k in counts]
-        top = F.greatest(*pairs)
+        counts = {k: known(w, k) for k in fixed.LANGUAGES}
+        top = F.greatest(*counts.values())
         out = F.when(top == 0, F.lit(default))
-        for k, n in zip(counts, pairs):
+        for k, n in counts.items():
             out = out.when(n == top, F.lit(k))
         return out
 
-    return F.transform(F.array(words), best)[0]
+    return F.transform(F.array(tokens(F.lower(F.substring(text, 1, 1000)))), best)[0]
 
 
 def hash_embedding(text: Column, size: int = 1536) -> Column:

@@ -42,13 +42,20 @@ def exact_dedup(articles: DataFrame) -> DataFrame:
 
 def minhash_bands(text: Column, bands: int = 8, rows: int = 4, n: int = 3) -> Column:
     """One hash for each band of minima over word n-gram hashes."""
-    words = scores.tokens(F.lower(text))
+
+    def least(grams: Column, seed: int) -> Column:
+        return F.array_min(F.transform(grams, lambda x: F.xxhash64(x, F.lit(seed))))
+
+    def band(grams: Column, b: int) -> Column:
+        return F.xxhash64(F.lit(b), *[least(grams, b * rows + r) for r in range(rows)])
+
+    def hashed(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, n), " ")))
 
     def signature(w: Column) -> Column:
-        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, n), " ")))
-        return F.transform(F.array(grams), lambda g: F.array(*[F.xxhash64(F.lit(b), *[F.array_min(F.transform(g, lambda x, s=b * rows + r: F.xxhash64(x, F.lit(s)))) for r in range(rows)]) for b in range(bands)]))[0]
+        return F.transform(F.array(hashed(w)), lambda g: F.array(*[band(g, b) for b in range(bands)]))[0]
 
-    return F.transform(F.array(words), signature)[0]
+    return F.transform(F.array(scores.tokens(F.lower(text))), signature)[0]
 
 
 def near_dup_pairs(articles: DataFrame, threshold: float = 0.85, min_length: int = 200, metric: str = "sequence") -> DataFrame:
@@ -126,13 +133,19 @@ def similar_articles(articles: DataFrame, article_id: int, limit: int = 5) -> Da
     return near.select("id", F.round(scores.cosine(F.col("content_embedding"), F.col("v")), 6).alias("similarity")).orderBy(F.desc("similarity"), "id").limit(limit)
 
 
+def _projection(vector: Column, seed: int) -> Column:
+    """Sum of the numbers of a vector with signs drawn by position."""
+    signed = F.transform(vector, lambda x, i: F.when(F.pmod(F.xxhash64(i, F.lit(seed)), F.lit(2)) == 0, x.cast("double")).otherwise(-x.cast("double")))
+    return F.aggregate(signed, F.lit(0.0), lambda s, x: s + x)
+
+
 def similar_per_article(articles: DataFrame, limit: int = 5, bits: int = 0) -> DataFrame:
     """The nearest articles of the same category for every article. A category is joined to itself, which grows with its square;
     ``bits`` > 0 joins only within buckets of as many signs of random projections (approximate)."""
     v = articles.where("content_embedding is not null").select("id", "category", F.col("content_embedding").alias("e"))
     keys = ["category"]
     if bits:
-        signs = [F.aggregate(F.transform("e", lambda x, i, b=b: x * F.when(F.pmod(F.xxhash64(i, F.lit(b)), F.lit(2)) == 0, 1).otherwise(-1)), F.lit(0.0), lambda s, x: s + x) > 0 for b in range(bits)]
+        signs = [_projection(F.col("e"), b) > 0 for b in range(bits)]
         v, keys = v.withColumn("bucket", F.array(*signs)), ["category", "bucket"]
     other = v.select(*keys, F.col("id").alias("other_id"), F.col("e").alias("f"))
     pairs = v.join(other, keys).where("id <> other_id").select("id", "other_id", F.round(scores.cosine(F.col("e"), F.col("f")), 6).alias("similarity"))

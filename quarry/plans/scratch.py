@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 
 def scratch(spark: SparkSession) -> str:
@@ -29,5 +30,5 @@ def run_stream(stream: DataFrame, mode: str) -> DataFrame:
 
     spark.createDataFrame([], stream.schema).write.parquet(f"{at}/table/batch=-1")
     stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    out = spark.read.schema(stream.schema.add("batch", "int")).parquet(f"{at}/table")
+    out = spark.read.schema(stream.schema.add("batch", IntegerType())).parquet(f"{at}/table")
     return out.where(F.col("batch") == count[0]).drop("batch") if mode == "complete" else out
