@@ -163,7 +163,7 @@ def find_pii(df: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` whose text has ``[KIND]`` in the place of each span; overlapping spans become the first
     one's. Null texts stay null."""
-    return find_pii(df, text, "_pii").withColumn(text, _redacted(F.col(text), F.col("_pii"))).drop("_pii")
+    return df.withColumn(text, _redacted(F.col(text), _spans(F.col(text))))
 
 
 def count_of(spans: Column, kind: str) -> Column:
