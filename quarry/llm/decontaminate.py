@@ -1,7 +1,7 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 Texts are compared in lower case with white space collapsed. A test item of ``n`` characters may
-differ from a passage by ``k = n // 20`` edits. Cut into ``k + 1`` pieces, at least one piece of a
+differ from a passage by ``k = n // 14`` edits. Cut into ``k + 1`` pieces, at least one piece of a
 passage within the budget is untouched, so an Aho-Corasick automaton over the pieces finds every
 candidate; Myers' bit-parallel recurrence, on integers of ``n`` bits, then gives the least edit
 distance of the item to any substring of the window around the hits.
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of an item for each edit that a passage may have.
-CHARS_PER_EDIT = 20
+CHARS_PER_EDIT = 14
 #: Characters of benchmark text that one pass over the documents carries.
 BLOCK_CHARS = 4_000_000
 
