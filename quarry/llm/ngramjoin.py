@@ -7,11 +7,13 @@ size), then hash. Two sets over the threshold share an element among their first
 1. Equal sets are one class, represented by the least doc_id; classes go on alone.
 2. Prefix elements, salted by size bucket (sets over the threshold lie in the same or the next one), name
    meeting places. Those with two or more classes elect the least id; places with the same leader are one.
-3. At each place the ordered prefixes are stored in a prefix tree. A set walks the tree and shares
-   the partial overlaps of common beginnings; a subtree is left when overlap so far plus what can
-   remain is too little. Survivors make candidate clusters.
-4. The clusters' whole sets go through the same tree, whose bounds are then exact overlaps. Links become
-   stars, stars become components.
+3. At each place sets are screened by signatures, bitmaps of about a bit an element with the parity of
+   what falls on each bit: two bitmaps differ in no more bits than their sets in elements. So
+   a pair over the threshold is never lost, and sets that met by chance part again before anything
+   large is sent. What is left makes candidate clusters.
+4. The clusters' whole ordered sets are stored in a prefix tree. A set walks the tree and shares the partial
+   overlaps of common beginnings; a subtree is left when the overlap so far plus what can remain is
+   too little. Links become stars, stars become components.
 
 No place or cluster is gathered beyond ``BLOCK`` sets: larger ones are split in blocks, and each pair of
 blocks meets. Within a tree, sets that are linked already are not compared again, so a group of
@@ -83,11 +85,11 @@ def rarity(docs: DataFrame, n: int) -> np.ndarray:
                 slots.append((s & np.uint64(SLOTS - 1)).astype(np.int64))
             total += np.bincount(np.concatenate(slots), minlength=SLOTS)
         size = SLOTS // CHUNKS
-        blobs = [total[k * size : (k + 1) * size].astype("<i8").tobytes() for k in range(CHUNKS)]
+        blobs = [total[k * size : (k + 1) * size].astype("<u4").tobytes() for k in range(CHUNKS)]
         yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array(blobs, pa.binary())], names=["chunk", "counts"])
 
     def add(key, table):
-        total = sum(np.frombuffer(x, dtype="<i8") for x in table.column("counts").to_pylist())
+        total = sum(np.frombuffer(x, dtype="<u4").astype("<i8") for x in table.column("counts").to_pylist())
         return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
     parts = docs.select("text").mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary")
@@ -236,33 +238,76 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _meet(members: DataFrame, at: DataFrame, place: str, percent: int) -> DataFrame:
-    """Edges (a, b) between the sets that link at each place. members: place, id, n, tokens; at: the
-    place of each member."""
+def signature(s: np.ndarray) -> bytes:
+    """Parities of a set's elements on a power of two of bits, at least one an element."""
+    bits = max(64, 1 << max(0, len(s) - 1).bit_length())
+    at = ((s >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def screen(sizes: list[int], signatures: list[bytes], percent: int, side: list[int] | None = None) -> list[int]:
+    """For each set the first one of its group, where groups join all pairs that may reach the threshold."""
+    n = len(sizes)
+    order = np.argsort(np.array(sizes), kind="stable")
+    size = np.array(sizes, dtype=np.int64)[order]
+    sides = None if side is None else np.array(side)[order]
+    group = np.arange(n)
+    by_width: dict[int, list[int]] = {}
+    for k, at in enumerate(order.tolist()):
+        by_width.setdefault(len(signatures[at]), []).append(k)
+    tables = {}
+    for width, rows in by_width.items():
+        flat = np.frombuffer(b"".join(signatures[int(order[k])] for k in rows), dtype=np.uint64).reshape(len(rows), -1)
+        tables[width] = (np.array(rows, dtype=np.int64), flat)
+    for width, (rows, flat) in tables.items():
+        near = [(rows, flat)]
+        if 2 * width in tables:  # the next class, folded to this width
+            wide, more = tables[2 * width]
+            near.append((wide, more[:, : more.shape[1] // 2] ^ more[:, more.shape[1] // 2 :]))
+        for i, x in enumerate(rows.tolist()):
+            for others, bits in near:
+                a = np.searchsorted(others, x, side="right")
+                b = np.searchsorted(size[others], size[x] * 100 // percent, side="right")
+                if a >= b:
+                    continue
+                y = others[a:b]
+                least = -(-percent * (size[x] + size[y]) // (100 + percent))
+                close = np.bitwise_count(bits[a:b] ^ flat[i]).sum(axis=1, dtype=np.int64) <= size[x] + size[y] - 2 * least
+                if sides is not None:
+                    close &= sides[y] != sides[x]
+                if close.any():
+                    joined = np.unique(np.append(group[y[close]], group[x]))
+                    if len(joined) > 1:
+                        group[np.isin(group, joined)] = joined[0]
+    out = [0] * n
+    for k, at in enumerate(order.tolist()):
+        out[at] = int(order[group[k]])
+    return out
+
+
+def _meet(members: DataFrame, at: DataFrame, place: str, payload: str, join) -> DataFrame:
+    """Edges (a, b) that ``join`` finds between the sets at each place. members: place, id, n, payload; at: the place
+    of each member."""
     count = at.groupBy(place).agg(F.count("*").alias("members")).where("members > 1")
     k = F.ceil(F.col("members") / BLOCK).cast("int")
     rows = members.join(count, place).withColumn("k", k).withColumn("own", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    rows = rows.select(F.col(place).alias("place"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "n", "tokens", "own")
+    rows = rows.select(F.col(place).alias("place"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "n", payload, "own")
     # Rows of a diagonal block meet all others; off the diagonal only rows of unlike blocks do.
     rows = rows.repartition("place", "i", "j").sortWithinPartitions("place", "i", "j")
 
-    def join(batches):
+    def run(batches):
         for t in grouped(batches, 3):
             ids, sizes = t.column("id").to_pylist(), t.column("n").to_pylist()
             if len(ids) < 2:
                 continue
-            tokens = t.column("tokens").combine_chunks()
-            flat, at = np.asarray(tokens.flatten()), np.asarray(tokens.offsets)
-            at = at - at[0]
-            lists = [flat[a:b] for a, b in zip(at, at[1:])]
             split = t.column("i")[0].as_py() != t.column("j")[0].as_py()
-            union = tree_join(sizes, lists, percent, t.column("own").to_pylist() if split else None)
-            pairs = [(ids[x], ids[r]) for x in range(len(ids)) if (r := union.find(x)) != x]
+            firsts = join(sizes, t.column(payload).combine_chunks(), t.column("own").to_pylist() if split else None)
+            pairs = [(ids[x], ids[r]) for x, r in enumerate(firsts) if r != x]
             if pairs:
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
 
-    return rows.mapInArrow(join, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -276,20 +321,21 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, doc_id: s
     def prefixes(batches):
         for batch in batches:
             sets = shingle_sets(batch.column(1), n)
-            first, size, one, two = [], [], [], []
+            first, size, one, two, marks = [], [], [], [], []
             for s in sets:
                 k = len(s)
                 size.append(k)
                 first.append(ordered(s, weights.value)[: k - -(-percent * k // 100) + 1] if k else np.zeros(0, np.int64))
+                marks.append(signature(s))
                 one.append(mix(s).sum(dtype=np.uint64))
                 two.append(mix(s ^ FACTORS[1]).sum(dtype=np.uint64))
             offsets = np.cumsum([0, *map(len, first)]).astype(np.int32)
             tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(first) if first else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(np.array(one, np.uint64).view(np.int64)), pa.array(np.array(two, np.uint64).view(np.int64)), tokens], names=["doc_id", "n", "d1", "d2", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(np.array(one, np.uint64).view(np.int64)), pa.array(np.array(two, np.uint64).view(np.int64)), tokens, pa.array(marks, pa.binary())], names=["doc_id", "n", "d1", "d2", "tokens", "mark"])
 
-    seen = tables.keep(source.mapInArrow(prefixes, "doc_id long, n long, d1 long, d2 long, tokens array<long>"), "prefixes")
+    seen = tables.keep(source.mapInArrow(prefixes, "doc_id long, n long, d1 long, d2 long, tokens array<long>, mark binary"), "prefixes")
     classes = seen.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    reps = seen.join(classes.select("d1", "d2", F.col("rep").alias("doc_id")), ["d1", "d2", "doc_id"], "left_semi").where("n > 0").select(F.col("doc_id").alias("id"), "n", "tokens")
+    reps = seen.join(classes.select("d1", "d2", F.col("rep").alias("doc_id")), ["d1", "d2", "doc_id"], "left_semi").where("n > 0").select(F.col("doc_id").alias("id"), "n", "tokens", "mark")
     reps = tables.keep(reps, "classes")
 
     bucket = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
@@ -300,7 +346,11 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, doc_id: s
     calls = reps.select("id", F.explode(F.concat(own, guest)).alias("c")).select("id", "c.key", "c.home")
     leaders = calls.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("most"), F.bool_or("home").alias("home")).where("home and leader < most").select("key", "leader")
     met = tables.keep(calls.join(leaders, "key").select("id", "leader").distinct(), "places")
-    likely = _meet(met.join(reps, "id"), met, "leader", percent)
+
+    def screened(sizes, marks, side):
+        return screen(sizes, marks.to_pylist(), percent, side)
+
+    likely = _meet(met.join(reps.select("id", "n", "mark"), "id"), met, "leader", "mark", screened)
     clusters = components(likely, tables)
 
     def whole(batches):
@@ -313,7 +363,14 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, doc_id: s
     asked = clusters.select(F.col("id").alias("doc_id"), "component")
     sets = source.join(asked, "doc_id").select("component", "doc_id", "text").mapInArrow(whole, "component long, id long, n long, tokens array<long>").where("n > 0")
     sets = tables.keep(sets, "sets")
-    links = _meet(sets, sets.select("component"), "component", percent)
+
+    def verified(sizes, tokens, side):
+        flat, cuts = np.asarray(tokens.flatten()), np.asarray(tokens.offsets)
+        cuts = cuts - cuts[0]
+        union = tree_join(sizes, [flat[a:b] for a, b in zip(cuts, cuts[1:])], percent, side)
+        return [union.find(x) for x in range(len(sizes))]
+
+    links = _meet(sets, sets.select("component"), "component", "tokens", verified)
     found = components(links, tables)
     rep = seen.join(classes, ["d1", "d2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
     return rep.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
