@@ -15,7 +15,7 @@ from quarry.operators import joins as J
 from quarry.operators import pages as H
 from quarry.operators import similarity as M
 from quarry.operators import writes as I
-from quarry.plans.scratch import run_stream
+from quarry.plans.scratch import run_stream, scratch
 from quarry.sources import domain as S
 from quarry.sources import payloads as P
 from quarry.sources.domain import NOW
@@ -90,6 +90,9 @@ query("page_external_links")(lambda spark, sf: P.external_links(P.page_links(S.r
 query("links_to_sources")(lambda spark, sf: J.links_to_sources(P.external_links(P.page_links(S.raw(spark, sf, "pages"))), S.sources(spark, sf)))
 query("first_n_links")(lambda spark, sf: K.top_per_group(P.page_links(S.raw(spark, sf, "pages")), ["page_id"], [F.asc("seq")], 20))
 query("extract_pages")(lambda spark, sf: H.extract_pages(S.raw(spark, sf, "pages")))
+for _kind in H.EXTRACTORS:
+    query(f"extract_{_kind}")(lambda spark, sf, k=_kind: H.extract_pages(S.raw(spark, sf, "pages"), kind=k))
+query("clean_element")(lambda spark, sf: H.clean_elements(S.raw(spark, sf, "pages")))
 query("page_type")(lambda spark, sf: H.extract_pages(S.raw(spark, sf, "pages")).select("page_id", "content_type"))
 
 
@@ -100,6 +103,15 @@ def _(spark, sf):
     return P.robots_allowed(hosts, robots)
 
 
+@query("export_table", "SELECT id, url, language, category, crawled_at::DATE AS day FROM articles")
+def _(spark, sf):
+    """Written as JSON and read again."""
+    at = scratch(spark)
+    out = S.articles(spark, sf).select("id", "url", "language", "category", F.to_date("crawled_at").alias("day"))
+    P.export_table(out, at, "json")
+    return spark.read.schema(out.schema).json(at)
+
+
 # -- filters ----------------------------------------------------------------------------------------
 
 _ART = "id, url, title, category, quality_score, crawled_at"
@@ -262,7 +274,7 @@ def _versions(spark, sf):
 query("latest_article_per_url", "SELECT id, url FROM (SELECT * REPLACE (source_id || '/' || (id % 2) AS url) FROM articles) QUALIFY row_number() OVER (PARTITION BY url ORDER BY crawled_at DESC, id DESC) = 1")(lambda spark, sf: J.latest_per_url(_versions(spark, sf)).select("id", "url"))
 query("rate_violations", ", w AS (SELECT event_id, domain, count(*) OVER (PARTITION BY domain ORDER BY ts RANGE BETWEEN INTERVAL 1 SECOND PRECEDING AND CURRENT ROW) AS in_1s, count(*) OVER (PARTITION BY domain ORDER BY ts RANGE BETWEEN INTERVAL 10 SECOND PRECEDING AND CURRENT ROW) AS in_10s, count(*) OVER (PARTITION BY domain ORDER BY ts RANGE BETWEEN INTERVAL 60 SECOND PRECEDING AND CURRENT ROW) AS in_60s, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY domain ORDER BY ts, event_id) AS gap_us FROM request_log) SELECT * FROM w WHERE in_1s > 1 OR in_10s > 3 OR in_60s > 10")(lambda spark, sf: J.rate_violations(S.request_log(spark, sf)))
 query("content_versions")(lambda spark, sf: M.content_versions(_versions(spark, sf), "jaccard"))
-query("content_updates")(lambda spark, sf: M.content_versions(_versions(spark, sf).where(F.length("content") < 3000), "sequence"))
+query("detect_content_update")(lambda spark, sf: M.content_versions(_versions(spark, sf).where(F.length("content") < 3000), "sequence"))
 query("candidate_union", "SELECT seq, source_engine FROM candidates")(lambda spark, sf: J.candidate_union(*[S.candidates(spark, sf).where(F.col("source_engine") == e).select("seq", "source_engine") for e in P.ADAPTERS]))
 
 

@@ -241,8 +241,9 @@ EXTRACTORS: dict[str, Callable[[Node], dict]] = {"article": extract_article, "do
 SCHEMA = "page_id long, url string, domain string, content_type string, title string, content string, author string, dates array<string>, tags array<string>, category string"
 
 
-def extract_pages(pages: DataFrame, extractors: dict[str, Callable[[Node], dict]] | None = None) -> DataFrame:
-    """Structured content of (page_id, url, html), with ``published_at`` and ``quality_score``."""
+def extract_pages(pages: DataFrame, extractors: dict[str, Callable[[Node], dict]] | None = None, kind: str | None = None) -> DataFrame:
+    """Structured content of (page_id, url, html), with ``published_at`` and ``quality_score``; ``kind`` takes every page for
+    one of that type."""
     table = extractors or EXTRACTORS
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -250,12 +251,22 @@ def extract_pages(pages: DataFrame, extractors: dict[str, Callable[[Node], dict]
             rows = []
             for page_id, url, html in zip(batch["page_id"], batch["url"], batch["html"]):
                 root = parse(html or "")
-                kind = page_type(root, url or "")
-                e = table.get(kind, table["general"])(root)
-                rows.append((page_id, url, urlsplit(url or "").netloc, kind, e["title"], e["content"], e.get("author", ""), e.get("dates", []), e.get("tags", []), e["category"]))
+                found = kind or page_type(root, url or "")
+                e = table.get(found, table["general"])(root)
+                rows.append((page_id, url, urlsplit(url or "").netloc, found, e["title"], e["content"], e.get("author", ""), e.get("dates", []), e.get("tags", []), e["category"]))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
     out = pages.select("page_id", "url", "html").mapInPandas(run, SCHEMA)
     parsed = F.transform("dates", scores.parse_date)
     out = out.withColumn("published_at", F.get(F.filter(parsed, lambda d: d.isNotNull()), 0)).drop("dates")
     return out.withColumn("quality_score", scores.extraction_quality(F.col("content"), F.col("title"), F.col("author"), F.col("published_at"), F.col("tags")))
+
+
+def clean_elements(pages: DataFrame, tag: str = "body") -> DataFrame:
+    """(page_id, text): the text of an element once scripts, styles, menus, headers, footers and asides are gone."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"page_id": batch["page_id"], "text": [_cleaned(parse(h or "").first(tag)) for h in batch["html"]]})
+
+    return pages.select("page_id", "html").mapInPandas(run, "page_id long, text string")
