@@ -313,6 +313,8 @@ def _meet(members: DataFrame, at: DataFrame, place: str, payload: str, join) ->
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row: the size of its set and the least doc_id that
     links of at least ``percent`` per cent Jaccard similarity reach."""
+    if not 50 < percent <= 100:
+        raise ValueError("percent lies over 50 and up to 100: size buckets and signatures count on it")
     spark = docs.sparkSession
     tables = Tables(spark)
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
