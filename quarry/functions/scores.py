@@ -5,6 +5,7 @@ Scores are summed in whole hundredths and divided once, so they are the same in
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -19,6 +20,11 @@ def hits(text: Column, weights: dict[str, int] | list[str], each: int = 1) -> Co
     return reduce(lambda a, b: a + b, [F.when(F.contains(text, F.lit(w)), F.lit(n)).otherwise(F.lit(0)) for w, n in pairs])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def any_of(text: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
 
@@ -64,10 +70,10 @@ def normalize(text: Column, mode: str = "reference") -> Column:
 
 
 def crawl_quality(content: Column, title: Column, author: Column, published: Column) -> Column:
-    low = F.lower(content)
+    words = let(F.lower(content), lambda low: hits(low, fixed.CRAWL_WORDS, 5))
     points = F.lit(50) + F.when(F.length(content) > 1000, 10).otherwise(0) + F.when(F.length(title) > 10, 10).otherwise(0)
     points += F.when(F.coalesce(author, F.lit("")) != "", 10).otherwise(0) + F.when(published.isNotNull(), 10).otherwise(0)
-    return clamp(points + hits(low, fixed.CRAWL_WORDS, 5))
+    return clamp(points + words)
 
 
 def extraction_quality(content: Column, title: Column, author: Column, published: Column, tags: Column) -> Column:
@@ -115,40 +121,58 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def _whole_words(words: Column) -> Column:
+    return reduce(lambda a, b: a + b, [F.when(F.array_contains(words, k), F.lit(n // 2)).otherwise(F.lit(0)) for k, n in fixed.TECH_WEIGHTS.items()])
+
+
+def _keywords(low: Column) -> Column:
+    return F.least((hits(low, fixed.TECH_WEIGHTS) + let(tokens(low), _whole_words)) / 1000.0, F.lit(1.0))
+
+
+def _depth(low: Column, size: Column) -> Column:
+    return F.least(hits(low, fixed.DEPTH_WEIGHTS) / 10.0 + F.least(size / 500.0, F.lit(0.3)), F.lit(1.0))
+
+
+def _language(low: Column) -> Column:
+    return clamp(F.lit(80) - hits(low, fixed.CLICKBAIT, 10) + hits(low, fixed.TECHNICAL_TERMS, 5))
+
+
+def _structure(low: Column, size: Column) -> Column:
+    return clamp(F.lit(50) + F.when(size > 50, 20).otherwise(0) + F.when(any_of(low, fixed.GUIDE_PHRASES), 10).otherwise(0))
+
+
 def tech_keyword_score(text: Column) -> Column:
     """Weighted substrings, and half the weight again for whole words, over the sum of ten full weights."""
-    low = F.lower(text)
-    exact = F.transform(F.array(tokens(low)), lambda w: reduce(lambda a, b: a + b, [F.when(F.array_contains(w, k), F.lit(n // 2)).otherwise(F.lit(0)) for k, n in fixed.TECH_WEIGHTS.items()]))[0]
-    return F.least((hits(low, fixed.TECH_WEIGHTS) + exact) / 1000.0, F.lit(1.0))
+    return let(F.lower(text), _keywords)
 
 
 def content_depth_score(text: Column) -> Column:
-    return F.least(hits(F.lower(text), fixed.DEPTH_WEIGHTS) / 10.0 + F.least(F.length(text) / 500.0, F.lit(0.3)), F.lit(1.0))
+    return let(F.lower(text), lambda low: _depth(low, F.length(text)))
 
 
 def language_quality_score(text: Column) -> Column:
-    low = F.lower(text)
-    return clamp(F.lit(80) - hits(low, fixed.CLICKBAIT, 10) + hits(low, fixed.TECHNICAL_TERMS, 5))
+    return let(F.lower(text), _language)
 
 
 def structure_score(text: Column) -> Column:
-    low = F.lower(text)
-    return clamp(F.lit(50) + F.when(F.length(text) > 50, 20).otherwise(0) + F.when(any_of(low, fixed.GUIDE_PHRASES), 10).otherwise(0))
+    return let(F.lower(text), lambda low: _structure(low, F.length(text)))
 
 
 def relevance_score(text: Column) -> Column:
-    blend = tech_keyword_score(text) * 0.4 + content_depth_score(text) * 0.3 + language_quality_score(text) * 0.2 + structure_score(text) * 0.1
-    return F.when(F.length(strip(F.coalesce(text, F.lit("")))) < 10, F.lit(0.0)).otherwise(F.least(blend, F.lit(1.0)))
+    """The blend of the four scores; 0 for fewer than 10 characters. The text is lowered and cut once."""
+
+    def blend(low: Column) -> Column:
+        return F.least(_keywords(low) * 0.4 + _depth(low, F.length(text)) * 0.3 + _language(low) * 0.2 + _structure(low, F.length(text)) * 0.1, F.lit(1.0))
+
+    return F.when(F.length(strip(F.coalesce(text, F.lit("")))) < 10, F.lit(0.0)).otherwise(let(F.lower(text), blend))
 
 
 def keyword_matches(text: Column) -> Column:
-    low = F.lower(text)
-    return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(k)), F.lit(k)) for k in fixed.TECH_WEIGHTS]))
+    return let(F.lower(text), lambda low: F.array_compact(F.array(*[F.when(F.contains(low, F.lit(k)), F.lit(k)) for k in fixed.TECH_WEIGHTS])))
 
 
 def explain_relevance(text: Column) -> Column:
-    low = F.lower(text)
-    found = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(k)), F.lit(k)) for k in fixed.DEPTH_WEIGHTS]))
+    found = let(F.lower(text), lambda low: F.array_compact(F.array(*[F.when(F.contains(low, F.lit(k)), F.lit(k)) for k in fixed.DEPTH_WEIGHTS])))
     parts = [tech_keyword_score(text).alias("tech_keywords_score"), content_depth_score(text).alias("content_depth_score"), language_quality_score(text).alias("language_quality_score"), structure_score(text).alias("structure_score")]
     overall = F.least(sum(p * w for p, w in zip(parts, (0.4, 0.3, 0.2, 0.1))), F.lit(1.0))
     return F.struct(overall.alias("overall_score"), keyword_matches(text).alias("tech_keywords_found"), found.alias("quality_indicators_found"), F.length(text).alias("text_length"), *parts)

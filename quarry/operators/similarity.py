@@ -41,10 +41,11 @@ def exact_dedup(articles: DataFrame) -> DataFrame:
 
 
 def minhash_bands(text: Column, bands: int = 8, rows: int = 4, n: int = 3) -> Column:
-    """One hash for each band of minima over word n-gram hashes."""
+    """One hash for each band of minima over word n-gram hashes; each minimum is under another exclusive-or mask."""
 
     def least(grams: Column, seed: int) -> Column:
-        return F.array_min(F.transform(grams, lambda x: F.xxhash64(x, F.lit(seed))))
+        mask = (seed + 1) * 0x9E3779B97F4A7C15 % (1 << 64) - (1 << 63)
+        return F.array_min(F.transform(grams, lambda x: x.bitwiseXOR(F.lit(mask))))
 
     def band(grams: Column, b: int) -> Column:
         return F.xxhash64(F.lit(b), *[least(grams, b * rows + r) for r in range(rows)])
