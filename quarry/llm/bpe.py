@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Iterable
 from itertools import chain
 
 import numpy as np
@@ -25,12 +26,13 @@ from pyspark.sql import functions as F
 
 from .chunks import list_array, safe_chunks
 
-#: Chunks and pieces that a Python worker remembers; beyond it the memo starts anew.
-MEMO = 600_000
+#: Chunks and pieces that a Python worker remembers (some 200 bytes each); beyond it the memo starts anew.
+MEMO = 700_000
 #: Longer chunks are not remembered.
 MEMO_CHARS = 48
 #: Leaves of the trees that merge in step; longer pieces take a tree each.
 STEPPED = (4, 8, 16, 32, 64)
+_LEAVES = [next(x for x in STEPPED if n <= x) for n in range(STEPPED[-1] + 1)]
 FAR = np.iinfo(np.int64).max
 
 _CODERS: dict[str, Coder] = {}
@@ -66,8 +68,9 @@ class Coder:
         self.pair_keys = np.array(keys, dtype=np.int64)[order]
         self.pair_ids = np.array(merged, dtype=np.int64)[order]
         self.pair = None
-        self.chunk_memo: dict[str, tuple[int, ...]] = {}
-        self.piece_memo: dict[str, tuple[int, ...]] = {}
+        self.sizes = np.array([len(x) for x in self.bytes_of], dtype=np.int64)
+        self.whole = {token: i.to_bytes(4, "little") for token, i in self.ranks.items()}
+        self.memo: dict[str, bytes] = {}
 
     # -- pieces -------------------------------------------------------------------------------
 
@@ -77,7 +80,7 @@ class Coder:
         at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
         return np.where((self.pair_keys[at] == key) & (left >= 0) & (right >= 0), self.pair_ids[at], FAR)
 
-    def _stepped(self, pieces: list[bytes], leaves: int) -> list[tuple[int, ...]]:
+    def _stepped(self, pieces: list[bytes], leaves: int) -> list[bytes]:
         """Merge many pieces of at most ``leaves`` bytes at once: a row and a tree for each."""
         n = len(pieces)
         sizes = np.array([len(p) for p in pieces], dtype=np.int64)
@@ -114,8 +117,8 @@ class Coder:
                 self._write(tree, rows, p, self._ranks_of(ids[rows, p], ids[rows, at[has]]), leaves)
             live = live[tree[live, 1] < FAR]
         kept = ids[:, :leaves] >= 0
-        flat, ends = ids[:, :leaves][kept].tolist(), np.cumsum(kept.sum(1)).tolist()
-        return [tuple(flat[a:b]) for a, b in zip([0, *ends], ends)]
+        flat, ends = ids[:, :leaves][kept].astype("<i4").tobytes(), (4 * np.cumsum(kept.sum(1))).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
     @staticmethod
     def _write(tree: np.ndarray, rows: np.ndarray, at: np.ndarray, rank: np.ndarray, leaves: int) -> None:
@@ -126,7 +129,7 @@ class Coder:
             tree[rows, node] = np.minimum(tree[rows, 2 * node], tree[rows, 2 * node + 1])
             node = node >> 1
 
-    def _alone(self, piece: bytes) -> tuple[int, ...]:
+    def _alone(self, piece: bytes) -> bytes:
         """The same with one tree in lists, for a long piece."""
         if self.pair is None:
             self.pair = dict(zip(self.pair_keys.tolist(), self.pair_ids.tolist()))
@@ -167,50 +170,48 @@ class Coder:
                 write(i, None)
             if (p := before[i]) >= 0:
                 write(p, pair(ids[p] * size + rank))
-        return tuple(x for x in ids if x >= 0)
+        return np.array([x for x in ids if x >= 0], dtype="<i4").tobytes()
 
-    def pieces(self, new: list[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of each of the given distinct pieces."""
-        out: dict[str, tuple[int, ...]] = {}
-        classes: dict[int, list[tuple[str, bytes]]] = {}
+    def pieces(self, new: Iterable[str]) -> dict[str, bytes]:
+        """Ids of each of the given distinct pieces, as little-endian 32-bit numbers."""
+        out: dict[str, bytes] = {}
+        classes: dict[int, tuple[list[str], list[bytes]]] = {x: ([], []) for x in STEPPED}
+        whole, limit = self.whole, STEPPED[-1]
         for p in new:
             raw = p.encode()
-            whole = self.ranks.get(raw)
-            if whole is not None:
-                out[p] = (whole,)
-            elif len(raw) > STEPPED[-1]:
+            if raw in whole:
+                out[p] = whole[raw]
+            elif len(raw) > limit:
                 out[p] = self._alone(raw)
             else:
-                classes.setdefault(next(x for x in STEPPED if len(raw) <= x), []).append((p, raw))
-        for leaves, members in classes.items():
-            for k in range(0, len(members), 8192):
-                part = members[k : k + 8192]
-                out.update(zip((p for p, _ in part), self._stepped([raw for _, raw in part], leaves)))
+                names, raws = classes[_LEAVES[len(raw)]]
+                names.append(p)
+                raws.append(raw)
+        for leaves, (names, raws) in classes.items():
+            for k in range(0, len(names), 8192):
+                out.update(zip(names[k : k + 8192], self._stepped(raws[k : k + 8192], leaves)))
         return out
 
     # -- texts --------------------------------------------------------------------------------
 
-    def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[int]]:
-        """Ids of each text, as arrays in text order, and the number of ids of each text."""
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text, as little-endian 32-bit numbers."""
         cut = [safe_chunks(text) if text else [] for text in texts]
-        if len(self.chunk_memo) > MEMO:
-            self.chunk_memo.clear()
-        if len(self.piece_memo) > MEMO:
-            self.piece_memo.clear()
-        memo, pieces = self.chunk_memo, self.piece_memo
-        new = list({c for chunks in cut for c in chunks if c not in memo})
-        inside = [self.find(c) for c in new]
-        pieces.update(fresh := self.pieces(list({p for ps in inside for p in ps if p not in pieces})))
-        for c, ps in zip(new, inside):
-            memo[c] = pieces[ps[0]] if len(ps) == 1 else tuple(chain.from_iterable(map(pieces.__getitem__, ps)))
-        found = [np.fromiter(chain.from_iterable(map(memo.__getitem__, chunks)), dtype=np.int32) for chunks in cut]
-        for c in new:
-            if len(c) > MEMO_CHARS:
-                del memo[c]
-        for p in fresh:
-            if len(p) > MEMO_CHARS:
-                del pieces[p]
-        return found, [len(x) for x in found]
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        memo = self.memo
+        new = set(chain.from_iterable(cut)).difference(memo)
+        # A word of letters, with or without a blank in front, is one match of the pattern.
+        inside = {c: self.find(c) for c in new if not (c.isalpha() or (c[0] == " " and c[1:].isalpha()))}
+        pieces = set(chain.from_iterable(inside.values()))
+        pieces.update(new - inside.keys())
+        memo.update(self.pieces(pieces.difference(memo)))
+        for c, ps in inside.items():
+            memo[c] = b"".join(map(memo.__getitem__, ps))
+        found = [b"".join(map(memo.__getitem__, chunks)) for chunks in cut]
+        for c in [c for c in pieces.union(new) if len(c) > MEMO_CHARS]:
+            del memo[c]
+        return found
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -232,8 +233,8 @@ def encoder(df: DataFrame, ranks_path: str, pattern: str):
     @F.arrow_udf("array<int>")
     def encode(text: pa.Array) -> pa.Array:
         coder = _coder(shared.value, pattern)
-        found, sizes = coder.encode(text.to_pylist())
-        return list_array(np.concatenate(found) if found else [], sizes, pa.int32())
+        found = coder.encode(text.to_pylist())
+        return list_array(np.frombuffer(b"".join(found), dtype="<i4"), [len(x) // 4 for x in found], pa.int32())
 
     return encode
 
@@ -245,7 +246,11 @@ def decoder(df: DataFrame, ranks_path: str, pattern: str):
     @F.arrow_udf("binary")
     def decode(ids: pa.Array) -> pa.Array:
         coder = _coder(shared.value, pattern)
-        return pa.array([coder.decode(x) for x in ids.to_pylist()], type=pa.binary())
+        flat = np.asarray(ids.flatten())
+        at = np.zeros(len(ids) + 1, dtype=np.int64)
+        np.cumsum(np.asarray(ids.value_lengths().fill_null(0)), out=at[1:])
+        ends = np.concatenate([[0], np.cumsum(coder.sizes[flat])])[at]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends), pa.py_buffer(coder.decode(flat.tolist()))]).cast(pa.binary())
 
     return decode
 
