@@ -274,7 +274,7 @@ def _versions(spark, sf):
 query("latest_article_per_url", "SELECT id, url FROM (SELECT * REPLACE (source_id || '/' || (id % 2) AS url) FROM articles) QUALIFY row_number() OVER (PARTITION BY url ORDER BY crawled_at DESC, id DESC) = 1")(lambda spark, sf: J.latest_per_url(_versions(spark, sf)).select("id", "url"))
 query("rate_violations", ", w AS (SELECT event_id, domain, count(*) OVER (PARTITION BY domain ORDER BY ts RANGE BETWEEN INTERVAL 1 SECOND PRECEDING AND CURRENT ROW) AS in_1s, count(*) OVER (PARTITION BY domain ORDER BY ts RANGE BETWEEN INTERVAL 10 SECOND PRECEDING AND CURRENT ROW) AS in_10s, count(*) OVER (PARTITION BY domain ORDER BY ts RANGE BETWEEN INTERVAL 60 SECOND PRECEDING AND CURRENT ROW) AS in_60s, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY domain ORDER BY ts, event_id) AS gap_us FROM request_log) SELECT * FROM w WHERE in_1s > 1 OR in_10s > 3 OR in_60s > 10")(lambda spark, sf: J.rate_violations(S.request_log(spark, sf)))
 query("content_versions")(lambda spark, sf: M.content_versions(_versions(spark, sf), "jaccard"))
-query("detect_content_update")(lambda spark, sf: M.content_versions(_versions(spark, sf).where(F.length("content") < 3000), "sequence"))
+query("detect_content_update")(lambda spark, sf: M.content_versions(_versions(spark, sf), "sequence"))
 query("candidate_union", "SELECT seq, source_engine FROM candidates")(lambda spark, sf: J.candidate_union(*[S.candidates(spark, sf).where(F.col("source_engine") == e).select("seq", "source_engine") for e in P.ADAPTERS]))
 
 

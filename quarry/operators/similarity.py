@@ -89,10 +89,13 @@ def content_updates(pairs: DataFrame, metric: str = "sequence") -> DataFrame:
 
 
 def content_versions(articles: DataFrame, metric: str = "sequence") -> DataFrame:
-    """Each version of a url against the one before."""
+    """Each version of a url against the one before, whole texts of any length. ``id`` is the key of a version: the window
+    sorts ids only, and both texts of a pair are joined afterwards and dealt by id, so a url with many versions is spread."""
     w = Window.partitionBy("url").orderBy("crawled_at", "id")
-    pairs = articles.withColumn("original", F.lag("content").over(w)).where("original is not null").select("id", "original", F.col("content").alias("new"))
-    return content_updates(pairs, metric)
+    before = articles.select("id", F.lag("id").over(w).alias("before")).where("before is not null")
+    original, new = articles.select(F.col("id").alias("before"), F.col("content").alias("original")), articles.select("id", F.col("content").alias("new"))
+    pairs = before.join(original.where("original is not null"), "before").join(new, "id").select("id", "original", "new")
+    return content_updates(pairs.repartition("id"), metric)
 
 
 def cosine_pairs(queries: DataFrame, articles: DataFrame, threshold: float, limit: int | None = None, category: str | None = None) -> DataFrame:

@@ -1,10 +1,13 @@
 """Hand-made rows for thresholds, traps, payloads, pages and stateful jobs."""
 
+import random
 from datetime import datetime
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
+from quarry import catalog
 from quarry.functions import scores
 from quarry.operators import filters, joins, pages, similarity, writes
 from quarry.sources import payloads
@@ -103,6 +106,25 @@ def test_near_duplicates(spark):
     assert [(r.a, r.b) for r in similarity.near_dup_pairs(a, metric="jaccard").collect()] == [(1, 2)]
 
 
+def test_detect_content_update_scores_long_versions(spark, tmp_path):
+    """The registered query against brute force, with texts on both sides of 3,000 characters."""
+    r = random.Random(3)
+    docs = [(k, " ".join(r.choice(["alpha", "beta", "gamma", f"w{k}"]) for _ in range(60 if k % 3 else 900)), "en", "src0", 0) for k in range(24)]
+    docs += [(30, None, "en", "src0", 0), (32, docs[0][1], "en", "src0", 0)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    urls = {}
+    for a in catalog._versions(spark, str(tmp_path)).select("id", "url", "crawled_at", "content").collect():
+        urls.setdefault(a.url, []).append((a.crawled_at, a.id, a.content))
+    want = {}
+    for versions in urls.values():
+        versions.sort(key=lambda v: v[:2])
+        for (_, _, a), (_, k, b) in zip(versions, versions[1:]):
+            if a is not None:
+                want[k] = (round(SequenceMatcher(None, a, b).ratio(), 6) if a and b else 0.0, len(b) - len(a) if b is not None else None)
+    got = {x.id: (x.similarity, x.length_change) for x in catalog.QUERIES["detect_content_update"](spark, str(tmp_path)).collect()}
+    assert len(got) > 20 and got == want
+
+
 def test_language(spark):
     rows = [("the cat is on the mat and it is not for you",), ("le chat est sur la table et il ne dort pas",), ("der Hund und die Katze sind nicht im Haus",), ("",)]
     assert values(spark, rows, "t string", scores.detect_language(F.col("t"))) == ["en", "fr", "de", "en"]
