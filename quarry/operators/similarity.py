@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,8 +18,8 @@ from .filters import content_preview, top_per_group
 
 #: Bytes of query vectors that a broadcast may hold; more queries are joined in blocks.
 QUERY_BYTES = 32 << 20
-#: Rows of one value that a candidate bucket may hold before it is refined by a further band.
-BUCKET_ROWS = 200
+#: Members of a candidate bucket that meet in one cell; a larger bucket is split into blocks, and each pair of blocks meets.
+BLOCK_ROWS = 2000
 
 
 @F.pandas_udf(T.DoubleType())
@@ -59,18 +62,83 @@ def minhash_bands(text: Column, bands: int = 8, rows: int = 4, n: int = 3) -> Co
     return F.transform(F.array(scores.tokens(F.lower(text))), signature)[0]
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def set_signatures(reps: DataFrame, floor: float) -> DataFrame:
+    """(key, id, size, s0 to s3): pairs of word sets with a Jaccard of ``floor`` share a key. Such sets, of up to u words, differ
+    by at most d = 2u(1-floor)/(1+floor) words, so of d+1 groups of words by hash one is equal. u comes from a size class of ratio
+    ``floor``; a set has keys for its own class and, as the smaller partner, for the next one. s0 to s3 are parities of 256 word
+    classes: bits that differ are at most the words that differ."""
+    words = F.array_distinct(scores.tokens(F.lower("content")))
+
+    def signed(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            h = _mixed(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+            n = np.diff(lists.offsets.to_numpy())
+            ids = batch.column(0)
+            doc = np.repeat(np.arange(len(n)), n)
+            bits = np.zeros((len(n), 4), dtype=np.uint64)
+            np.bitwise_xor.at(bits, (doc, (h >> np.uint64(62)).astype(np.int64)), np.uint64(1) << (h >> np.uint64(56) & np.uint64(63)))
+            for step in (0, 1):
+                level = np.floor(np.log(n) / -np.log(floor)).astype(np.int64) + step
+                most = np.exp((level + 1) * -np.log(floor)) * (1 + 1e-9)
+                groups = np.floor(2 * most * (1 - floor) / (1 + floor)).astype(np.int64) + 1
+                first = np.cumsum(groups) - groups
+                total = np.zeros(groups.sum(), dtype=np.uint64)
+                np.add.at(total, first[doc] + (h % groups[doc].astype(np.uint64)).astype(np.int64), _mixed(h + np.uint64(1)))
+                of = np.repeat(np.arange(len(n)), groups)
+                place = level[of].astype(np.uint64) << np.uint64(32) | (np.arange(len(of)) - first[of]).astype(np.uint64)
+                keys = _mixed(total + _mixed(place)).view(np.int64)
+                for k in range(0, len(of), 1 << 18):
+                    o = of[k : k + (1 << 18)]
+                    columns = [pa.array(keys[k : k + (1 << 18)]), ids.take(pa.array(o)), pa.array(n[o].astype(np.int64)), *[pa.array(bits[o, c].view(np.int64)) for c in range(4)]]
+                    yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "size", "s0", "s1", "s2", "s3"])
+
+    hashed = reps.select(F.col("id").cast("long").alias("id"), F.transform(words, lambda x: F.xxhash64(x)).alias("words")).where(F.size("words") > 0)
+    return hashed.mapInArrow(signed, "key long, id long, size long, s0 long, s1 long, s2 long, s3 long")
+
+
+def bucket_pairs(calls: DataFrame, near: Callable[[Callable, Callable], Column]) -> DataFrame:
+    """Distinct (a, b), a < b, of all ids that share a key and pass ``near``. A bucket over BLOCK_ROWS is split by id, and each
+    pair of its blocks meets in a cell of its own, so no task sees all pairs of a hot key."""
+    shared = calls.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    held = calls.join(shared, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS)).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    x = held.withColumn("cell", F.explode(F.sequence("block", F.col("blocks") - 1))).alias("x")
+    y = held.withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), "block"))).alias("y")
+    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.row")) & (F.col("x.cell") == F.col("y.block"))
+    once = F.when(F.col("x.block") == F.col("y.block"), F.col("x.id") < F.col("y.id")).otherwise(F.lit(True))
+    met = x.join(y, meet & once & near(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")))
+    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
 def near_dup_pairs(articles: DataFrame, threshold: float = 0.85, min_length: int = 200, metric: str = "sequence") -> DataFrame:
-    """Pairs of different texts over the threshold. Texts with equal hash are one; candidates share the structure hash or a
-    band. Members of a bucket meet its first member and their next neighbours by length, so a bucket of n costs n pairs."""
+    """Pairs of different texts over the threshold, a number over 0; texts with equal hash are one. ``jaccard`` finds all pairs: its
+    candidates share a part of their word sets, without loss. ``sequence`` is approximate, as MinHash is: candidates share the
+    structure hash or a band. All members of a bucket meet, whatever their ids and number."""
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must be over 0 and at most 1")
     kept = articles.where(F.length("content") > min_length)
     reps = kept.groupBy("content_hash").agg(F.min("id").alias("id"), F.min("content").alias("content"))
-    keys = F.concat(F.transform(minhash_bands(F.col("content")), lambda b: b.cast("string")), F.array(scores.structure_hash(F.col("content"))))
-    calls = reps.select("id", F.length("content").alias("size"), F.explode(keys).alias("key"))
-    first = calls.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    star = calls.join(first, "key").where("id > first").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    w = Window.partitionBy("key", F.floor(F.col("id") / BUCKET_ROWS)).orderBy("size", "id")
-    near = calls.withColumn("other", F.lag("id").over(w)).where("other is not null").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
-    pairs = star.unionByName(near).distinct()
+    low = threshold - min(1e-6, threshold / 2)  # similarities are rounded before they are compared
+    if metric == "jaccard":
+        calls = set_signatures(reps, low)
+    else:
+        keys = F.concat(F.transform(minhash_bands(F.col("content")), lambda b: b.cast("string")), F.array(scores.structure_hash(F.col("content"))))
+        calls = reps.select("id", F.length("content").cast("long").alias("size"), F.explode(keys).alias("key"))
+
+    def near(x, y) -> Column:
+        total = x("size") + y("size")
+        if metric != "jaccard":
+            return 2 * F.least(x("size"), y("size")) >= low * total
+        differ = sum((F.bit_count(x(c).bitwiseXOR(y(c))) for c in ("s1", "s2", "s3")), F.bit_count(x("s0").bitwiseXOR(y("s0"))))
+        return (F.least(x("size"), y("size")) >= low * F.greatest(x("size"), y("size"))) & (differ <= (1 - low) / (1 + low) * total + 1e-6)
+
+    pairs = bucket_pairs(calls, near)
     left, right = reps.select(F.col("id").alias("a"), F.col("content").alias("x")), reps.select(F.col("id").alias("b"), F.col("content").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", F.round(METRICS[metric](F.col("y"), F.col("x")), 6).alias("similarity")).where(F.col("similarity") >= threshold)
 

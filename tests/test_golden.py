@@ -106,6 +106,29 @@ def test_near_duplicates(spark):
     assert [(r.a, r.b) for r in similarity.near_dup_pairs(a, metric="jaccard").collect()] == [(1, 2)]
 
 
+def test_near_duplicates_equal_brute_force(spark, monkeypatch):
+    """Clusters with one structure hash and ids over 200 apart, in buckets that are split into blocks."""
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 3)
+    r = random.Random(5)
+    shared = [f"common{k}" for k in range(20)]
+    rows = []
+    for cluster in range(6):
+        own = [f"c{cluster}x{k}" for k in range(60)]
+        for k in range(8):
+            w = shared + own + shared + ["end"] * 9
+            for _ in range(r.randrange(9)):
+                w[20 + r.randrange(60)] = f"z{r.randrange(10**6)}"
+            rows.append((1000 * k + 331 * cluster, " ".join(w)))
+    rows += [(50000 + k, " ".join(r.choice(shared) for _ in range(60))) for k in range(6)]
+    a = spark.createDataFrame(rows, "id long, content string").withColumn("content_hash", scores.content_hash(F.col("content")))
+    for t in (0.85, 0.5):
+        sets = {k: set(x.split()) for x, k in {x: k for k, x in sorted(rows, reverse=True)}.items()}
+        want = {(x, y): round(len(sets[x] & sets[y]) / len(sets[x] | sets[y]), 6) for x in sets for y in sets if x < y}
+        want = {k: v for k, v in want.items() if v >= t}
+        got = {(x.a, x.b): x.similarity for x in similarity.near_dup_pairs(a, t, metric="jaccard").collect()}
+        assert len(want) > 40 and got == want
+
+
 def test_detect_content_update_scores_long_versions(spark, tmp_path):
     """The registered query against brute force, with texts on both sides of 3,000 characters."""
     r = random.Random(3)
