@@ -32,6 +32,8 @@ TRAIN_ROWS = 20_000
 #: Features of the model, at most, and documents that a feature needs.
 FEATURES, LEAST_DOCS = 50_000, 4
 MEMO = 1_000_000
+#: Longer tokens are restored each time.
+MEMO_CHARS = 64
 
 #: Characters of the model: 0 boundary, 1-26 letters, 27 any other letter, 28 digits, 29 the rest.
 ALPHABET = 30
@@ -45,6 +47,8 @@ LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
 _SEPARATORS = ".-_*~ '`/"
 _NOISY = re.compile(r"(?=.*[^\W\d_])(?:.*[^\W\d_][0-9@$!|+€£(<*._~-]+[^\W\d_]|[0-9@$!|+€£][0-9@$!|+€£]*[^\W\d_]{2}|.*(.)\1\1)", re.S)
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-_*]{1,2}){3,}[^\W_](?![^\W_])")
+_DOUBLE, _SINGLE = re.compile(r"  +"), re.compile(r"[^\W_] [^\W_]")
+_REPEATED = re.compile(r"(.)\1\1", re.S)
 _EDGE = ".,;:!?\"()[]{}*%$&#|<>'"
 
 
@@ -96,43 +100,57 @@ class Restorer:
     def _kind(c: str) -> int:
         return int(_CLASS[ord(c)]) if ord(c) < 0x300 else 27
 
-    def _paths(self, token: str, k: int) -> list[tuple[str, float]]:
+    def _paths(self, token: str, k: int, repeated: set[str]) -> list[tuple[str, float]]:
         c = token[k]
         if c in _SEPARATORS:
             return [("", self.DROPPED_MARK), (c, self.LEFT_SIGN)]
         ways = [(c, self.SAME if c.isalpha() else self.LEFT_SIGN)]
         ways += [(x, self.LOOKS) for x in LOOKALIKES.get(c, "")]
-        if k and token[k - 1] == c and c * 3 in token:
+        if k and token[k - 1] == c and c in repeated:
             ways.append(("", self.DROPPED_REPEAT))
         return ways
 
     def token(self, token: str) -> str:
-        token = token[:64].lower()
+        """The likeliest reading of a whole token; paths are linked back, so the work is linear in its length."""
+        token = token.lower()
         if token in self.memo:
             return self.memo[token]
-        states: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
+        repeated = {m[0][0] for m in _REPEATED.finditer(token)}
+        states: dict[tuple[int, int, str], tuple[float, tuple | None]] = {(0, 0, ""): (0.0, None)}
         for k in range(len(token)):
-            nxt: dict[tuple[int, int, str], tuple[float, str]] = {}
-            for (a, b, _), (score, out) in states.items():
-                for c, cost in self._paths(token, k):
-                    if c:
-                        z = self._kind(c)
-                        key, value = (b, z, c), (score + cost + self.lp[a][b][z], out + c)
-                    else:
-                        key, value = (a, b, out[-1:]), (score + cost, out)
-                    if key not in nxt or value > nxt[key]:
-                        nxt[key] = value
+            nxt: dict[tuple[int, int, str], tuple[float, tuple | None]] = {}
+            ways = [(c, cost, self._kind(c) if c else 0) for c, cost in self._paths(token, k, repeated)]
+            for (a, b, last), (score, path) in states.items():
+                for c, cost, z in ways:
+                    key, value = ((b, z, c), score + cost + self.lp[a][b][z]) if c else ((a, b, last), score + cost)
+                    if key not in nxt or value > nxt[key][0]:
+                        nxt[key] = (value, (path, c) if c else path)
             states = nxt
-        best = max((score + self.lp[a][b][0], out) for (a, b, _), (score, out) in states.items())[1]
-        if len(self.memo) > MEMO // 10:
-            self.memo.clear()
-        self.memo[token] = best
+        path = max((score + self.lp[a][b][0], key) for key in states for (a, b, _), (score, _) in [(key, states[key])])[1]
+        path, out = states[path][1], []
+        while path is not None:
+            path, c = path
+            out.append(c)
+        best = "".join(reversed(out))
+        if len(token) <= MEMO_CHARS:
+            if len(self.memo) > MEMO // 10:
+                self.memo.clear()
+            self.memo[token] = best
         return best
 
+    def spaced(self, text: str, parts: bool = False) -> str:
+        """The text with spaced-out runs restored. With ``parts``, a double blank in a run of single ones ends a word, and
+        the words between such blanks are restored on their own too."""
+
+        def run(m: re.Match) -> str:
+            words = _DOUBLE.split(m[0]) if parts and _SINGLE.search(m[0]) else []
+            return f" {self.token(m[0])} " + "".join(f"{self.token(w)} " for w in words if len(words) > 1)
+
+        return _SPACED.sub(run, text)
+
     def text(self, text: str) -> str:
         """The text in lower case with disguised tokens restored."""
-        text = _SPACED.sub(lambda m: " " + self.token(m[0]) + " ", text)
-        return " ".join(self.words(text))
+        return " ".join(self.words(self.spaced(text)))
 
     def words(self, text: str) -> list[str]:
         out = []
@@ -144,23 +162,19 @@ class Restorer:
             lead = w.rstrip(".,;:?\"'")
             if bare.isalpha() and (lead[:1] not in LOOKALIKES or lead[:1] in "(<!|"):
                 out.append(bare)
-            elif lead and len(lead) <= 64 and _NOISY.match(lead):
+            elif lead and _NOISY.match(lead):
                 out.append(self.token(lead).strip(_EDGE))
             elif bare:
                 out.append(bare)
         return out
 
     def restored_words(self, text: str) -> set[str]:
-        text = _SPACED.sub(lambda m: " " + self.token(m[0]) + " ", text)
-        words = set(self.words(text))
+        words = set(self.words(self.spaced(text, parts=True)))
         for w in [w for w in words if _REPEATED.search(w)]:
             words.add(self.token(w))
         return words
 
 
-_REPEATED = re.compile(r"(.)\1\1")
-
-
 def word_features(word: str) -> list[int]:
     """Hashes of a word, of its beginnings and of its end."""
     names = [word] + [f"{word[:n]}*" for n in (4, 5) if len(word) > n] + ([f"*{word[-5:]}"] if len(word) > 5 else [])
@@ -179,7 +193,7 @@ def word_strengths(restorer: Restorer, text: str | None, weight: dict[int, float
 
 def strength(n: np.ndarray, pos: np.ndarray, base: float) -> np.ndarray:
     """Cautious log-odds of the label given a feature, above those of the corpus."""
-    p = (pos + 2.0 * base) / (n + 2.0)
+    p = np.minimum((pos + 2.0 * base) / (n + 2.0), 1.0)
     p = np.clip(p - 0.5 * np.sqrt(p * (1 - p) / np.maximum(n, 1)), 1e-6, 1 - 1e-3)
     return np.maximum(np.log(p / (1 - p)) - math.log(base / (1 - base)), 0.0)
 
@@ -260,7 +274,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         return None
     base = total["pos"] / total["n"]
     counts = rows.mapInArrow(features, "f long, n long, pos long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
-    strong = counts.where((F.col("n") >= LEAST_DOCS) & (F.col("pos") > 2 * base * F.col("n"))).orderBy(F.desc(F.col("pos") * F.col("pos") / F.col("n")), "f").limit(FEATURES).toPandas()
+    # Odds of the label over twice those of the corpus, whatever its base rate.
+    lift = F.col("pos") * (total["n"] - total["pos"]) > 2 * total["pos"] * (F.col("n") - F.col("pos"))
+    strong = counts.where((F.col("n") >= LEAST_DOCS) & lift).orderBy(F.desc(F.col("pos") * F.col("pos") / F.col("n")), "f").limit(FEATURES).toPandas()
     hashes, n, pos = (strong[c].to_numpy(dtype=np.int64) for c in ("f", "n", "pos"))
     weights = strength(n, pos, base)
     without = {k: strength(np.maximum(n - 1, 0), np.maximum(pos - k, 0), base) for k in (0, 1)}

@@ -203,6 +203,24 @@ def test_restoration(spark):
         assert same.strip(".") in restorer.restored_words(f"a {same} of") or same in ("user@mail.com", "3rd")
 
 
+def test_toxicity_reads_long_runs(spark):
+    docs = spark.createDataFrame([(k, "you are a stupid idiot and a worthless moron, it is trash of the kind that people throw out") for k in range(50)], "doc_id long, text string")
+    restorer = toxicity.Restorer(toxicity.log_model(toxicity.count_trigrams(docs)))
+    late = "  ".join(" ".join(w) for w in "people throw out the trash of the kind that you are idiot".split())
+    assert late.index("i d i o t") > 64 and "idiot" in restorer.restored_words(late)
+    assert "stupid" in restorer.restored_words(f"a st{'u' * 100}pid of")
+    assert "idiot" in restorer.restored_words("a " + "." * 70 + "1d" + "." * 70 + "10t of")
+    assert restorer.token("a.b" * 40000)
+
+
+def test_toxicity_with_many_toxic_labels(spark):
+    r = random.Random(9)
+    rows = [(k, " ".join(r.choice(["bano", "lotti", "neru", "shamo", "tirune"]) for _ in range(20)) + (" " + r.choice(["grumbold", "vexling"]) if k % 5 < 3 else "")) for k in range(600)]
+    labels = spark.createDataFrame([(k, int(k % 5 < 3)) for k, _ in rows], "doc_id long, toxic int")
+    got = toxicity.score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), labels).where(toxicity.fold(F.col("doc_id")) == 0).collect()
+    assert len(got) > 80 and sum((x.toxicity >= 0.5) == (x.doc_id % 5 < 3) for x in got) >= 0.97 * len(got)
+
+
 def test_toxicity_on_held_out_rows(spark):
     r = random.Random(6)
     clean = ["".join(r.choice(["ba", "lo", "ti", "ne", "ru", "sha", "mor"]) for _ in range(r.randrange(1, 4))) for _ in range(300)]
