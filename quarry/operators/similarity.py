@@ -212,15 +212,45 @@ def _projection(vector: Column, seed: int) -> Column:
 
 
 def similar_per_article(articles: DataFrame, limit: int = 5, bits: int = 0) -> DataFrame:
-    """The nearest articles of the same category for every article. A category is joined to itself, which grows with its square;
+    """The nearest articles of the same category for every article; vectors have one length. A category is compared with itself,
+    which grows with its square: it is split into blocks of about BLOCK_ROWS, and each pair of blocks meets in a cell of its own.
     ``bits`` > 0 joins only within buckets of as many signs of random projections (approximate)."""
-    v = articles.where("content_embedding is not null").select("id", "category", F.col("content_embedding").alias("e"))
+    v = articles.where("content_embedding is not null and category is not null").select("id", "category", F.col("content_embedding").cast("array<double>").alias("e"))
     keys = ["category"]
     if bits:
         signs = [_projection(F.col("e"), b) > 0 for b in range(bits)]
         v, keys = v.withColumn("bucket", F.array(*signs)), ["category", "bucket"]
-    other = v.select(*keys, F.col("id").alias("other_id"), F.col("e").alias("f"))
-    pairs = v.join(other, keys).where("id <> other_id").select("id", "other_id", F.round(scores.cosine(F.col("e"), F.col("f")), 6).alias("similarity"))
+    sizes = v.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
+    held = v.join(sizes, keys).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    x, y = held.withColumn("other", every), held.withColumn("row", every)
+    y = y.toDF(*[f"y_{c}" for c in y.columns])
+
+    def units(t: pa.Table) -> np.ndarray:
+        e = t["e"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return e / np.sqrt((e * e).sum(1, keepdims=True))
+
+    def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.rename_columns([c[2:] for c in right.column_names])
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"id": left["id"].slice(0, 0), "other_id": right["id"].slice(0, 0), "similarity": pa.array([], pa.float64())})
+        right = right.sort_by("id")
+        ids, others, f = left["id"].combine_chunks(), right["id"].combine_chunks(), units(right).T
+        at = {k: j for j, k in enumerate(others.to_pylist())}
+        rows, columns, values = [], [], []
+        for k in range(0, left.num_rows, 256):
+            sims = np.round(units(left.slice(k, 256)) @ f, 6)
+            order = np.argsort(-sims, axis=1, kind="stable")[:, : limit + 1]  # one more, as the article itself may be among them
+            r, c = np.repeat(np.arange(len(sims)), order.shape[1]), order.ravel()
+            own = np.array([at.get(i, -1) for i in ids.slice(k, 256).to_pylist()])
+            r, c = r[c != own[r]], c[c != own[r]]
+            rows, columns, values = rows + [r + k], columns + [c], values + [sims[r, c]]
+        r, c, s = map(np.concatenate, (rows, columns, values))
+        return pa.table({"id": ids.take(pa.array(r)), "other_id": others.take(pa.array(c)), "similarity": pa.array(s, mask=np.isnan(s))})
+
+    kind = articles.schema["id"].dataType.simpleString()
+    pairs = x.groupBy(*keys, "block", "other").cogroup(y.groupBy(*[f"y_{c}" for c in keys], "y_row", "y_block")).applyInArrow(nearest, f"id {kind}, other_id {kind}, similarity double")
     return top_per_group(pairs, ["id"], [F.desc("similarity"), F.asc("other_id")], limit)
 
 

@@ -129,6 +129,30 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
         assert len(want) > 40 and got == want
 
 
+def test_similar_per_article_over_blocks(spark, monkeypatch):
+    """Every article against all of its category, in blocks, ties by id; a zero vector comes last."""
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 7)
+    r = random.Random(8)
+    rows = [(k, "ab"[k % 2], [float(r.randrange(-3, 4)) for _ in range(3)]) for k in range(0, 900, 15)] + [(1, "a", [0.0] * 3), (3, None, [1.0] * 3)]
+    a = spark.createDataFrame(rows, "id long, category string, content_embedding array<float>")
+
+    def cosine(x, y):
+        n = (sum(i * i for i in x) * sum(i * i for i in y)) ** 0.5
+        return round(sum(i * j for i, j in zip(x, y)) / n, 6) if n else None
+
+    want = set()
+    for k, c, e in rows:
+        near = [(o, cosine(e, f)) for o, d, f in rows if c is not None and d == c and o != k]
+        want |= {(k, o, s) for o, s in sorted(near, key=lambda p: (p[1] is None, -(p[1] or 0), p[0]))[:5]}
+    assert {(x.id, x.other_id, x.similarity) for x in similarity.similar_per_article(a).collect()} == want
+
+
+def test_similar_query_crosses_labels(spark):
+    """The whole-category query also finds neighbours with another embedding label."""
+    label = {x.vec_id: x.label for x in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()}
+    assert any(label[x.id] != label[x.other_id] for x in catalog.QUERIES["similar_articles_whole_category"](spark, "/root/testdata/sf0.001").collect())
+
+
 def test_detect_content_update_scores_long_versions(spark, tmp_path):
     """The registered query against brute force, with texts on both sides of 3,000 characters."""
     r = random.Random(3)
