@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .chunks import list_array, safe_chunks
 
-#: Chunks and pieces that a Python worker remembers (some 200 bytes each); beyond it the memo starts anew.
-MEMO = 700_000
+#: Chunks and pieces that a Python worker remembers (some 200 bytes each, so 60 MB); beyond it the memo starts anew.
+MEMO = 300_000
 #: Longer chunks are not remembered.
 MEMO_CHARS = 48
 #: Leaves of the trees that merge in step; longer pieces take a tree each.

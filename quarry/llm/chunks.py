@@ -11,14 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 #: Two white-space characters in a row, one of them a blank: the split below then needs care.
 _ODD = re.compile(r" \s|\s ")
 
-#: Rows that Spark packs into one Arrow batch for the operators of this subpackage. Long
-#: documents reach 100 KB and more, so 10,000 rows (Spark's default) would be a gigabyte.
-BATCH_ROWS = 512
+#: Rows and bytes that Spark packs into one Arrow batch for the operators of this subpackage, whichever is reached
+#: first. Long documents reach 100 KB and more, so Spark's defaults (10,000 rows, 64 MB) would fill a worker.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Set the Arrow batch size that keeps a batch of long documents small."""
+    """Set the Arrow batch size of the session, which keeps a batch of long documents small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def safe_chunks(text: str) -> list[str]:

@@ -140,19 +140,21 @@ def _spans(texts: pa.Array) -> pa.Array:
     return pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in find(t)] for t in texts.to_pylist()], type=kind)
 
 
+def _without(text: str | None) -> str | None:
+    found = find(text)
+    if not found:
+        return text
+    parts, at = [], 0
+    for kind, start, end in found:
+        if start >= at:
+            parts += [text[at:start], f"[{kind.upper()}]"]
+        at = max(at, end)
+    return "".join(parts) + text[at:]
+
+
 @F.arrow_udf(T.StringType())
-def _redacted(texts: pa.Array, spans: pa.Array) -> pa.Array:
-    out = []
-    for text, found in zip(texts.to_pylist(), spans.to_pylist()):
-        if found:
-            parts, at = [], 0
-            for s in found:
-                if s["start"] >= at:
-                    parts += [text[at : s["start"]], f"[{s['kind'].upper()}]"]
-                at = max(at, s["end"])
-            text = "".join(parts) + text[at:]
-        out.append(text)
-    return pa.array(out, type=pa.string())
+def _redacted(texts: pa.Array) -> pa.Array:
+    return pa.array([_without(t) for t in texts.to_pylist()], type=pa.string())
 
 
 def find_pii(df: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
@@ -163,7 +165,7 @@ def find_pii(df: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` whose text has ``[KIND]`` in the place of each span; overlapping spans become the first
     one's. Null texts stay null."""
-    return df.withColumn(text, _redacted(F.col(text), _spans(F.col(text))))
+    return df.withColumn(text, _redacted(F.col(text)))
 
 
 def count_of(spans: Column, kind: str) -> Column:

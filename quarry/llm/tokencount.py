@@ -24,7 +24,7 @@ from .chunks import safe_chunks
 #: Bytes of text in one call of the library.
 CALL_BYTES = 1 << 20
 #: Chunks whose count a worker remembers, and the longest of them.
-MEMO, MEMO_CHARS = 1_000_000, 48
+MEMO, MEMO_CHARS = 400_000, 48
 
 _COUNTERS: dict[str, Counter] = {}
 

@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 TRAIN_ROWS = 20_000
 #: Features of the model, at most, and documents that a feature needs.
 FEATURES, LEAST_DOCS = 50_000, 4
-MEMO = 1_000_000
+#: Words that a worker remembers (some 150 bytes each).
+MEMO = 400_000
 #: Longer tokens are restored each time.
 MEMO_CHARS = 64
 

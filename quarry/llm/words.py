@@ -14,7 +14,7 @@ SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes handled at once; temporary arrays take some 60 times as much.
-STEP = 1 << 20
+STEP = 1 << 18
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
