@@ -24,6 +24,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import Tables
+
 #: A separator of words, as a regular expression.
 SEPARATOR = r"[ \t\n\x0B\f\r]"
 SYMBOLS = "#*$%&|<>"
@@ -130,7 +132,9 @@ def cascade(df: DataFrame, text: Column, rules: dict[str, Rule], order: Sequence
         # The first rule sees every row.
         df = with_counts(df, rule.needs, text, _c("verdict").isNull() if k else None)
         df = df.withColumn(_name("verdict"), F.coalesce(_c("verdict"), F.when(rule.rejects(*map(_c, rule.needs)), F.lit(name))))
-    return df
+    # A filter on the verdict must not be pushed below it: the optimizer would write all counts out once for the
+    # filter and once for the column. It does not push what a generator makes.
+    return df.withColumn(_name("verdict"), F.explode(F.array(_c("verdict"))))
 
 
 def _without_helpers(df: DataFrame) -> DataFrame:
@@ -160,7 +164,8 @@ def plan_cascade(df: DataFrame, text: str = "text", rules: dict[str, Rule] = RUL
     rows = df.select(text_of(text).alias("t")).where(F.octet_length("t") <= SAMPLE_TEXT).take(sample_rows)
     if not rows:
         return list(rules)
-    sample = df.sparkSession.createDataFrame(rows, "t string").coalesce(1)
+    tables = Tables(df.sparkSession)
+    sample = tables.keep(df.sparkSession.createDataFrame(rows, "t string").coalesce(1), "sample")
     many = sample.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(REPEATS))))
 
     def seconds(job: DataFrame) -> float:
@@ -180,6 +185,7 @@ def plan_cascade(df: DataFrame, text: str = "text", rules: dict[str, Rule] = RUL
     for name, rule in rules.items():
         took = seconds(with_counts(many, rule.needs, F.col("t")).select(rule.rejects(*map(_c, rule.needs))))
         score[name] = (rejected[name] + 0.5) / len(rows) / max(took - idle, 1e-4)
+    tables.drop(sample)
     return sorted(rules, key=lambda name: -score[name])
 
 
