@@ -69,6 +69,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = Tables(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for k, (_, stage) in enumerate(STAGES):
         docs = tables.keep(stage(spark, docs, sf_dir), f"stage{k}")
+        if before is not None:
+            tables.drop(before)  # no later stage reads it
+        before = docs
     return docs
