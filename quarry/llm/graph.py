@@ -25,7 +25,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame, tables: Tables, a: str = "a", b: str = "b") -> DataFrame:
-    """(id, component): the least id that links reach, for every node of an edge. Edges are undirected."""
+    """(id, component): the least id that links reach, for every node of an edge. Edges are undirected. It reads one
+    table, which ``tables.drop`` of the result removes."""
     start = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     now = tables.keep(start, "edges")
     mark = None
@@ -37,4 +38,6 @@ def components(edges: DataFrame, tables: Tables, a: str = "a", b: str = "b") ->
         if seen == mark:
             break
         mark = seen
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    out = now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    out._quarry_path = now._quarry_path
+    return out

@@ -15,13 +15,14 @@ size), then hash. Two sets over the threshold share an element among their first
    overlaps of common beginnings; a subtree is left when the overlap so far plus what can remain is
    too little. Links become stars, stars become components.
 
-No place or cluster is gathered beyond ``BLOCK`` sets: larger ones are split in blocks, and each pair of
-blocks meets. Within a tree, sets that are linked already are not compared again, so a group of
-near copies costs about its size.
+No place or cluster is gathered beyond ``BLOCK`` sets: larger ones are split in blocks (``_meet``). Within a
+tree, sets that are linked already are not compared again, so a group of near copies costs about its size.
 
 Null, empty and blank texts have empty sets, linked with nothing. A text of fewer than n words is one
-shingle. Every row comes back; rows that share a doc_id are looked up by their own text each, and classes
-of texts with the same least doc_id count as one. Extra columns are ignored.
+shingle; very long texts are read whole. Every row comes back; rows that share a doc_id are looked up by their
+own text each, and classes of texts with the same least doc_id count as one. A row without doc_id has the
+component of its text, null if no row of that text has an id. Similarities equal to the threshold link. An empty table gives an
+empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,14 +35,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import Tables
+from .shared import Tables, join_few
 from .words import Words, mix
 
 #: Counters of the sketch of shingle counts: its size bounds what is broadcast (a byte each).
 SLOTS = 1 << 20
 CHUNKS = 64
-#: Sets that meet in one task, at most (a block; two blocks meet).
-BLOCK = 4096
+#: Sets of a place or cluster that meet at once (a block; the leaders and as many visitors may come in), and elements of the
+#: sets or, in the screening, of the sets behind the bitmaps.
+BLOCK, ELEMENTS, SCREENED_ELEMENTS = 4096, 2_000_000, 100_000_000
 FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3))
 
 
@@ -285,31 +287,55 @@ def screen(sizes: list[int], signatures: list[bytes], percent: int, side: list[i
     return out
 
 
-def _meet(members: DataFrame, at: DataFrame, place: str, payload: str, join) -> DataFrame:
-    """Edges (a, b) that ``join`` finds between the sets at each place. members: place, id, n, payload; at: the place
-    of each member."""
-    count = at.groupBy(place).agg(F.count("*").alias("members")).where("members > 1")
-    k = F.ceil(F.col("members") / BLOCK).cast("int")
-    rows = members.join(count, place).withColumn("k", k).withColumn("own", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    rows = rows.select(F.col(place).alias("place"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "n", payload, "own")
-    # Rows of a diagonal block meet all others; off the diagonal only rows of unlike blocks do.
+def _joined(rows: DataFrame, payload: str, join) -> DataFrame:
+    """Edges (a, b) that ``join`` finds in each cell (place, i, j); where rows of side 1 come in, they meet those of side 0 only."""
     rows = rows.repartition("place", "i", "j").sortWithinPartitions("place", "i", "j")
 
     def run(batches):
         for t in grouped(batches, 3):
-            ids, sizes = t.column("id").to_pylist(), t.column("n").to_pylist()
+            ids, sizes, sides = (t.column(c).to_pylist() for c in ("id", "n", "side"))
             if len(ids) < 2:
                 continue
-            split = t.column("i")[0].as_py() != t.column("j")[0].as_py()
-            firsts = join(sizes, t.column(payload).combine_chunks(), t.column("own").to_pylist() if split else None)
-            pairs = [(ids[x], ids[r]) for x, r in enumerate(firsts) if r != x]
+            firsts = join(sizes, t.column(payload).combine_chunks(), sides if 1 in sides else None)
+            pairs = [(ids[x], ids[r]) for x, r in enumerate(firsts) if ids[r] != ids[x]]
             if pairs:
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _meet(members: DataFrame, payload: str, join, tables: Tables, elements: int) -> DataFrame:
+    """Edges (a, b) such that ``join`` links, directly or by way of others, all pairs at a place that it finds. members: place,
+    id, n, payload.
+
+    A place of over BLOCK sets or ``elements`` elements is dealt over blocks. In each block its sets meet each other and a few
+    leaders, the same ones in all blocks of the place, so near copies make one group over all blocks. Pairs within the
+    largest group of a place are linked then; only the sets outside it still go to every block, to meet the sets there."""
+    masks = [0, (1 << 63) - 1, 0x5555555555555555, 0x3333333333333333]
+    count = members.groupBy("place").agg(F.count("*").alias("members"), F.sum("n").alias("elements"), *[F.min(F.col("id").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(masks)]).where("members > 1")
+    blocks = F.least(F.col("members"), F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("elements") / elements))).cast("int").alias("blocks")
+    leaders = F.array_distinct(F.array(*[F.col(f"m{k}").bitwiseXOR(F.lit(m)) for k, m in enumerate(masks)])).alias("leaders")
+    places = tables.keep(count.select("place", "members", blocks, leaders), "blocks")
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    held = members.join(places, "place").withColumn("block", block)
+    # A leader goes to every block, any other set to its own.
+    to = F.when((F.col("blocks") > 1) & F.array_contains("leaders", F.col("id")), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    home = held.select("place", F.explode(to).alias("i"), F.lit(0).alias("j"), "id", "n", payload, F.lit(0).alias("side"))
+    if places.where("blocks > 1").isEmpty():
+        return _joined(home, payload, join)
+    first = tables.keep(_joined(home, payload, join), "links")
+    groups = components(first, tables)
+    named = held.where("blocks > 1").select("place", "id", "blocks").join(groups, "id", "left").select("place", "id", "blocks", F.coalesce("component", "id").alias("group"))
+    largest = named.groupBy("place", "group").agg(F.count("*").alias("size")).groupBy("place").agg(F.max_by("group", F.struct("size", "group")).alias("largest"))
+    rest = tables.keep(named.join(largest, "place").where("group <> largest").select("place", "id", "blocks"), "rest")
+    rounds = rest.groupBy("place").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("rounds"))
+    once = held.where("blocks > 1").join(rounds, "place")
+    stay = once.select("place", F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.col("rounds") - 1)).alias("j"), "id", "n", payload, F.lit(0).alias("side"))
+    visit = once.join(rest.select("place", "id"), ["place", "id"], "left_semi")
+    visit = visit.select("place", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("rounds")).cast("int").alias("j"), "id", "n", payload, F.lit(1).alias("side"))
+    return first.unionByName(_joined(stay.unionByName(visit), payload, join))
+
+
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row: the size of its set and the least doc_id that
     links of at least ``percent`` per cent Jaccard similarity reach."""
@@ -335,10 +361,13 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, doc_id: s
             tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(first) if first else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(np.array(one, np.uint64).view(np.int64)), pa.array(np.array(two, np.uint64).view(np.int64)), tokens, pa.array(marks, pa.binary())], names=["doc_id", "n", "d1", "d2", "tokens", "mark"])
 
-    seen = tables.keep(source.mapInArrow(prefixes, "doc_id long, n long, d1 long, d2 long, tokens array<long>, mark binary"), "prefixes")
-    classes = seen.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    reps = seen.join(classes.select("d1", "d2", F.col("rep").alias("doc_id")), ["d1", "d2", "doc_id"], "left_semi").where("n > 0").select(F.col("doc_id").alias("id"), "n", "tokens", "mark")
+    hashed = tables.keep(source.mapInArrow(prefixes, "doc_id long, n long, d1 long, d2 long, tokens array<long>, mark binary"), "prefixes")
+    classes = hashed.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    reps = hashed.join(classes.select("d1", "d2", F.col("rep").alias("doc_id")), ["d1", "d2", "doc_id"], "left_semi").where("n > 0").select(F.col("doc_id").alias("id"), "n", "tokens", "mark")
     reps = tables.keep(reps, "classes")
+    seen = tables.keep(hashed.select("doc_id", "n", "d1", "d2"), "sizes")
+    tables.drop(hashed)
+    classes = seen.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
 
     bucket = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
     short = (F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)) + 1).cast("int")
@@ -347,24 +376,25 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, doc_id: s
     guest = F.transform(F.slice("tokens", 1, short + 1), lambda t: F.struct(F.xxhash64(t, bucket + 1).alias("key"), F.lit(False).alias("home")))
     calls = reps.select("id", F.explode(F.concat(own, guest)).alias("c")).select("id", "c.key", "c.home")
     leaders = calls.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("most"), F.bool_or("home").alias("home")).where("home and leader < most").select("key", "leader")
-    met = tables.keep(calls.join(leaders, "key").select("id", "leader").distinct(), "places")
+    places = tables.keep(calls.join(leaders, "key").select("id", "leader").distinct(), "places")
 
     def screened(sizes, marks, side):
         return screen(sizes, marks.to_pylist(), percent, side)
 
-    likely = _meet(met.join(reps.select("id", "n", "mark"), "id"), met, "leader", "mark", screened)
-    clusters = components(likely, tables)
+    met = places.join(reps.select("id", "n", "mark"), "id").withColumnRenamed("leader", "place")
+    clusters = components(_meet(met, "mark", screened, tables, SCREENED_ELEMENTS), tables)
 
     def whole(batches):
         for batch in batches:
             sets = [ordered(s, weights.value) for s in shingle_sets(batch.column(2), n)]
             offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(map(len, sets)), pa.int64()), tokens], names=["component", "id", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(map(len, sets)), pa.int64()), tokens], names=["place", "id", "n", "tokens"])
 
     asked = clusters.select(F.col("id").alias("doc_id"), "component")
-    sets = source.join(asked, "doc_id").select("component", "doc_id", "text").mapInArrow(whole, "component long, id long, n long, tokens array<long>").where("n > 0")
+    sets = source.join(asked, "doc_id").select("component", "doc_id", "text").mapInArrow(whole, "place long, id long, n long, tokens array<long>").where("n > 0")
     sets = tables.keep(sets, "sets")
+    tables.drop(reps, places, clusters)
 
     def verified(sizes, tokens, side):
         flat, cuts = np.asarray(tokens.flatten()), np.asarray(tokens.offsets)
@@ -372,7 +402,9 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, doc_id: s
         union = tree_join(sizes, [flat[a:b] for a, b in zip(cuts, cuts[1:])], percent, side)
         return [union.find(x) for x in range(len(sizes))]
 
-    links = _meet(sets, sets.select("component"), "component", "tokens", verified)
-    found = components(links, tables)
-    rep = seen.join(classes, ["d1", "d2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
-    return rep.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    found = components(_meet(sets, "tokens", verified, tables, ELEMENTS), tables)
+    tables.drop(sets)
+    linked = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", "copies", "rep", F.coalesce("component", "rep").alias("component_id"))
+    # A text that occurs once and is linked with nothing needs no row here.
+    few = linked.where("copies > 1 or component_id <> rep").drop("rep")
+    return join_few(seen, few, ["d1", "d2"], "doc_id").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

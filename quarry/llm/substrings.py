@@ -15,11 +15,13 @@ stand. How far a symbol depends on its surroundings is tracked exactly as its fo
 
 Counts are aggregated before they are shuffled, and only what occurs once comes back (its place is
 known from the aggregate itself), so no frequent symbol or window is ever gathered or joined. Documents
-with the same words are counted as one text in step 2; all but the first skip it.
+with the same words are counted as one text in step 2; all but the first skip it, and a digest with many
+copies is dealt over many tasks.
 
 Null, empty and blank texts keep the empty string. Texts shorter than a window are kept, words
-joined by one blank. Every row is a document, also a repeated one, whose windows then occur twice;
-rows that share a doc_id are told apart by their texts. Extra columns are ignored.
+joined by one blank; very long ones are read whole. Every row is a document, also a repeated one, whose windows
+then occur twice, and one without doc_id; rows that share a doc_id are told apart by their texts. Windows that overlap
+or tie are all judged on the input, so no order matters. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Tables
+from .shared import Tables, join_few
 from .words import Words, _powers, mix
 
 ROUNDS = 4
@@ -165,106 +167,98 @@ def repeated_substrings(docs: DataFrame, window: int = 35, doc_id: str = "doc_id
     """(doc_id, n_words, n_removed, kept_text) for each row: the text without the words of windows
     whose sequence also starts anywhere else."""
     tables = Tables(docs.sparkSession)
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    # Rows are told apart by doc_id and a hash of id and text, so null and repeated ids need no care.
+    own = F.xxhash64(F.col(doc_id), F.col(text))
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("k1"), own.alias("k2"))
 
     def pick(batches):
         for batch in batches:
-            words = Words(batch.column(1), hashes=2)
+            words = Words(batch.column(2), hashes=2)
             one, two = _digests(words)
             found = picks(words, window)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(one), pa.array(two), pa.array(np.diff(words.first)), _lists([w for w, _ in found], pa.int32()), _lists([k for _, k in found], pa.int64())], names=["doc_id", "d1", "d2", "n", "at", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(one), pa.array(two), pa.array(np.diff(words.first)), _lists([w for w, _ in found], pa.int32()), _lists([k for _, k in found], pa.int64())], names=["k1", "k2", "d1", "d2", "n", "at", "keys"])
 
-    seen = tables.keep(source.mapInArrow(pick, "doc_id long, d1 long, d2 long, n long, at array<int>, keys array<long>"), "picks")
-    # A place is the row of the document (24 bits of its digest tell rows of one doc_id apart) and an index.
-    mark = F.shiftleft(F.col("d1").bitwiseAND(0xFFFFFF), 32)
-    each = seen.select("doc_id", mark.alias("mark"), F.posexplode("keys").alias("i", "key")).where("key <> 0")
-    alone = each.groupBy("key").agg(F.count("*").alias("c"), F.min("doc_id").alias("doc_id"), F.min(F.col("mark") + F.col("i")).alias("place")).where("c = 1")
-    once = alone.groupBy("doc_id").agg(F.collect_list("place").alias("once"))
-    copies = seen.groupBy("d1", "d2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"))
-    rows = seen.withColumn("mark", mark).join(once, "doc_id", "left").join(copies.where("copies > 1"), ["d1", "d2"], "left")
+    seen = tables.keep(source.select("k1", "k2", "text").mapInArrow(pick, "k1 long, k2 long, d1 long, d2 long, n long, at array<int>, keys array<long>"), "picks")
+    each = seen.select("k1", "k2", F.posexplode("keys").alias("i", "key")).where("key <> 0")
+    alone = each.groupBy("key").agg(F.count("*").alias("c"), F.min("k1").alias("k1"), F.min("k2").alias("k2"), F.min("i").alias("i")).where("c = 1")
+    copies = seen.groupBy("d1", "d2").agg(F.count("*").alias("copies"), F.min("k2").alias("rep"))
+    copied = join_few(seen.select("k1", "k2", "d1", "d2"), copies.where("copies > 1"), ["d1", "d2"], "k2").where("copies is not null")
+    marks = alone.select("k1", "k2", "i", F.lit(None).cast("boolean").alias("first")).unionByName(copied.select("k1", "k2", F.lit(None).cast("int").alias("i"), (F.col("k2") == F.col("rep")).alias("first")))
+    info = marks.groupBy("k1", "k2").agg(F.collect_list("i").alias("once"), F.max("first").alias("first"))
+    rows = seen.drop("d1", "d2", "keys").join(info, ["k1", "k2"], "left")
 
     def candidates(batches):
         for batch in batches:
-            t = {c: batch.column(k).to_pylist() for k, c in enumerate(batch.schema.names) if c not in ("at", "once")}
-            a, b, place = [], [], []
-            at, once_ = batch.column("at"), batch.column("once")
+            n, first = batch.column("n").to_pylist(), batch.column("first").to_pylist()
+            at, once = batch.column("at"), batch.column("once")
+            a, b = [], []
             for k in range(batch.num_rows):
                 start = np.asarray(at[k].values)
-                stop = np.append(start[1:], max(0, t["n"][k] - window + 1))[: len(start)]
+                stop = np.append(start[1:], max(0, n[k] - window + 1))[: len(start)]
                 keep = np.ones(len(start), dtype=bool)
-                if once_[k].is_valid:
-                    p = np.asarray(once_[k].values)
-                    p = p[p >> 32 == t["mark"][k] >> 32] & 0xFFFFFFFF
-                    keep[p] = False
-                copied, rep = t["copies"][k], t["rep"][k]
-                if copied and rep != t["doc_id"][k]:
+                if once[k].is_valid:
+                    keep[np.asarray(once[k].values)] = False
+                if first[k] is False:
                     keep[:] = False  # the first of the copies stands for all
                 a.append(start[keep])
                 b.append(stop[keep])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("d1"), pa.array([bool(c) for c in t["copies"]]), _lists(a, pa.int32()), _lists(b, pa.int32())], names=["doc_id", "d1", "copied", "a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array([x is not None for x in first]), _lists(a, pa.int32()), _lists(b, pa.int32())], names=["k1", "k2", "copied", "a", "b"])
 
-    asked = rows.select("doc_id", "d1", "mark", "n", "at", "once", "copies", "rep").mapInArrow(candidates, "doc_id long, d1 long, copied boolean, a array<int>, b array<int>").where("copied or size(a) > 0")
-    # Repeated rows are copies with equal answers, so one entry a text will do.
-    asked = tables.keep(asked.dropDuplicates(["doc_id", "d1"]).groupBy("doc_id").agg(F.collect_list(F.struct("d1", "copied", "a", "b")).alias("asked")), "candidates")
+    asked = rows.select("k1", "k2", "n", "at", "once", "first").mapInArrow(candidates, "k1 long, k2 long, copied boolean, a array<int>, b array<int>").where("copied or size(a) > 0")
+    # Equal rows have equal answers, so one will do.
+    asked = tables.keep(asked.dropDuplicates(["k1", "k2"]), "candidates")
     tables.drop(seen)
-    held = source.join(asked, "doc_id", "left")
+    held = source.join(asked, ["k1", "k2"], "left")
 
-    def own(entries, d1: int):
-        """The entry of this text among those of its doc_id."""
-        return next((e for e in entries or [] if e["d1"] == d1), None)
-
-    def covered(entry, n: int) -> np.ndarray:
+    def covered(a, b, n: int) -> np.ndarray:
         """Windows that are candidates, as a mask."""
         out = np.zeros(max(0, n - window + 1) + 1, dtype=np.int32)
-        np.add.at(out, np.asarray(entry["a"], dtype=np.int64), 1)
-        np.add.at(out, np.asarray(entry["b"], dtype=np.int64), -1)
+        np.add.at(out, np.asarray(a, dtype=np.int64), 1)
+        np.add.at(out, np.asarray(b, dtype=np.int64), -1)
         return np.cumsum(out)[:-1] > 0
 
     def sequences(batches):
         for batch in batches:
-            words = Words(batch.column(1), hashes=2)
-            d1, _ = _digests(words)
-            ids, entries = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            words = Words(batch.column("text"), hashes=2)
+            k1, k2 = np.asarray(batch.column("k1")), np.asarray(batch.column("k2"))
+            starts, stops = batch.column("a"), batch.column("b")
             at, who, place = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for k in range(batch.num_rows):
-                entry = own(entries[k], int(d1[k]))
-                if entry and entry["a"]:
-                    p = np.flatnonzero(covered(entry, int(words.first[k + 1] - words.first[k])))
+                if starts[k].is_valid and len(starts[k]):
+                    p = np.flatnonzero(covered(starts[k].values, stops[k].values, int(words.first[k + 1] - words.first[k])))
                     at.append(p + words.first[k])
-                    who.append(np.full(len(p), ids[k], dtype=np.int64))
-                    place.append(p + ((int(d1[k]) & 0xFFFFFF) << 32))
-            at = np.concatenate(at)
+                    who.append(np.full(len(p), k, dtype=np.int64))
+                    place.append(p)
+            at, who = np.concatenate(at), np.concatenate(who)
             one = span_hashes(*_running(words.hash, 0), at, at + window).view(np.int64)
             two = (span_hashes(*_running(words.hash2, 1), at, at + window) >> np.uint64(33)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(np.concatenate(who)), pa.array(np.concatenate(place))], names=["h1", "h2", "doc_id", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(k1[who]), pa.array(k2[who]), pa.array(np.concatenate(place).astype(np.int32))], names=["h1", "h2", "k1", "k2", "place"])
 
     def without(batches):
         for batch in batches:
-            words = Words(batch.column(1), hashes=2)
-            d1, _ = _digests(words)
-            entries, once_ = batch.column(2).to_pylist(), batch.column(3)
+            words = Words(batch.column("text"))
+            copied, starts, stops, single = (batch.column(c) for c in ("copied", "a", "b", "single"))
             keep = np.ones(len(words.hash), dtype=bool)
             for k in range(batch.num_rows):
-                entry = own(entries[k], int(d1[k]))
                 a, b = int(words.first[k]), int(words.first[k + 1])
-                if entry is None or b - a < window:
+                if not copied[k].is_valid or b - a < window:
                     continue
-                if entry["copied"]:
+                if copied[k].as_py():
                     keep[a:b] = False
                     continue
-                again = covered(entry, b - a)
-                if once_[k].is_valid:
-                    p = np.asarray(once_[k].values)
-                    again[p[p >> 32 == (int(d1[k]) & 0xFFFFFF)] & 0xFFFFFFFF] = False
+                again = covered(starts[k].values, stops[k].values, b - a)
+                if single[k].is_valid:
+                    again[np.asarray(single[k].values)] = False
                 edge = np.zeros(b - a + 1, dtype=np.int32)
                 p = np.flatnonzero(again)
                 edge[p] += 1
                 edge[p + window] -= 1
                 keep[a:b] = np.cumsum(edge)[:-1] == 0
             total = np.concatenate([[0], np.cumsum(~keep)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(words.first)), pa.array(total[words.first[1:]] - total[words.first[:-1]]), _joined(words, keep)], names=["doc_id", "n_words", "n_removed", "kept_text"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(words.first)), pa.array(total[words.first[1:]] - total[words.first[:-1]]), _joined(words, keep)], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
-    spelled = held.mapInArrow(sequences, "h1 long, h2 int, doc_id long, place long")
-    single = spelled.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.min("doc_id").alias("doc_id"), F.min("place").alias("place")).where("c = 1")
-    single = single.groupBy("doc_id").agg(F.collect_list("place").alias("single"))
-    return held.join(single, "doc_id", "left").mapInArrow(without, "doc_id long, n_words long, n_removed long, kept_text string")
+    spelled = held.select("k1", "k2", "text", "a", "b").where("size(a) > 0").mapInArrow(sequences, "h1 long, h2 int, k1 long, k2 long, place int")
+    single = spelled.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.min("k1").alias("k1"), F.min("k2").alias("k2"), F.min("place").alias("place")).where("c = 1")
+    single = single.groupBy("k1", "k2").agg(F.collect_list("place").alias("single"))
+    ready = held.join(single, ["k1", "k2"], "left").select("doc_id", "text", "copied", "a", "b", "single")
+    return ready.mapInArrow(without, "doc_id long, n_words long, n_removed long, kept_text string")

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from quarry.llm import decontaminate, graph, ngramjoin, pii, quality, substrings
+from quarry.llm import decontaminate, graph, ngramjoin, pii, quality, shared, substrings
 from quarry.llm.shared import Tables
 
 SF = "/root/testdata/sf0.001"
@@ -62,6 +62,37 @@ def test_ngram_join(spark, monkeypatch, n, percent, block):
     assert {tuple(x) for x in ngramjoin.jaccard_components(df, n=n, percent=percent).collect()} == joined(rows, n, percent)
 
 
+def test_large_cluster_costs_its_size(spark, monkeypatch):
+    """Near copies of one text over many blocks: few rows more than sets are dealt, and the components are those of all pairs."""
+    monkeypatch.setattr(ngramjoin, "BLOCK", 100)
+    r = random.Random(11)
+    base = [r.choice("abcdefghijklmnopqrstuvwxyz") * 3 for _ in range(120)]
+    rows = []
+    for i in range(1500):
+        b = list(base)
+        b[r.randrange(120)] = f"q{i}"
+        if i % 100 == 7:  # some reach the rest only by way of a few others
+            b[r.randrange(120)] = f"r{i}"
+            b[r.randrange(120)] = f"s{i}"
+        rows.append((i, " ".join(b)))
+    dealt = []
+    plain = ngramjoin._joined
+    monkeypatch.setattr(ngramjoin, "_joined", lambda df, payload, join: (dealt.append((payload, df.count())), plain(df, payload, join))[1])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {tuple(x) for x in ngramjoin.jaccard_components(df, n=3, percent=90).collect()} == joined(rows, 3, 90)
+    whole = [n for payload, n in dealt if payload == "tokens"]
+    assert whole[0] < 1.1 * 1500 and sum(whole) < 3 * 1500
+
+
+def test_hot_digest(spark, monkeypatch):
+    monkeypatch.setattr(shared, "HOT_ROWS", 10)
+    rows = [(i, "one text that many rows share with each other") for i in range(200)] + [(i, f"own words of row {i} only stand here") for i in range(200, 230)] + [(300, rows_text := "a few share this text"), (301, rows_text)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {tuple(x) for x in ngramjoin.jaccard_components(df).collect()} == joined(rows, 3, 90)
+    long = [(i, t + " x y z" * 20) for i, t in rows]
+    assert sorted((tuple(x) for x in substrings.repeated_substrings(spark.createDataFrame(long, "doc_id long, text string")).collect()), key=str) == cut(long)
+
+
 def test_ngram_join_edges(spark):
     df = spark.createDataFrame([(3, "a b c d"), (3, "a b c d"), (1, "A B C D"), (7, "other words stand here")], "doc_id long, text string")
     assert sorted(tuple(x) for x in ngramjoin.jaccard_components(df).collect()) == [(1, 2, 1), (3, 2, 1), (3, 2, 1), (7, 2, 7)]
@@ -104,7 +135,7 @@ def cut(rows, window=35):
             if seen[tuple(x[i : i + window])] > 1:
                 keep[i : i + window] = [False] * window
         out.append((d, len(x), keep.count(False), " ".join(a for a, k in zip(x, keep) if k)))
-    return sorted(out)
+    return sorted(out, key=str)
 
 
 def test_substrings(spark):
@@ -123,10 +154,10 @@ def test_substrings(spark):
                 x[r.randrange(len(x))] = f"zz{i}"
             b += x + [r.choice(vocabulary) for _ in range(r.choice([0, 3, 50]))]
         rows.append((i, r.choice([" ", "\n", "  "]).join(b)))
-    rows += [(9000, None), (9001, ""), (9002, " \n"), (9003, "a " * 200), (9004, "a b " * 30), (5, rows[5][1]), (6, "other " + rows[7][1]), (9005, rows[9][1]), (9006, " ".join(f"q{k}" for k in range(80)))]
+    rows += [(9000, None), (9001, ""), (9002, " \n"), (9003, "a " * 200), (9004, "a b " * 30), (5, rows[5][1]), (6, "other " + rows[7][1]), (9005, rows[9][1]), (9006, " ".join(f"q{k}" for k in range(80))), (None, "new start " + rows[11][1]), (None, rows[12][1]), (7, "one id with " + rows[13][1])]
     df = spark.createDataFrame([(*x, 0, "k") for x in rows], "doc_id long, text string, place int, keys string").repartition(5)
-    assert sorted(tuple(x) for x in substrings.repeated_substrings(df).collect()) == cut(rows)
-    assert sorted(tuple(x) for x in substrings.repeated_substrings(df, window=5).collect()) == cut(rows, 5)
+    assert sorted((tuple(x) for x in substrings.repeated_substrings(df).collect()), key=str) == cut(rows)
+    assert sorted((tuple(x) for x in substrings.repeated_substrings(df, window=5).collect()), key=str) == cut(rows, 5)
     assert substrings.repeated_substrings(df.limit(0)).count() == 0
 
 
