@@ -7,8 +7,8 @@ neighbour, the position that vanished) and the nodes above them, so it costs a l
 piece. Short pieces of one size class share a numpy array of trees and merge in step; a long piece
 has a tree of its own. Pieces that were met before come from a bounded memo.
 
-Null texts are empty: no ids. Empty texts, repeated rows and extra columns need no care, as the
-operator only adds a column; rows keep whatever else they hold.
+Null and empty texts have no ids; very long ones are encoded whole. Pairs of equal rank tie: the leftmost merges first.
+Empty tables, repeated rows and extra columns need no care, as the operator only adds columns.
 """
 
 from __future__ import annotations

@@ -14,10 +14,11 @@ taken at which its pattern can match:
 Added kinds: url (a scheme and what follows up to white space, quote or bracket), iban (cue
 ``iban``, checksum mod 97), key (cue ``AKIA`` and 16 capitals or digits), secret (cue
 ``password``, ``passwd``, ``secret``, ``token``, ``api_key``, then ``=`` or ``:`` and a value of 8
-or more characters with a digit).
+or more characters with a digit; cues inside such a value are part of it).
 
 Null or empty texts have no spans. Spans count code points and end exclusively; they are sorted by
-start, then by kind in the order above. Repeated rows and extra columns stay as they are.
+start, then (ties) by kind in the order above. No parser reads a stretch of text more than a few times, so very long texts
+take time in proportion. An empty table gives an empty result; repeated rows and extra columns stay as they are.
 """
 
 from __future__ import annotations
@@ -80,7 +81,7 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
     if not text:
         return []
     out: list[tuple[str, int, int]] = []
-    email_end = ip_from = card_from = url_end = 0
+    email_end = ip_from = card_from = url_end = secret_end = 0
     for last, (what, size) in _ANCHORS.iter(_folded(text)):
         at = last - size + 1
         if what == "digit":
@@ -127,7 +128,9 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
         elif what == "key":
             if text[at : at + 4] == "AKIA" and not (at and text[at - 1].isalnum()) and (m := _KEY(text, last + 1)):
                 out.append(("key", at, m.end()))
-        elif m := _SECRET(text, last + 1):
+        elif at >= secret_end and (m := _SECRET(text, last + 1)):
+            # Cues inside a value name no value of their own, whether this one counts or not.
+            secret_end = m.end(1)
             if any(c.isdigit() for c in m[1]):
                 out.append(("secret", m.start(1), m.end(1)))
     out.sort(key=lambda s: (s[1], KINDS.index(s[0]), s[2]))

@@ -116,12 +116,17 @@ def _op4_sql() -> str:
     states = _sql_text(licenses.STATES)
     lines = f"list_filter(list_transform(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {one}), lambda x: CASE WHEN regexp_matches(x, {states}) THEN '' ELSE x END), lambda x: x <> '')"
     known = ", ".join(f"({_sql_text(i)}, {_sql_text(t)})" for i, t in licenses.KNOWN)
+    long = ", ".join(f"({_sql_text(i)}, {_sql_text(d)})" for i, _, _, d in licenses.PASSAGES)
+    openings = ", ".join(f"({_sql_text(o)}, {n})" for o, n in dict.fromkeys((o, n) for _, o, n, _ in licenses.PASSAGES))
     return f"""
-WITH known AS (SELECT DISTINCT license_id, list_aggregate({lines}, 'string_agg', ' ') AS c FROM (VALUES {known}) AS v(license_id, text)),
-d AS (SELECT doc_id, {lines} AS l FROM documents),
-u AS (SELECT doc_id, unnest(l) AS c, false AS whole FROM d UNION ALL SELECT doc_id, list_aggregate(l, 'string_agg', ' '), true FROM d)
-SELECT doc_id, license_id, count(*) FILTER (WHERE NOT whole) AS n_lines, bool_or(whole) AS whole_text
-FROM u JOIN known USING (c) GROUP BY doc_id, license_id
+WITH known AS (SELECT DISTINCT license_id, sha256(list_aggregate({lines}, 'string_agg', ' ')) AS digest FROM (VALUES {known}) AS v(license_id, text) UNION VALUES {long}),
+d AS (SELECT doc_id, {lines} AS l FROM documents), w AS (SELECT doc_id, list_aggregate(l, 'string_agg', ' ') AS t FROM d),
+o AS (SELECT doc_id, t, size, opening, string_split(t, opening) AS parts FROM w, (VALUES {openings}) AS v(opening, size) WHERE contains(t, opening)),
+q AS (SELECT doc_id, t, size, unnest(list_transform(range(1, len(parts)), lambda k: list_sum(list_transform(parts[1:k], lambda x: length(x))) + (k - 1) * length(opening) + 1))::BIGINT AS at FROM o),
+u AS (SELECT doc_id, unnest(l) AS c, 'line' AS kind FROM d UNION ALL SELECT doc_id, t, 'whole' FROM w
+      UNION ALL SELECT doc_id, substring(t, at, size), 'passage' FROM q WHERE (at = 1 OR substring(t, at - 1, 1) = ' ') AND (length(t) = at + size - 1 OR substring(t, at + size, 1) = ' '))
+SELECT doc_id, license_id, count(*) FILTER (WHERE kind = 'line') AS n_lines, count(*) FILTER (WHERE kind = 'passage') AS n_passages, bool_or(kind = 'whole') AS whole_text
+FROM u JOIN known ON sha256(c) = digest GROUP BY doc_id, license_id
 """
 
 

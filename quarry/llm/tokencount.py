@@ -4,9 +4,11 @@ Arrow functions encode in batches and return lengths only. For a byte-level BPE
 split at safe boundaries first (``chunks.safe_chunks``: the pre-tokenizer always cuts there, and
 no added token holds a blank), so that no call holds a long text whole; the distinct chunks of an
 Arrow batch that the worker has not counted yet go to the library in batches of about equal bytes.
-Other tokenizers look across blanks, so whole texts go to the library, again balanced by bytes.
+Other tokenizers look across blanks (a normalizer or model may join what stands on both sides), so there is no boundary
+that is safe for all of them: whole texts go to the library, again balanced by bytes.
 
-Null texts are empty: no bytes, no tokens. Repeated rows are counted each; extra columns stay.
+Null texts are empty: no bytes, no tokens; very long ones are counted whole. Repeated rows are counted each, an empty table
+gives an empty result; extra columns stay.
 """
 
 from __future__ import annotations
@@ -62,7 +64,7 @@ class Counter:
         held = 0
         for t in texts:
             call.append(t)
-            held += len(t) + 32
+            held += (len(t) if t.isascii() else len(t.encode())) + 32
             if held >= CALL_BYTES:
                 out += self.lengths(call)
                 call, held = [], 0

@@ -13,7 +13,9 @@
 
 Rows with ``crc32(doc_id as text) % 5 = 0`` are held out: no label of theirs is read. doc_id only
 chooses rows; scores depend on texts alone. Null and empty texts have no features and get the score of
-that; without any labelled row all scores are 0. Repeated rows are scored each.
+that; without any labelled row all scores are 0. Very long texts are read whole; the score of a text is that of its eight
+strongest words, so it does not grow with length. Words that tie count alike. Repeated rows are scored each, an empty
+table gives an empty result; extra columns stay, except one named ``toxicity``.
 """
 
 from __future__ import annotations
@@ -29,8 +31,10 @@ from pyspark.sql import functions as F
 
 #: Labelled rows from which the classifier is fitted, at most; taken in the order of a hash.
 TRAIN_ROWS = 20_000
-#: Features of the model, at most, and documents that a feature needs.
-FEATURES, LEAST_DOCS = 50_000, 4
+#: Documents of the sample that a feature needs. All that pass are kept; the sample bounds their number.
+LEAST_DOCS = 4
+#: Words that a score is made from: the strongest few one by one, the next ones by their sum.
+SINGLE, STRONGEST = 3, 8
 #: Words that a worker remembers (some 150 bytes each).
 MEMO = 400_000
 #: Longer tokens are restored each time.
@@ -201,8 +205,8 @@ def strength(n: np.ndarray, pos: np.ndarray, base: float) -> np.ndarray:
 
 def _summary(values: list[float]) -> list[float]:
     """What the logistic function sees: the three strongest words and the sum of the next ones."""
-    top = sorted(values, reverse=True)[:8] + [0.0] * 8
-    return [top[0], top[1], top[2], sum(top[3:8])]
+    top = sorted(values, reverse=True)[:STRONGEST] + [0.0] * SINGLE
+    return [*top[:SINGLE], sum(top[SINGLE:])]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 30) -> np.ndarray:
@@ -277,7 +281,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     counts = rows.mapInArrow(features, "f long, n long, pos long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
     # Odds of the label over twice those of the corpus, whatever its base rate.
     lift = F.col("pos") * (total["n"] - total["pos"]) > 2 * total["pos"] * (F.col("n") - F.col("pos"))
-    strong = counts.where((F.col("n") >= LEAST_DOCS) & lift).orderBy(F.desc(F.col("pos") * F.col("pos") / F.col("n")), "f").limit(FEATURES).toPandas()
+    strong = counts.where((F.col("n") >= LEAST_DOCS) & lift).toPandas()
     hashes, n, pos = (strong[c].to_numpy(dtype=np.int64) for c in ("f", "n", "pos"))
     weights = strength(n, pos, base)
     without = {k: strength(np.maximum(n - 1, 0), np.maximum(pos - k, 0), base) for k in (0, 1)}

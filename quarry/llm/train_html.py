@@ -183,7 +183,7 @@ class Maker:
 def example(seed: int) -> tuple[np.ndarray, np.ndarray]:
     blocks = leaf_blocks(Maker(seed).page())
     y = np.array([MARK in b.text for b in blocks], dtype=np.float32)
-    return features([Block(b.path, b.text.replace(MARK, "") or "-", b.linked) for b in blocks]), y
+    return features([Block(b.element, b.text.replace(MARK, "") or "-", b.linked) for b in blocks]), y
 
 
 def _forward(x, w, u, b):

@@ -2,8 +2,10 @@
 
 import base64
 import hashlib
+import os
 import random
 import re
+import time
 
 import public_tokenizers as P
 import pytest
@@ -101,6 +103,45 @@ def test_pii_added_kinds_and_redaction(spark):
     assert (got[1], got[2], got[3]) == (None, "clean text", "")
 
 
+def test_hostile_texts_take_linear_time():
+    """A megabyte of any of these takes no longer than a megabyte of prose should."""
+    for unit in ("token:", "secret=", "token:1", "1", "1.", "1-", "+1 ", "a@", "@a.", "http://", "AKIA", "iban GB82 "):
+        t = unit * (1_000_000 // len(unit))
+        began = time.perf_counter()
+        base = [s for s in pii.find(t) if s[0] in pii.BASE]
+        assert time.perf_counter() - began < 6, unit
+        short = unit * 60
+        assert [s for s in pii.find(short) if s[0] in pii.BASE] == base_spans(short), unit
+        assert len(base) <= len(t)
+    for unit in ("<b ", "<a '", '<a "', "<!", "<svg>", "<svg ", "<div>x", "</p>", "<title>", '<b "><b ', "<!--", "&amp;", "<p>a"):
+        began = time.perf_counter()
+        htmlblocks.leaf_blocks(unit * (1_000_000 // len(unit)))
+        assert time.perf_counter() - began < 8, unit
+    assert [s for s in pii.find("password=abc123token:def4567 x") if s[0] == "secret"] == [("secret", 9, 28)]
+
+
+def test_unclosed_elements_hide_nothing():
+    page = "<article><p>one<svg><p>two</p><button>b</button><svg><svg>x</svg>y</svg><p>three <math>x<sup>2</sup></math></article>"
+    assert [b.text for b in htmlblocks.leaf_blocks(page)] == ["one", "two", "three x2"]
+    assert [b.text for b in htmlblocks.leaf_blocks("<p>a<script>b<p>c")] == ["a"]
+    assert [b.text for b in htmlblocks.leaf_blocks("<p>a<p title='>'>d<p>1 < 2 & 3 > 2")] == ["a", "d", "1 < 2 & 3 > 2"]
+    deep = htmlblocks.leaf_blocks("<aside>" + "<div class='a b c d e f g h i j'>" * 3000 + "x")
+    assert len(deep) == 1 and deep[0].path[0] == "aside" and deep[0].path.count("c:j") == 3000
+
+
+def test_long_pages_are_labelled_as_short_ones(monkeypatch):
+    """Window by window with the state carried on gives what one run over the whole page gives."""
+    import numpy as np
+
+    labeller = htmlblocks.Labeller()
+    page = "<nav><a href=#>Home</a></nav><aside><p>Other posts stand here.</p></aside>" + "<div class=x><p>Words of a sentence, with more behind.</p><span>menu</span></div>" * 60
+    blocks = htmlblocks.leaf_blocks(page)
+    whole = htmlblocks.label(labeller.model, [htmlblocks.features(blocks)])[0]
+    for window in (7, 64):
+        monkeypatch.setattr(htmlblocks, "WINDOW", window)
+        assert np.allclose(htmlblocks.label_long(labeller.model, blocks), whole, atol=1e-4)
+
+
 def test_pii_query_digests(spark):
     for row in registry.op2_pii(spark, SF).collect():
         base = [s for s in row.spans.split(",") if s.split(":")[0] in pii.BASE]
@@ -141,8 +182,23 @@ def test_quality_is_native_and_order_does_not_matter(spark):
 def test_licenses(spark):
     mit = next(t for i, t in licenses.KNOWN if i == "MIT" and len(t) > 200)
     values = ["Copyright (c) 2020 Me\n" + mit.upper().replace(",", " ;"), "words\nLicensed under the Apache Licence -- version 2.0\nmore", "RELEASED UNDER THE MIT LICENSE", None, "", "licensed under nothing", "Released under the MIT License, or not"]
-    got = {(r.doc_id, r.license_id): (r.n_lines, r.whole_text) for r in licenses.scan_licenses(table(spark, values)).collect()}
-    assert got == {(0, "MIT"): (0, True), (1, "Apache-2.0"): (1, False), (2, "MIT"): (1, True)}
+    folder = "/usr/share/common-licenses"
+    long = {}
+    for name, file in (("Apache-2.0", "Apache-2.0"), ("MPL-2.0", "MPL-2.0"), ("GPL-3.0", "GPL-3")):
+        if os.path.exists(f"{folder}/{file}"):  # the standard texts, wrapped anew inside a longer document, twice
+            long[len(values)] = name
+            with open(f"{folder}/{file}", encoding="utf-8") as f:
+                body = f.read()
+            if name != "GPL-3.0":  # there a line of copyright would run into the next one
+                body = "\n".join(" ".join(p.split()) for p in body.split("\n\n"))
+            values.append("Some words first.\n" + body + "\nand more behind.\n" + body + "\nend")
+    values.append("Before it\n" + mit.split("\n\n", 1)[1].replace(" ", "\n", 30) + " behind it")
+    got = {(r.doc_id, r.license_id): (r.n_lines, r.n_passages, r.whole_text) for r in licenses.scan_licenses(table(spark, values)).collect()}
+    plain = {k: v for k, v in got.items() if k[0] < 7}
+    assert plain == {(0, "MIT"): (0, 1, True), (1, "Apache-2.0"): (1, 0, False), (2, "MIT"): (1, 0, True)}
+    assert got[(len(values) - 1, "MIT")][1] == 2  # its row stands twice in the table
+    for k, name in long.items():
+        assert got[(k, name)][1] >= 2, name
     assert licenses.scan_licenses(table(spark, values).limit(0)).count() == 0
     own = spark.createDataFrame([("X", "my own terms")], "license_id string, text string").select("license_id", F.sha2(F.array_join(licenses.canonical_lines(F.col("text")), " "), 256).alias("digest"))
     assert [r.license_id for r in licenses.scan_licenses(table(spark, ["My own terms!"]), own).collect()] == ["X"]
@@ -178,13 +234,15 @@ def test_decontamination_equals_brute_force(spark):
             at = r.randrange(len(t))
             t[at] = r.choice(["", "x", t[at] + "y"])
         docs.append(" ".join(word() for _ in range(30)) + " " + "".join(t).upper() + "\n" + word())
-    docs += [None, "", items[0][1] + " " + items[0][1]]
+    docs += [None, "", items[0][1] + " " + items[0][1], "a tiny text", " TINY\n"]
     have = spark.createDataFrame(items, "item_id long, text string")
     want = set()
     for d, t in enumerate(docs):
         for i, item in items:
             item, text = decontaminate.normalize(item), decontaminate.normalize(t)
-            if item and text and (n := edit_distance(item, text)) <= len(item) // decontaminate.CHARS_PER_EDIT:
+            if len(item) < 14:
+                want |= {(d, i, 0)} if item and item == text else set()
+            elif text and (n := edit_distance(item, text)) <= len(item) // decontaminate.CHARS_PER_EDIT:
                 want.add((d, i, n))
     for block in (decontaminate.BLOCK_CHARS, 150):
         got = {tuple(x) for x in decontaminate.contaminated(table(spark, docs), have, block_chars=block).collect()}
@@ -265,3 +323,15 @@ def test_pages_furniture(spark):
 def test_long_page_is_read_whole():
     page = "<article>" + "".join(f"<p>Sentence number {k} of the long article, with a comma and more words.</p>" for k in range(1500)) + "</article>"
     assert htmlblocks.Labeller().main_texts([page])[0].count("\n\n") == 1499
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_native_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from read_parquet('{SF}/documents.parquet')")
+    df = registry.QUERIES[name](spark, SF)
+    want = c.sql(registry.ORACLES[name])
+    assert sorted(want.columns) == sorted(df.columns)
+    assert sorted(map(tuple, df.select(*sorted(df.columns)).collect()), key=str) == sorted(want.select(*sorted(want.columns)).fetchall(), key=str)
