@@ -26,13 +26,13 @@ ORACLES: dict[str, str] = {}
 PRELUDE = S.prelude()
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, prelude: str = PRELUDE):
     """Register a query, with SQL over the same tables where SQL can say it."""
 
     def add(f):
         QUERIES[name] = f
         if sql is not None:
-            ORACLES[name] = PRELUDE + sql
+            ORACLES[name] = prelude + sql
         return f
 
     return add
@@ -56,39 +56,68 @@ for _name, _columns in {
     query(f"scan_{_name}", f"SELECT {_columns} FROM {_name}")(lambda spark, sf, n=_name, c=_columns: getattr(S, n)(spark, sf).select(*c.split(", ")))
 
 
+#: Pages from which one payload, sitemap or feed is made, at most.
+_PAGES = 500
+
+
 def _payloads(spark, sf, engine: str) -> DataFrame:
-    """A search payload for each query, built from the pages that it found."""
-    c = S.candidates(spark, sf)
+    """Search payloads, built from the pages that a query found: one for each query and run of page numbers."""
+    c = S.candidates(spark, sf).withColumn("search_query", F.concat_ws("-", "search_query", F.floor(F.col("seq") / _PAGES)))
     items = {"google": F.struct(F.col("url").alias("link"), "title", F.col("description").alias("snippet")), "bing": F.struct("url", F.col("title").alias("name"), F.col("description").alias("snippet")), "duckduckgo": F.struct(F.col("url").alias("FirstURL"), F.concat_ws(" - ", "title", "domain").alias("Text"))}[engine]
     rows = c.groupBy("search_query").agg(F.array_sort(F.collect_list(F.struct("seq", items.alias("item")))).alias("l"), F.min("url").alias("u")).select(F.col("search_query").alias("query"), F.transform("l", lambda x: x["item"]).alias("items"), "u")
     body = {"google": F.struct("items"), "bing": F.struct(F.struct(F.col("items").alias("value")).alias("webPages")), "duckduckgo": F.struct(F.concat(F.lit("about "), "query").alias("Abstract"), F.col("u").alias("AbstractURL"), F.col("query").alias("Heading"), F.col("items").alias("RelatedTopics"))}[engine]
     return rows.select("query", F.lit(engine).alias("engine"), F.to_json(body).alias("payload"))
 
 
+_BLOCKS = f", blocks AS (SELECT * REPLACE (search_query || '-' || (seq // {_PAGES}) AS search_query) FROM candidates) "
+
 for _name, _engine in (("parse_google_results", "google"), ("parse_bing_results", "bing")):
-    query(_name, "SELECT search_query AS query, (row_number() OVER (PARTITION BY search_query ORDER BY seq) - 1)::INT AS rank, url, title, description FROM candidates")(
+    query(_name, _BLOCKS + "SELECT search_query AS query, (row_number() OVER (PARTITION BY search_query ORDER BY seq) - 1)::INT AS rank, url, title, description FROM blocks")(
         lambda spark, sf, e=_engine: P.parse_search(_payloads(spark, sf, e), e).drop("source_engine")
     )
 
 
-@query("parse_ddg_results", """, t AS (SELECT search_query AS query, (row_number() OVER (PARTITION BY search_query ORDER BY seq))::INT AS rank, url, CASE WHEN title = '' THEN domain ELSE split_part(title || ' - ' || domain, ' - ', 1) END AS title, title || ' - ' || domain AS description FROM candidates)
-SELECT * FROM (SELECT search_query AS query, 0 AS rank, min(url) AS url, search_query AS title, 'about ' || search_query AS description FROM candidates GROUP BY search_query UNION ALL SELECT * FROM t) WHERE rank < 10""")
+@query("parse_ddg_results", _BLOCKS + """, t AS (SELECT search_query AS query, (row_number() OVER (PARTITION BY search_query ORDER BY seq))::INT AS rank, url, CASE WHEN title = '' THEN domain ELSE split_part(title || ' - ' || domain, ' - ', 1) END AS title, title || ' - ' || domain AS description FROM blocks)
+SELECT * FROM (SELECT search_query AS query, 0 AS rank, min(url) AS url, search_query AS title, 'about ' || search_query AS description FROM blocks GROUP BY search_query UNION ALL SELECT * FROM t) WHERE rank < 10""")
 def _(spark, sf):
     return P.parse_search(_payloads(spark, sf, "duckduckgo"), "duckduckgo").drop("source_engine")
 
 
 def _xml(spark, sf, start: str, one: str, end: str) -> DataFrame:
-    """An XML document for each host from its page urls; hosts of an odd name length get one that is cut off."""
-    h = S.page_hosts(spark, sf).groupBy("domain").agg(F.array_join(F.transform(F.array_sort(F.collect_list("url")), lambda u: F.format_string(one, F.replace(u, F.lit("&"), F.lit("&amp;")))), "").alias("body"))
+    """XML documents for each host from its page urls, one for each run of page numbers; hosts of an odd name length get such
+    that are cut off."""
+    pages = S.page_hosts(spark, sf).groupBy("domain", F.floor(F.col("page_id") / _PAGES).alias("part"))
+    h = pages.agg(F.array_join(F.transform(F.array_sort(F.collect_list("url")), lambda u: F.format_string(one, F.replace(u, F.lit("&"), F.lit("&amp;")))), "").alias("body"))
     return h.select(F.col("domain").alias("source_id"), F.concat(F.lit(start), "body", F.when(F.length("domain") % 2 == 0, F.lit(end)).otherwise(F.lit(""))).alias("xml"))
 
 
-query("parse_sitemaps")(lambda spark, sf: P.parse_sitemaps(_xml(spark, sf, '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">', "<url><loc>%s</loc></url>", "</urlset>")))
-query("parse_feeds")(lambda spark, sf: P.parse_feeds(_xml(spark, sf, "<rss><channel>", "<item><link>%s</link></item>", "</channel></rss>")))
-query("page_internal_links")(lambda spark, sf: P.internal_links(P.page_links(S.raw(spark, sf, "pages")), 50))
-query("page_external_links")(lambda spark, sf: P.external_links(P.page_links(S.raw(spark, sf, "pages"))))
-query("links_to_sources")(lambda spark, sf: J.links_to_sources(P.external_links(P.page_links(S.raw(spark, sf, "pages"))), S.sources(spark, sf)))
-query("first_n_links")(lambda spark, sf: K.top_per_group(P.page_links(S.raw(spark, sf, "pages")), ["page_id"], [F.asc("seq")], 20))
+_HOSTS = "(SELECT page_id, url, html, lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) AS domain FROM pages)"
+_LISTED = f"SELECT domain AS source_id, (row_number() OVER (PARTITION BY domain, page_id // {_PAGES} ORDER BY url) - 1)::INT AS seq, url FROM {_HOSTS} WHERE length(domain) % 2 = 0"
+query("parse_sitemaps", _LISTED)(lambda spark, sf: P.parse_sitemaps(_xml(spark, sf, '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">', "<url><loc>%s</loc></url>", "</urlset>")))
+query("parse_feeds", _LISTED)(lambda spark, sf: P.parse_feeds(_xml(spark, sf, "<rss><channel>", "<item><link>%s</link></item>", "</channel></rss>")))
+
+
+def _linked(spark, sf) -> DataFrame:
+    """Pages with two links to other sites behind their own."""
+    more = F.format_string('<a href="https://dev%d.example.io/p?a=1&amp;b=2">Other &amp; site</a><a href="//www.plain%d.example.io/q">Plain</a>', F.col("page_id") % 7, F.col("page_id") % 5)
+    return S.raw(spark, sf, "pages").withColumn("html", F.concat("html", more))
+
+
+def _page_links(spark, sf) -> DataFrame:
+    return P.page_links(_linked(spark, sf))
+
+
+_OWN = "regexp_extract_all(html, '<a href=\"([^\"]*)\">', 1)"
+_WORDS = "regexp_extract_all(html, '<a href=\"[^\"]*\">([^<]*)</a>', 1)"
+_TEXT = "regexp_replace(replace({0}, '&amp;', '&'), '^\\s+|\\s+$', '', 'g')"
+_LINKS = f""", h AS (SELECT *, {_OWN} AS hrefs, {_WORDS} AS words FROM {_HOSTS}),
+own AS (SELECT page_id, unnest(range(0, len(hrefs)))::INT AS seq, regexp_extract(url, '^[a-z]+://[^/?#]+') || replace(unnest(hrefs), '&amp;', '&') AS url, domain, domain AS base_domain, substring({_TEXT.format('unnest(words)')}, 1, 100) AS anchor FROM h),
+links AS (SELECT * FROM own UNION ALL SELECT page_id, len(hrefs)::INT, 'https://dev' || page_id % 7 || '.example.io/p?a=1&b=2', 'dev' || page_id % 7 || '.example.io', domain, 'Other & site' FROM h)"""
+_LINK_COLUMNS = ["page_id", "seq", "url", "domain", "base_domain", "anchor"]
+query("page_internal_links", _LINKS + " SELECT page_id, url, min(seq)::INT AS seq FROM links WHERE domain = base_domain GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY min(seq)) <= 50")(lambda spark, sf: P.internal_links(_page_links(spark, sf), 50).select("page_id", "url", "seq"))
+query("page_external_links", _LINKS + " SELECT * FROM links WHERE domain <> base_domain")(lambda spark, sf: P.external_links(_page_links(spark, sf)).select(*_LINK_COLUMNS))
+query("links_to_sources", _LINKS + f" SELECT * FROM links WHERE domain <> base_domain AND {S.sql_any('domain', fixed.TECH_DOMAIN_WORDS)} AND domain NOT IN (SELECT domain FROM sources)")(lambda spark, sf: J.links_to_sources(P.external_links(_page_links(spark, sf)), S.sources(spark, sf)).select(*_LINK_COLUMNS))
+query("first_n_links", _LINKS + " SELECT * FROM links QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY seq) <= 5")(lambda spark, sf: K.top_per_group(_page_links(spark, sf), ["page_id"], [F.asc("seq")], 5).select(*_LINK_COLUMNS))
 query("extract_pages")(lambda spark, sf: H.extract_pages(S.raw(spark, sf, "pages")))
 for _kind in H.EXTRACTORS:
     query(f"extract_{_kind}")(lambda spark, sf, k=_kind: H.extract_pages(S.raw(spark, sf, "pages"), kind=k))
@@ -96,7 +125,7 @@ query("clean_element")(lambda spark, sf: H.clean_elements(S.raw(spark, sf, "page
 query("page_type")(lambda spark, sf: H.extract_pages(S.raw(spark, sf, "pages")).select("page_id", "content_type"))
 
 
-@query("robots_allowed")
+@query("robots_allowed", f"SELECT url, domain FROM {_HOSTS} WHERE NOT (length(domain) % 2 = 0 AND regexp_matches(url, '^[a-z]+://[^/?#]+/fr/'))")
 def _(spark, sf):
     hosts = S.page_hosts(spark, sf)
     robots = hosts.select("domain").distinct().where(F.length("domain") % 2 == 0).withColumn("robots_txt", F.lit("User-agent: *\nDisallow: /fr/\n"))
@@ -175,7 +204,8 @@ query("new_sources_anti", f", q AS ({_REQ} UNION ALL SELECT name, url, category,
     lambda spark, sf: J.new_sources_anti(_requests(spark, sf).unionByName(S.sources(spark, sf).select("name", "url", "category", "source_type", "crawl_frequency", F.lit(0).cast("long").alias("seq"))), S.sources(spark, sf)).select("seq", "url", "conflict")
 )
 query("exact_duplicates_semi", "SELECT id FROM articles WHERE content_hash IN (SELECT content_hash FROM content_hashes WHERE duplicate_count > 0)")(lambda spark, sf: J.exact_duplicates_semi(S.articles(spark, sf), S.content_hashes(spark, sf).where("duplicate_count > 0")).select("id"))
-query("length_band_pairs", f"SELECT p.id AS probe_id, a.id, a.quality_score FROM (SELECT * FROM articles WHERE id % 50 = 0) p JOIN articles a ON a.crawled_at >= {NOW} - INTERVAL 30 DAY AND a.id <> p.id AND length(a.content)::DOUBLE BETWEEN length(p.content)::DOUBLE * 0.7::DOUBLE AND length(p.content)::DOUBLE * 1.3::DOUBLE QUALIFY row_number() OVER (PARTITION BY p.id ORDER BY a.quality_score DESC, a.id) <= 50")(
+_BAND = f"SELECT p.id AS probe_id, a.id, a.quality_score FROM (SELECT * FROM articles WHERE id % 50 = 0) p JOIN articles a ON a.crawled_at >= {NOW} - INTERVAL 30 DAY AND a.id <> p.id AND length(a.content)::DOUBLE BETWEEN length(p.content)::DOUBLE * 0.7::DOUBLE AND length(p.content)::DOUBLE * 1.3::DOUBLE QUALIFY row_number() OVER (PARTITION BY p.id ORDER BY a.quality_score DESC, a.id) <= 50"
+query("length_band_pairs", _BAND)(
     lambda spark, sf: J.length_band_pairs(S.articles(spark, sf).where("id % 50 = 0"), S.articles(spark, sf), now())
 )
 
@@ -276,7 +306,9 @@ def _versions(spark, sf):
 
 query("latest_article_per_url", "SELECT id, url FROM (SELECT * REPLACE (source_id || '/' || (id % 2) AS url) FROM articles) QUALIFY row_number() OVER (PARTITION BY url ORDER BY crawled_at DESC, id DESC) = 1")(lambda spark, sf: J.latest_per_url(_versions(spark, sf)).select("id", "url"))
 query("rate_violations", ", w AS (SELECT event_id, domain, count(*) OVER (PARTITION BY domain ORDER BY ts RANGE BETWEEN INTERVAL 1 SECOND PRECEDING AND CURRENT ROW) AS in_1s, count(*) OVER (PARTITION BY domain ORDER BY ts RANGE BETWEEN INTERVAL 10 SECOND PRECEDING AND CURRENT ROW) AS in_10s, count(*) OVER (PARTITION BY domain ORDER BY ts RANGE BETWEEN INTERVAL 60 SECOND PRECEDING AND CURRENT ROW) AS in_60s, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY domain ORDER BY ts, event_id) AS gap_us FROM request_log) SELECT * FROM w WHERE in_1s > 1 OR in_10s > 3 OR in_60s > 10")(lambda spark, sf: J.rate_violations(S.request_log(spark, sf)))
-query("content_versions")(lambda spark, sf: M.content_versions(_versions(spark, sf), "jaccard"))
+_JACCARD = "len(list_intersect(w, v)) / (len(w) + len(v) - len(list_intersect(w, v)))"
+_CHANGED = f", l AS (SELECT id, content, lag(content) OVER (PARTITION BY source_id, id % 2 ORDER BY crawled_at, id) AS old FROM articles), j AS (SELECT id, content, old, list_distinct({S.sql_tokens('lower(content)')}) AS w, list_distinct({S.sql_tokens('lower(old)')}) AS v FROM l WHERE old IS NOT NULL), c AS (SELECT id, coalesce({_JACCARD}, 0) AS s, length(content) - length(old) AS length_change FROM j) SELECT id, round(s, 6) AS similarity, s < 0.9 AS is_significant, length_change::INT AS length_change, round((1 - s) * 100, 4) AS change_percentage, CASE WHEN s > 0.95 THEN 'minor_edit' WHEN s > 0.8 THEN 'content_update' WHEN s > 0.5 THEN 'major_revision' ELSE 'complete_rewrite' END AS update_type FROM c"
+query("content_versions", _CHANGED)(lambda spark, sf: M.content_versions(_versions(spark, sf), "jaccard"))
 query("detect_content_update")(lambda spark, sf: M.content_versions(_versions(spark, sf), "sequence"))
 query("candidate_union", "SELECT seq, source_engine FROM candidates")(lambda spark, sf: J.candidate_union(*[S.candidates(spark, sf).where(F.col("source_engine") == e).select("seq", "source_engine") for e in P.ADAPTERS]))
 
@@ -375,7 +407,9 @@ _scalar("crawl_quality", "s", "quality_score", lambda: _c("quality_score"))
 _EX = f"CASE WHEN title <> '' THEN 20 ELSE 0 END + CASE WHEN length(content) > 500 THEN 30 ELSE 0 END + CASE WHEN coalesce(author, '') <> '' THEN 10 ELSE 0 END + CASE WHEN published_at IS NOT NULL THEN 10 ELSE 0 END + CASE WHEN len(tags) > 0 THEN 10 ELSE 0 END + least({S.sql_hits('lower(content)', [(w, 5) for w in fixed.EXTRACT_WORDS])}, 20)"
 _scalar("extraction_quality", "s", S.sql_clamp(_EX), lambda: scores.extraction_quality(_c("content"), _c("title"), _c("author"), _c("published_at"), _c("tags")))
 _scalar("word_count", "n", f"len({S.sql_tokens('content')})", lambda: scores.word_count(_c("content")))
-query("language_detect")(lambda spark, sf: S.articles(spark, sf).select("id", "language", scores.detect_language(F.col("content")).alias("detected")))
+_STOPS = {k: f"len(list_filter(w, lambda x: x IN ({', '.join(map(S._q, fixed.STOP_WORDS[k]))})))" for k in fixed.LANGUAGES}
+_MOST = ", ".join(f"n_{k}" for k in fixed.LANGUAGES)
+query("language_detect", f", w AS (SELECT id, language, {S.sql_tokens('lower(substring(content, 1, 1000))')} AS w FROM articles), n AS (SELECT id, language, {', '.join(f'{v} AS n_{k}' for k, v in _STOPS.items())} FROM w) SELECT id, language, CASE WHEN greatest({_MOST}) = 0 THEN 'en' " + " ".join(f"WHEN n_{k} = greatest({_MOST}) THEN '{k}'" for k in fixed.LANGUAGES) + " END AS detected FROM n")(lambda spark, sf: S.articles(spark, sf).select("id", "language", scores.detect_language(F.col("content")).alias("detected")))
 _scalar("hash_embedding", "v", f"list_transform({_VEC.format('content')}, lambda x: round(x, 6))", lambda: F.transform(F.slice(scores.hash_embedding(_c("content")), 17, 16), lambda x: F.round(x, 6)))
 query("cosine_similarity", f"SELECT query_id, id, {_COS} AS similarity FROM {_QV}, articles_emb a WHERE content_embedding IS NOT NULL")(lambda spark, sf: M.cosine_pairs(_queries(spark, sf), S.articles_emb(spark, sf), -2.0))
 _scalar("tech_keyword_score", "s", f"round({S.sql_keyword_score(_STXT)}, 6)", lambda: F.round(scores.tech_keyword_score(_text()), 6))
@@ -441,8 +475,17 @@ def _(spark, sf):
 # -- corpus -----------------------------------------------------------------------------------------
 
 query("exact_dedup", "SELECT id, content_hash, count(*) OVER (PARTITION BY content_hash) AS copies, row_number() OVER (PARTITION BY content_hash ORDER BY crawled_at, id) > 1 AS is_duplicate FROM articles")(lambda spark, sf: M.exact_dedup(S.articles(spark, sf)))
-query("near_dup_pairs")(lambda spark, sf: M.near_dup_pairs(S.articles(spark, sf), metric="jaccard"))
-query("find_similar_content")(lambda spark, sf: M.find_similar_content(J.length_band_pairs(S.articles(spark, sf).where("id % 50 = 0"), S.articles(spark, sf), now()), S.articles(spark, sf).where("id % 50 = 0"), S.articles(spark, sf), 0.3, "jaccard"))
+_SETS = f"t AS (SELECT id, unnest(list_distinct({S.sql_tokens('lower(content)')})) AS w FROM {{0}}), s AS (SELECT id, count(*) AS n FROM t GROUP BY id)"
+query("near_dup_pairs", ", reps AS (SELECT min(id) AS id, min(content) AS content FROM articles WHERE length(content) > 200 GROUP BY content_hash), " + _SETS.format("reps") + ", p AS (SELECT x.id AS a, y.id AS b, count(*) AS k FROM t x JOIN t y ON x.w = y.w AND x.id < y.id GROUP BY 1, 2) SELECT a, b, round(k / (x.n + y.n - k), 6) AS similarity FROM p JOIN s x ON x.id = a JOIN s y ON y.id = b WHERE round(k / (x.n + y.n - k), 6) >= 0.85")(lambda spark, sf: M.near_dup_pairs(S.articles(spark, sf), metric="jaccard"))
+
+
+def _band(spark, sf):
+    probes = S.articles(spark, sf).where("id % 50 = 0")
+    return J.length_band_pairs(probes, S.articles(spark, sf), now()), probes, S.articles(spark, sf)
+
+
+query("find_similar_content", f", band AS ({_BAND}), " + _SETS.format("articles") + ", k AS (SELECT probe_id, b.id, count(y.w) AS k FROM band b JOIN t x ON x.id = probe_id LEFT JOIN t y ON y.id = b.id AND y.w = x.w GROUP BY 1, 2) SELECT probe_id, k.id, round(k / (x.n + y.n - k), 6) AS similarity FROM k JOIN s x ON x.id = probe_id JOIN s y ON y.id = k.id WHERE round(k / (x.n + y.n - k), 6) >= 0.3")(lambda spark, sf: M.find_similar_content(*_band(spark, sf), 0.3, "jaccard"))
+query("find_similar_sequence")(lambda spark, sf: M.find_similar_content(*_band(spark, sf)))
 query("score_candidates", f"SELECT seq, round({S.sql_relevance(chr(40) + 'title || chr(32) || description' + chr(41))}, 6) AS relevance_score, {S.sql_tech_relevance('title', 'description', 'domain')} AS tech_relevance_score, {S.sql_reputation('domain')} AS quality_score FROM candidates")(lambda spark, sf: _scored(spark, sf).select("seq", "relevance_score", "tech_relevance_score", "quality_score"))
 query("discovery_pipeline")(lambda spark, sf: D.discovery_pipeline(S.candidates(spark, sf), S.sources(spark, sf).where("length(id) % 2 = 0"), S.discovery_results(spark, sf).where("id % 9 = 0"), P.external_links(P.page_links(S.raw(spark, sf, "pages"))).join(S.raw(spark, sf, "pages").select("page_id", F.col("url").alias("page_url")), "page_id")))
 query("crawl_batch_pipeline")(lambda spark, sf: D.crawl_batch(S.raw(spark, sf, "pages"), _stored(spark, sf), S.content_hashes(spark, sf), now())[1])
@@ -481,7 +524,15 @@ query("stream_dedup", "SELECT DISTINCT sha256(user_id || ':' || event_type) AS c
 query("stream_hash_registry", "SELECT sha256(user_id || ':' || event_type) AS content_hash, count(*) - 1 AS duplicate_count, max(ts) AS last_seen FROM events GROUP BY 1")(lambda spark, sf: _plain(run_stream(T.hash_registry(_hash_stream(spark, sf)), "update").where("not expired").groupBy("content_hash").agg(F.max("duplicate_count").alias("duplicate_count"), F.max("last_seen").alias("last_seen")), "last_seen"))
 query("late_data", "SELECT date_trunc('day', ts) AS day, count(*) AS n FROM events GROUP BY 1")(lambda spark, sf: _plain(run_stream(T.daily_counts(T.event_time(_stream(spark, sf))), "complete"), "day"))
 query("stream_adaptive_rate")(lambda spark, sf: run_stream(T.adaptive_rate(_requests_stream(spark, sf)), "update"))
-query("adaptive_rate_batch")(lambda spark, sf: T.adaptive_rate_batch(S.request_log(spark, sf)))
+_FOLD = """, o AS (SELECT domain, status_code AS c, response_time AS t, row_number() OVER (PARTITION BY domain ORDER BY ts, event_id) AS n FROM request_log),
+f AS (SELECT DISTINCT domain, 0::BIGINT AS n, 1.0::DOUBLE AS rate, 3 AS burst, 1.0::DOUBLE AS delay, 0 AS errors FROM o UNION ALL
+SELECT f.domain, o.n, CASE WHEN c = 429 THEN greatest(rate * 0.5::DOUBLE, 0.1) WHEN c >= 500 AND errors + 1 > 5 THEN greatest(rate * 0.8::DOUBLE, 0.2) WHEN c = 200 AND t < 1 AND errors <= 1 AND rate < 2 THEN least(rate * 1.1::DOUBLE, 2.0) ELSE rate END,
+CASE WHEN c = 429 THEN greatest(burst - 1, 1) WHEN c = 200 AND t < 1 AND errors <= 1 AND rate < 2 THEN least(burst + 1, 10) ELSE burst END,
+CASE WHEN c = 429 THEN least(delay * 2, 10.0) WHEN c >= 500 AND errors + 1 > 5 THEN least(delay * 1.5::DOUBLE, 5.0) WHEN c = 200 AND t < 1 AND errors <= 1 AND rate < 2 THEN greatest(delay * 0.95::DOUBLE, 0.5) ELSE delay END,
+CASE WHEN c = 429 OR c >= 500 THEN errors + 1 WHEN c = 200 THEN greatest(errors - 1, 0) ELSE errors END
+FROM f JOIN o ON o.domain = f.domain AND o.n = f.n + 1)
+SELECT domain, arg_max(rate, n) AS rate, arg_max(burst, n) AS burst, arg_max(delay, n) AS delay, arg_max(errors, n) AS errors FROM f GROUP BY domain"""
+query("adaptive_rate_batch", _FOLD, PRELUDE.replace("WITH", "WITH RECURSIVE", 1))(lambda spark, sf: T.adaptive_rate_batch(S.request_log(spark, sf)))
 query("stream_ingest")(lambda spark, sf: run_stream(H.extract_pages(T.file_stream(spark, sf, S.raw(spark, sf, "pages").schema, "pages.parquet")), "append"))
 
 

@@ -122,9 +122,9 @@ def _op4_sql() -> str:
 WITH known AS (SELECT DISTINCT license_id, sha256(list_aggregate({lines}, 'string_agg', ' ')) AS digest FROM (VALUES {known}) AS v(license_id, text) UNION VALUES {long}),
 d AS (SELECT doc_id, {lines} AS l FROM documents), w AS (SELECT doc_id, list_aggregate(l, 'string_agg', ' ') AS t FROM d),
 o AS (SELECT doc_id, t, size, opening, string_split(t, opening) AS parts FROM w, (VALUES {openings}) AS v(opening, size) WHERE contains(t, opening)),
-q AS (SELECT doc_id, t, size, unnest(list_transform(range(1, len(parts)), lambda k: list_sum(list_transform(parts[1:k], lambda x: length(x))) + (k - 1) * length(opening) + 1))::BIGINT AS at FROM o),
+q AS (SELECT doc_id, t, size, unnest(list_transform(range(1, len(parts)), lambda k: list_sum(list_transform(parts[1:k], lambda x: length(x))) + (k - 1) * length(opening) + 1))::BIGINT AS pos FROM o),
 u AS (SELECT doc_id, unnest(l) AS c, 'line' AS kind FROM d UNION ALL SELECT doc_id, t, 'whole' FROM w
-      UNION ALL SELECT doc_id, substring(t, at, size), 'passage' FROM q WHERE (at = 1 OR substring(t, at - 1, 1) = ' ') AND (length(t) = at + size - 1 OR substring(t, at + size, 1) = ' '))
+      UNION ALL SELECT doc_id, substring(t, pos, size), 'passage' FROM q WHERE (pos = 1 OR substring(t, pos - 1, 1) = ' ') AND (length(t) = pos + size - 1 OR substring(t, pos + size, 1) = ' '))
 SELECT doc_id, license_id, count(*) FILTER (WHERE kind = 'line') AS n_lines, count(*) FILTER (WHERE kind = 'passage') AS n_passages, bool_or(kind = 'whole') AS whole_text
 FROM u JOIN known ON sha256(c) = digest GROUP BY doc_id, license_id
 """
