@@ -52,4 +52,7 @@ def list_array(values: list, sizes: list[int], kind: pa.DataType) -> pa.ListArra
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A table; one whose scan has fewer splits than there are cores (a small file of one row group) is dealt over all of them."""
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
