@@ -118,7 +118,7 @@ query("page_internal_links", _LINKS + " SELECT page_id, url, min(seq)::INT AS se
 query("page_external_links", _LINKS + " SELECT * FROM links WHERE domain <> base_domain")(lambda spark, sf: P.external_links(_page_links(spark, sf)).select(*_LINK_COLUMNS))
 query("links_to_sources", _LINKS + f" SELECT * FROM links WHERE domain <> base_domain AND {S.sql_any('domain', fixed.TECH_DOMAIN_WORDS)} AND domain NOT IN (SELECT domain FROM sources)")(lambda spark, sf: J.links_to_sources(P.external_links(_page_links(spark, sf)), S.sources(spark, sf)).select(*_LINK_COLUMNS))
 query("first_n_links", _LINKS + " SELECT * FROM links QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY seq) <= 5")(lambda spark, sf: K.top_per_group(_page_links(spark, sf), ["page_id"], [F.asc("seq")], 5).select(*_LINK_COLUMNS))
-query("extract_pages")(lambda spark, sf: H.extract_pages(S.raw(spark, sf, "pages")))
+query("extract_pages")(lambda spark, sf: H.extract_pages(S.spread(S.raw(spark, sf, "pages"))))
 for _kind in H.EXTRACTORS:
     query(f"extract_{_kind}")(lambda spark, sf, k=_kind: H.extract_pages(S.raw(spark, sf, "pages"), kind=k))
 query("clean_element")(lambda spark, sf: H.clean_elements(S.raw(spark, sf, "pages")))
@@ -268,7 +268,9 @@ _EMERGE = f"SELECT category, count(*) FILTER ({_ago('crawled_at', 7)}) AS recent
 query("emerging_categories", f"SELECT *, round((recent_count - previous_count) * 100.0::DOUBLE / previous_count, 1) AS growth_rate FROM ({_EMERGE}) WHERE recent_count > 5 AND previous_count > 0 AND (recent_count - previous_count) * 100.0 / previous_count > 50")(lambda spark, sf: A.emerging_categories(S.articles(spark, sf), now()))
 _ALERT = f"SELECT round(100.0::DOUBLE * avg(CASE WHEN status = 'completed' THEN 1.0::DOUBLE ELSE 0.0 END), 1) AS success_rate, count(*) AS total_jobs FROM crawl_jobs WHERE {_ago('started_at', 10)} HAVING count(*) > 0 AND avg(CASE WHEN status = 'completed' THEN 100.0 ELSE 0.0 END) < 80"
 query("crawl_efficiency_alert", _ALERT)(lambda spark, sf: A.crawl_efficiency_alert(S.crawl_jobs(spark, sf), now() - F.expr("interval 9 days")))
-query("insights")(lambda spark, sf: A.insights(S.sources(spark, sf), S.articles(spark, sf), S.crawl_jobs(spark, sf), now()))
+_RANKED = f"{_PER}, u AS (SELECT name, articles AS article_count, row_number() OVER (ORDER BY round(quality, 6) NULLS LAST, name) AS k FROM sa WHERE is_active AND (articles < 10 OR quality < 0.4)), e AS (SELECT *, row_number() OVER (ORDER BY recent_count DESC, category) AS k FROM (SELECT *, round((recent_count - previous_count) * 100.0::DOUBLE / previous_count, 1) AS growth_rate FROM ({_EMERGE}) WHERE recent_count > 5 AND previous_count > 0 AND (recent_count - previous_count) * 100.0 / previous_count > 50)), al AS ({_ALERT})"
+_INSIGHTS = f", {_RANKED} SELECT * FROM (SELECT 'warning' AS type, 'underperforming sources' AS title, count(*) AS size, to_json(list({{'name': name, 'article_count': article_count}} ORDER BY k) FILTER (WHERE k <= 5))::VARCHAR AS payload FROM u UNION ALL SELECT 'info', 'emerging categories', count(*), to_json(list({{'category': category, 'recent_count': recent_count, 'previous_count': previous_count, 'growth_rate': growth_rate}} ORDER BY k) FILTER (WHERE k <= 3))::VARCHAR FROM e UNION ALL SELECT 'error', 'crawl efficiency', total_jobs, to_json({{'success_rate': success_rate, 'total_jobs': total_jobs}})::VARCHAR FROM al) WHERE size > 0"
+query("insights", _INSIGHTS)(lambda spark, sf: A.insights(S.sources(spark, sf), S.articles(spark, sf), S.crawl_jobs(spark, sf).withColumn("started_at", F.col("started_at") + F.expr("interval 9 days")), now()))
 query("sources_stats", f"SELECT count(*) AS total_sources, count(*) FILTER (is_active) AS active_sources, count(*) FILTER ({_ago('last_crawled', 1)}) AS crawled_today, {_Q} AS avg_quality, count(DISTINCT category) AS categories FROM sources")(lambda spark, sf: A.sources_stats(S.sources(spark, sf), now()))
 query("sources_by_category", f"SELECT category, count(*) AS source_count, {_Q} AS avg_quality FROM sources WHERE is_active GROUP BY category")(lambda spark, sf: A.sources_by_category(S.sources(spark, sf)))
 query("articles_stats", f"SELECT count(*) AS total_articles, count(*) FILTER ({_ago('crawled_at', 1)}) AS articles_24h, count(*) FILTER ({_ago('crawled_at', 7)}) AS articles_7d, {_Q} AS avg_quality, count(DISTINCT language) AS languages FROM articles")(lambda spark, sf: A.articles_stats(S.articles(spark, sf), now()))
@@ -276,15 +278,15 @@ query("articles_by_language", "SELECT language, count(*) AS article_count FROM a
 query("hash_stats", "SELECT count(*) AS total_hashes, sum(duplicate_count)::BIGINT AS total_duplicates, round(avg(duplicate_count), 6) AS avg_duplicates_per_hash, count(*) FILTER (duplicate_count > 0) AS hashes_with_duplicates FROM content_hashes")(lambda spark, sf: A.hash_stats(S.content_hashes(spark, sf)))
 query("successful_queries", f"SELECT search_query, round(avg(tech_relevance_score), 6) AS avg_score, count(*) AS n FROM discovery_results WHERE {_ago('discovered_at', 30)} AND is_tech_relevant GROUP BY 1 HAVING count(*) >= 3 ORDER BY 2 DESC, 1 LIMIT 10")(lambda spark, sf: A.successful_queries(S.discovery_results(spark, sf), now()))
 query("duplicate_sources", "SELECT url, list(id ORDER BY created_at, id) AS ids, list(id ORDER BY created_at, id)[2:] AS redundant FROM sources_dup GROUP BY url HAVING count(*) > 1")(lambda spark, sf: A.duplicate_sources(S.sources_dup(spark, sf)))
-_OUT = "SELECT source_id, CASE status WHEN 'failed' THEN 'failed' WHEN 'pending' THEN 'duplicate' WHEN 'running' THEN 'updated' ELSE 'new' END AS outcome FROM crawl_jobs"
+_OUT = "SELECT source_id, CASE status WHEN 'failed' THEN 'failed' WHEN 'pending' THEN 'duplicate' WHEN 'running' THEN 'updated' ELSE 'new' END AS outcome, CASE WHEN status = 'failed' THEN 'error ' || id % 7 END AS error FROM crawl_jobs"
 
 
 def _runs(spark, sf):
     s = F.col("status")
-    return S.crawl_jobs(spark, sf).select("source_id", F.when(s == "failed", "failed").when(s == "pending", "duplicate").when(s == "running", "updated").otherwise("new").alias("outcome"))
+    return S.crawl_jobs(spark, sf).select("source_id", F.when(s == "failed", "failed").when(s == "pending", "duplicate").when(s == "running", "updated").otherwise("new").alias("outcome"), F.when(s == "failed", F.concat(F.lit("error "), (F.col("id") % 7).cast("string"))).alias("error"))
 
 
-query("crawl_run_stats", f"SELECT source_id, count(*) AS crawled, count(*) FILTER (outcome <> 'failed') AS processed, count(*) FILTER (outcome = 'failed') AS failed, count(*) FILTER (outcome = 'new') AS new, count(*) FILTER (outcome = 'updated') AS updated, count(*) FILTER (outcome = 'duplicate') AS duplicate FROM ({_OUT}) GROUP BY source_id")(lambda spark, sf: A.crawl_run_stats(_runs(spark, sf)))
+query("crawl_run_stats", f", o AS ({_OUT}), er AS (SELECT source_id, list(error ORDER BY n DESC, error) AS errors FROM (SELECT source_id, error, count(*) AS n FROM o WHERE error IS NOT NULL GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY count(*) DESC, error) <= 5) GROUP BY 1) SELECT source_id, coalesce(any_value(errors), []) AS errors, count(*) AS crawled, count(*) FILTER (outcome <> 'failed') AS processed, count(*) FILTER (outcome = 'failed') AS failed, count(*) FILTER (outcome = 'new') AS new, count(*) FILTER (outcome = 'updated') AS updated, count(*) FILTER (outcome = 'duplicate') AS duplicate FROM o LEFT JOIN er USING (source_id) GROUP BY source_id")(lambda spark, sf: A.crawl_run_stats(_runs(spark, sf)))
 query("rate_domain_stats", f"SELECT domain, count(*) FILTER (ts >= {NOW} - INTERVAL 60 SECOND) AS recent_requests, count(*) FILTER (status_code <> 200) AS errors, datediff('microsecond', max(ts), {NOW}) // 1000000 AS last_request_ago, count(*) AS total_requests FROM request_log GROUP BY domain")(lambda spark, sf: A.rate_domain_stats(S.request_log(spark, sf), now()))
 query("known_domains", "SELECT DISTINCT domain FROM sources WHERE is_active")(lambda spark, sf: A.known_domains(S.sources(spark, sf)))
 query("discovery_run_stats", f", c AS (SELECT url, {S.sql_category('title', 'description')} AS category, {_VALID} AS valid FROM candidates) SELECT category, count(*) AS explored, count(*) FILTER (valid) AS discovered, count(*) FILTER (valid AND url NOT IN (SELECT url FROM sources)) AS added FROM c GROUP BY category")(
@@ -326,12 +328,8 @@ _POOL = _BASE + f" SELECT DISTINCT query FROM (SELECT query FROM b UNION ALL SEL
 
 
 def _pool(spark, sf):
-    q = S.discovery_results(spark, sf).groupBy("search_query").agg(F.count("*").alias("n"))
-    # Ranks of a dozen distinct queries.
-    from pyspark.sql import Window
-
-    base = q.select((F.row_number().over(Window.orderBy("search_query")) - 1).alias("seq"), F.col("search_query").alias("query"))
-    return J.query_pool(base, base, 2024)
+    q = S.discovery_results(spark, sf).select(F.col("search_query").alias("query")).distinct()
+    return J.query_pool(q, q, 2024)
 
 
 query("query_pool", _POOL)(_pool)
@@ -384,7 +382,7 @@ _TXT = "substring(content, 1, 2000)"
 
 
 def _scalar(name: str, column: str, sql: str, make, table: str = "articles") -> None:
-    read = {"articles": S.articles, "sources": S.sources}[table]
+    read = {"articles": lambda spark, sf: S.articles(spark, sf, heavy=True), "sources": S.sources}[table]
     query(name, f"SELECT id, {sql} AS {column} FROM {table}")(lambda spark, sf: read(spark, sf).select("id", make().alias(column)))
 
 
@@ -400,7 +398,7 @@ _STXT = "('how to learn the latest api' || ' ' || content)"
 _scalar("content_hash", "h", "content_hash", lambda: _c("content_hash"))
 _scalar("url_hash", "h", "sha256(url)", lambda: scores.url_hash(_c("url")))
 _SIG = S.sql_tokens("content").replace("x <> ''", "length(x) > 3")
-query("structure_hash", f", w AS (SELECT id, {_SIG} AS w FROM articles), s AS (SELECT id, CASE WHEN len(w) > 50 THEN w[1:20] || w[len(w) // 2 - 9 : len(w) // 2 + 10] || w[-20:] ELSE w END AS w FROM w) SELECT id, md5(array_to_string(list_sort(list_distinct(w)), ' ')) AS h FROM s")(lambda spark, sf: S.articles(spark, sf).select("id", scores.structure_hash(F.col("content")).alias("h")))
+query("structure_hash", f", w AS (SELECT id, {_SIG} AS w FROM articles), s AS (SELECT id, CASE WHEN len(w) > 50 THEN w[1:20] || w[len(w) // 2 - 9 : len(w) // 2 + 10] || w[-20:] ELSE w END AS w FROM w) SELECT id, md5(array_to_string(list_sort(list_distinct(w)), ' ')) AS h FROM s")(lambda spark, sf: S.articles(spark, sf, heavy=True).select("id", scores.structure_hash(F.col("content")).alias("h")))
 _scalar("normalize_content", "t", r"regexp_replace(lower(content), '^\s+|\s+$', '', 'g')", lambda: scores.normalize(_c("content")))
 _scalar("normalize_content_intended", "t", r"""regexp_replace(lower(regexp_replace(regexp_replace(content, '\s+', ' ', 'g'), '[.,;:!?()\[\]{}"'']', '', 'g')), '^\s+|\s+$', '', 'g')""", lambda: scores.normalize(_c("content"), "intended"))
 _scalar("crawl_quality", "s", "quality_score", lambda: _c("quality_score"))
@@ -411,7 +409,16 @@ _STOPS = {k: f"len(list_filter(w, lambda x: x IN ({', '.join(map(S._q, fixed.STO
 _MOST = ", ".join(f"n_{k}" for k in fixed.LANGUAGES)
 query("language_detect", f", w AS (SELECT id, language, {S.sql_tokens('lower(substring(content, 1, 1000))')} AS w FROM articles), n AS (SELECT id, language, {', '.join(f'{v} AS n_{k}' for k, v in _STOPS.items())} FROM w) SELECT id, language, CASE WHEN greatest({_MOST}) = 0 THEN 'en' " + " ".join(f"WHEN n_{k} = greatest({_MOST}) THEN '{k}'" for k in fixed.LANGUAGES) + " END AS detected FROM n")(lambda spark, sf: S.articles(spark, sf).select("id", "language", scores.detect_language(F.col("content")).alias("detected")))
 _scalar("hash_embedding", "v", f"list_transform({_VEC.format('content')}, lambda x: round(x, 6))", lambda: F.transform(F.slice(scores.hash_embedding(_c("content")), 17, 16), lambda x: F.round(x, 6)))
-query("cosine_similarity", f"SELECT query_id, id, {_COS} AS similarity FROM {_QV}, articles_emb a WHERE content_embedding IS NOT NULL")(lambda spark, sf: M.cosine_pairs(_queries(spark, sf), S.articles_emb(spark, sf), -2.0))
+_PAIR = "round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6)"
+
+
+@query("cosine_similarity", f"SELECT a.vec_id AS id, {_PAIR} AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def _(spark, sf):
+    """Each vector against the next one."""
+    e = S.raw(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("a"))
+    return e.join(e.select((F.col("id") - 1).alias("id"), F.col("a").alias("b")), "id").select("id", F.round(scores.cosine(F.col("a"), F.col("b")), 6).alias("similarity"))
+
+
 _scalar("tech_keyword_score", "s", f"round({S.sql_keyword_score(_STXT)}, 6)", lambda: F.round(scores.tech_keyword_score(_text()), 6))
 _scalar("content_depth_score", "s", f"round({S.sql_depth(_STXT)}, 6)", lambda: F.round(scores.content_depth_score(_text()), 6))
 _scalar("language_quality_score", "s", S.sql_language(_STXT), lambda: scores.language_quality_score(_text()))
@@ -420,7 +427,7 @@ _scalar("relevance_score", "s", f"round({S.sql_relevance(_STXT)}, 6)", lambda: F
 _MATCH = "list_filter([" + ", ".join(f"CASE WHEN contains(lower({_STXT}), {S._q(k)}) THEN {S._q(k)} END" for k in fixed.TECH_WEIGHTS) + "], lambda x: x IS NOT NULL)"
 _scalar("keyword_matches", "w", f"array_to_string({_MATCH}, ',')", lambda: F.array_join(scores.keyword_matches(_text()), ","))
 query("explain_relevance", f"SELECT id, round({S.sql_keyword_score(_STXT)}, 6) AS tech_keywords_score, round({S.sql_depth(_STXT)}, 6) AS content_depth_score, {S.sql_language(_STXT)} AS language_quality_score, {S.sql_structure(_STXT)} AS structure_score, array_to_string({_MATCH}, ',') AS found, length({_STXT}) AS text_length FROM articles")(
-    lambda spark, sf: S.articles(spark, sf).select("id", scores.explain_relevance(_text()).alias("e")).select("id", F.round("e.tech_keywords_score", 6).alias("tech_keywords_score"), F.round("e.content_depth_score", 6).alias("content_depth_score"), "e.language_quality_score", "e.structure_score", F.array_join("e.tech_keywords_found", ",").alias("found"), "e.text_length")
+    lambda spark, sf: S.articles(spark, sf, heavy=True).select("id", scores.explain_relevance(_text()).alias("e")).select("id", F.round("e.tech_keywords_score", 6).alias("tech_keywords_score"), F.round("e.content_depth_score", 6).alias("content_depth_score"), "e.language_quality_score", "e.structure_score", F.array_join("e.tech_keywords_found", ",").alias("found"), "e.text_length")
 )
 query("tech_relevance", "SELECT id, tech_relevance_score FROM discovery_results")(lambda spark, sf: S.discovery_results(spark, sf).select("id", "tech_relevance_score"))
 _scalar("domain_reputation", "s", "quality_score", lambda: scores.domain_reputation(_c("domain")), "sources")
@@ -447,12 +454,12 @@ def _quality(spark, sf):
 query("domain_quality", _DQ + " SELECT domain, round(q, 6) AS quality_score FROM dq")(_quality)
 
 
-@query("source_reliability", _DQ + " SELECT domain, round((round(q, 6) + CASE WHEN last_modified IS NOT NULL THEN 0.8::DOUBLE ELSE 0.6 END + 0.7::DOUBLE + CASE WHEN html IS NULL THEN 0.5::DOUBLE WHEN contains(html, 'github.com') OR contains(html, 'stackoverflow.com') THEN 0.8 ELSE 0.6 END) / 4, 5) AS overall FROM dq")
+_ANSWER = "coalesce(https_status, http_status)"
+
+
+@query("source_reliability", _DQ.replace("html, r.last_modified", "html, r.last_modified, r.https_status, r.http_status") + f" SELECT domain, round((round(q, 6) + CASE WHEN {_ANSWER} IS NULL THEN 0.5::DOUBLE WHEN last_modified IS NOT NULL THEN 0.8 ELSE 0.6 END + 0.7::DOUBLE + CASE WHEN {_ANSWER} = 200 AND html IS NOT NULL THEN CASE WHEN contains(html, 'github.com') OR contains(html, 'stackoverflow.com') THEN 0.8::DOUBLE ELSE 0.6 END ELSE 0.5 END) / 4, 5) AS overall FROM dq")
 def _(spark, sf):
-    j = _quality(spark, sf).join(S.response_meta(spark, sf).select("domain", "last_modified"), "domain").join(_one_page(spark, sf), "domain", "left")
-    fresh = F.when(F.col("last_modified").isNotNull(), 0.8).otherwise(0.6)
-    links = F.when(F.col("html").isNull(), 0.5).when(scores.any_of(F.col("html"), ["github.com", "stackoverflow.com"]), 0.8).otherwise(0.6)
-    return j.select("domain", F.round((F.col("quality_score") + fresh + F.lit(0.7) + links) / 4, 5).alias("overall"))
+    return D.source_reliability(_quality(spark, sf).join(S.response_meta(spark, sf).select("domain", "https_status", "http_status", "last_modified"), "domain").join(_one_page(spark, sf), "domain", "left"))
 
 
 query("domain_explanation", f"SELECT id, array_to_string(list_filter([CASE WHEN {S.sql_any('domain', fixed.KNOWN_TECH_SITES)} THEN 'known site' END, CASE WHEN ends_with(domain, '.edu') OR ends_with(domain, '.org') THEN 'organization' END], lambda x: x IS NOT NULL), ',') AS factors FROM sources")(
@@ -476,7 +483,7 @@ def _(spark, sf):
 
 query("exact_dedup", "SELECT id, content_hash, count(*) OVER (PARTITION BY content_hash) AS copies, row_number() OVER (PARTITION BY content_hash ORDER BY crawled_at, id) > 1 AS is_duplicate FROM articles")(lambda spark, sf: M.exact_dedup(S.articles(spark, sf)))
 _SETS = f"t AS (SELECT id, unnest(list_distinct({S.sql_tokens('lower(content)')})) AS w FROM {{0}}), s AS (SELECT id, count(*) AS n FROM t GROUP BY id)"
-query("near_dup_pairs", ", reps AS (SELECT min(id) AS id, min(content) AS content FROM articles WHERE length(content) > 200 GROUP BY content_hash), " + _SETS.format("reps") + ", p AS (SELECT x.id AS a, y.id AS b, count(*) AS k FROM t x JOIN t y ON x.w = y.w AND x.id < y.id GROUP BY 1, 2) SELECT a, b, round(k / (x.n + y.n - k), 6) AS similarity FROM p JOIN s x ON x.id = a JOIN s y ON y.id = b WHERE round(k / (x.n + y.n - k), 6) >= 0.85")(lambda spark, sf: M.near_dup_pairs(S.articles(spark, sf), metric="jaccard"))
+query("near_dup_pairs", ", reps AS (SELECT min(id) AS id, min(content) AS content FROM articles WHERE length(content) > 200 GROUP BY content_hash), " + _SETS.format("reps") + ", p AS (SELECT x.id AS a, y.id AS b, count(*) AS k FROM t x JOIN t y ON x.w = y.w AND x.id < y.id GROUP BY 1, 2) SELECT a, b, round(k / (x.n + y.n - k), 6) AS similarity FROM p JOIN s x ON x.id = a JOIN s y ON y.id = b WHERE round(k / (x.n + y.n - k), 6) >= 0.85")(lambda spark, sf: M.near_dup_pairs(S.articles(spark, sf, heavy=True), metric="jaccard"))
 
 
 def _band(spark, sf):
@@ -488,7 +495,26 @@ query("find_similar_content", f", band AS ({_BAND}), " + _SETS.format("articles"
 query("find_similar_sequence")(lambda spark, sf: M.find_similar_content(*_band(spark, sf)))
 query("score_candidates", f"SELECT seq, round({S.sql_relevance(chr(40) + 'title || chr(32) || description' + chr(41))}, 6) AS relevance_score, {S.sql_tech_relevance('title', 'description', 'domain')} AS tech_relevance_score, {S.sql_reputation('domain')} AS quality_score FROM candidates")(lambda spark, sf: _scored(spark, sf).select("seq", "relevance_score", "tech_relevance_score", "quality_score"))
 query("discovery_pipeline")(lambda spark, sf: D.discovery_pipeline(S.candidates(spark, sf), S.sources(spark, sf).where("length(id) % 2 = 0"), S.discovery_results(spark, sf).where("id % 9 = 0"), P.external_links(P.page_links(S.raw(spark, sf, "pages"))).join(S.raw(spark, sf, "pages").select("page_id", F.col("url").alias("page_url")), "page_id")))
-query("crawl_batch_pipeline")(lambda spark, sf: D.crawl_batch(S.raw(spark, sf, "pages"), _stored(spark, sf), S.content_hashes(spark, sf), now())[1])
+
+
+def _start(spark, sf) -> D.CrawlState:
+    return D.CrawlState(_stored(spark, sf), S.content_hashes(spark, sf), S.sources(spark, sf).select("id", "last_crawled", "crawl_count", "error_count"))
+
+
+def _robots(spark, sf):
+    return S.page_hosts(spark, sf).select("domain").distinct().where(F.length("domain") % 2 == 0).withColumn("robots_txt", F.lit("User-agent: *\nDisallow: /fr/\n"))
+
+
+def _crawled(spark, sf):
+    return D.crawl_batch(S.raw(spark, sf, "pages"), _start(spark, sf), now(), _robots(spark, sf))
+
+
+#: Pages that may be fetched; every one of them has an article with text.
+_MAY = f"may AS (SELECT domain AS id, count(*) AS n FROM {_HOSTS} WHERE NOT (length(domain) % 2 = 0 AND regexp_matches(url, '^[a-z]+://[^/?#]+/fr/')) GROUP BY 1)"
+query("crawl_batch_pipeline")(lambda spark, sf: _crawled(spark, sf)[1])
+query("crawl_batch_articles")(lambda spark, sf: _crawled(spark, sf)[0].articles.select("url", "content_hash", "crawled_at"))
+query("crawl_batch_hashes")(lambda spark, sf: _crawled(spark, sf)[0].hashes)
+query("crawl_batch_sources", f", {_MAY} SELECT id, CASE WHEN n IS NOT NULL THEN {NOW} ELSE last_crawled END AS last_crawled, crawl_count + CASE WHEN n IS NOT NULL THEN 1 ELSE 0 END AS crawl_count, error_count FROM sources LEFT JOIN may USING (id)")(lambda spark, sf: _crawled(spark, sf)[0].sources)
 
 # -- streams ----------------------------------------------------------------------------------------
 
@@ -522,7 +548,17 @@ query("stream_sliding_rate", "SELECT time_bucket(INTERVAL 1 SECOND, ts) - to_sec
 query("stream_crawl_sessions", ", g AS (SELECT domain, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM request_log WINDOW w AS (PARTITION BY domain ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY domain ORDER BY ts) AS k FROM g) SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", domain, count(*) AS requests FROM s GROUP BY domain, k")(lambda spark, sf: _plain(run_stream(T.crawl_sessions(_requests_stream(spark, sf)), "complete"), "start", "end"))
 query("stream_dedup", "SELECT DISTINCT sha256(user_id || ':' || event_type) AS content_hash FROM events")(lambda spark, sf: run_stream(T.dedup(_hash_stream(spark, sf)), "append").select("content_hash"))
 query("stream_hash_registry", "SELECT sha256(user_id || ':' || event_type) AS content_hash, count(*) - 1 AS duplicate_count, max(ts) AS last_seen FROM events GROUP BY 1")(lambda spark, sf: _plain(run_stream(T.hash_registry(_hash_stream(spark, sf)), "update").where("not expired").groupBy("content_hash").agg(F.max("duplicate_count").alias("duplicate_count"), F.max("last_seen").alias("last_seen")), "last_seen"))
-query("late_data", "SELECT date_trunc('day', ts) AS day, count(*) AS n FROM events GROUP BY 1")(lambda spark, sf: _plain(run_stream(T.daily_counts(T.event_time(_stream(spark, sf))), "complete"), "day"))
+
+
+@query("late_data", "SELECT date_trunc('day', ts) AS day, count(*) AS n FROM events WHERE ts >= '2024-01-11' GROUP BY 1 HAVING date_trunc('day', any_value(ts)) + INTERVAL 2 DAY <= (SELECT max(ts) FROM events)")
+def _(spark, sf):
+    """Three files, the last one of older events: those are late and dropped, and a day comes out once the watermark has passed it."""
+    e, at = S.raw(spark, sf, "events").select("event_id", "ts"), scratch(spark)
+    for part in (e.where("ts >= '2024-01-11' and ts < '2024-01-21'"), e.where("ts >= '2024-01-21'"), e.where("ts < '2024-01-11'")):
+        part.coalesce(1).write.mode("append").parquet(at)
+    return _plain(run_stream(T.daily_counts(T.event_time(T.file_stream(spark, at, e.schema, "*.parquet", files=1))), "append").select("day", "n"), "day")
+
+
 query("stream_adaptive_rate")(lambda spark, sf: run_stream(T.adaptive_rate(_requests_stream(spark, sf)), "update"))
 _FOLD = """, o AS (SELECT domain, status_code AS c, response_time AS t, row_number() OVER (PARTITION BY domain ORDER BY ts, event_id) AS n FROM request_log),
 f AS (SELECT DISTINCT domain, 0::BIGINT AS n, 1.0::DOUBLE AS rate, 3 AS burst, 1.0::DOUBLE AS delay, 0 AS errors FROM o UNION ALL
@@ -533,11 +569,27 @@ CASE WHEN c = 429 OR c >= 500 THEN errors + 1 WHEN c = 200 THEN greatest(errors
 FROM f JOIN o ON o.domain = f.domain AND o.n = f.n + 1)
 SELECT domain, arg_max(rate, n) AS rate, arg_max(burst, n) AS burst, arg_max(delay, n) AS delay, arg_max(errors, n) AS errors FROM f GROUP BY domain"""
 query("adaptive_rate_batch", _FOLD, PRELUDE.replace("WITH", "WITH RECURSIVE", 1))(lambda spark, sf: T.adaptive_rate_batch(S.request_log(spark, sf)))
-query("stream_ingest")(lambda spark, sf: run_stream(H.extract_pages(T.file_stream(spark, sf, S.raw(spark, sf, "pages").schema, "pages.parquet")), "append"))
 
 
-@query("stream_windowed_insights", "SELECT time_bucket(INTERVAL 1 DAY, started_at) AS start, count(*) AS total_jobs, count(*) FILTER (status = 'completed') AS completed FROM crawl_jobs GROUP BY 1")
+@query("stream_ingest")
 def _(spark, sf):
-    jobs = T.event_time(_stream(spark, sf)).select("ts", (~F.col("event_type").isin("purchase", "error", "signup")).alias("done"))
-    w = jobs.withWatermark("ts", "1 day").groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("total_jobs"), F.count_if("done").alias("completed"))
-    return _plain(run_stream(w.select(F.col("window.start").alias("start"), "total_jobs", "completed"), "complete"), "start")
+    """The ingest job over a stream of pages: articles after the last batch."""
+    pages, at = S.raw(spark, sf, "pages"), scratch(spark)
+    state, _ = T.crawl_ingest(T.file_stream(spark, sf, pages.schema, "pages.parquet"), _start(spark, sf), now(), f"{at}/tables", f"{at}/checkpoint", _robots(spark, sf))
+    return state.articles.select("url", "content_hash", "crawled_at")
+
+
+@query("stream_windowed_insights", "SELECT time_bucket(INTERVAL 1 DAY, started_at) AS start, count(*) AS total_jobs, count(*) FILTER (status = 'completed') AS completed, round(count(*) FILTER (status = 'completed') * 100.0::DOUBLE / count(*), 1) AS success_rate, count(*) FILTER (status = 'completed') * 100.0 / count(*) < 80 AS alert FROM crawl_jobs GROUP BY 1")
+def _(spark, sf):
+    jobs = T.event_time(_stream(spark, sf)).select("ts", (~F.col("event_type").isin("purchase", "error", "signup")).alias("completed"))
+    return _plain(run_stream(T.job_alerts(jobs), "complete"), "start")
+
+
+def _article_stream(spark, sf):
+    """Articles as a stream of the documents file; their time is that of the crawl."""
+    return S.articles_of(T.file_stream(spark, sf, S.raw(spark, sf, "documents").schema, "documents.parquet")).withColumn("ts", F.col("crawled_at").cast("timestamp"))
+
+
+_WEEK = "time_bucket(INTERVAL 7 DAY, crawled_at, TIMESTAMP '1970-01-01')"
+query("stream_category_windows", f"SELECT {_WEEK} AS start, category, count(*) AS articles FROM articles GROUP BY 1, 2")(lambda spark, sf: _plain(run_stream(T.category_windows(_article_stream(spark, sf).select("ts", "category")), "complete"), "start"))
+query("stream_source_windows", f"SELECT {_WEEK} AS start, source_id, count(*) AS articles, round(avg(quality_score), 6) AS quality, count(*) < 10 OR avg(quality_score) < 0.4 AS underperforms FROM articles GROUP BY 1, 2")(lambda spark, sf: _plain(run_stream(T.source_windows(_article_stream(spark, sf).select("ts", "source_id", "quality_score")), "complete"), "start"))

@@ -64,3 +64,5 @@ STOP_WORDS = {
     "de": "der die das und in den von zu mit ist des im nicht ein eine auf als auch es an für dem sich aus bei".split(),
     "it": "il lo la i gli le di del della e in un una che per con non si è da al come sono più dei".split(),
 }
+#: Sites that speak for a page that links to them.
+GOOD_LINKS = ["github.com", "stackoverflow.com"]

@@ -5,7 +5,6 @@ Scores are summed in whole hundredths and divided once, so they are the same in
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -20,11 +19,6 @@ def hits(text: Column, weights: dict[str, int] | list[str], each: int = 1) -> Co
     return reduce(lambda a, b: a + b, [F.when(F.contains(text, F.lit(w)), F.lit(n)).otherwise(F.lit(0)) for w, n in pairs])
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` computed once, however often the body names it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def any_of(text: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
 
@@ -48,7 +42,7 @@ def url_hash(url: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(text, r"\s+"), lambda x: x != "")
+    return F.array_remove(F.split(text, r"\s+"), "")
 
 
 def structure_hash(text: Column) -> Column:
@@ -70,7 +64,7 @@ def normalize(text: Column, mode: str = "reference") -> Column:
 
 
 def crawl_quality(content: Column, title: Column, author: Column, published: Column) -> Column:
-    words = let(F.lower(content), lambda low: hits(low, fixed.CRAWL_WORDS, 5))
+    words = hits(F.lower(content), fixed.CRAWL_WORDS, 5)
     points = F.lit(50) + F.when(F.length(content) > 1000, 10).otherwise(0) + F.when(F.length(title) > 10, 10).otherwise(0)
     points += F.when(F.coalesce(author, F.lit("")) != "", 10).otherwise(0) + F.when(published.isNotNull(), 10).otherwise(0)
     return clamp(points + words)
@@ -121,12 +115,14 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def _whole_words(words: Column) -> Column:
-    return reduce(lambda a, b: a + b, [F.when(F.array_contains(words, k), F.lit(n // 2)).otherwise(F.lit(0)) for k, n in fixed.TECH_WEIGHTS.items()])
+# The scores below name the lowered text and its words many times. Spark computes an expression that is always evaluated once
+# for all its uses, so none of them may stand in a branch.
 
 
 def _keywords(low: Column) -> Column:
-    return F.least((hits(low, fixed.TECH_WEIGHTS) + let(tokens(low), _whole_words)) / 1000.0, F.lit(1.0))
+    whole = F.array_intersect(F.array(*[F.lit(k) for k in fixed.TECH_WEIGHTS]), tokens(low))
+    again = reduce(lambda a, b: a + b, [F.when(F.array_contains(whole, k), F.lit(n // 2)).otherwise(F.lit(0)) for k, n in fixed.TECH_WEIGHTS.items()])
+    return F.least((hits(low, fixed.TECH_WEIGHTS) + again) / 1000.0, F.lit(1.0))
 
 
 def _depth(low: Column, size: Column) -> Column:
@@ -143,36 +139,39 @@ def _structure(low: Column, size: Column) -> Column:
 
 def tech_keyword_score(text: Column) -> Column:
     """Weighted substrings, and half the weight again for whole words, over the sum of ten full weights."""
-    return let(F.lower(text), _keywords)
+    return _keywords(F.lower(text))
 
 
 def content_depth_score(text: Column) -> Column:
-    return let(F.lower(text), lambda low: _depth(low, F.length(text)))
+    return _depth(F.lower(text), F.length(text))
 
 
 def language_quality_score(text: Column) -> Column:
-    return let(F.lower(text), _language)
+    return _language(F.lower(text))
 
 
 def structure_score(text: Column) -> Column:
-    return let(F.lower(text), lambda low: _structure(low, F.length(text)))
+    return _structure(F.lower(text), F.length(text))
 
 
 def relevance_score(text: Column) -> Column:
-    """The blend of the four scores; 0 for fewer than 10 characters. The text is lowered and cut once."""
+    """The blend of the four scores; 0 for fewer than 10 characters."""
+    text = F.coalesce(text, F.lit(""))
+    low = F.lower(text)
+    blend = F.least(_keywords(low) * 0.4 + _depth(low, F.length(text)) * 0.3 + _language(low) * 0.2 + _structure(low, F.length(text)) * 0.1, F.lit(1.0))
+    return blend * F.when(F.length(strip(text)) < 10, F.lit(0.0)).otherwise(F.lit(1.0))
 
-    def blend(low: Column) -> Column:
-        return F.least(_keywords(low) * 0.4 + _depth(low, F.length(text)) * 0.3 + _language(low) * 0.2 + _structure(low, F.length(text)) * 0.1, F.lit(1.0))
 
-    return F.when(F.length(strip(F.coalesce(text, F.lit("")))) < 10, F.lit(0.0)).otherwise(let(F.lower(text), blend))
+def _contained(low: Column, words) -> Column:
+    return F.array_remove(F.array(*[F.when(F.contains(low, F.lit(k)), F.lit(k)).otherwise(F.lit("")) for k in words]), "")
 
 
 def keyword_matches(text: Column) -> Column:
-    return let(F.lower(text), lambda low: F.array_compact(F.array(*[F.when(F.contains(low, F.lit(k)), F.lit(k)) for k in fixed.TECH_WEIGHTS])))
+    return _contained(F.lower(text), fixed.TECH_WEIGHTS)
 
 
 def explain_relevance(text: Column) -> Column:
-    found = let(F.lower(text), lambda low: F.array_compact(F.array(*[F.when(F.contains(low, F.lit(k)), F.lit(k)) for k in fixed.DEPTH_WEIGHTS])))
+    found = _contained(F.lower(text), fixed.DEPTH_WEIGHTS)
     parts = [tech_keyword_score(text).alias("tech_keywords_score"), content_depth_score(text).alias("content_depth_score"), language_quality_score(text).alias("language_quality_score"), structure_score(text).alias("structure_score")]
     overall = F.least(sum(p * w for p, w in zip(parts, (0.4, 0.3, 0.2, 0.1))), F.lit(1.0))
     return F.struct(overall.alias("overall_score"), keyword_matches(text).alias("tech_keywords_found"), found.alias("quality_indicators_found"), F.length(text).alias("text_length"), *parts)

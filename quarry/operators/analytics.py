@@ -3,11 +3,13 @@ aggregate each; every time-relative one takes ``now``."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import scores
 
+from .filters import top_per_group
+
 
 def since(column: str, now: Column, interval: str) -> Column:
     return F.col(column) >= now - F.expr(f"interval {interval}")
@@ -124,11 +126,19 @@ def crawl_efficiency_alert(jobs: DataFrame, now: Column, least: float = 80.0) ->
 
 
 def insights(sources: DataFrame, articles: DataFrame, jobs: DataFrame, now: Column) -> DataFrame:
-    """(type, title, size, examples): at most one row of each kind; examples are ranked and cut before they are collected."""
+    """(type, title, size, payload): at most one row of each kind; the payload is JSON, an array of examples that are ranked and cut
+    before they are collected, or the figures of the alert."""
+
+    def listed(found: DataFrame, order: list[Column], most: int, fields: list[str], kind: str, title: str) -> DataFrame:
+        rank = F.row_number().over(Window.orderBy(*order)).alias("rank")  # over a handful of rows
+        best = found.orderBy(*order).limit(most).select(F.struct(rank, F.struct(*fields).alias("example")).alias("e"))
+        examples = best.agg(F.to_json(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["example"])).alias("payload"))
+        return examples.crossJoin(found.agg(F.count("*").alias("size"))).select(F.lit(kind).alias("type"), F.lit(title).alias("title"), "size", "payload")
+
     under, emerging, alert = underperforming_sources(sources, articles, now), emerging_categories(articles, now), crawl_efficiency_alert(jobs, now)
-    a = under.limit(5).agg(F.array_join(F.collect_list("name"), ",").alias("examples")).crossJoin(under.agg(F.count("*").alias("size"))).select(F.lit("warning").alias("type"), F.lit("underperforming sources").alias("title"), "size", "examples")
-    b = emerging.limit(3).agg(F.array_join(F.collect_list("category"), ",").alias("examples")).crossJoin(emerging.agg(F.count("*").alias("size"))).select(F.lit("info").alias("type"), F.lit("emerging categories").alias("title"), "size", "examples")
-    c = alert.select(F.lit("error").alias("type"), F.lit("crawl efficiency").alias("title"), F.col("total_jobs").alias("size"), F.col("success_rate").cast("string").alias("examples"))
+    a = listed(under, [F.asc_nulls_last("avg_quality"), F.asc("name")], 5, ["name", "article_count"], "warning", "underperforming sources")
+    b = listed(emerging, [F.desc("recent_count"), F.asc("category")], 3, ["category", "recent_count", "previous_count", "growth_rate"], "info", "emerging categories")
+    c = alert.select(F.lit("error").alias("type"), F.lit("crawl efficiency").alias("title"), F.col("total_jobs").alias("size"), F.to_json(F.struct("success_rate", "total_jobs")).alias("payload"))
     return a.unionByName(b).unionByName(c).where("size > 0")
 
 
@@ -164,10 +174,16 @@ def duplicate_sources(sources: DataFrame) -> DataFrame:
     return out.select("url", F.transform("all", lambda x: x["id"]).alias("ids"), F.transform(F.slice("all", 2, F.size("all")), lambda x: x["id"]).alias("redundant"))
 
 
-def crawl_run_stats(runs: DataFrame) -> DataFrame:
-    """runs: source_id, outcome (new, updated, duplicate, failed), error."""
+def crawl_run_stats(runs: DataFrame, most_errors: int = 5) -> DataFrame:
+    """runs: source_id, outcome (new, updated, duplicate, failed), error. ``errors`` are the most frequent distinct ones, at most
+    ``most_errors`` a source."""
     o = F.col("outcome")
-    return runs.groupBy("source_id").agg(F.count("*").alias("crawled"), F.count_if(o != "failed").alias("processed"), *[F.count_if(o == k).alias(k) for k in ("failed", "new", "updated", "duplicate")])
+    counts = runs.groupBy("source_id").agg(F.count("*").alias("crawled"), F.count_if(o != "failed").alias("processed"), *[F.count_if(o == k).alias(k) for k in ("failed", "new", "updated", "duplicate")])
+    each = runs.where("error is not null").groupBy("source_id", "error").agg(F.count("*").alias("n"))
+    best = top_per_group(each, ["source_id"], [F.desc("n"), F.asc("error")], most_errors)
+    said = best.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "error"))).alias("e"))
+    said = said.select("source_id", F.transform("e", lambda e: e["error"]).alias("errors"))
+    return counts.join(said, "source_id", "left").withColumn("errors", F.coalesce("errors", F.array().cast("array<string>")))
 
 
 def rate_domain_stats(log: DataFrame, now: Column) -> DataFrame:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions import scores
+from quarry.functions import fixed, scores
+from quarry.plans.scratch import scratch
+
+from quarry.sources.payloads import robots_allowed
 
 from . import joins, pages, writes
 from .analytics import crawl_run_stats
@@ -22,6 +27,16 @@ def domain_quality(domains: DataFrame, meta: DataFrame, html: DataFrame) -> Data
     return j.select("domain", F.round(scores.mean_of(scores.domain_reputation(F.col("domain")), technical, page), 6).alias("quality_score"))
 
 
+def source_reliability(sites: DataFrame) -> DataFrame:
+    """(domain, overall): mean of the domain's quality, freshness, author credibility (a constant) and quality of links. sites:
+    domain, quality_score, https_status, http_status, last_modified, html. Half a point where the site did not answer."""
+    status = F.coalesce("https_status", "http_status")
+    fresh = F.when(status.isNull(), 0.5).when(F.col("last_modified").isNotNull(), 0.8).otherwise(0.6)
+    good = scores.any_of(F.col("html"), fixed.GOOD_LINKS)
+    links = F.when((status == 200) & F.col("html").isNotNull(), F.when(good, 0.8).otherwise(0.6)).otherwise(0.5)
+    return sites.select("domain", F.round((F.col("quality_score") + fresh + F.lit(0.7) + links) / 4, 5).alias("overall"))
+
+
 def score_candidates(candidates: DataFrame, quality: DataFrame | None = None) -> DataFrame:
     text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit("")))
     out = candidates.withColumn("relevance_score", F.round(scores.relevance_score(text), 6)).withColumn("tech_relevance_score", scores.tech_relevance(F.col("title"), F.col("description"), F.col("domain")))
@@ -44,13 +59,38 @@ def discovery_pipeline(results: DataFrame, sources: DataFrame, stored: DataFrame
     return writes.save_discoveries(scored, stored).orderBy(F.desc("tech_relevance_score"), "url").limit(max_results)
 
 
-def crawl_batch(fetched: DataFrame, stored: DataFrame, hashes: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
-    """Fetched pages to articles and run statistics: extraction, hash, duplicate test, upsert. fetched: page_id, url, html."""
-    e = pages.extract_pages(fetched).where(F.length("content") > 0)
-    rows = e.select("url", "domain", "title", "content", scores.content_hash(F.col("content")).alias("content_hash"), "author", F.col("published_at").cast("timestamp_ntz").alias("published_at"), now.alias("crawled_at"))
-    known = rows.join(hashes.select("content_hash", F.lit(True).alias("_dup")), "content_hash", "left")
-    fresh = known.where(F.col("_dup").isNull()).drop("_dup")
-    merged = writes.upsert_articles(stored, fresh, now)
-    state = merged.select("url", "outcome")
-    runs = known.join(state, "url", "left").select(F.col("domain").alias("source_id"), F.when(F.col("_dup"), "duplicate").otherwise(F.col("outcome")).alias("outcome"), F.lit(None).cast("string").alias("error"))
-    return merged, crawl_run_stats(runs)
+class CrawlState(NamedTuple):
+    """Tables that a crawl batch reads and renews."""
+
+    articles: DataFrame
+    hashes: DataFrame
+    sources: DataFrame
+
+
+def crawl_batch(fetched: DataFrame, state: CrawlState, now: Column, robots: DataFrame | None = None) -> tuple[CrawlState, DataFrame]:
+    """One ingest job: pages that robots files allow are extracted, known contents and later copies within the batch are
+    duplicates, the others are upserted by url; then hashes, run statistics and source statistics follow. fetched: page_id,
+    url, html; robots: domain, robots_txt; sources are known by their domain.
+
+    A page without content counts as failed. The extraction is written once to the shared folder, as every table that follows
+    reads it."""
+    spark = fetched.sparkSession
+    if robots is not None:
+        hosts = fetched.select("page_id", "url", F.lower(F.try_parse_url("url", F.lit("AUTHORITY"))).alias("domain"))
+        fetched = fetched.join(robots_allowed(hosts, robots).select("url").distinct(), "url", "left_semi")
+    at = f"{scratch(spark)}/extracted"
+    e = pages.extract_pages(fetched)
+    e.select("page_id", "url", "domain", "title", "content", scores.content_hash(F.col("content")).alias("content_hash"), "author", F.col("published_at").cast("timestamp_ntz").alias("published_at")).write.parquet(at)
+    done = spark.read.parquet(at).withColumn("crawled_at", now)
+    rows = done.where(F.length("content") > 0)
+    first = rows.groupBy("content_hash").agg(F.min("page_id").alias("page_id")).join(state.hashes.select("content_hash"), "content_hash", "left_anti")
+    fresh = rows.join(first, ["content_hash", "page_id"], "left_semi")
+    merged = writes.upsert_articles(state.articles, fresh, now)
+    outcome = fresh.select("page_id", "url").join(merged.select("url", "outcome"), "url").select("page_id", "outcome")
+    failed = F.length(F.coalesce("content", F.lit(""))) == 0
+    runs = done.select("page_id", F.col("domain").alias("source_id"), failed.alias("failed")).join(outcome, "page_id", "left")
+    runs = runs.select("source_id", F.when(F.col("failed"), "failed").otherwise(F.coalesce("outcome", F.lit("duplicate"))).alias("outcome"), F.when(F.col("failed"), F.lit("no content")).alias("error"))
+    stats = crawl_run_stats(runs)
+    hashes = writes.register_hashes(state.hashes, rows.select("content_hash", F.col("page_id").alias("id"), "crawled_at", "content"))
+    ran = writes.update_source_stats(state.sources, stats, now)
+    return CrawlState(merged.drop("updated_at", "outcome"), hashes, ran), stats

@@ -75,12 +75,19 @@ def latest_per_url(articles: DataFrame) -> DataFrame:
 
 
 def rate_violations(log: DataFrame, per_second: int = 1, burst: int = 3, per_minute: int = 10) -> DataFrame:
-    """Requests with trailing counts of 1, 10 and 60 seconds and the gap since the one before; those over a limit."""
-    base = Window.partitionBy("domain").orderBy("us")
-    log = log.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    """Requests with trailing counts of 1, 10 and 60 seconds and the gap since the one before; those over a limit. Windows run
+    within a minute of a domain, which holds the requests of the minute before, too, so a busy domain is dealt over many tasks;
+    a gap over an empty minute is taken from the last request of the domain's minute before that has one."""
+    minute = 60_000_000
+    log = log.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("minute", F.floor(F.col("us") / minute))
+    both = log.select("event_id", "domain", "us", "minute", F.explode(F.array(F.lit(0), F.lit(1))).alias("later")).withColumn("at", F.col("minute") + F.col("later"))
+    base = Window.partitionBy("domain", "at").orderBy("us")
     counts = {f"in_{s}s": F.count("*").over(base.rangeBetween(-s * 1_000_000, 0)) for s in (1, 10, 60)}
-    gap = F.col("us") - F.lag("us").over(Window.partitionBy("domain").orderBy("us", "event_id"))
-    out = log.withColumns(counts).withColumn("gap_us", gap)
+    gap = F.col("us") - F.lag("us").over(Window.partitionBy("domain", "at").orderBy("us", "event_id"))
+    own = both.withColumns(counts).withColumn("gap_us", gap).where("later = 0")
+    last = log.groupBy("domain", "minute").agg(F.max("us").alias("last"))
+    last = last.select("domain", F.col("minute").alias("at"), F.lag("last").over(Window.partitionBy("domain").orderBy("minute")).alias("before"))
+    out = own.join(last, ["domain", "at"]).withColumn("gap_us", F.coalesce("gap_us", F.col("us") - F.col("before")))
     return out.where((F.col("in_1s") > per_second) | (F.col("in_10s") > burst) | (F.col("in_60s") > per_minute)).select("event_id", "domain", "in_1s", "in_10s", "in_60s", "gap_us")
 
 
@@ -102,11 +109,11 @@ def url_frontier(home: DataFrame, sitemap: DataFrame, feed: DataFrame, links: Da
 
 def query_pool(base: DataFrame, successes: DataFrame, year: int, limit: int = 20) -> DataFrame:
     """Distinct queries: base, trending, trending of the year, the first five of base with each modifier, and past
-    successes; in alphabetical order, as a draw would not repeat. base: seq, query."""
+    successes; in alphabetical order, as a draw would not repeat. base: query; its first ones are the least."""
     spark = base.sparkSession
     trend = spark.createDataFrame([(k, t) for k, t in enumerate(fixed.TRENDING)], "seq int, query string")
     dated = trend.where("seq < 5").select(F.concat("query", F.lit(f" {year}")).alias("query"))
-    both = base.where("seq < 5").select(F.explode(F.array(*[F.concat("query", F.lit(f" {m}")) for m in fixed.MODIFIERS])).alias("query"))
+    both = base.orderBy("query").limit(5).select(F.explode(F.array(*[F.concat("query", F.lit(f" {m}")) for m in fixed.MODIFIERS])).alias("query"))
     every = candidate_union(base.select("query"), trend.select("query"), dated, both, successes.select("query")).distinct()
     return every.orderBy("query").limit(limit)
 

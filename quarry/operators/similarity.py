@@ -28,6 +28,24 @@ def sequence_ratio(new: pd.Series, stored: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, a, b).ratio() if a and b else 0.0 for a, b in zip(new, stored)])
 
 
+def sequence_at_least(threshold: float) -> Callable[[Column, Column], Column]:
+    """The same, null where it is below the threshold. Two bounds of the ratio, by lengths and by counts of characters, are far
+    cheaper than the ratio itself and rule most pairs out."""
+    low = threshold - 1e-6  # ratios are rounded before they are compared
+
+    def ratio(a: str | None, b: str | None) -> float | None:
+        if not a or not b:
+            return 0.0 if low <= 0 else None
+        m = SequenceMatcher(None, a, b)
+        return m.ratio() if m.real_quick_ratio() >= low and m.quick_ratio() >= low else None
+
+    @F.pandas_udf(T.DoubleType())
+    def over(new: pd.Series, stored: pd.Series) -> pd.Series:
+        return pd.Series([ratio(a, b) for a, b in zip(new, stored)], dtype="float64")
+
+    return over
+
+
 def word_jaccard(a: Column, b: Column) -> Column:
     x, y = F.array_distinct(scores.tokens(F.lower(a))), F.array_distinct(scores.tokens(F.lower(b)))
     return F.coalesce(F.try_divide(F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))), F.lit(0.0))
@@ -36,6 +54,11 @@ def word_jaccard(a: Column, b: Column) -> Column:
 METRICS = {"sequence": sequence_ratio, "jaccard": word_jaccard}
 
 
+def _over(metric: str, threshold: float) -> Callable[[Column, Column], Column]:
+    """The metric where only values of at least the threshold are asked for."""
+    return sequence_at_least(threshold) if metric == "sequence" else METRICS[metric]
+
+
 def exact_dedup(articles: DataFrame) -> DataFrame:
     """Every article with ``is_duplicate`` (not the first of its hash). First ids are aggregated and joined back, so a
     frequent hash is spread by the skew join instead of being sorted in one task."""
@@ -140,13 +163,13 @@ def near_dup_pairs(articles: DataFrame, threshold: float = 0.85, min_length: int
 
     pairs = bucket_pairs(calls, near)
     left, right = reps.select(F.col("id").alias("a"), F.col("content").alias("x")), reps.select(F.col("id").alias("b"), F.col("content").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", F.round(METRICS[metric](F.col("y"), F.col("x")), 6).alias("similarity")).where(F.col("similarity") >= threshold)
+    return pairs.join(left, "a").join(right, "b").select("a", "b", F.round(_over(metric, threshold)(F.col("y"), F.col("x")), 6).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def find_similar_content(pairs: DataFrame, probes: DataFrame, articles: DataFrame, threshold: float = 0.85, metric: str = "sequence") -> DataFrame:
     """Length-band pairs (probe_id, id) over the threshold, best first."""
     p, a = probes.select(F.col("id").alias("probe_id"), F.col("content").alias("x")), articles.select("id", F.col("content").alias("y"))
-    scored = pairs.join(p, "probe_id").join(a, "id").withColumn("similarity", F.round(METRICS[metric](F.col("x"), F.col("y")), 6))
+    scored = pairs.join(p, "probe_id").join(a, "id").withColumn("similarity", F.round(_over(metric, threshold)(F.col("x"), F.col("y")), 6))
     return scored.where(F.col("similarity") >= threshold).select("probe_id", "id", "similarity").orderBy(F.desc("similarity"), "probe_id", "id")
 
 

@@ -20,12 +20,24 @@ def raw(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores where the scan has fewer splits than cores, as a small file of one row group has: work that takes far
+    longer than the shuffle of such a table then runs on all of them. Any larger table stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def as_of(text: str = AS_OF):
     return F.lit(text).cast("timestamp_ntz")
 
 
-def articles(spark: SparkSession, sf: str) -> DataFrame:
+def articles(spark: SparkSession, sf: str, heavy: bool = False) -> DataFrame:
+    """``heavy``: for work that takes long for each row (``spread``)."""
     d = raw(spark, sf, "documents")
+    return articles_of(spread(d) if heavy else d)
+
+
+def articles_of(d: DataFrame) -> DataFrame:
     title = F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 100)
     hours = ((F.col("doc_id") % 30) * 24 + F.col("doc_id") % 24).cast("int")
     out = d.select(

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quarry.operators.discovery import CrawlState, crawl_batch
+
 #: Default limits of a domain.
 RATE, BURST, DELAY = 1.0, 3, 1.0
 
@@ -17,8 +19,10 @@ def event_time(df: DataFrame, column: str = "ts") -> DataFrame:
     return df.withColumn(column, F.col(column).cast("timestamp"))
 
 
-def file_stream(spark: SparkSession, folder: str, schema, pattern: str | None = None) -> DataFrame:
+def file_stream(spark: SparkSession, folder: str, schema, pattern: str | None = None, files: int | None = None) -> DataFrame:
+    """Parquet files of a folder as they come in, at most ``files`` in one micro-batch."""
     reader = spark.readStream.schema(schema)
+    reader = reader.option("maxFilesPerTrigger", files) if files else reader
     return (reader.option("pathGlobFilter", pattern) if pattern else reader).parquet(folder)
 
 
@@ -41,6 +45,25 @@ def dedup(stream: DataFrame, horizon: str = "90 days", key: str = "content_hash"
     return stream.withWatermark("ts", horizon).dropDuplicatesWithinWatermark([key])
 
 
+def job_alerts(stream: DataFrame, width: str = "1 day", late: str = "1 day", least: float = 80.0) -> DataFrame:
+    """Jobs and completed ones per window; ``alert`` where too few complete. stream: ts, completed."""
+    w = stream.withWatermark("ts", late).groupBy(F.window("ts", width)).agg(F.count("*").alias("total_jobs"), F.count_if("completed").alias("completed"))
+    rate = F.col("completed") * 100.0 / F.col("total_jobs")
+    return w.select(F.col("window.start").alias("start"), "total_jobs", "completed", F.round(rate, 1).alias("success_rate"), (rate < least).alias("alert"))
+
+
+def category_windows(stream: DataFrame, width: str = "7 days", late: str = "1 day") -> DataFrame:
+    """Articles of a category per window, from which growth over the window before is read. stream: ts, category."""
+    w = stream.withWatermark("ts", late).groupBy(F.window("ts", width), "category").agg(F.count("*").alias("articles"))
+    return w.select(F.col("window.start").alias("start"), "category", "articles")
+
+
+def source_windows(stream: DataFrame, width: str = "7 days", late: str = "1 day", few: int = 10, low: float = 0.4) -> DataFrame:
+    """Articles and mean quality of a source per window, and whether it falls short. stream: ts, source_id, quality_score."""
+    w = stream.withWatermark("ts", late).groupBy(F.window("ts", width), "source_id").agg(F.count("*").alias("articles"), F.avg("quality_score").alias("quality"))
+    return w.select(F.col("window.start").alias("start"), "source_id", "articles", F.round("quality", 6).alias("quality"), ((F.col("articles") < few) | (F.col("quality") < low)).alias("underperforms"))
+
+
 def daily_counts(stream: DataFrame, late: str = "1 day") -> DataFrame:
     """Counts a day; rows later than the watermark are dropped and show in the query's progress."""
     w = stream.withWatermark("ts", late).groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("n"))
@@ -130,20 +153,25 @@ def adaptive_rate_batch(log: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, LIMITS)
 
 
-def drain(stream: DataFrame, name: str, mode: str, checkpoint: str | None = None) -> DataFrame:
-    """Run a stream over what is there and return the rows of its memory sink; for tests and small tables only."""
-    writer = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    writer.start().awaitTermination()
-    return stream.sparkSession.table(name)
+def crawl_ingest(stream: DataFrame, start: CrawlState, now: Column, path: str, checkpoint: str, robots: DataFrame | None = None) -> tuple[CrawlState, DataFrame]:
+    """The ingest job on a stream of fetched pages: each micro-batch is one crawl batch over the tables that the one before left.
+    Tables are written under the number of their batch, so one that is run again replaces its own. Returns the last tables and
+    the run statistics of all batches."""
+    spark = stream.sparkSession
 
-
-def to_table(stream: DataFrame, path: str, checkpoint: str, body=None) -> None:
-    """Process new files once: each micro-batch goes through ``body`` and is appended to a Parquet table under its own
-    folder, so a batch that is run again replaces itself."""
+    def tables(number: int) -> CrawlState:
+        return CrawlState(*[spark.read.schema(t.schema).parquet(f"{path}/state={number}/{name}") for name, t in start._asdict().items()])
 
     def write(batch: DataFrame, number: int) -> None:
-        (body(batch) if body else batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        new, stats = crawl_batch(batch, tables(number - 1), now, robots)
+        for name, t in new._asdict().items():
+            t.write.mode("overwrite").parquet(f"{path}/state={number}/{name}")
+        stats.write.mode("overwrite").parquet(f"{path}/runs/batch={number}")
+
+    for name, t in start._asdict().items():
+        t.write.mode("ignore").parquet(f"{path}/state=-1/{name}")
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    last = max((p["batchId"] for p in query.recentProgress if p["numInputRows"]), default=-1)
+    runs = f"{path}/runs"
+    return tables(last), spark.read.parquet(runs) if last >= 0 else spark.createDataFrame([], "source_id string, crawled long, batch int")
