@@ -167,9 +167,9 @@ def repeated_substrings(docs: DataFrame, window: int = 35, doc_id: str = "doc_id
     """(doc_id, n_words, n_removed, kept_text) for each row: the text without the words of windows
     whose sequence also starts anywhere else."""
     tables = Tables(docs.sparkSession)
-    # Rows are told apart by doc_id and a hash of id and text, so null and repeated ids need no care.
-    own = F.xxhash64(F.col(doc_id), F.col(text))
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("k1"), own.alias("k2"))
+    # Rows are told apart by doc_id, or a hash of the text in its place, and another hash of the text.
+    own = F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(F.col(text)))
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), own.alias("k1"), F.hash(F.col(text)).alias("k2"))
 
     def pick(batches):
         for batch in batches:
@@ -178,12 +178,12 @@ def repeated_substrings(docs: DataFrame, window: int = 35, doc_id: str = "doc_id
             found = picks(words, window)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(one), pa.array(two), pa.array(np.diff(words.first)), _lists([w for w, _ in found], pa.int32()), _lists([k for _, k in found], pa.int64())], names=["k1", "k2", "d1", "d2", "n", "at", "keys"])
 
-    seen = tables.keep(source.select("k1", "k2", "text").mapInArrow(pick, "k1 long, k2 long, d1 long, d2 long, n long, at array<int>, keys array<long>"), "picks")
+    seen = tables.keep(source.select("k1", "k2", "text").mapInArrow(pick, "k1 long, k2 int, d1 long, d2 long, n long, at array<int>, keys array<long>"), "picks")
     each = seen.select("k1", "k2", F.posexplode("keys").alias("i", "key")).where("key <> 0")
     alone = each.groupBy("key").agg(F.count("*").alias("c"), F.min("k1").alias("k1"), F.min("k2").alias("k2"), F.min("i").alias("i")).where("c = 1")
-    copies = seen.groupBy("d1", "d2").agg(F.count("*").alias("copies"), F.min("k2").alias("rep"))
-    copied = join_few(seen.select("k1", "k2", "d1", "d2"), copies.where("copies > 1"), ["d1", "d2"], "k2").where("copies is not null")
-    marks = alone.select("k1", "k2", "i", F.lit(None).cast("boolean").alias("first")).unionByName(copied.select("k1", "k2", F.lit(None).cast("int").alias("i"), (F.col("k2") == F.col("rep")).alias("first")))
+    copies = seen.groupBy("d1", "d2").agg(F.count("*").alias("copies"), F.min("k1").alias("rep"))
+    copied = join_few(seen.select("k1", "k2", "d1", "d2"), copies.where("copies > 1"), ["d1", "d2"], "k1").where("copies is not null")
+    marks = alone.select("k1", "k2", "i", F.lit(None).cast("boolean").alias("first")).unionByName(copied.select("k1", "k2", F.lit(None).cast("int").alias("i"), (F.col("k1") == F.col("rep")).alias("first")))
     info = marks.groupBy("k1", "k2").agg(F.collect_list("i").alias("once"), F.max("first").alias("first"))
     rows = seen.drop("d1", "d2", "keys").join(info, ["k1", "k2"], "left")
 
@@ -204,7 +204,7 @@ def repeated_substrings(docs: DataFrame, window: int = 35, doc_id: str = "doc_id
                 b.append(stop[keep])
             yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array([x is not None for x in first]), _lists(a, pa.int32()), _lists(b, pa.int32())], names=["k1", "k2", "copied", "a", "b"])
 
-    asked = rows.select("k1", "k2", "n", "at", "once", "first").mapInArrow(candidates, "k1 long, k2 long, copied boolean, a array<int>, b array<int>").where("copied or size(a) > 0")
+    asked = rows.select("k1", "k2", "n", "at", "once", "first").mapInArrow(candidates, "k1 long, k2 int, copied boolean, a array<int>, b array<int>").where("copied or size(a) > 0")
     # Equal rows have equal answers, so one will do.
     asked = tables.keep(asked.dropDuplicates(["k1", "k2"]), "candidates")
     tables.drop(seen)
@@ -257,7 +257,7 @@ def repeated_substrings(docs: DataFrame, window: int = 35, doc_id: str = "doc_id
             total = np.concatenate([[0], np.cumsum(~keep)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(words.first)), pa.array(total[words.first[1:]] - total[words.first[:-1]]), _joined(words, keep)], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
-    spelled = held.select("k1", "k2", "text", "a", "b").where("size(a) > 0").mapInArrow(sequences, "h1 long, h2 int, k1 long, k2 long, place int")
+    spelled = held.select("k1", "k2", "text", "a", "b").where("size(a) > 0").mapInArrow(sequences, "h1 long, h2 int, k1 long, k2 int, place int")
     single = spelled.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.min("k1").alias("k1"), F.min("k2").alias("k2"), F.min("place").alias("place")).where("c = 1")
     single = single.groupBy("k1", "k2").agg(F.collect_list("place").alias("single"))
     ready = held.join(single, ["k1", "k2"], "left").select("doc_id", "text", "copied", "a", "b", "single")
