@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 ``documents``. ``run`` writes what a stage returns as Parquet and reads it again for the next one.
-Stages keep every document that they have no reason to drop; null texts fail the quality rules.
+Stages keep every document that they have no reason to drop; null texts fail the quality rules. Columns other than those of
+``documents`` are left behind; empty tables pass through all stages.
 """
 
 from __future__ import annotations
@@ -27,11 +28,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least doc_id of each group that links of 0.8 or more 5-word Jaccard similarity make; of
-    rows with one doc_id, one stays."""
+    rows with one doc_id, one stays. Rows without doc_id stand behind all others, told apart by their texts."""
     prepare(spark)
-    groups = ngramjoin.jaccard_components(docs, n=5, percent=80)
-    first = groups.where("component_id = doc_id").select("doc_id")
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(COLUMNS)
+    names = F.lit(1 << 62).bitwiseOR(F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)))
+    docs = docs.select(COLUMNS).withColumn("_row", F.coalesce(F.col("doc_id").cast("long"), names))
+    groups = ngramjoin.jaccard_components(docs, n=5, percent=80, doc_id="_row")
+    first = groups.where("component_id = doc_id").select(F.col("doc_id").alias("_row"))
+    return docs.join(first, "_row", "left_semi").dropDuplicates(["_row"]).select(COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
