@@ -141,6 +141,15 @@ def _(spark, sf):
     return spark.read.schema(out.schema).json(at)
 
 
+@query("export_range", "SELECT id, url, crawled_at::DATE AS day FROM articles WHERE crawled_at >= '2024-01-05' AND crawled_at < '2024-01-12'")
+def _(spark, sf):
+    """A week, written as CSV and read again."""
+    at = scratch(spark)
+    out = S.articles(spark, sf).select("id", "url", F.to_date("crawled_at").alias("day"), "crawled_at")
+    P.export_table(out, at, "csv", since="2024-01-05", until="2024-01-12", drop=["crawled_at"])
+    return spark.read.schema(out.drop("crawled_at").schema).csv(at, header=True)
+
+
 # -- filters ----------------------------------------------------------------------------------------
 
 _ART = "id, url, title, category, quality_score, crawled_at"
@@ -227,6 +236,7 @@ query("cosine_pairs", f"SELECT * FROM (SELECT query_id, id, {_COS} AS similarity
 query("semantic_search", f", f AS (SELECT query_id, id, title, content, {_COS} AS similarity FROM {_QV}, articles_emb a WHERE content_embedding IS NOT NULL) SELECT query_id, id, title, similarity, CASE WHEN length(content) > 500 THEN substring(content, 1, 500) || '...' ELSE content END AS preview FROM f WHERE similarity >= 0.1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) <= 10")(
     lambda spark, sf: M.semantic_search(_queries(spark, sf), S.articles_emb(spark, sf), 10, 0.1)
 )
+query("semantic_search_index")(lambda spark, sf: M.index_search(_queries(spark, sf), S.articles_emb(spark, sf)))
 _VECTOR = [((7 * k) % 13 - 6) / 10 for k in range(64)]
 query("topk_similarity", f"SELECT id, {_COS} AS similarity FROM (SELECT {_VECTOR} AS embedding) q, articles_emb a WHERE content_embedding IS NOT NULL ORDER BY similarity DESC, id LIMIT 10")(lambda spark, sf: M.topk_similarity(S.articles_emb(spark, sf), _VECTOR))
 _NEAR = _COS.replace("q.embedding", "q.content_embedding")

@@ -144,10 +144,16 @@ def robots_allowed(urls: DataFrame, robots: DataFrame, agent: str = "*") -> Data
     return urls.select("url", "domain").join(robots.select("domain", "robots_txt"), "domain", "left").select("url", "domain", "robots_txt").mapInPandas(run, "url string, domain string")
 
 
-def export_table(df: DataFrame, path: str, kind: str = "json") -> None:
-    """Write a table as JSON lines or CSV; arrays become JSON text in CSV."""
+def export_table(df: DataFrame, path: str, kind: str = "json", since: str | None = None, until: str | None = None, time: str = "crawled_at", drop: list[str] | None = None) -> None:
+    """Write a table as JSON lines or CSV, the rows whose ``time`` lies from ``since`` on and before ``until`` where these are given;
+    arrays become JSON text in CSV. The filter reaches the scan."""
     if kind not in ("json", "csv"):
         raise ValueError("json or csv")
+    if since is not None:
+        df = df.where(F.col(time) >= F.lit(since).cast("timestamp_ntz"))
+    if until is not None:
+        df = df.where(F.col(time) < F.lit(until).cast("timestamp_ntz"))
+    df = df.drop(*(drop or []))
     if kind == "csv":
         nested = [f.name for f in df.schema if f.dataType.typeName() in ("array", "map", "struct")]
         df = df.withColumns({c: F.to_json(c) for c in nested})

@@ -209,3 +209,44 @@ def test_export(spark, tmp_path):
     payloads.export_table(df, str(tmp_path / "j"), "json")
     assert spark.read.csv(str(tmp_path / "c"), header=True).first().tags == '["a"]'
     assert spark.read.json(str(tmp_path / "j")).first().tags == ["a"]
+
+
+def test_index_finds_what_a_full_search_finds(spark):
+    sf = "/root/testdata/sf0.01"
+    queries, articles = catalog._queries(spark, sf), catalog.S.articles_emb(spark, sf)
+    exact = {(r.query_id, r.id) for r in similarity.cosine_pairs(queries, articles, -2.0, 10).collect()}
+    found = similarity.index_search(queries, articles, 10).collect()
+    assert len(exact & {(r.query_id, r.id) for r in found}) >= 0.9 * len(exact)
+    whole = similarity.index_search(queries, articles, 10, probes=similarity.INDEX_LISTS).collect()
+    assert {(r.query_id, r.id) for r in whole} == exact
+
+
+def test_sequence_bounds_lose_nothing(spark):
+    r = random.Random(5)
+    texts = ["".join(r.choice("abcd ") for _ in range(60)) for _ in range(6)]
+    rows = []
+    for k in range(200):
+        t = list(r.choice(texts))
+        for _ in range(r.randrange(0, 14)):
+            t[r.randrange(len(t))] = r.choice("abcdx")
+        rows.append((k, r.choice(texts), "".join(t)))
+    df = spark.createDataFrame(rows + [(900, "", "a"), (901, None, "b")], "id int, a string, b string")
+    both = df.select("id", F.round(similarity.sequence_ratio("a", "b"), 6).alias("x"), F.round(similarity.sequence_at_least(0.85)("a", "b"), 6).alias("y")).collect()
+    assert {r.id: r.x for r in both if r.x >= 0.85} == {r.id: r.y for r in both if r.y is not None and r.y >= 0.85}
+
+
+def test_declared_tables(spark, tmp_path):
+    from quarry.sources import tables
+
+    out = catalog.S.crawl_jobs(spark, "/root/testdata/sf0.001")
+    out.drop("status").write.parquet(str(tmp_path / "jobs"))
+    got = tables.read_files(spark, "crawl_jobs", str(tmp_path / "jobs"))
+    assert got.columns == ["id", "source_id", "status", "started_at"] and got.where("status is not null").count() == 0 and got.count() == out.count()
+    options = tables.jdbc_options("articles", "jdbc:postgresql://db/content", "0", "1000000", 32, user="reader")
+    assert options["partitionColumn"] == "id" and options["numPartitions"] == "32" and options["user"] == "reader"
+    with pytest.raises(ValueError):
+        tables.jdbc_options("articles", "jdbc:x", "0", "1", 0)
+    for name in tables.SCHEMAS:  # the derived tables have the declared columns and types
+        have = {f.name: f.dataType.simpleString() for f in getattr(catalog.S, name)(spark, "/root/testdata/sf0.001").schema}
+        for f in tables.schema(name):
+            assert have[f.name] == f.dataType.simpleString(), (name, f.name)
