@@ -257,7 +257,8 @@ def repeated_substrings(docs: DataFrame, window: int = 35, doc_id: str = "doc_id
             total = np.concatenate([[0], np.cumsum(~keep)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(words.first)), pa.array(total[words.first[1:]] - total[words.first[:-1]]), _joined(words, keep)], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
-    spelled = held.select("k1", "k2", "text", "a", "b").where("size(a) > 0").mapInArrow(sequences, "h1 long, h2 int, k1 long, k2 int, place int")
+    # All columns, as below: so Spark deals the texts once for both uses.
+    spelled = held.mapInArrow(sequences, "h1 long, h2 int, k1 long, k2 int, place int")
     single = spelled.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.min("k1").alias("k1"), F.min("k2").alias("k2"), F.min("place").alias("place")).where("c = 1")
     single = single.groupBy("k1", "k2").agg(F.collect_list("place").alias("single"))
     ready = held.join(single, ["k1", "k2"], "left").select("doc_id", "text", "copied", "a", "b", "single")
