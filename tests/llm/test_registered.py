@@ -131,11 +131,12 @@ def test_op9(spark, got, docs):
     assert len(rows) == len(docs)
     for _, _, score, predicted in rows:
         assert 0 <= score <= 1 and predicted == int(score >= 0.5)
-    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
-    seen = [(p, labels[d]) for d, held, _, p in rows if not held and d in labels]
-    # So few rows teach few words; what is called toxic must be so.
-    assert sum(p == y for p, y in seen) >= 0.8 * len(seen)
-    assert sum(p and y for p, y in seen) >= 0.9 * sum(p for p, _ in seen) > 0
+    # The next larger table has rows enough to learn from; what is called toxic must be so.
+    sf = SF.replace("0.001", "0.01")
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    seen = [(r.predicted, labels[r.doc_id]) for r in registry.op9_toxicity(spark, sf).collect() if r.doc_id in labels]
+    right = sum(p and y for p, y in seen)
+    assert right >= 0.95 * sum(p for p, _ in seen) and right >= 0.5 * sum(y for _, y in seen) > 0
 
 
 def test_op10(got, docs):
