@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, htmlblocks, licenses, ngramjoin, pii, quality, substrings, tokencount, toxicity
+from . import bpe, decontaminate, dualtree, htmlblocks, licenses, linededup, ngramjoin, periodic, pii, quality, substrings, tokencount, toxicity
 from .chunks import prepare, read
 
 
@@ -79,9 +79,49 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def _repeated_tail(doc_id: Column, text: Column) -> Column:
+    """Of every tenth document, by the crc32 of its id, a text whose words from one place on repeat a period; other texts as they are."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g, n, words = F.floor(h / 10), F.size("_words"), F.col("_words")
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    moved = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.element_at(words, (F.when(i < a, i).otherwise(a + (i - a) % p) + 1).cast("int")))
+    return F.when((h % 10 == 0) & (n > 0), F.array_join(moved, " ")).otherwise(text)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document, and the digest of the text without their repeated periods."""
+    prepare(spark)
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    asked = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
+    docs = docs.withColumn("_words", F.when(asked, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
+    found = periodic.find_runs(docs.select("doc_id", _repeated_tail(F.col("doc_id"), F.col("text")).alias("text")))
+    best = F.col("best")
+    return found.select("doc_id", "runs", "kept_text", periodic.longest(F.col("runs")).alias("best")).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-best["back"]).alias("start"), best["length"].alias("length"), (-best["small"]).alias("period"),
+        F.floor(1000 * best["length"] / -best["small"]).alias("exponent_milli"), F.sha2(periodic.written(F.col("runs")), 256).alias("runs_sha256"), F.sha2("kept_text", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each benchmark item."""
+    prepare(spark)
+    return dualtree.search(read(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=10)
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without lines that three or more documents hold, but for the one of largest doc_id."""
+    kept = linededup.drop_repeated_lines(read(spark, sf_dir, "documents"), min_chars=20, min_docs=3)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_pii, op3_byte_bpe, op4_license_scan, op5_ngram_jaccard, op6_main_text, op7_decontamination, op8_token_counts, op9_toxicity, op10_quality_rules)
-}
+    f.__name__: f
+    for f in (
+        op1_substring_dedup, op2_pii, op3_byte_bpe, op4_license_scan, op5_ngram_jaccard, op6_main_text, op7_decontamination, op8_token_counts, op9_toxicity, op10_quality_rules,
+        op11_periodic_runs, op12_lexical_search, op13_line_dedup,
+    )
+}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 #: Base counts in DuckDB: lists of words and lines, windows numbered and grouped within a document.
@@ -130,4 +170,30 @@ FROM u JOIN known ON sha256(c) = digest GROUP BY doc_id, license_id
 """
 
 
-ORACLES: dict[str, str] = {"op4_license_scan": _op4_sql(), "op10_quality_rules": OP10_SQL}
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+#: Scores of all pairs of an item and a document that share a term.
+OP12_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+s AS (SELECT r, doc_id, len(w)::BIGINT AS n, w FROM d WHERE len(w) > 0), g AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM s),
+i AS (SELECT row_number() OVER () AS q, item_id, {_TERMS} AS w FROM benchmark),
+qt AS (SELECT q, item_id, t, count(*)::BIGINT AS k FROM (SELECT q, item_id, unnest(w) AS t FROM i) GROUP BY ALL),
+tf AS (SELECT r, t, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS t FROM s) WHERE t IN (SELECT t FROM qt) GROUP BY ALL),
+w AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, g GROUP BY t, docs),
+c AS (SELECT r, t, (1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms)) AS c FROM tf JOIN s USING (r), g),
+x AS (SELECT q, item_id, r, sum(k * w * c)::BIGINT AS score FROM qt JOIN w USING (t) JOIN c USING (t) GROUP BY ALL)
+SELECT item_id, rank, doc_id, score FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id)::INTEGER AS rank FROM x JOIN s USING (r) WHERE score > 0) WHERE rank <= 10
+"""
+
+#: Keys of lines, how many rows hold each, and the lines that stay in their order.
+OP13_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+e AS (SELECT r, doc_id, unnest(l) AS line, unnest(range(len(l))) AS pos FROM d),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM e),
+m AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT r) >= 3),
+x AS (SELECT k.*, m.key IS NOT NULL AND k.doc_id IS DISTINCT FROM m.keeper AS gone FROM k LEFT JOIN m USING (key))
+SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM x GROUP BY r
+"""
+
+ORACLES: dict[str, str] = {"op4_license_scan": _op4_sql(), "op10_quality_rules": OP10_SQL, "op12_lexical_search": OP12_SQL, "op13_line_dedup": OP13_SQL}

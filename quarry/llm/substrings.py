@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Tables, join_few
-from .words import Words, _powers, mix
+from .words import Words, _powers, joined_words, mix
 
 ROUNDS = 4
 FAR = 1 << 40
@@ -129,10 +129,24 @@ def picks(words: Words, window: int, rounds: int = ROUNDS) -> list[tuple[np.ndar
 
 
 def _digests(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of each document's word sequence."""
-    a, b = words.first[:-1], words.first[1:]
-    one, two = _running(words.hash, 0), _running(words.hash2, 1)
-    return span_hashes(*one, a, b).view(np.int64), span_hashes(*two, a, b).view(np.int64)
+    """Two hashes of each document's word sequence: sums of its words' hashes mixed with their places."""
+    sizes = np.diff(words.first)
+    place = mix((np.arange(len(words.hash)) - np.repeat(words.first[:-1], sizes) + 1).astype(np.uint64))
+    out = []
+    for h, seed in ((words.hash, STEP_NAME), (words.hash2, ~STEP_NAME)):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h + place * seed), dtype=np.uint64)])
+        out.append(mix(total[words.first[1:]] - total[words.first[:-1]] + sizes.astype(np.uint64)).view(np.int64))
+    return out[0], out[1]
+
+
+def window_names(words: np.ndarray, window: int, seed: np.uint64) -> np.ndarray:
+    """A hash of the ``window`` words from each word on: names of 2, 4, 8, ... words, each mixed from two of half its length,
+    and two of those, overlapping, for the window."""
+    name, size = mix(words ^ seed), 1
+    while 2 * size <= window:
+        name = mix(name[: max(0, len(name) - size)] * STEP_NAME + (name[size:] ^ seed))
+        size *= 2
+    return mix(name[: max(0, len(words) - window + 1)] * STEP_NAME + mix(name[window - size :] ^ seed))
 
 
 def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
@@ -140,27 +154,10 @@ def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else np.zeros(0), type=kind))
 
 
-def _joined(words: Words, keep: np.ndarray) -> pa.StringArray:
+def _joined(words: Words, keep: np.ndarray) -> pa.Array:
     """The kept words of each document joined by one blank."""
-    s, e = words.start[keep], words.end[keep]
-    size = e - s + 1
-    stop = np.cumsum(size)
-    out = np.full(int(stop[-1]) if len(stop) else 0, 0x20, dtype=np.uint8)
     counts = np.add.reduceat(np.append(keep.astype(np.int64), 0), np.minimum(words.first[:-1], len(keep))) * (np.diff(words.first) > 0)
-    step = 1 << 16
-    for k in range(0, len(s), step):
-        a, z, b = s[k : k + step], size[k : k + step], stop[k : k + step]
-        base = b[0] - z[0]
-        at = np.arange(base, b[-1]) - np.repeat(b - z, z)
-        body = at < np.repeat(z - 1, z)
-        out[base : b[-1]][body] = words.data[(np.repeat(a, z) + at)[body]]
-    ends = np.concatenate([[0], np.cumsum(counts)])
-    byte_at = np.concatenate([[0], stop])[ends]
-    # Each document's last blank goes.
-    drop = byte_at[1:][counts > 0] - 1
-    out = np.delete(out, drop)
-    offsets = byte_at - np.concatenate([[0], np.cumsum(counts > 0)])
-    return pa.StringArray.from_buffers(len(counts), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out))
+    return joined_words(words.data, words.start[keep], words.end[keep], counts)
 
 
 def repeated_substrings(docs: DataFrame, window: int = 35, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -230,8 +227,8 @@ def repeated_substrings(docs: DataFrame, window: int = 35, doc_id: str = "doc_id
                     who.append(np.full(len(p), k, dtype=np.int64))
                     place.append(p)
             at, who = np.concatenate(at), np.concatenate(who)
-            one = span_hashes(*_running(words.hash, 0), at, at + window).view(np.int64)
-            two = (span_hashes(*_running(words.hash2, 1), at, at + window) >> np.uint64(33)).astype(np.int32)
+            one = window_names(words.hash, window, STEP_NAME)[at].view(np.int64)
+            two = (window_names(words.hash2, window, ~STEP_NAME)[at] >> np.uint64(33)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(k1[who]), pa.array(k2[who]), pa.array(np.concatenate(place).astype(np.int32))], names=["h1", "h2", "k1", "k2", "place"])
 
     def without(batches):

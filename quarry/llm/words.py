@@ -1,11 +1,14 @@
 """Word hashes of an Arrow batch, in numpy over the UTF-8 bytes.
 
-A word is a run of bytes other than blank and ``\\t\\n\\x0b\\x0c\\r``. Its hash is a polynomial of its
-bytes modulo 2**64, from differences of one running sum, so no Python object is made per word.
+A word is a run of bytes other than blank and ``\\t\\n\\x0b\\x0c\\r``, or other than those that the caller names. Its hash
+mixes eight bytes after another, so words of one pattern, however regular, do not share hashes, and no Python object
+is made per word.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 
@@ -13,8 +16,10 @@ SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-#: Bytes handled at once; temporary arrays take some 60 times as much.
+#: Bytes handled at once; temporary arrays take some 20 times as much.
 STEP = 1 << 18
+#: Bytes from which a word is hashed by the library, on its own.
+LONG = 512
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -40,11 +45,36 @@ def _powers(k: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[k]
 
 
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: int) -> list[np.ndarray]:
+    """``hashes`` (one or two) unlike hashes of each ``data[start:end]``."""
+    room = np.zeros(len(data) + 8, dtype=np.uint8)
+    room[: len(data)] = data
+    eight = np.ndarray(shape=(len(data) + 1,), dtype="<u8", buffer=room.data, strides=(1,))
+    size = end - start
+    out = [size.astype(np.uint64) * BASES[1 - k] + BASES[k] for k in range(hashes)]
+    rest = np.flatnonzero(size < LONG)
+    j = 0
+    while rest.size:
+        left = size[rest] - j
+        part = eight[start[rest] + j]
+        short = np.flatnonzero(left < 8)
+        part[short] &= (np.uint64(1) << (8 * left[short]).astype(np.uint64)) - np.uint64(1)
+        for k in range(hashes):
+            out[k][rest] = mix(out[k][rest] ^ part) * BASES[k] + np.uint64(1)
+        rest = rest[left > 8]
+        j += 8
+    for i in np.flatnonzero(size >= LONG).tolist():
+        digest = blake2b(data[start[i] : end[i]].tobytes(), digest_size=16).digest()
+        for k in range(hashes):
+            out[k][i] = int.from_bytes(digest[8 * k : 8 * k + 8], "little")
+    return [mix(h) for h in out]
+
+
 class Words:
     """Words of a batch: ``hash`` and ``start``/``end`` (byte offsets into ``data``) of each word, and
     ``first``, the index of each document's first word with the total behind."""
 
-    def __init__(self, texts: pa.Array, lower: bool = False, hashes: int = 1):
+    def __init__(self, texts: pa.Array, lower: bool = False, hashes: int = 1, separator: np.ndarray = SEPARATOR):
         if texts.null_count:
             texts = texts.fill_null("")
         n = len(texts)
@@ -58,13 +88,13 @@ class Words:
         while a < len(raw):
             b = min(a + STEP, len(raw))
             while b < len(raw):  # on to the end of the word
-                stop = np.flatnonzero(SEPARATOR[raw[b : b + STEP]])
+                stop = np.flatnonzero(separator[raw[b : b + STEP]])
                 if stop.size:
                     b += int(stop[0])
                     break
                 b = min(b + STEP, len(raw))
             part = raw[a:b]
-            word = ~SEPARATOR[part]
+            word = ~separator[part]
             begins = word.copy()
             begins[1:] &= ~word[:-1]
             closes = word.copy()
@@ -73,13 +103,8 @@ class Words:
             begins[cut] = word[cut]
             closes[cut - 1] = word[cut - 1]
             s, e = np.flatnonzero(begins), np.flatnonzero(closes) + 1
-            value = (LOWER[part] if lower else part).astype(np.uint64) + np.uint64(1)
-            size = (e - s).astype(np.uint64)
-            for k in range(hashes):
-                up, down = _powers(k, len(part) + 1)
-                total = np.zeros(len(part) + 1, dtype=np.uint64)
-                np.cumsum(value * up[: len(part)], out=total[1:])
-                found[k].append(mix((total[e] - total[s]) * down[s] + size * np.uint64(0x632BE59BD9B4E019)))
+            for k, h in enumerate(hash_spans(LOWER[part] if lower else part, s, e, hashes)):
+                found[k].append(h)
             starts.append(s + a)
             ends.append(e + a)
             a = b
@@ -91,3 +116,25 @@ class Words:
 
     def of(self, k: int) -> slice:
         return slice(self.first[k], self.first[k + 1])
+
+
+def joined_words(data: np.ndarray, s: np.ndarray, e: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Texts of ``counts`` words each, ``data[s:e]`` in order, joined by one blank."""
+    size = e - s + 1
+    stop = np.cumsum(size)
+    out = np.full(int(stop[-1]) if len(stop) else 0, 0x20, dtype=np.uint8)
+    step = 1 << 16
+    for k in range(0, len(s), step):
+        a, z, b = s[k : k + step], size[k : k + step], stop[k : k + step]
+        base = b[0] - z[0]
+        at = np.arange(base, b[-1]) - np.repeat(b - z, z)
+        body = at < np.repeat(z - 1, z)
+        out[base : b[-1]][body] = data[(np.repeat(a, z) + at)[body]]
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    byte_at = np.concatenate([[0], stop])[ends]
+    # Each document's last blank goes.
+    out = np.delete(out, byte_at[1:][counts > 0] - 1)
+    offsets = byte_at - np.concatenate([[0], np.cumsum(counts > 0)])
+    if offsets[-1] < 1 << 31:
+        return pa.StringArray.from_buffers(len(counts), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out))
+    return pa.LargeStringArray.from_buffers(len(counts), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(out))
