@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from .shared import Tables, join_few
 
+#: Parts over which rows without doc_id are dealt, and frequent keys that may be broadcast (some 40 bytes each).
+PARTS, MOST_HOT = 256, 100_000
 WHITE = " \t\n\x0b\x0c\r"
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -42,20 +44,22 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3,
     """(doc_id, n_lines, n_dropped, kept_text) for each row."""
     body = F.coalesce(F.col(text), F.lit(""))
     own = F.col(doc_id).cast("long")
-    # k1 and k2 name a row by its doc_id and text; what varies among equal rows only deals them out.
-    source = docs.select(own.alias("doc_id"), body.alias("text"), F.coalesce(own, F.xxhash64(body)).alias("k1"), F.xxhash64(body).alias("k2"), F.pmod(F.monotonically_increasing_id(), F.lit(256)).cast("short").alias("part"))
+    # k1 and k2 name a row by its doc_id and text. Only rows without doc_id may be many of one name: ``part`` deals them out.
+    source = docs.select(own.alias("doc_id"), body.alias("text"), F.coalesce(own, F.xxhash64(body)).alias("k1"), F.xxhash64(body).alias("k2"), F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).cast("short").alias("part"))
     split = F.split("text", "\n", -1)
     distinct = source.select("doc_id", F.explode(F.array_distinct(F.transform(split, line_key))).alias("key"))
     counts = _hashed(distinct, min_chars).groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.max("doc_id").alias("keeper"))
     tables = Tables(docs.sparkSession)
     repeated = tables.keep(counts.where(F.col("copies") >= min_docs), "keys")
     lines = source.select("doc_id", "k1", "k2", "part", F.posexplode(split).alias("pos", "line")).select("doc_id", "k1", "k2", "part", "pos", line_key(F.col("line")).alias("key"))
-    marked = join_few(_hashed(lines, min_chars), repeated, ["h1", "h2"], "part")
+    marked = join_few(_hashed(lines, min_chars), repeated, ["h1", "h2"], "part", MOST_HOT)
     gone = marked.where(F.col("copies").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    drops = gone.groupBy("k1", "k2").agg(F.collect_set("pos").alias("drop"), F.count("*").alias("n"))
-    drops = tables.keep(drops.select("k1", "k2", "drop", F.ceil(F.col("n") / F.size("drop")).alias("copies")), "drops")
+    drops = gone.groupBy("k1", "k2").agg(F.collect_set("pos").alias("drop"), F.bool_and(F.col("doc_id").isNull()).alias("unnamed"))
+    drops = tables.keep(drops, "drops")
     tables.drop(repeated)
-    ready = join_few(source, drops, ["k1", "k2"], "part").select("doc_id", "text", "drop", split.alias("lines"))
+    every = F.when(F.col("unnamed"), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0))).cast("array<short>")
+    dealt = source.withColumn("part", F.when(F.col("doc_id").isNull(), F.col("part")).otherwise(F.lit(0).cast("short")))
+    ready = dealt.join(drops.select("k1", "k2", "drop", F.explode(every).alias("part")), ["k1", "k2", "part"], "left").select("doc_id", "text", "drop", split.alias("lines"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "drop")
     kept = F.concat_ws("\n", F.transform(stay, lambda i: F.element_at("lines", i + 1)))
     n_dropped = F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop"))

@@ -52,14 +52,19 @@ class Tables:
             path.getFileSystem(conf).delete(path, True)
 
 
-def join_few(many: DataFrame, few: DataFrame, keys: list[str], by: str) -> DataFrame:
+def join_few(many: DataFrame, few: DataFrame, keys: list[str], by: str, most_hot: int = 0) -> DataFrame:
     """``many`` left joined to ``few``, which has one row a key with ``copies``, its rows in ``many``. A key of over HOT_ROWS
     rows is dealt over SALTS tasks by the column ``by``; its row of ``few`` is repeated for each, which adds at
-    most a quarter to the rows of ``many``. Rows that such a key has taken leave the second join by a key of their own."""
+    most a quarter to the rows of ``many``. Rows that such a key has taken leave the second join by a key of their own.
+    With ``most_hot`` those keys are counted first, and up to that many are broadcast, so ``many`` is dealt once."""
     found = [c for c in few.columns if c not in keys]
-    hot = few.where(F.col("copies") > HOT_ROWS).select(*keys, *[F.col(c).alias(f"_hot_{c}") for c in found], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    hot = few.where(F.col("copies") > HOT_ROWS).select(*keys, *[F.col(c).alias(f"_hot_{c}") for c in found])
     cold = few.where(F.col("copies") <= HOT_ROWS).select(*[F.col(k).alias(f"_cold_{k}") for k in keys], *[F.col(c).alias(f"_cold_{c}") for c in found], F.lit(False).alias("_taken"))
-    one = many.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(hot, [*keys, "_salt"], "left")
+    if most_hot and hot.count() <= most_hot:
+        one = many.join(F.broadcast(hot), keys, "left")
+    else:
+        hot = hot.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        one = many.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(hot, [*keys, "_salt"], "left")
     one = one.withColumn("_taken", F.col("_hot_copies").isNotNull()).withColumn("_first", F.when(F.col("_taken"), F.xxhash64(by)).otherwise(F.col(keys[0])))
     same = (F.col("_first") == F.col(f"_cold_{keys[0]}")) & (one["_taken"] == cold["_taken"])
     for k in keys[1:]:
