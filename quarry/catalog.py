@@ -493,7 +493,7 @@ def _(spark, sf):
 
 query("exact_dedup", "SELECT id, content_hash, count(*) OVER (PARTITION BY content_hash) AS copies, row_number() OVER (PARTITION BY content_hash ORDER BY crawled_at, id) > 1 AS is_duplicate FROM articles")(lambda spark, sf: M.exact_dedup(S.articles(spark, sf)))
 _SETS = f"t AS (SELECT id, unnest(list_distinct({S.sql_tokens('lower(content)')})) AS w FROM {{0}}), s AS (SELECT id, count(*) AS n FROM t GROUP BY id)"
-query("near_dup_pairs", ", reps AS (SELECT min(id) AS id, min(content) AS content FROM articles WHERE length(content) > 200 GROUP BY content_hash), " + _SETS.format("reps") + ", p AS (SELECT x.id AS a, y.id AS b, count(*) AS k FROM t x JOIN t y ON x.w = y.w AND x.id < y.id GROUP BY 1, 2) SELECT a, b, round(k / (x.n + y.n - k), 6) AS similarity FROM p JOIN s x ON x.id = a JOIN s y ON y.id = b WHERE round(k / (x.n + y.n - k), 6) >= 0.85")(lambda spark, sf: M.near_dup_pairs(S.articles(spark, sf, heavy=True), metric="jaccard"))
+query("near_dup_pairs", ", reps AS (SELECT min(id) AS id, min(content) AS content FROM articles WHERE length(content) > 200 GROUP BY content_hash), " + _SETS.format("reps") + ", p AS (SELECT x.id AS a, y.id AS b, count(*) AS k FROM t x JOIN t y ON x.w = y.w AND x.id < y.id GROUP BY 1, 2) SELECT a, b, round(k / (x.n + y.n - k), 6) AS similarity FROM p JOIN s x ON x.id = a JOIN s y ON y.id = b WHERE round(k / (x.n + y.n - k), 6) >= 0.85")(lambda spark, sf: M.near_dup_pairs(S.articles(spark, sf, heavy=True)))
 
 
 def _band(spark, sf):
@@ -502,6 +502,7 @@ def _band(spark, sf):
 
 
 query("find_similar_content", f", band AS ({_BAND}), " + _SETS.format("articles") + ", k AS (SELECT probe_id, b.id, count(y.w) AS k FROM band b JOIN t x ON x.id = probe_id LEFT JOIN t y ON y.id = b.id AND y.w = x.w GROUP BY 1, 2) SELECT probe_id, k.id, round(k / (x.n + y.n - k), 6) AS similarity FROM k JOIN s x ON x.id = probe_id JOIN s y ON y.id = k.id WHERE round(k / (x.n + y.n - k), 6) >= 0.3")(lambda spark, sf: M.find_similar_content(*_band(spark, sf), 0.3, "jaccard"))
+query("near_dup_sequence")(lambda spark, sf: M.sequence_matches(S.articles(spark, sf).where("id % 50 = 0"), S.articles(spark, sf, heavy=True)))
 query("find_similar_sequence")(lambda spark, sf: M.find_similar_content(*_band(spark, sf)))
 query("score_candidates", f"SELECT seq, round({S.sql_relevance(chr(40) + 'title || chr(32) || description' + chr(41))}, 6) AS relevance_score, {S.sql_tech_relevance('title', 'description', 'domain')} AS tech_relevance_score, {S.sql_reputation('domain')} AS quality_score FROM candidates")(lambda spark, sf: _scored(spark, sf).select("seq", "relevance_score", "tech_relevance_score", "quality_score"))
 query("discovery_pipeline")(lambda spark, sf: D.discovery_pipeline(S.candidates(spark, sf), S.sources(spark, sf).where("length(id) % 2 = 0"), S.discovery_results(spark, sf).where("id % 9 = 0"), P.external_links(P.page_links(S.raw(spark, sf, "pages"))).join(S.raw(spark, sf, "pages").select("page_id", F.col("url").alias("page_url")), "page_id")))

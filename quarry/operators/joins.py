@@ -37,11 +37,12 @@ def exact_duplicates_semi(incoming: DataFrame, hashes: DataFrame) -> DataFrame:
 def length_band_pairs(probes: DataFrame, articles: DataFrame, now: Column, best: int = 50) -> DataFrame:
     """Pairs of a probe and a recent article of 0.7 to 1.3 times its length, the best by quality. The
     band is an equi-join on buckets of the length's logarithm, own and neighbouring, with the exact
-    condition behind; it never compares all pairs."""
+    condition behind; it never compares all pairs. Ids, lengths and qualities are dealt before the join, so texts are read
+    once: behind it Spark would compute a score again for each pair."""
     size = F.length("content").cast("double")
     bucket = F.floor(F.log(F.greatest(size, F.lit(1.0))) / F.log(F.lit(1.5))).cast("int")
     p = probes.select(F.col("id").alias("probe_id"), size.alias("probe_length"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
-    a = articles.where(F.col("crawled_at") >= now - F.expr("interval 30 days")).select("id", size.alias("length"), "quality_score", bucket.alias("bucket"))
+    a = articles.where(F.col("crawled_at") >= now - F.expr("interval 30 days")).select("id", size.alias("length"), "quality_score", bucket.alias("bucket")).repartition("id")
     pairs = p.join(a, "bucket").where(F.col("length").between(F.col("probe_length") * 0.7, F.col("probe_length") * 1.3) & (F.col("id") != F.col("probe_id")))
     return top_per_group(pairs, ["probe_id"], [F.desc("quality_score"), F.asc("id")], best).select("probe_id", "id", "quality_score")
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
-from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions import scores
+from quarry.functions import scores, sequence
+from quarry.plans.scratch import scratch
 
 from .filters import content_preview, top_per_group
 
@@ -20,43 +21,130 @@ from .filters import content_preview, top_per_group
 QUERY_BYTES = 32 << 20
 #: Members of a candidate bucket that meet in one cell; a larger bucket is split into blocks, and each pair of blocks meets.
 BLOCK_ROWS = 2000
+#: Classes of characters that a text's counts have.
+HISTOGRAM = 64
 
 
 @F.pandas_udf(T.DoubleType())
 def sequence_ratio(new: pd.Series, stored: pd.Series) -> pd.Series:
     """Ratio of matching characters, order of the arguments kept; 0 if either text is empty."""
-    return pd.Series([SequenceMatcher(None, a, b).ratio() if a and b else 0.0 for a, b in zip(new, stored)])
+    return pd.Series([sequence.ratio(a, b) for a, b in zip(new, stored)])
+
+
+def _ratio_over(a: str | None, b: str | None, low: float) -> float | None:
+    """The ratio if it may reach ``low``, else null: lengths, counts of characters and common subsequences bound it and are far cheaper."""
+    if not a or not b:
+        return 0.0 if low <= 0 else None
+    total = len(a) + len(b)
+    need = math.ceil(low * total / 2 - 1e-9)
+    if need > min(len(a), len(b)) or np.abs(_histogram(a) - _histogram(b)).sum() > total - 2 * need or not sequence.common_at_least(a, b, need):
+        return None
+    return sequence.ratio(a, b)
 
 
 def sequence_at_least(threshold: float) -> Callable[[Column, Column], Column]:
-    """The same, null where it is below the threshold. Two bounds of the ratio, by lengths and by counts of characters, are far
-    cheaper than the ratio itself and rule most pairs out."""
+    """The same, null where it is below the threshold; bounds of the ratio rule most pairs out."""
     low = threshold - 1e-6  # ratios are rounded before they are compared
 
-    def ratio(a: str | None, b: str | None) -> float | None:
-        if not a or not b:
-            return 0.0 if low <= 0 else None
-        m = SequenceMatcher(None, a, b)
-        return m.ratio() if m.real_quick_ratio() >= low and m.quick_ratio() >= low else None
-
     @F.pandas_udf(T.DoubleType())
     def over(new: pd.Series, stored: pd.Series) -> pd.Series:
-        return pd.Series([ratio(a, b) for a, b in zip(new, stored)], dtype="float64")
+        return pd.Series([_ratio_over(a, b, low) for a, b in zip(new, stored)], dtype="float64")
+
+    return over.asNondeterministic()  # a filter on it then stays above it, so it is computed once
+
+
+def _histogram(text: str) -> np.ndarray:
+    """Counts of the text's characters, hashed to HISTOGRAM classes."""
+    return np.bincount((sequence.codes(text) * np.uint32(2654435769) >> np.uint32(26)).astype(np.int64), minlength=HISTOGRAM)
+
+
+class Probes:
+    """Probe texts by length, with the distances of their character counts from a few pivots."""
+
+    def __init__(self, rows: list[tuple[int, str]], pivots: int = 8):
+        self.rows = sorted(rows, key=lambda r: (len(r[1]), r[0]))
+        self.size = np.array([len(t) for _, t in self.rows])
+        self.counts = np.array([_histogram(t) for _, t in self.rows]).reshape(-1, HISTOGRAM)
+        # The first pivot is the empty text; each next one is the probe farthest from those before.
+        self.pivots, self.far = [np.zeros(HISTOGRAM, dtype=np.int64)], [self.size]
+        while len(self.pivots) < min(pivots, len(rows)):
+            pivot = self.counts[int(np.min(self.far, axis=0).argmax())]
+            self.pivots.append(pivot)
+            self.far.append(np.abs(self.counts - pivot).sum(1))
+
+    def near(self, text: str, low: float) -> np.ndarray:
+        """Probes that may have a ratio of ``low`` to the text: character counts then differ by at most 1 - low of both lengths, and
+        so do the distances of both from any pivot."""
+        n = len(text)
+        a, b = np.searchsorted(self.size, n * low / (2 - low) - 1e-6), np.searchsorted(self.size, n * (2 - low) / low + 1e-6, side="right")
+        some = np.arange(a, b)
+        if not len(some):
+            return some
+        most = (1 - low) * (n + self.size[some]) + 1e-6
+        counts = _histogram(text)
+        for pivot, far in zip(self.pivots, self.far):
+            keep = np.abs(far[some] - np.abs(counts - pivot).sum()) <= most
+            some, most = some[keep], most[keep]
+        return some[np.abs(self.counts[some] - counts).sum(1) <= most]
+
+
+def sequence_matches(probes: DataFrame, articles: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """(probe_id, id, similarity): every article whose sequence ratio with a probe reaches the threshold, without loss. Probes are
+    a stated set, broadcast in blocks of at most QUERY_BYTES; articles are read where they lie and nothing is shuffled. A
+    metric search on character counts names candidates, common subsequences rule most of them out, the ratio decides. Null and
+    empty texts match nothing."""
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must be over 0 and at most 1")
+    low, spark = threshold - min(1e-6, threshold / 2), articles.sparkSession
+    asked = probes.where(F.length("content") > 0).select(F.col("id").cast("long"), "content")
+    bytes_ = asked.agg(F.sum(F.octet_length("content") + 8 * HISTOGRAM)).first()[0] or 0
+    blocks = -(-bytes_ // QUERY_BYTES) or 1
+    texts = articles.where(F.length("content") > 0).select(F.col("id").cast("long").alias("id"), "content")
+
+    def scanner(shared):
+        def scan(batches):
+            held = shared.value
+            known: dict[str, list[tuple[int, float]]] = {}  # copies come often
+            for batch in batches:
+                out = []
+                for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    if text not in known:
+                        if len(known) >= 256:
+                            known.clear()
+                        known[text] = [(p, round(r, 6)) for p, t in (held.rows[k] for k in held.near(text, low)) if (r := _ratio_over(t, text, low)) is not None]
+                    out += [(p, i, r) for p, r in known[text] if p != i and r >= threshold]
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["probe_id", "id", "similarity"])
+
+        return scan
+
+    found = None
+    for k in range(blocks):
+        block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k)
+        part = texts.mapInArrow(scanner(spark.sparkContext.broadcast(Probes([tuple(r) for r in block.collect()]))), "probe_id long, id long, similarity double")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def words_of(text: Column) -> Column:
+    return F.array_distinct(scores.tokens(F.lower(text)))
 
-    return over
+
+def _shared(x: Column, y: Column) -> Column:
+    """Jaccard similarity of two arrays without repeats; 0 without elements."""
+    both = F.size(F.array_intersect(x, y))
+    return F.coalesce(F.try_divide(both, F.size(x) + F.size(y) - both), F.lit(0.0))
 
 
 def word_jaccard(a: Column, b: Column) -> Column:
-    x, y = F.array_distinct(scores.tokens(F.lower(a))), F.array_distinct(scores.tokens(F.lower(b)))
-    return F.coalesce(F.try_divide(F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))), F.lit(0.0))
+    return _shared(words_of(a), words_of(b))
 
 
-METRICS = {"sequence": sequence_ratio, "jaccard": word_jaccard}
+def _word_hashes(articles: DataFrame) -> DataFrame:
+    """(id, words): hashes of the distinct words, behind an exchange, so a text is split once and not for each pair it is in."""
+    return articles.select("id", F.transform(words_of(F.col("content")), lambda x: F.xxhash64(x)).alias("words")).repartition("id")
 
 
-def _over(metric: str, threshold: float) -> Callable[[Column, Column], Column]:
-    """The metric where only values of at least the threshold are asked for."""
-    return sequence_at_least(threshold) if metric == "sequence" else METRICS[metric]
+METRICS = {"sequence": sequence_ratio, "jaccard": word_jaccard}
 
 
 def exact_dedup(articles: DataFrame) -> DataFrame:
@@ -66,25 +154,6 @@ def exact_dedup(articles: DataFrame) -> DataFrame:
     return articles.join(first, "content_hash").select("id", "content_hash", "copies", (F.col("id") != F.col("first_id")).alias("is_duplicate"))
 
 
-def minhash_bands(text: Column, bands: int = 8, rows: int = 4, n: int = 3) -> Column:
-    """One hash for each band of minima over word n-gram hashes; each minimum is under another exclusive-or mask."""
-
-    def least(grams: Column, seed: int) -> Column:
-        mask = (seed + 1) * 0x9E3779B97F4A7C15 % (1 << 64) - (1 << 63)
-        return F.array_min(F.transform(grams, lambda x: x.bitwiseXOR(F.lit(mask))))
-
-    def band(grams: Column, b: int) -> Column:
-        return F.xxhash64(F.lit(b), *[least(grams, b * rows + r) for r in range(rows)])
-
-    def hashed(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, n), " ")))
-
-    def signature(w: Column) -> Column:
-        return F.transform(F.array(hashed(w)), lambda g: F.array(*[band(g, b) for b in range(bands)]))[0]
-
-    return F.transform(F.array(scores.tokens(F.lower(text))), signature)[0]
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -92,12 +161,10 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def set_signatures(reps: DataFrame, floor: float) -> DataFrame:
-    """(key, id, size, s0 to s3): pairs of word sets with a Jaccard of ``floor`` share a key. Such sets, of up to u words, differ
+    """(key, id, size, s0 to s3) from (id, words), hashes of distinct words: pairs of word sets with a Jaccard of ``floor`` share a key. Such sets, of up to u words, differ
     by at most d = 2u(1-floor)/(1+floor) words, so of d+1 groups of words by hash one is equal. u comes from a size class of ratio
     ``floor``; a set has keys for its own class and, as the smaller partner, for the next one. s0 to s3 are parities of 256 word
     classes: bits that differ are at most the words that differ."""
-    words = F.array_distinct(scores.tokens(F.lower("content")))
-
     def signed(batches):
         for batch in batches:
             lists = batch.column(1)
@@ -122,8 +189,7 @@ def set_signatures(reps: DataFrame, floor: float) -> DataFrame:
                     columns = [pa.array(keys[k : k + (1 << 18)]), ids.take(pa.array(o)), pa.array(n[o].astype(np.int64)), *[pa.array(bits[o, c].view(np.int64)) for c in range(4)]]
                     yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "size", "s0", "s1", "s2", "s3"])
 
-    hashed = reps.select(F.col("id").cast("long").alias("id"), F.transform(words, lambda x: F.xxhash64(x)).alias("words")).where(F.size("words") > 0)
-    return hashed.mapInArrow(signed, "key long, id long, size long, s0 long, s1 long, s2 long, s3 long")
+    return reps.select(F.col("id").cast("long").alias("id"), "words").where(F.size("words") > 0).mapInArrow(signed, "key long, id long, size long, s0 long, s1 long, s2 long, s3 long")
 
 
 def bucket_pairs(calls: DataFrame, near: Callable[[Callable, Callable], Column]) -> DataFrame:
@@ -139,37 +205,35 @@ def bucket_pairs(calls: DataFrame, near: Callable[[Callable, Callable], Column])
     return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
-def near_dup_pairs(articles: DataFrame, threshold: float = 0.85, min_length: int = 200, metric: str = "sequence") -> DataFrame:
-    """Pairs of different texts over the threshold, a number over 0; texts with equal hash are one. ``jaccard`` finds all pairs: its
-    candidates share a part of their word sets, without loss. ``sequence`` is approximate, as MinHash is: candidates share the
-    structure hash or a band. All members of a bucket meet, whatever their ids and number."""
+def near_dup_pairs(articles: DataFrame, threshold: float = 0.85, min_length: int = 200) -> DataFrame:
+    """All pairs of different texts whose word sets have a Jaccard similarity over the threshold, a number over 0; texts with equal
+    hash are one. Candidates share a part of their word sets, without loss, and all members of a bucket meet, whatever their
+    ids and number. What travels are hashes of words. (By sequence ratio: ``sequence_matches`` of a stated set of texts.)"""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be over 0 and at most 1")
     kept = articles.where(F.length("content") > min_length)
     reps = kept.groupBy("content_hash").agg(F.min("id").alias("id"), F.min("content").alias("content"))
+    at = f"{scratch(articles.sparkSession)}/words"
+    _word_hashes(reps).write.parquet(at)
+    reps = articles.sparkSession.read.parquet(at)
     low = threshold - min(1e-6, threshold / 2)  # similarities are rounded before they are compared
-    if metric == "jaccard":
-        calls = set_signatures(reps, low)
-    else:
-        keys = F.concat(F.transform(minhash_bands(F.col("content")), lambda b: b.cast("string")), F.array(scores.structure_hash(F.col("content"))))
-        calls = reps.select("id", F.length("content").cast("long").alias("size"), F.explode(keys).alias("key"))
 
     def near(x, y) -> Column:
-        total = x("size") + y("size")
-        if metric != "jaccard":
-            return 2 * F.least(x("size"), y("size")) >= low * total
         differ = sum((F.bit_count(x(c).bitwiseXOR(y(c))) for c in ("s1", "s2", "s3")), F.bit_count(x("s0").bitwiseXOR(y("s0"))))
-        return (F.least(x("size"), y("size")) >= low * F.greatest(x("size"), y("size"))) & (differ <= (1 - low) / (1 + low) * total + 1e-6)
+        return (F.least(x("size"), y("size")) >= low * F.greatest(x("size"), y("size"))) & (differ <= (1 - low) / (1 + low) * (x("size") + y("size")) + 1e-6)
 
-    pairs = bucket_pairs(calls, near)
-    left, right = reps.select(F.col("id").alias("a"), F.col("content").alias("x")), reps.select(F.col("id").alias("b"), F.col("content").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", F.round(_over(metric, threshold)(F.col("y"), F.col("x")), 6).alias("similarity")).where(F.col("similarity") >= threshold)
+    pairs = bucket_pairs(set_signatures(reps, low), near)
+    left, right = reps.select(F.col("id").alias("a"), F.col("words").alias("x")), reps.select(F.col("id").alias("b"), F.col("words").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", F.round(_shared(F.col("y"), F.col("x")), 6).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def find_similar_content(pairs: DataFrame, probes: DataFrame, articles: DataFrame, threshold: float = 0.85, metric: str = "sequence") -> DataFrame:
     """Length-band pairs (probe_id, id) over the threshold, best first."""
-    p, a = probes.select(F.col("id").alias("probe_id"), F.col("content").alias("x")), articles.select("id", F.col("content").alias("y"))
-    scored = pairs.join(p, "probe_id").join(a, "id").withColumn("similarity", F.round(_over(metric, threshold)(F.col("x"), F.col("y")), 6))
+    if metric == "jaccard":
+        p, a, score = _word_hashes(probes).toDF("probe_id", "x"), _word_hashes(articles).toDF("id", "y"), _shared
+    else:
+        p, a, score = probes.select(F.col("id").alias("probe_id"), F.col("content").alias("x")), articles.select("id", F.col("content").alias("y")), sequence_at_least(threshold)
+    scored = pairs.join(p, "probe_id").join(a, "id").withColumn("similarity", F.round(score(F.col("x"), F.col("y")), 6))
     return scored.where(F.col("similarity") >= threshold).select("probe_id", "id", "similarity").orderBy(F.desc("similarity"), "probe_id", "id")
 
 

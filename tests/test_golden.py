@@ -103,7 +103,7 @@ def test_near_duplicates(spark):
     base = " ".join(f"w{k}" for k in range(120))
     rows = [(1, base), (2, base.replace("w60", "zz")), (3, " ".join(f"q{k}" for k in range(120))), (4, base.upper() + " "), (5, "short")]
     a = spark.createDataFrame(rows, "id long, content string").withColumn("content_hash", scores.content_hash(F.col("content")))
-    assert [(r.a, r.b) for r in similarity.near_dup_pairs(a, metric="jaccard").collect()] == [(1, 2)]
+    assert [(r.a, r.b) for r in similarity.near_dup_pairs(a).collect()] == [(1, 2)]
 
 
 def test_near_duplicates_equal_brute_force(spark, monkeypatch):
@@ -125,7 +125,7 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
         sets = {k: set(x.split()) for x, k in {x: k for k, x in sorted(rows, reverse=True)}.items()}
         want = {(x, y): round(len(sets[x] & sets[y]) / len(sets[x] | sets[y]), 6) for x in sets for y in sets if x < y}
         want = {k: v for k, v in want.items() if v >= t}
-        got = {(x.a, x.b): x.similarity for x in similarity.near_dup_pairs(a, t, metric="jaccard").collect()}
+        got = {(x.a, x.b): x.similarity for x in similarity.near_dup_pairs(a, t).collect()}
         assert len(want) > 40 and got == want
 
 
