@@ -12,7 +12,8 @@ the tasks is bounded whatever the size of the benchmark. Pieces that hit near th
 window; hits that lie close together merge into one longer window, so a text full of hits costs
 its length once.
 
-Null or empty documents and items match nothing; an item of fewer than 14 characters matches only a text that is that item.
+Null or empty documents and items match nothing; an item of fewer than 14 characters has no edits to spend and is found where it stands
+inside a text as it is, whatever stands around it.
 Repeated items give a row each by item_id; rows of the same doc_id, and places of an item in a document that tie, give a row for
 the least distance. Very long texts are read whole. Without documents or items the result is empty. Extra columns are
 ignored, or stay where documents are filtered.
@@ -29,8 +30,6 @@ from pyspark.sql import functions as F
 
 #: Characters of an item for each edit that a passage may have.
 CHARS_PER_EDIT = 14
-#: Shorter items, which have no error budget and whose characters stand in many texts by chance, match a whole text only.
-LEAST_CHARS = CHARS_PER_EDIT
 #: Characters of benchmark text that one pass over the documents carries.
 BLOCK_CHARS = 4_000_000
 
@@ -74,11 +73,7 @@ class Matcher:
     """The pieces of a block of items."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.items = [(i, t) for i, t in items if len(t) >= LEAST_CHARS]
-        self.short: dict[str, list[int]] = {}
-        for i, t in items:
-            if 0 < len(t) < LEAST_CHARS:
-                self.short.setdefault(t, []).append(i)
+        self.items = [(i, t) for i, t in items if t]
         self.pieces = ahocorasick.Automaton()
         held: dict[str, list[tuple[int, int]]] = {}
         for k, (_, t) in enumerate(self.items):
@@ -94,12 +89,14 @@ class Matcher:
     def match(self, text: str) -> list[tuple[int, int]]:
         """(item_id, distance) of the items that the normalized text has within their budget."""
         starts: dict[int, list[int]] = {}
-        out = [(i, 0) for i in self.short.get(text, [])]
+        out: list[tuple[int, int]] = []
         if not self.items or not text:
             return out
         for last, (size, owners) in self.pieces.iter(text):
             for k, a in owners:
-                starts.setdefault(k, []).append(last - size + 1 - a)
+                at = starts.setdefault(k, [])
+                if not at or size < len(self.items[k][1]):  # of an item that is its only piece one hit is enough
+                    at.append(last - size + 1 - a)
         for k, at in starts.items():
             item_id, item = self.items[k]
             budget = len(item) // CHARS_PER_EDIT

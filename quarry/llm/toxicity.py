@@ -2,8 +2,8 @@
 
 1. Trigrams of characters are counted over all documents (numpy per Arrow batch, summed by Spark);
    the alphabet is fixed, so the table has the same size for any corpus.
-2. A token that may be disguised (digits or signs between letters, a letter three times in a row,
-   letters spaced out) becomes a lattice: each character may stand for itself or for the letter it
+2. A token that may be disguised (digits or signs between letters, letters of two scripts, full-width letters, loose
+   accents, a letter three times in a row, letters spaced out) becomes a lattice: each character may stand for itself or for the letter it
    looks like, a repeated one or a separator may vanish. Viterbi finds the path that the channel and the
    character model find likeliest. Other tokens have one path and stay.
 3. Features of the restored text are its words, their beginnings of 4 and 5 letters and ends of 5. Their
@@ -12,7 +12,7 @@
    fitted on the same rows, each without its own count.
 
 Rows with ``crc32(doc_id as text) % 5 = 0`` are held out: no label of theirs is read. doc_id only
-chooses rows; scores depend on texts alone. Null and empty texts have no features and get the score of
+chooses rows (one without doc_id is never learned from; ``fold`` of it is null); scores depend on texts alone. Null and empty texts have no features and get the score of
 that; without any labelled row all scores are 0. Very long texts are read whole; the score of a text is that of its eight
 strongest words, so it does not grow with length. Words that tie count alike. Repeated rows are scored each, an empty
 table gives an empty result; extra columns stay, except one named ``toxicity``.
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +50,12 @@ for _c in range(0x300):
 
 #: Letters that a sign may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "<": "c"}
+#: Letters of other scripts that look like Latin ones.
+ALIKE = dict(zip("авеіјкмнорсԛѕтухһԁԝαειικνορτυχγωվոսհ", "abeijkmhopcqstyxhdwaeiiknoptuxywunuh"))
 _SEPARATORS = ".-_*~ '`/"
 _NOISY = re.compile(r"(?=.*[^\W\d_])(?:.*[^\W\d_][0-9@$!|+€£(<*._~-]+[^\W\d_]|[0-9@$!|+€£][0-9@$!|+€£]*[^\W\d_]{2}|.*(.)\1\1)", re.S)
+#: Letters of two scripts, full-width letters or loose accents in one word.
+_MIXED = re.compile(rf"(?=.*[a-z\uff41-\uff5a])(?:.*[{''.join(ALIKE)}\uff41-\uff5a\u0300-\u036f])", re.S)
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-_*]{1,2}){3,}[^\W_](?![^\W_])")
 _DOUBLE, _SINGLE = re.compile(r"  +"), re.compile(r"[^\W_] [^\W_]")
 _REPEATED = re.compile(r"(.)\1\1", re.S)
@@ -107,10 +112,10 @@ class Restorer:
 
     def _paths(self, token: str, k: int, repeated: set[str]) -> list[tuple[str, float]]:
         c = token[k]
-        if c in _SEPARATORS:
+        if c in _SEPARATORS or "\u0300" <= c <= "\u036f":
             return [("", self.DROPPED_MARK), (c, self.LEFT_SIGN)]
         ways = [(c, self.SAME if c.isalpha() else self.LEFT_SIGN)]
-        ways += [(x, self.LOOKS) for x in LOOKALIKES.get(c, "")]
+        ways += [(x, self.LOOKS) for x in LOOKALIKES.get(c, ALIKE.get(c, ""))]
         if k and token[k - 1] == c and c in repeated:
             ways.append(("", self.DROPPED_REPEAT))
         return ways
@@ -118,6 +123,8 @@ class Restorer:
     def token(self, token: str) -> str:
         """The likeliest reading of a whole token; paths are linked back, so the work is linear in its length."""
         token = token.lower()
+        if not token.isascii():
+            token = unicodedata.normalize("NFKD", token)  # full-width letters become plain ones, accents may go
         if token in self.memo:
             return self.memo[token]
         repeated = {m[0][0] for m in _REPEATED.finditer(token)}
@@ -136,7 +143,7 @@ class Restorer:
         while path is not None:
             path, c = path
             out.append(c)
-        best = "".join(reversed(out))
+        best = unicodedata.normalize("NFC", "".join(reversed(out)))
         if len(token) <= MEMO_CHARS:
             if len(self.memo) > MEMO // 10:
                 self.memo.clear()
@@ -160,6 +167,9 @@ class Restorer:
     def words(self, text: str) -> list[str]:
         out = []
         for w in text.lower().split():
+            if not w.isascii() and _MIXED.match(w):
+                out.append(self.token(w.strip(_EDGE)).strip(_EDGE))
+                continue
             if w.isalpha():
                 out.append(w)
                 continue
@@ -236,9 +246,11 @@ class Scorer:
         for w in self.restorer.restored_words(text or ""):
             got = memo.get(w)
             if got is None:
-                if len(memo) > MEMO:
-                    memo.clear()
-                got = memo[w] = max(weight.get(f, 0.0) for f in word_features(w))
+                got = max(weight.get(f, 0.0) for f in word_features(w))
+                if len(w) <= MEMO_CHARS:
+                    if len(memo) > MEMO:
+                        memo.clear()
+                    memo[w] = got
             if got:
                 values.append(got)
         z = sum(a * b for a, b in zip(self.logistic, [*_summary(values), 1.0]))

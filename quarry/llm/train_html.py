@@ -100,7 +100,7 @@ class Maker:
             return a + "".join(r.choice(["<p>{}</p>", "<div>{}</div>", "{}"]).format(self.fill(FOOT)) for _ in range(r.randrange(1, 4))) + (self.menu() if r.random() < 0.3 else "") + b
         if kind == "aside":
             a, b = ("<aside>", "</aside>") if r.random() < 0.5 else self.named("aside", chance=1)
-            body = r.choice([self.menu(), f"<p>{self.prose(4)}</p>", f"<ul><li>{self.sentence()}</li><li>{self.sentence()}</li></ul>", f'<p><a href="#">{self.sentence()}</a></p>'])
+            body = r.choice([self.menu(), self.plain(""), f"<p>{self.prose(4)}</p>", f"<ul><li>{self.sentence()}</li><li>{self.sentence()}</li></ul>", f'<p><a href="#">{self.sentence()}</a></p>'])
             return a + (f"<h3>{r.choice(SIDE_HEAD) if r.random() < 0.6 else self.sentence(1, 5)}</h3>" if r.random() < 0.7 else "") + body + b
         if kind == "ad":
             a, b = self.named("ad", chance=1)
@@ -121,6 +121,38 @@ class Maker:
         one = "<li>{}</li>" if a.startswith(("<ol", "<ul")) else r.choice(['<div class="comment"><p>{}</p></div>', "<p>{}</p>", "<div>{}</div>", '<article class="comment"><p>{}</p></article>'])
         return a + (f"<h{r.choice('234')}>{r.choice(COMMENT_HEAD)}</h3>" if r.random() < 0.6 else "") + "".join(one.format((f"<b>{self.word()}</b> " if r.random() < 0.4 else "") + self.prose(5)) for _ in range(r.randrange(1, 7))) + b
 
+    def figure(self) -> str:
+        """A number as tables hold it."""
+        r = self.r
+        return r.choice(["{}", "{}%", "{}.5", "-{}", "{},000", "20{}", "{} kg", "$ {}", "n/a"]).format(r.randrange(0, 10 ** r.randrange(1, 5)))
+
+    def cell(self) -> str:
+        odd = self.r.random()
+        return self.figure() if odd < 0.4 else self.word() if odd < 0.75 else self.sentence(1, 5) if odd < 0.95 else "-"
+
+    def plain(self, mark: str) -> str:
+        """Blocks of an article that are no prose: tables, definitions, captions, code; ``mark`` opens each of their texts."""
+        r = self.r
+        kind = r.random()
+        if kind < 0.5:
+            columns = r.randrange(1, 6)
+            row = lambda tag: "<tr>" + "".join(f"<{tag}>{mark}{self.cell()}</{tag}>" for _ in range(columns)) + "</tr>"
+            caption = f"<caption>{mark}{self.sentence(1, 6)}</caption>" if r.random() < 0.2 else ""
+            top = row("th") if r.random() < 0.6 else ""
+            rows = "".join(row("td") for _ in range(r.randrange(1, 7)))
+            if r.random() < 0.4:
+                top, rows = f"<thead>{top}</thead>" if top else "", f"<tbody>{rows}</tbody>"
+            return f"<table>{caption}{top}{rows}</table>"
+        if kind < 0.7:
+            return "<dl>" + "".join(f"<dt>{mark}{self.sentence(1, 3)}</dt><dd>{mark}{self.sentence()}</dd>" for _ in range(r.randrange(1, 6))) + "</dl>"
+        if kind < 0.8:
+            return f"<figure><img src='{self.word()}.png'><figcaption>{mark}{self.sentence(1, 9)}</figcaption></figure>"
+        if kind < 0.9:
+            lines = [f"{self.word()}({self.word()}, {self.figure()}){r.choice([';', ':', ' {', ''])}" for _ in range(r.randrange(1, 9))]
+            text = mark + chr(10).join(lines)
+            return r.choice([f"<pre><code>{text}</code></pre>", f"<pre>{text}</pre>", f'<div class="code"><pre>{text}</pre></div>'])
+        return "<ol>" + "".join(f"<li>{mark}{self.cell()}</li>" for _ in range(r.randrange(1, 7))) + "</ol>"
+
     def some(self, kinds: list[str], most: int) -> str:
         return "".join(self.furniture(self.r.choice(kinds)) for _ in range(self.r.randrange(0, most + 1)))
 
@@ -135,20 +167,20 @@ class Maker:
             text = MARK + (self.prose() if r.random() < 0.8 else self.sentence(1, 5))
             if k == 0 and r.random() < 0.5:
                 out.append(f"<p><b>{text}<br>" if loose else f"<p><b>{text}</b></p>")
-            elif kind < 0.78:
+            elif kind < 0.76:
                 if r.random() < 0.1:
                     text += f' <a href="#">{self.word()}</a> {self.word()}'
                 out.append(f"<p>{'<b>' if r.random() < 0.05 else ''}{text}" + ("" if loose and r.random() < 0.3 else "</p>") + ("<br>" if r.random() < 0.05 else ""))
-            elif kind < 0.86:
+            elif kind < 0.84:
                 out.append(f"<h{r.choice('23')}>{MARK}{self.sentence(1, 7)}</h2>")
-            elif kind < 0.92:
+            elif kind < 0.89:
                 out.append("<ul>" + "".join(f"<li>{MARK}{self.sentence()}</li>" for _ in range(r.randrange(1, 5))) + "</ul>")
-            elif kind < 0.95:
+            elif kind < 0.91:
                 out.append(f"<blockquote>{text}</blockquote>")
-            elif kind < 0.97:
+            elif kind < 0.92:
                 out.append(f"<pre>{text}</pre>")
             else:
-                out.append("<table><tr>" + "".join(f"<td>{MARK}{self.sentence(1, 5)}</td>" for _ in range(r.randrange(1, 4))) + "</tr></table>")
+                out.append(self.plain(MARK))
             if r.random() < 0.04:
                 out.append(self.furniture(r.choice(["ad", "share", "aside", "notice", "form"])))
         return "".join(out)
@@ -221,7 +253,7 @@ def _backward(x, w, u, keep, dhs):
     return dw, du, db
 
 
-def train(pages: int = 9000, epochs: int = 5, batch: int = 32, rate: float = 4e-3, seed: int = 7) -> dict[str, np.ndarray]:
+def train(pages: int = 20000, epochs: int = 6, batch: int = 32, rate: float = 4e-3, seed: int = 7) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     data = [e for e in map(example, range(pages)) if len(e[1])]
     data = [(x[:160], y[:160]) for x, y in data]

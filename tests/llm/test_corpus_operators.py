@@ -181,3 +181,20 @@ def test_pipeline(spark):
     assert "[" + spans[found][0][0].upper() + "]" in stage.text and stage.n_chars == len(stage.text)
     for _, f in corpus_pipeline.STAGES[:-1]:
         assert f(spark, t.limit(0), SF).columns == t.columns
+
+
+def turns(n, a, b):
+    """The sequence of Thue and Morse, on which polynomials modulo a power of two agree with its complement."""
+    return [(a, b)[bin(k).count("1") & 1] for k in range(n)]
+
+
+def test_regular_words_and_texts_keep_apart(spark):
+    one, two = "".join(turns(1024, "a", "b")), "".join(turns(1024, "b", "a"))
+    shared = [f"w{k}" for k in range(34)]
+    rows = [(1, " ".join([*shared, one, "end"])), (2, " ".join([*shared, two, "end"])), (3, one), (4, two), (5, " ".join(turns(4096, "x", "y"))), (6, " ".join(turns(4096, "y", "x")))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, substrings.repeated_substrings(df.where("doc_id < 3"), window=35).collect())) == [(1, 36, 0, rows[0][1]), (2, 36, 0, rows[1][1])]
+    assert sorted(tuple(r) for r in substrings.repeated_substrings(df, window=35).collect()) == sorted(cut(rows))
+    assert {tuple(r) for r in ngramjoin.jaccard_components(df, n=3, percent=90).collect()} == joined(rows, 3, 90)
+    long = spark.createDataFrame([(1, one), (2, two), (3, "c" * 600), (4, "c" * 601), (5, "c" * 600)], "doc_id long, text string")
+    assert {tuple(r)[::2] for r in ngramjoin.jaccard_components(long).collect()} == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 3)}

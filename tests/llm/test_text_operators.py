@@ -7,6 +7,7 @@ import random
 import re
 import time
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -226,7 +227,7 @@ def test_myers():
 def test_decontamination_equals_brute_force(spark):
     r = random.Random(5)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 8)))
-    items = [(k, " ".join(word() for _ in range(r.choice([2, 20, 40])))) for k in range(12)] + [(50, None), (51, ""), (52, "tiny")]
+    items = [(k, " ".join(word() for _ in range(r.choice([2, 20, 40])))) for k in range(12)] + [(50, None), (51, ""), (52, "tiny"), (53, "Answer is 42"), (54, "Q"), (55, "Answer is 42")]
     docs = []
     for _ in range(60):
         t = list(r.choice(items[:12])[1])
@@ -234,15 +235,13 @@ def test_decontamination_equals_brute_force(spark):
             at = r.randrange(len(t))
             t[at] = r.choice(["", "x", t[at] + "y"])
         docs.append(" ".join(word() for _ in range(30)) + " " + "".join(t).upper() + "\n" + word())
-    docs += [None, "", items[0][1] + " " + items[0][1], "a tiny text", " TINY\n"]
+    docs += [None, "", items[0][1] + " " + items[0][1], "a tiny text", " TINY\n", "so the ANSWER\n is  42, they say", "xxanswer is 42"]
     have = spark.createDataFrame(items, "item_id long, text string")
     want = set()
     for d, t in enumerate(docs):
         for i, item in items:
             item, text = decontaminate.normalize(item), decontaminate.normalize(t)
-            if len(item) < 14:
-                want |= {(d, i, 0)} if item and item == text else set()
-            elif text and (n := edit_distance(item, text)) <= len(item) // decontaminate.CHARS_PER_EDIT:
+            if item and text and (n := edit_distance(item, text)) <= len(item) // decontaminate.CHARS_PER_EDIT:
                 want.add((d, i, n))
     for block in (decontaminate.BLOCK_CHARS, 150):
         got = {tuple(x) for x in decontaminate.contaminated(table(spark, docs), have, block_chars=block).collect()}
@@ -257,7 +256,9 @@ def test_restoration(spark):
     restorer = toxicity.Restorer(toxicity.log_model(toxicity.count_trigrams(docs)))
     for noisy, plain in {"1d10t": "idiot", "i d i o t": "idiot", "m.o.r.o.n": "moron", "w0rthl3ss": "worthless", "tr@sh!": "trash", "stuuuupid": "stupid"}.items():
         assert plain in restorer.restored_words(f"the {noisy} of")
-    for same in ("2.0", "hello", "12:30", "hotel", "3rd", "user@mail.com"):
+    for noisy in ("іdiоt", "ｉｄｉｏｔ", "i\u0301di\u0308ot", "idiοt"):  # Cyrillic, full-width, accents, Greek
+        assert "idiot" in restorer.restored_words(f"the {noisy} of")
+    for same in ("привет", "сила", "été", "2.0", "hello", "12:30", "hotel", "3rd", "user@mail.com"):
         assert same.strip(".") in restorer.restored_words(f"a {same} of") or same in ("user@mail.com", "3rd")
 
 
@@ -269,6 +270,9 @@ def test_toxicity_reads_long_runs(spark):
     assert "stupid" in restorer.restored_words(f"a st{'u' * 100}pid of")
     assert "idiot" in restorer.restored_words("a " + "." * 70 + "1d" + "." * 70 + "10t of")
     assert restorer.token("a.b" * 40000)
+    scorer = toxicity.Scorer(toxicity.log_model(toxicity.count_trigrams(docs)), *(np.zeros(n) for n in (0, 0, toxicity.SINGLE + 2)))
+    scorer.score("x" * 5000 + " short")
+    assert max(map(len, [*scorer.memo, *scorer.restorer.memo])) <= toxicity.MEMO_CHARS
 
 
 def test_toxicity_with_many_toxic_labels(spark):
@@ -330,7 +334,8 @@ def test_native_queries_equal_their_sql(spark, name):
     import duckdb
 
     c = duckdb.connect()
-    c.sql(f"create view documents as select * from read_parquet('{SF}/documents.parquet')")
+    for t in ("documents", "benchmark"):
+        c.sql(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     df = registry.QUERIES[name](spark, SF)
     want = c.sql(registry.ORACLES[name])
     assert sorted(want.columns) == sorted(df.columns)
