@@ -8,7 +8,7 @@ piece. Short pieces of one size class share a numpy array of trees and merge in
 has a tree of its own. Pieces that were met before come from a bounded memo.
 
 Null and empty texts have no ids; very long ones are encoded whole. Pairs of equal rank tie: the leftmost merges first.
-Empty tables, repeated rows and extra columns need no care, as the operator only adds columns.
+Empty tables, repeated rows and extra columns need no care, as the operator only adds columns; one of the name of a result is replaced.
 """
 
 from __future__ import annotations
@@ -43,6 +43,9 @@ def load_ranks(path: str) -> bytes:
     with open(path, "rb") as f:
         return f.read()
 
+#: Words of letters of unlike case, script and length.
+WORDS = ("a", "B", "aB", "Ab", "ABc", "aBCd", "éA", "aÉ", "中a", "a中", "яЯ", "ǅa", "ﬁaʰ", "a" * 300)
+
 
 class Coder:
     """Encoder and decoder of one vocabulary and pattern."""
@@ -56,6 +59,8 @@ class Coder:
             self.bytes_of[i] = token
         # The libraries' \s is Unicode White_Space; Python's also has four control characters.
         self.find = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
+        # Does the pattern take a word of letters whole, whatever their case and script?
+        self.whole = all(self.find(b + w) == [b + w] for b in ("", " ") for w in WORDS)
         self.byte_id = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], dtype=np.int64)
         get, keys, merged = self.ranks.get, [], []
         for token, i in self.ranks.items():
@@ -201,8 +206,8 @@ class Coder:
             self.memo.clear()
         memo = self.memo
         new = set(chain.from_iterable(cut)).difference(memo)
-        # A word of letters, with or without a blank in front, is one match of the pattern.
-        inside = {c: self.find(c) for c in new if not (c.isalpha() or (c[0] == " " and c[1:].isalpha()))}
+        # A word of letters, with or without a blank in front, is one match of most patterns.
+        inside = {c: self.find(c) for c in new if not (self.whole and (c.isalpha() or (c[0] == " " and c[1:].isalpha())))}
         pieces = set(chain.from_iterable(inside.values()))
         pieces.update(new - inside.keys())
         memo.update(self.pieces(pieces.difference(memo)))

@@ -12,7 +12,8 @@ of all blocks and paths; pages of any length and depth are read whole, with the
 
 Null or empty pages and such without text give the empty string; text without any tag is one block. An unclosed script, style,
 text area or comment hides the rest of a page, any other unclosed element hides nothing. A probability of just one half
-keeps a block. An empty table gives an empty result; repeated rows and extra columns stay.
+keeps a block. An empty table gives an empty result; repeated rows and extra columns stay, but for one
+named like the result.
 """
 
 from __future__ import annotations

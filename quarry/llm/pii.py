@@ -18,7 +18,7 @@ or more characters with a digit; cues inside such a value are part of it).
 
 Null or empty texts have no spans. Spans count code points and end exclusively; they are sorted by
 start, then (ties) by kind in the order above. No parser reads a stretch of text more than a few times, so very long texts
-take time in proportion. An empty table gives an empty result; repeated rows and extra columns stay as they are.
+take time in proportion. An empty table gives an empty result; repeated rows and extra columns stay as they are, but for one named like the result.
 """
 
 from __future__ import annotations

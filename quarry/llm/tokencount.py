@@ -8,7 +8,7 @@ Other tokenizers look across blanks (a normalizer or model may join what stands
 that is safe for all of them: whole texts go to the library, again balanced by bytes.
 
 Null texts are empty: no bytes, no tokens; very long ones are counted whole. Repeated rows are counted each, an empty table
-gives an empty result; extra columns stay.
+gives an empty result; extra columns stay, one of the name of a result is replaced. Texts that are equal have equal counts.
 """
 
 from __future__ import annotations
@@ -54,7 +54,7 @@ class Counter:
                 and about["pre_tokenizer"].get("use_regex", True)
                 and not about["pre_tokenizer"].get("add_prefix_space")
                 and not about.get("normalizer")
-                and all(" " not in t["content"] for t in about.get("added_tokens", []))
+                and all(" " not in t["content"] and not t.get("lstrip") and not t.get("rstrip") for t in about.get("added_tokens", []))
             )
 
     def balanced(self, texts: list[str]) -> list[int]:
