@@ -60,7 +60,7 @@ class Coder:
         # The libraries' \s is Unicode White_Space; Python's also has four control characters.
         self.find = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         # Does the pattern take a word of letters whole, whatever their case and script?
-        self.whole = all(self.find(b + w) == [b + w] for b in ("", " ") for w in WORDS)
+        self.takes_words = all(self.find(b + w) == [b + w] for b in ("", " ") for w in WORDS)
         self.byte_id = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], dtype=np.int64)
         get, keys, merged = self.ranks.get, [], []
         for token, i in self.ranks.items():
@@ -207,7 +207,7 @@ class Coder:
         memo = self.memo
         new = set(chain.from_iterable(cut)).difference(memo)
         # A word of letters, with or without a blank in front, is one match of most patterns.
-        inside = {c: self.find(c) for c in new if not (self.whole and (c.isalpha() or (c[0] == " " and c[1:].isalpha())))}
+        inside = {c: self.find(c) for c in new if not (self.takes_words and (c.isalpha() or (c[0] == " " and c[1:].isalpha())))}
         pieces = set(chain.from_iterable(inside.values()))
         pieces.update(new - inside.keys())
         memo.update(self.pieces(pieces.difference(memo)))

@@ -60,7 +60,7 @@ def test_patterns_that_split_words():
     pattern = r"[A-Z]?[a-z]+|[A-Z]+|\s+|[^\sA-Za-z]+"
     ranks = bpe.load_ranks(MULTI)
     library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, open(MULTI, "rb"))}, special_tokens={})
-    assert bpe.Coder(ranks, P.PATTERN).whole and not bpe.Coder(ranks, pattern).whole
+    assert bpe.Coder(ranks, P.PATTERN).takes_words and not bpe.Coder(ranks, pattern).takes_words
     text = "getURLFor theThing or OtherThings 12ab"
     assert bpe.Coder(ranks, pattern).encode([text])[0] == b"".join(x.to_bytes(4, "little") for x in library.encode_ordinary(text))
 
