@@ -19,6 +19,7 @@ from quarry.plans.scratch import run_stream, scratch
 from quarry.sources import domain as S
 from quarry.sources import payloads as P
 from quarry.sources.domain import NOW
+from quarry.streaming import limits as L
 from quarry.streaming import streams as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -241,12 +242,12 @@ _VECTOR = [((7 * k) % 13 - 6) / 10 for k in range(64)]
 query("topk_similarity", f"SELECT id, {_COS} AS similarity FROM (SELECT {_VECTOR} AS embedding) q, articles_emb a WHERE content_embedding IS NOT NULL ORDER BY similarity DESC, id LIMIT 10")(lambda spark, sf: M.topk_similarity(S.articles_emb(spark, sf), _VECTOR))
 _NEAR = _COS.replace("q.embedding", "q.content_embedding")
 query("similar_articles", f"SELECT a.id, {_NEAR} AS similarity FROM articles_emb q JOIN articles_emb a USING (category) WHERE q.id = 7 AND a.id <> 7 AND a.content_embedding IS NOT NULL ORDER BY similarity DESC, a.id LIMIT 5")(lambda spark, sf: M.similar_articles(S.articles_emb(spark, sf), 7))
-query("similar_articles_per_article", f"SELECT q.id, a.id AS other_id, {_NEAR} AS similarity FROM articles_emb q JOIN articles_emb a ON q.category || q.emb_category = a.category || a.emb_category AND a.id <> q.id WHERE a.content_embedding IS NOT NULL AND q.content_embedding IS NOT NULL QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY similarity DESC, a.id) <= 5")(
-    lambda spark, sf: M.similar_per_article(S.articles_emb(spark, sf).withColumn("category", F.concat("category", F.col("emb_category").cast("string"))))
-)
-query("similar_articles_whole_category", f"SELECT q.id, a.id AS other_id, {_NEAR} AS similarity FROM articles_emb q JOIN articles_emb a ON q.category = a.category AND a.id <> q.id WHERE a.content_embedding IS NOT NULL AND q.content_embedding IS NOT NULL QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY similarity DESC, a.id) <= 5")(
+query("similar_articles_per_article", f"SELECT q.id, a.id AS other_id, {_NEAR} AS similarity FROM articles_emb q JOIN articles_emb a ON q.category = a.category AND a.id <> q.id WHERE a.content_embedding IS NOT NULL AND q.content_embedding IS NOT NULL QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY similarity DESC, a.id) <= 5")(
     lambda spark, sf: M.similar_per_article(S.articles_emb(spark, sf))
 )
+query("similar_articles_same_label", f"SELECT q.id, a.id AS other_id, {_NEAR} AS similarity FROM articles_emb q JOIN articles_emb a ON q.category || q.emb_category = a.category || a.emb_category AND a.id <> q.id WHERE a.content_embedding IS NOT NULL AND q.content_embedding IS NOT NULL QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY similarity DESC, a.id) <= 5")(
+    lambda spark, sf: M.similar_per_article(S.articles_emb(spark, sf).withColumn("category", F.concat("category", F.col("emb_category").cast("string"))))
+)
 query("embedding_backfill", "SELECT id, true AS processed FROM articles_emb WHERE content_embedding IS NULL OR id % 3 <> 0 ORDER BY crawled_at DESC, id LIMIT 1000")(lambda spark, sf: M.embedding_backfill(S.articles_emb(spark, sf).withColumn("is_processed", F.col("id") % 3 == 0), now()))
 
 # -- aggregates -------------------------------------------------------------------------------------
@@ -275,7 +276,11 @@ _HEALTH = f", m AS (SELECT coalesce(avg(value) FILTER (metric_name = 'cpu_usage'
 query("system_health", _HEALTH)(lambda spark, sf: A.system_health(S.system_metrics(spark, sf), now()))
 query("underperforming_sources", f", {_PER} SELECT name, articles AS article_count, round(quality, 6) AS avg_quality FROM sa WHERE is_active AND (articles < 10 OR quality < 0.4)")(lambda spark, sf: A.underperforming_sources(S.sources(spark, sf), S.articles(spark, sf), now()))
 _EMERGE = f"SELECT category, count(*) FILTER ({_ago('crawled_at', 7)}) AS recent_count, count(*) FILTER ({_ago('crawled_at', 30)} AND NOT {_ago('crawled_at', 7)}) AS previous_count FROM articles GROUP BY category"
-query("emerging_categories", f"SELECT *, round((recent_count - previous_count) * 100.0::DOUBLE / previous_count, 1) AS growth_rate FROM ({_EMERGE}) WHERE recent_count > 5 AND previous_count > 0 AND (recent_count - previous_count) * 100.0 / previous_count > 50")(lambda spark, sf: A.emerging_categories(S.articles(spark, sf), now()))
+query("emerging_categories_now", f"SELECT *, round((recent_count - previous_count) * 100.0::DOUBLE / previous_count, 1) AS growth_rate FROM ({_EMERGE}) WHERE recent_count > 5 AND previous_count > 0 AND (recent_count - previous_count) * 100.0 / previous_count > 50")(lambda spark, sf: A.emerging_categories(S.articles(spark, sf), now()))
+#: At this moment, early in the tables' month, some categories grow.
+_THEN = "2024-01-10 00:00:00"
+_EARLY = _EMERGE.replace(NOW, f"TIMESTAMP '{_THEN}'")
+query("emerging_categories", f"SELECT *, round((recent_count - previous_count) * 100.0::DOUBLE / previous_count, 1) AS growth_rate FROM ({_EARLY}) WHERE recent_count > 5 AND previous_count > 0 AND (recent_count - previous_count) * 100.0 / previous_count > 50")(lambda spark, sf: A.emerging_categories(S.articles(spark, sf), S.as_of(_THEN)))
 _ALERT = f"SELECT round(100.0::DOUBLE * avg(CASE WHEN status = 'completed' THEN 1.0::DOUBLE ELSE 0.0 END), 1) AS success_rate, count(*) AS total_jobs FROM crawl_jobs WHERE {_ago('started_at', 10)} HAVING count(*) > 0 AND avg(CASE WHEN status = 'completed' THEN 100.0 ELSE 0.0 END) < 80"
 query("crawl_efficiency_alert", _ALERT)(lambda spark, sf: A.crawl_efficiency_alert(S.crawl_jobs(spark, sf), now() - F.expr("interval 9 days")))
 _RANKED = f"{_PER}, u AS (SELECT name, articles AS article_count, row_number() OVER (ORDER BY round(quality, 6) NULLS LAST, name) AS k FROM sa WHERE is_active AND (articles < 10 OR quality < 0.4)), e AS (SELECT *, row_number() OVER (ORDER BY recent_count DESC, category) AS k FROM (SELECT *, round((recent_count - previous_count) * 100.0::DOUBLE / previous_count, 1) AS growth_rate FROM ({_EMERGE}) WHERE recent_count > 5 AND previous_count > 0 AND (recent_count - previous_count) * 100.0 / previous_count > 50)), al AS ({_ALERT})"
@@ -546,8 +551,12 @@ def _requests_stream(spark, sf):
     return T.event_time(_stream(spark, sf)).select("event_id", "ts", F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string"), F.lit(".example.org")).alias("domain"), status.alias("status_code"), (F.col("value") / 100).alias("response_time"))
 
 
+def _hash_rows(events):
+    return T.event_time(events).select("ts", F.sha2(F.concat_ws(":", "user_id", "event_type"), 256).alias("content_hash"))
+
+
 def _hash_stream(spark, sf):
-    return T.event_time(_stream(spark, sf)).select("ts", F.sha2(F.concat_ws(":", "user_id", "event_type"), 256).alias("content_hash"))
+    return _hash_rows(_stream(spark, sf))
 
 
 def _plain(df: DataFrame, *columns: str) -> DataFrame:
@@ -558,19 +567,56 @@ query("stream_tumbling_metrics", "SELECT time_bucket(INTERVAL 15 MINUTE, recorde
 query("stream_sliding_rate", "SELECT time_bucket(INTERVAL 1 SECOND, ts) - to_seconds(k) AS start, domain, count(*) AS requests FROM request_log, (SELECT unnest(range(0, 10)) AS k) GROUP BY 1, 2")(lambda spark, sf: _plain(run_stream(T.sliding_rate(_requests_stream(spark, sf)), "complete"), "start"))
 query("stream_crawl_sessions", ", g AS (SELECT domain, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM request_log WINDOW w AS (PARTITION BY domain ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY domain ORDER BY ts) AS k FROM g) SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", domain, count(*) AS requests FROM s GROUP BY domain, k")(lambda spark, sf: _plain(run_stream(T.crawl_sessions(_requests_stream(spark, sf)), "complete"), "start", "end"))
 query("stream_dedup", "SELECT DISTINCT sha256(user_id || ':' || event_type) AS content_hash FROM events")(lambda spark, sf: run_stream(T.dedup(_hash_stream(spark, sf)), "append").select("content_hash"))
-query("stream_hash_registry", "SELECT sha256(user_id || ':' || event_type) AS content_hash, count(*) - 1 AS duplicate_count, max(ts) AS last_seen FROM events GROUP BY 1")(lambda spark, sf: _plain(run_stream(T.hash_registry(_hash_stream(spark, sf)), "update").where("not expired").groupBy("content_hash").agg(F.max("duplicate_count").alias("duplicate_count"), F.max("last_seen").alias("last_seen")), "last_seen"))
-
-
-@query("late_data", "SELECT date_trunc('day', ts) AS day, count(*) AS n FROM events WHERE ts >= '2024-01-11' GROUP BY 1 HAVING date_trunc('day', any_value(ts)) + INTERVAL 2 DAY <= (SELECT max(ts) FROM events)")
+@query("stream_hash_registry", "SELECT sha256(user_id || ':' || event_type) AS content_hash, count(*) - 1 AS duplicate_count, max(ts) AS last_seen FROM events GROUP BY 1")
 def _(spark, sf):
-    """Three files, the last one of older events: those are late and dropped, and a day comes out once the watermark has passed it."""
+    """It starts from a registry of the first third of the events; the stream brings the others."""
+    cut = "2024-01-11"
+    first = _hash_rows(S.raw(spark, sf, "events").where(F.col("ts") < cut))
+    stored = first.groupBy("content_hash").agg((F.count("*") - 1).alias("duplicate_count"), F.min("ts").alias("first_seen_at"), F.max("ts").alias("last_seen_at"))
+    with T.rocksdb(spark):
+        out = run_stream(T.hash_registry(_hash_rows(_stream(spark, sf).where(F.col("ts") >= cut)), stored=stored), "update")
+    last = out.where("not expired").groupBy("content_hash").agg(F.max("duplicate_count").alias("duplicate_count"), F.max("last_seen").alias("last_seen"))
+    quiet = stored.join(last, "content_hash", "left_anti").select("content_hash", "duplicate_count", F.col("last_seen_at").alias("last_seen"))
+    return _plain(last.unionByName(quiet), "last_seen")
+
+
+def _late_files(spark, sf) -> DataFrame:
+    """Events as a stream of three files, the last one of older events."""
     e, at = S.raw(spark, sf, "events").select("event_id", "ts"), scratch(spark)
     for part in (e.where("ts >= '2024-01-11' and ts < '2024-01-21'"), e.where("ts >= '2024-01-21'"), e.where("ts < '2024-01-11'")):
         part.coalesce(1).write.mode("append").parquet(at)
-    return _plain(run_stream(T.daily_counts(T.event_time(T.file_stream(spark, at, e.schema, "*.parquet", files=1))), "append").select("day", "n"), "day")
+    return T.event_time(T.file_stream(spark, at, e.schema, "*.parquet", files=1))
+
+
+@query("late_data", "SELECT date_trunc('day', ts) AS day, count(*) AS n FROM events WHERE ts >= '2024-01-11' GROUP BY 1 HAVING date_trunc('day', any_value(ts)) + INTERVAL 2 DAY <= (SELECT max(ts) FROM events)")
+def _(spark, sf):
+    """Older events are late and dropped, and a day comes out once the watermark has passed it."""
+    return _plain(run_stream(T.daily_counts(_late_files(spark, sf)), "append").select("day", "n"), "day")
+
+
+query("late_rows", "SELECT count(*) FILTER (ts >= '2024-01-11') AS kept, count(*) FILTER (ts < '2024-01-11') AS dropped FROM events")(lambda spark, sf: T.late_rows(_late_files(spark, sf), ["event_id"]))
+
+
+def _limits(spark, sf):
+    """Presets, and limits like theirs for two of three domains of the log; the third has the defaults."""
+    own = S.request_log(spark, sf).select("domain").distinct().withColumn("k", F.regexp_extract("domain", r"\d+", 0).cast("int") % 3).where("k < 2")
+    low, high = fixed.DOMAIN_LIMITS["github.com"], fixed.DOMAIN_LIMITS["docker.com"]
+    pick = lambda c: F.when(F.col("k") == 0, F.lit(low[c])).otherwise(F.lit(high[c])).alias(("rate", "burst", "delay")[c])
+    return L.presets(spark).unionByName(own.select("domain", *[pick(c) for c in range(3)]))
+
+
+#: The log is read at this many times its pace, so that requests get in each other's way.
+_PACE = 3600
+
+
+def _paced(spark, sf):
+    return L_log(S.request_log(spark, sf)).withColumn("us", F.floor(F.col("us") / _PACE))
+
+
+def L_log(log: DataFrame) -> DataFrame:
+    return log.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
 
 
-query("stream_adaptive_rate")(lambda spark, sf: run_stream(T.adaptive_rate(_requests_stream(spark, sf)), "update"))
 _FOLD = """, o AS (SELECT domain, status_code AS c, response_time AS t, row_number() OVER (PARTITION BY domain ORDER BY ts, event_id) AS n FROM request_log),
 f AS (SELECT DISTINCT domain, 0::BIGINT AS n, 1.0::DOUBLE AS rate, 3 AS burst, 1.0::DOUBLE AS delay, 0 AS errors FROM o UNION ALL
 SELECT f.domain, o.n, CASE WHEN c = 429 THEN greatest(rate * 0.5::DOUBLE, 0.1) WHEN c >= 500 AND errors + 1 > 5 THEN greatest(rate * 0.8::DOUBLE, 0.2) WHEN c = 200 AND t < 1 AND errors <= 1 AND rate < 2 THEN least(rate * 1.1::DOUBLE, 2.0) ELSE rate END,
@@ -579,7 +625,41 @@ CASE WHEN c = 429 THEN least(delay * 2, 10.0) WHEN c >= 500 AND errors + 1 > 5 T
 CASE WHEN c = 429 OR c >= 500 THEN errors + 1 WHEN c = 200 THEN greatest(errors - 1, 0) ELSE errors END
 FROM f JOIN o ON o.domain = f.domain AND o.n = f.n + 1)
 SELECT domain, arg_max(rate, n) AS rate, arg_max(burst, n) AS burst, arg_max(delay, n) AS delay, arg_max(errors, n) AS errors FROM f GROUP BY domain"""
-query("adaptive_rate_batch", _FOLD, PRELUDE.replace("WITH", "WITH RECURSIVE", 1))(lambda spark, sf: T.adaptive_rate_batch(S.request_log(spark, sf)))
+_RECURSIVE = PRELUDE.replace("WITH", "WITH RECURSIVE", 1)
+_LIMITED = """, lim AS (SELECT DISTINCT domain, CASE regexp_extract(domain, '[0-9]+')::INT % 3 WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END AS rate,
+CASE regexp_extract(domain, '[0-9]+')::INT % 3 WHEN 0 THEN 2 WHEN 1 THEN 5 ELSE 3 END AS burst, CASE regexp_extract(domain, '[0-9]+')::INT % 3 WHEN 0 THEN 2.0::DOUBLE WHEN 1 THEN 0.7::DOUBLE ELSE 1.0::DOUBLE END AS delay FROM request_log)"""
+query("adaptive_rate_batch", _FOLD, _RECURSIVE)(lambda spark, sf: L.adaptive_rate(L_log(S.request_log(spark, sf))))
+_PRESET_FOLD = _LIMITED + _FOLD.replace("SELECT DISTINCT domain, 0::BIGINT AS n, 1.0::DOUBLE AS rate, 3 AS burst, 1.0::DOUBLE AS delay, 0 AS errors FROM o", "SELECT domain, 0::BIGINT AS n, rate, burst, delay, 0 AS errors FROM lim")
+query("adaptive_rate_presets", _PRESET_FOLD, _RECURSIVE)(lambda spark, sf: L.adaptive_rate(L_log(S.request_log(spark, sf)), _limits(spark, sf)))
+
+
+@query("stream_adaptive_rate", _PRESET_FOLD, _RECURSIVE)
+def _(spark, sf):
+    """The same over a stream; domains of the presets that have no request stay out."""
+    at = scratch(spark)
+    done = L.adaptive_rate_stream(L_log(_requests_stream(spark, sf)), f"{at}/tables", f"{at}/checkpoint", _limits(spark, sf))
+    return done.where(F.endswith("domain", F.lit(".example.org")))
+
+
+_BUCKET = _LIMITED + f""", o AS (SELECT r.domain, event_id, epoch_us(ts) // {_PACE} AS us, row_number() OVER (PARTITION BY r.domain ORDER BY epoch_us(ts) // {_PACE}, event_id) AS n,
+(rate * 1000)::BIGINT AS rate, burst::BIGINT * {L.TOKEN} AS most, round(delay * 1000000)::BIGINT AS delay FROM request_log r JOIN lim USING (domain)),
+f AS (SELECT domain, 0::BIGINT AS n, NULL::BIGINT AS event_id, NULL::BOOLEAN AS granted, most AS tokens, us AS was, -1::BIGINT AS last FROM o WHERE n = 1 UNION ALL
+SELECT domain, n, event_id, good, CASE WHEN good THEN had - {L.TOKEN} ELSE had END, us, CASE WHEN good THEN us ELSE last END
+FROM (SELECT o.domain, o.n, o.event_id, o.us, last, least(most, tokens + (us - was) * rate) AS had, least(most, tokens + (us - was) * rate) >= {L.TOKEN} AND (last < 0 OR us - last >= delay) AS good
+FROM f JOIN o ON o.domain = f.domain AND o.n = f.n + 1)) SELECT event_id, domain, granted, tokens FROM f WHERE n > 0"""
+query("token_bucket", _BUCKET, _RECURSIVE)(lambda spark, sf: L.token_bucket(_paced(spark, sf), _limits(spark, sf)).where("event_id is not null").select("event_id", "domain", "granted", "tokens"))
+
+
+@query("stream_token_bucket", _BUCKET, _RECURSIVE)
+def _(spark, sf):
+    at = scratch(spark)
+    stream = L_log(_requests_stream(spark, sf)).withColumn("us", F.floor(F.col("us") / _PACE))
+    return L.token_bucket_stream(stream, _limits(spark, sf), f"{at}/tables", f"{at}/checkpoint")
+
+
+_BY_PRESET = _LIMITED + f""", p AS (SELECT event_id, domain, epoch_us(ts) // {_PACE} AS us FROM request_log), w AS (SELECT event_id, domain, {', '.join(f'count(*) OVER (PARTITION BY domain ORDER BY us RANGE BETWEEN {s}000000 PRECEDING AND CURRENT ROW) AS in_{s}s' for s in (1, 10, 60))},
+us - lag(us) OVER (PARTITION BY domain ORDER BY us, event_id) AS gap_us FROM p) SELECT event_id, domain, in_1s, in_10s, in_60s, gap_us FROM w JOIN lim USING (domain) WHERE in_1s > rate OR in_10s > burst OR in_60s > 10 OR (regexp_extract(domain, '[0-9]+')::INT % 3 < 2 AND gap_us < delay * 1000000)"""
+query("rate_violations_presets", _BY_PRESET)(lambda spark, sf: J.rate_violations(_paced(spark, sf).withColumn("ts", F.timestamp_micros("us")), limits=_limits(spark, sf)))
 
 
 @query("stream_ingest")
@@ -601,6 +681,16 @@ def _article_stream(spark, sf):
     return S.articles_of(T.file_stream(spark, sf, S.raw(spark, sf, "documents").schema, "documents.parquet")).withColumn("ts", F.col("crawled_at").cast("timestamp"))
 
 
+@query("stream_insights", _INSIGHTS)
+def _(spark, sf):
+    """Insights behind the last batch of articles and jobs."""
+    at, ago = scratch(spark), F.expr("interval 9 days")
+    events = _stream(spark, sf)
+    jobs = S.crawl_jobs_of(events).withColumn("started_at", F.col("started_at") + ago)
+    figures = A.article_figures(_article_stream(spark, sf)).unionByName(A.job_figures(jobs))
+    return T.insight_stream(figures, S.sources(spark, sf), now(), f"{at}/tables", f"{at}/checkpoint")
+
+
 _WEEK = "time_bucket(INTERVAL 7 DAY, crawled_at, TIMESTAMP '1970-01-01')"
 query("stream_category_windows", f"SELECT {_WEEK} AS start, category, count(*) AS articles FROM articles GROUP BY 1, 2")(lambda spark, sf: _plain(run_stream(T.category_windows(_article_stream(spark, sf).select("ts", "category")), "complete"), "start"))
 query("stream_source_windows", f"SELECT {_WEEK} AS start, source_id, count(*) AS articles, round(avg(quality_score), 6) AS quality, count(*) < 10 OR avg(quality_score) < 0.4 AS underperforms FROM articles GROUP BY 1, 2")(lambda spark, sf: _plain(run_stream(T.source_windows(_article_stream(spark, sf).select("ts", "source_id", "quality_score")), "complete"), "start"))

@@ -66,3 +66,9 @@ STOP_WORDS = {
 }
 #: Sites that speak for a page that links to them.
 GOOD_LINKS = ["github.com", "stackoverflow.com"]
+#: Requests a second, burst and seconds between requests, by default and of known domains.
+DEFAULT_LIMIT = (1.0, 3, 1.0)
+DOMAIN_LIMITS = {
+    **dict.fromkeys(["stackoverflow.com", "github.com", "medium.com", "reddit.com", "hackernews.com"], (0.5, 2, 2.0)),
+    **dict.fromkeys(["docs.python.org", "developer.mozilla.org", "kubernetes.io", "docker.com"], (1.5, 5, 0.7)),
+}

@@ -125,7 +125,7 @@ def crawl_efficiency_alert(jobs: DataFrame, now: Column, least: float = 80.0) ->
     return out.where((F.col("total_jobs") > 0) & (F.col("rate") < least)).select(F.round("rate", 1).alias("success_rate"), "total_jobs")
 
 
-def insights(sources: DataFrame, articles: DataFrame, jobs: DataFrame, now: Column) -> DataFrame:
+def _payloads(under: DataFrame, emerging: DataFrame, alert: DataFrame) -> DataFrame:
     """(type, title, size, payload): at most one row of each kind; the payload is JSON, an array of examples that are ranked and cut
     before they are collected, or the figures of the alert."""
 
@@ -135,13 +135,49 @@ def insights(sources: DataFrame, articles: DataFrame, jobs: DataFrame, now: Colu
         examples = best.agg(F.to_json(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["example"])).alias("payload"))
         return examples.crossJoin(found.agg(F.count("*").alias("size"))).select(F.lit(kind).alias("type"), F.lit(title).alias("title"), "size", "payload")
 
-    under, emerging, alert = underperforming_sources(sources, articles, now), emerging_categories(articles, now), crawl_efficiency_alert(jobs, now)
     a = listed(under, [F.asc_nulls_last("avg_quality"), F.asc("name")], 5, ["name", "article_count"], "warning", "underperforming sources")
     b = listed(emerging, [F.desc("recent_count"), F.asc("category")], 3, ["category", "recent_count", "previous_count", "growth_rate"], "info", "emerging categories")
     c = alert.select(F.lit("error").alias("type"), F.lit("crawl efficiency").alias("title"), F.col("total_jobs").alias("size"), F.to_json(F.struct("success_rate", "total_jobs")).alias("payload"))
     return a.unionByName(b).unionByName(c).where("size > 0")
 
 
+def insights(sources: DataFrame, articles: DataFrame, jobs: DataFrame, now: Column) -> DataFrame:
+    """Sources that fall short, categories that grow and jobs that fail, each with examples."""
+    return _payloads(underperforming_sources(sources, articles, now), emerging_categories(articles, now), crawl_efficiency_alert(jobs, now))
+
+
+def article_figures(articles: DataFrame) -> DataFrame:
+    """What insights need of each article, to be summed: (kind, key, hour, n, points), for its category and hour and for its source with
+    its quality in hundredths, which are whole and add up the same in any order."""
+    category = F.struct(F.lit("category").alias("kind"), F.col("category").alias("key"), F.date_trunc("hour", "crawled_at").cast("timestamp_ntz").alias("hour"), F.lit(0).cast("long").alias("points"))
+    source = F.struct(F.lit("source").alias("kind"), F.col("source_id").alias("key"), F.lit(None).cast("timestamp_ntz").alias("hour"), F.round(F.col("quality_score") * 100).cast("long").alias("points"))
+    return articles.select(F.explode(F.array(category, source)).alias("f")).select("f.kind", "f.key", "f.hour", F.lit(1).cast("long").alias("n"), "f.points")
+
+
+def job_figures(jobs: DataFrame) -> DataFrame:
+    """The same of each job: its hour, and whether it was completed."""
+    return jobs.select(F.lit("job").alias("kind"), F.lit(None).cast("string").alias("key"), F.date_trunc("hour", "started_at").cast("timestamp_ntz").alias("hour"), F.lit(1).cast("long").alias("n"), (F.col("status") == "completed").cast("long").alias("points"))
+
+
+def summed(figures: DataFrame) -> DataFrame:
+    """Figures of one kind, key and hour as one row; sums may be summed again."""
+    return figures.groupBy("kind", "key", "hour").agg(F.sum("n").alias("n"), F.sum("points").alias("points"))
+
+
+def insights_of_figures(figures: DataFrame, sources: DataFrame, now: Column, least: float = 80.0) -> DataFrame:
+    """``insights`` from summed figures alone; ``now`` is a full hour."""
+    per = figures.where("kind = 'source'").groupBy(F.col("key").alias("id")).agg(F.sum("n").alias("articles"), F.sum("points").alias("points"))
+    j = sources.where("is_active").join(per, "id", "left").withColumn("articles", F.coalesce("articles", F.lit(0).cast("long"))).withColumn("quality", F.col("points") / (100.0 * F.col("articles")))
+    under = j.where((F.col("articles") < 10) | (F.col("quality") < 0.4)).select("name", F.col("articles").alias("article_count"), F.round("quality", 6).alias("avg_quality"))
+    new, old = since("hour", now, "7 days"), since("hour", now, "30 days")
+    found = figures.where("kind = 'category' and key is not null").groupBy(F.col("key").alias("category")).agg(F.sum(F.when(new, F.col("n")).otherwise(0)).alias("recent_count"), F.sum(F.when(old & ~new, F.col("n")).otherwise(0)).alias("previous_count"))
+    growth = (F.col("recent_count") - F.col("previous_count")) * 100.0 / F.col("previous_count")
+    emerging = found.where("recent_count > 5 and previous_count > 0").withColumn("growth_rate", F.round(growth, 1)).where(growth > 50)
+    day = figures.where(F.col("kind") == "job").where(since("hour", now, "24 hours")).agg(F.sum("n").alias("total_jobs"), F.sum("points").alias("completed"))
+    rate = F.col("completed") * 100.0 / F.col("total_jobs")
+    return _payloads(under, emerging, day.where((F.col("total_jobs") > 0) & (rate < least)).select(F.round(rate, 1).alias("success_rate"), "total_jobs"))
+
+
 def sources_stats(sources: DataFrame, now: Column) -> DataFrame:
     return sources.agg(F.count("*").alias("total_sources"), F.count_if("is_active").alias("active_sources"), F.count_if(since("last_crawled", now, "24 hours")).alias("crawled_today"), mean("quality_score").alias("avg_quality"), F.count_distinct("category").alias("categories"))
 

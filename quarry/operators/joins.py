@@ -75,8 +75,9 @@ def latest_per_url(articles: DataFrame) -> DataFrame:
     return top_per_group(articles, ["url"], [F.desc("crawled_at"), F.desc("id")], 1)
 
 
-def rate_violations(log: DataFrame, per_second: int = 1, burst: int = 3, per_minute: int = 10) -> DataFrame:
-    """Requests with trailing counts of 1, 10 and 60 seconds and the gap since the one before; those over a limit. Windows run
+def rate_violations(log: DataFrame, per_second: int = 1, burst: int = 3, per_minute: int = 10, limits: DataFrame | None = None) -> DataFrame:
+    """Requests with trailing counts of 1, 10 and 60 seconds and the gap since the one before; those over a limit. ``limits`` (domain, rate,
+    burst, delay) are those of single domains, where a gap under the delay counts, too. Windows run
     within a minute of a domain, which holds the requests of the minute before, too, so a busy domain is dealt over many tasks;
     a gap over an empty minute is taken from the last request of the domain's minute before that has one."""
     minute = 60_000_000
@@ -89,7 +90,12 @@ def rate_violations(log: DataFrame, per_second: int = 1, burst: int = 3, per_min
     last = log.groupBy("domain", "minute").agg(F.max("us").alias("last"))
     last = last.select("domain", F.col("minute").alias("at"), F.lag("last").over(Window.partitionBy("domain").orderBy("minute")).alias("before"))
     out = own.join(last, ["domain", "at"]).withColumn("gap_us", F.coalesce("gap_us", F.col("us") - F.col("before")))
-    return out.where((F.col("in_1s") > per_second) | (F.col("in_10s") > burst) | (F.col("in_60s") > per_minute)).select("event_id", "domain", "in_1s", "in_10s", "in_60s", "gap_us")
+    over = (F.col("in_1s") > per_second) | (F.col("in_10s") > burst) | (F.col("in_60s") > per_minute)
+    if limits is not None:
+        out = out.join(limits.select("domain", "rate", F.col("burst").alias("most"), "delay"), "domain", "left")
+        own = (F.col("in_1s") > F.col("rate")) | (F.col("in_10s") > F.col("most")) | (F.col("in_60s") > per_minute) | (F.col("gap_us") < F.col("delay") * 1_000_000)
+        over = F.when(F.col("rate").isNull(), over).otherwise(own)
+    return out.where(over).select("event_id", "domain", "in_1s", "in_10s", "in_60s", "gap_us")
 
 
 def candidate_union(*parts: DataFrame) -> DataFrame:

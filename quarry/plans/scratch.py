@@ -20,6 +20,12 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever it is stored."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def run_stream(stream: DataFrame, mode: str) -> DataFrame:
     """Run a stream over what is there; the rows that it wrote (in complete mode, the last state)."""
     spark, at, count = stream.sparkSession, scratch(stream.sparkSession), [0]

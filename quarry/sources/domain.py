@@ -85,7 +85,10 @@ def articles_dup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def crawl_jobs(spark: SparkSession, sf: str) -> DataFrame:
-    e = raw(spark, sf, "events")
+    return crawl_jobs_of(raw(spark, sf, "events"))
+
+
+def crawl_jobs_of(e: DataFrame) -> DataFrame:
     status = F.when(F.col("event_type") == "purchase", "running").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "signup", "pending").otherwise("completed")
     return e.select(F.col("event_id").alias("id"), F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("source_id"), status.alias("status"), F.col("ts").alias("started_at"))
 

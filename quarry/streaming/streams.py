@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
+from threading import Event
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
+from pyspark.sql.types import IntegerType
 
+from quarry.operators.analytics import insights_of_figures, summed
 from quarry.operators.discovery import CrawlState, crawl_batch
-
-#: Default limits of a domain.
-RATE, BURST, DELAY = 1.0, 3, 1.0
-
+from quarry.plans.scratch import scratch
 
 def event_time(df: DataFrame, column: str = "ts") -> DataFrame:
     return df.withColumn(column, F.col(column).cast("timestamp"))
@@ -73,84 +74,129 @@ def daily_counts(stream: DataFrame, late: str = "1 day") -> DataFrame:
 REGISTRY = "content_hash string, duplicate_count long, last_seen timestamp, expired boolean"
 
 
-def hash_registry(stream: DataFrame, keep_days: int = 90) -> DataFrame:
-    """Count and last time of each hash; one without duplicates is forgotten ``keep_days`` after it was first seen."""
+class _Registry(StatefulProcessor):
+    """Duplicates, last and first time of a hash. The timer of a hash without duplicates forgets it."""
 
-    def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            n, last, first = state.get
-            state.remove()
-            yield pd.DataFrame([(key[0], n, pd.Timestamp(last, unit="us"), True)], columns=["content_hash", "duplicate_count", "last_seen", "expired"])
-            return
-        n, last, first = state.get if state.exists else (-1, 0, None)
-        for batch in batches:
-            times = batch["ts"].astype("datetime64[us]").astype("int64")
-            n += len(batch)
-            last = max(last, int(times.max()))
-            first = int(times.min()) if first is None else min(first, int(times.min()))
-        state.update((n, last, first))
+    def __init__(self, keep_days: int):
+        self.keep_ms = keep_days * 86_400_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "n long, last long, first long")
+
+    def _store(self, n: int, last: int, first: int, now_ms: int) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.seen.update((n, last, first))
         if n == 0:
-            state.setTimeoutTimestamp(max(first // 1000 + keep_days * 86_400_000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([(key[0], n, pd.Timestamp(last, unit="us"), False)], columns=["content_hash", "duplicate_count", "last_seen", "expired"])
+            self.handle.registerTimer(max(first // 1000 + self.keep_ms, now_ms + 1))
 
-    return stream.withWatermark("ts", "1 hour").groupBy("content_hash").applyInPandasWithState(update, REGISTRY, "n long, last long, first long", "update", GroupStateTimeout.EventTimeTimeout)
+    def _row(self, key, expired: bool) -> pd.DataFrame:
+        n, last, _ = self.seen.get()
+        return pd.DataFrame([(key[0], n, pd.Timestamp(last, unit="us"), expired)], columns=["content_hash", "duplicate_count", "last_seen", "expired"])
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        row = initialState.iloc[0]
+        last, first = (int(pd.Timestamp(row[c]).value) // 1000 for c in ("last_seen_at", "first_seen_at"))
+        self._store(int(row["duplicate_count"]), last, first, max(timerValues.getCurrentWatermarkInMs(), 0))
 
-def step_limit(rate: float, burst: int, delay: float, errors: int, status: int, seconds: float) -> tuple[float, int, float, int]:
-    """A domain's limits after one response."""
-    if status == 429:
-        return max(rate * 0.5, 0.1), max(burst - 1, 1), min(delay * 2, 10.0), errors + 1
-    if status >= 500:
-        errors += 1
-        return (max(rate * 0.8, 0.2), burst, min(delay * 1.5, 5.0), errors) if errors > 5 else (rate, burst, delay, errors)
-    if status == 200:
-        errors = max(errors - 1, 0)
-        if seconds < 1 and errors == 0 and rate < 2:
-            return min(rate * 1.1, 2.0), min(burst + 1, 10), max(delay * 0.95, 0.5), errors
-    return rate, burst, delay, errors
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        n, last, first = self.seen.get() if self.seen.exists() else (-1, 0, None)
+        for batch in rows:
+            times = batch["ts"].astype("datetime64[us]").astype("int64")
+            n += len(batch)
+            last = max(last, int(times.max()))
+            first = int(times.min()) if first is None else min(first, int(times.min()))
+        self._store(n, last, first, timerValues.getCurrentWatermarkInMs())
+        yield self._row(key, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.seen.exists():
+            yield self._row(key, True)
+            self.seen.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def hash_registry(stream: DataFrame, keep_days: int = 90, stored: DataFrame | None = None) -> DataFrame:
+    """Count and last time of each hash; one without duplicates is forgotten ``keep_days`` after it was first seen. The first batch starts
+    from ``stored``, a registry of one row a hash. State lies in RocksDB (``rocksdb``)."""
+    initial = None
+    if stored is not None:
+        initial = stored.select("content_hash", "duplicate_count", F.col("last_seen_at").cast("timestamp").alias("last_seen_at"), F.col("first_seen_at").cast("timestamp").alias("first_seen_at")).groupBy("content_hash")
+    rows = stream.select("content_hash", "ts").withWatermark("ts", "1 hour").groupBy("content_hash")
+    return rows.transformWithStateInPandas(_Registry(keep_days), REGISTRY, "update", "EventTime", initial)
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """State in RocksDB for the streams that start inside."""
+    key, old = "spark.sql.streaming.stateStore.providerClass", None
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old) if old else spark.conf.unset(key)
+
+
+def insight_stream(figures: DataFrame, sources: DataFrame, now: Column, path: str, checkpoint: str) -> DataFrame:
+    """``insights`` kept over a stream of figures (``article_figures``, ``job_figures`` or both). A micro-batch adds its own sums, a few rows, and
+    derives from the sums of all batches the growth against the window before and the payloads; those of each batch stay under
+    its number. Returns the last ones."""
+    spark = figures.sparkSession
+    sums = f"{path}/sums"
 
+    def write(batch: DataFrame, number: int) -> None:
+        summed(batch).write.mode("overwrite").parquet(f"{sums}/batch={number}")
+        every = spark.read.schema(figures.schema.add("batch", IntegerType())).parquet(sums).where(F.col("batch") <= number)
+        insights_of_figures(summed(every), sources, now).write.mode("overwrite").parquet(f"{path}/insights/batch={number}")
 
-LIMITS = "domain string, rate double, burst int, delay double, errors int"
+    figures.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema("type string, title string, size long, payload string, batch int").parquet(f"{path}/insights")
+    return found.where(F.col("batch") == spark.read.parquet(sums).agg(F.max("batch")).first()[0]).drop("batch")
 
 
-def _fold(rows: pd.DataFrame, now: tuple[float, int, float, int]) -> tuple[float, int, float, int]:
-    for status, seconds in rows.sort_values(["ts", "event_id"])[["status_code", "response_time"]].itertuples(index=False):
-        now = step_limit(*now, int(status), float(seconds))
-    return now
+class _Dropped(StreamingQueryListener):
+    """Rows that the state operators of a query drop as late, from its progress."""
 
+    def __init__(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.ended: dict[str, Event] = {}
 
-def adaptive_rate(stream: DataFrame) -> DataFrame:
-    """Limits of each domain after every micro-batch; responses are put in order within a domain first."""
+    def onQueryStarted(self, event) -> None:
+        self.ended.setdefault(str(event.runId), Event())
 
-    def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.get if state.exists else (RATE, BURST, DELAY, 0)
-        now = _fold(pd.concat(list(batches)), now)
-        state.update(now)
-        yield pd.DataFrame([(key[0], *now)], columns=["domain", "rate", "burst", "delay", "errors"])
+    def onQueryProgress(self, event) -> None:
+        run = str(event.progress.runId)
+        self.rows[run] = self.rows.get(run, 0) + sum(o.numRowsDroppedByWatermark for o in event.progress.stateOperators)
 
-    return stream.groupBy("domain").applyInPandasWithState(update, LIMITS, "rate double, burst int, delay double, errors int", "update", GroupStateTimeout.NoTimeout)
+    def onQueryIdle(self, event) -> None:
+        pass
 
+    def onQueryTerminated(self, event) -> None:
+        self.ended.setdefault(str(event.runId), Event()).set()
 
-def adaptive_rate_batch(log: DataFrame) -> DataFrame:
-    """The same over a whole log. The fold is a sequence by nature: rows stream through in order, domain after domain, and
-    only the current domain's limits are held."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        domain, now = None, (RATE, BURST, DELAY, 0)
-        for batch in batches:
-            done = []
-            for d, status, seconds in batch[["domain", "status_code", "response_time"]].itertuples(index=False):
-                if d != domain:
-                    if domain is not None:
-                        done.append((domain, *now))
-                    domain, now = d, (RATE, BURST, DELAY, 0)
-                now = step_limit(*now, int(status), float(seconds))
-            yield pd.DataFrame(done, columns=["domain", "rate", "burst", "delay", "errors"])
-        if domain is not None:
-            yield pd.DataFrame([(domain, *now)], columns=["domain", "rate", "burst", "delay", "errors"])
+def late_rows(stream: DataFrame, key: list[str], late: str = "1 day") -> DataFrame:
+    """One row (kept, dropped): distinct rows that came in time, and rows that came behind the watermark. Dropped ones are counted by the engine
+    in the query's progress, row by row, as duplicates are removed where rows are not aggregated before."""
+    spark, kept = stream.sparkSession, {}
 
-    rows = log.select("domain", "ts", "event_id", "status_code", "response_time").repartition("domain").sortWithinPartitions("domain", "ts", "event_id")
-    return rows.mapInPandas(run, LIMITS)
+    def write(batch: DataFrame, number: int) -> None:
+        kept[number] = batch.count()
+
+    listener = _Dropped()
+    spark.streams.addListener(listener)
+    try:
+        rows = stream.withWatermark("ts", late).dropDuplicates([*key, "ts"])
+        query = rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{scratch(spark)}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+        listener.ended.setdefault(str(query.runId), Event()).wait(60)  # events come in order; this is the last one
+    finally:
+        spark.streams.removeListener(listener)
+    return spark.createDataFrame([(sum(kept.values()), listener.rows.get(str(query.runId), 0))], "kept long, dropped long")
 
 
 def crawl_ingest(stream: DataFrame, start: CrawlState, now: Column, path: str, checkpoint: str, robots: DataFrame | None = None) -> tuple[CrawlState, DataFrame]:

@@ -8,9 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry import catalog
-from quarry.operators import discovery
+from quarry.operators import analytics, discovery
 from quarry.plans.scratch import run_stream, scratch
 from quarry.sources import domain
+from quarry.streaming import limits as requests
 from quarry.streaming import streams
 
 SF = "/root/testdata/sf0.001"
@@ -39,13 +40,43 @@ def test_late_rows_are_dropped_and_open_days_held_back(spark):
 
 def test_hash_registry_counts_over_batches_and_forgets(spark):
     parts = [[("a", day(0)), ("b", day(0)), ("b", day(0.1))], [("b", day(1)), ("c", day(1))], [("d", day(40))], [("d", day(41))]]
-    out = run_stream(streams.hash_registry(files(spark, parts, "content_hash string, ts timestamp"), keep_days=10), "update").collect()
+    with streams.rocksdb(spark):
+        out = run_stream(streams.hash_registry(files(spark, parts, "content_hash string, ts timestamp"), keep_days=10), "update").collect()
     counts = {}
     for r in out:
         if not r.expired:
             counts[r.content_hash] = max(counts.get(r.content_hash, -1), r.duplicate_count)
     assert counts == {"a": 0, "b": 2, "c": 0, "d": 1}
     assert {r.content_hash for r in out if r.expired} == {"a", "c"}
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
+
+
+def test_hash_registry_starts_from_a_table_and_goes_on_after_a_restart(spark):
+    """Timers of the stored hashes run, too; a hash that expired is new when it comes again."""
+    schema = "content_hash string, ts timestamp"
+    stored = spark.createDataFrame([("s", 3, day(-1), day(0)), ("t", 0, day(-2), day(-2)), ("u", 0, day(-1), day(-1))], "content_hash string, duplicate_count long, first_seen_at timestamp_ntz, last_seen_at timestamp_ntz")
+    at = scratch(spark)
+    source, seen = f"{at}/in", []
+
+    def arrive(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = streams.hash_registry(streams.file_stream(spark, source, spark.createDataFrame([], schema).schema, "*.parquet", files=1), keep_days=10, stored=stored)
+        with streams.rocksdb(spark):
+            query = stream.writeStream.outputMode("update").foreachBatch(lambda b, _: seen.extend(map(tuple, b.collect()))).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+            query.awaitTermination()
+        new = sorted((h, n, e) for h, n, _, e in seen)
+        seen.clear()
+        return new
+
+    assert arrive([("s", day(1)), ("u", day(1)), ("v", day(1))]) == [("s", 4, False), ("u", 1, False), ("v", 0, False)]
+    assert arrive([("v", day(2)), ("w", day(20))]) == [("t", 0, True), ("v", 1, False), ("w", 0, False)]
+    assert arrive([("t", day(21)), ("s", day(21))]) == [("s", 5, False), ("t", 0, False)]
+
+
+def test_rows_behind_the_watermark_are_counted(spark):
+    parts = [[(1, day(0.2)), (2, day(3.1)), (2, day(3.1))], [(8, day(3.15))], [(4, day(0.4)), (9, day(1.0)), (5, day(2.5))], [(7, day(9.0)), (7, day(9.0))]]
+    assert tuple(streams.late_rows(files(spark, parts, "event_id long, ts timestamp"), ["event_id"]).first()) == (5, 2)
+    assert tuple(streams.late_rows(files(spark, parts[:1], "event_id long, ts timestamp"), ["event_id"]).first()) == (2, 0)
 
 
 def test_sessions_run_on_over_batches(spark):
@@ -54,12 +85,54 @@ def test_sessions_run_on_over_batches(spark):
     assert sorted((r.domain, r.requests, (r.end - r.start).seconds // 60) for r in out) == [("x", 2, 50), ("y", 1, 30)]
 
 
-def test_adaptive_rate_goes_on_from_its_state(spark):
+def paced(spark):
     log = domain.request_log(spark, SF).withColumn("ts", F.col("ts").cast("timestamp"))
-    cuts = [log.where(c) for c in ("ts < '2024-01-08'", "ts >= '2024-01-08' and ts < '2024-01-20'", "ts >= '2024-01-20'")]
-    out = run_stream(streams.adaptive_rate(files(spark, cuts, None)), "update")
-    last = out.groupBy("domain").agg(F.max_by(F.struct("rate", "burst", "delay", "errors"), "batch").alias("s")).select("domain", "s.*")
-    assert sorted(last.collect()) == sorted(streams.adaptive_rate_batch(log).collect())
+    return log.withColumn("us", F.floor(F.unix_micros("ts") / 3600))
+
+
+def thirds(log):
+    return [log.where(c) for c in ("ts < '2024-01-08'", "ts >= '2024-01-08' and ts < '2024-01-20'", "ts >= '2024-01-20'")]
+
+
+def test_limits_go_on_from_micro_batch_to_micro_batch(spark):
+    log, limits, at = paced(spark), catalog._limits(spark, SF), scratch(spark)
+    out = requests.adaptive_rate_stream(files(spark, thirds(log), None), f"{at}/tables", f"{at}/checkpoint", limits)
+    met = log.select("domain").distinct()
+    assert sorted(out.join(met, "domain", "left_semi").collect()) == sorted(requests.adaptive_rate(log, limits).collect())
+    assert {r.domain for r in out.join(met, "domain", "left_anti").collect()} == {r.domain for r in requests.presets(spark).collect()}
+    again = requests.adaptive_rate_stream(files(spark, thirds(log), None), f"{at}/more", f"{at}/more-checkpoint")
+    assert sorted(again.collect()) == sorted(requests.adaptive_rate(log).collect())
+
+
+def test_buckets_go_on_from_micro_batch_to_micro_batch(spark):
+    log, limits, at = paced(spark), catalog._limits(spark, SF), scratch(spark)
+    got = requests.token_bucket_stream(files(spark, thirds(log), None), limits, f"{at}/tables", f"{at}/checkpoint")
+    want = requests.token_bucket(log, limits).where("event_id is not null").select(*got.columns)
+    assert sorted(got.collect()) == sorted(want.collect()) and want.where("granted").count() > 0 < want.where("not granted").count()
+
+
+def test_presets_decide(spark):
+    """The same requests to a domain of each preset and to any other: two, five and three at once, then one in 2, 0.7 and 1 seconds."""
+    rows = [(100 * k + i, d, t) for k, d in enumerate(["github.com", "docker.com", "other.org"]) for i, t in enumerate([0, 700_000, 1_000_000, 1_400_000, 2_000_000, 2_100_000, 60_000_000])]
+    log = spark.createDataFrame(rows, "event_id long, domain string, us long").repartition(2)
+    got = {}
+    for r in requests.token_bucket(log, requests.presets(spark)).where("event_id is not null").orderBy("event_id").collect():
+        got.setdefault(r.domain, []).append(r.granted)
+    assert got == {
+        "github.com": [True, False, False, False, True, False, True], "docker.com": [True, True, False, True, False, True, True], "other.org": [True, False, True, False, True, False, True],
+    }
+
+
+def test_insights_over_batches_equal_those_at_once(spark):
+    a, jobs = catalog.S.articles(spark, SF), catalog.S.crawl_jobs(spark, SF).withColumn("started_at", F.col("started_at") + F.expr("interval 9 days"))
+    then = domain.as_of("2024-01-10 00:00:00")
+    figures = analytics.article_figures(a).unionByName(analytics.job_figures(jobs)).withColumn("part", F.pmod(F.xxhash64("key", "hour", "points"), F.lit(3)))
+    parts = [figures.where(F.col("part") == k).drop("part") for k in range(3)]
+    for moment in (then, domain.as_of()):
+        path = scratch(spark)
+        got = streams.insight_stream(files(spark, parts, None), catalog.S.sources(spark, SF), moment, f"{path}/tables", f"{path}/checkpoint")
+        assert sorted(got.collect()) == sorted(analytics.insights(catalog.S.sources(spark, SF), a, jobs, moment).collect()) and got.count() >= 2
+        assert spark.read.parquet(f"{path}/tables/insights").select("batch").distinct().count() == 3
 
 
 @pytest.fixture(scope="module")
