@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import fixed, scores
+from quarry.functions import language as N
 from quarry.operators import analytics as A
 from quarry.operators import discovery as D
 from quarry.operators import filters as K
@@ -422,7 +423,25 @@ _scalar("extraction_quality", "s", S.sql_clamp(_EX), lambda: scores.extraction_q
 _scalar("word_count", "n", f"len({S.sql_tokens('content')})", lambda: scores.word_count(_c("content")))
 _STOPS = {k: f"len(list_filter(w, lambda x: x IN ({', '.join(map(S._q, fixed.STOP_WORDS[k]))})))" for k in fixed.LANGUAGES}
 _MOST = ", ".join(f"n_{k}" for k in fixed.LANGUAGES)
-query("language_detect", f", w AS (SELECT id, language, {S.sql_tokens('lower(substring(content, 1, 1000))')} AS w FROM articles), n AS (SELECT id, language, {', '.join(f'{v} AS n_{k}' for k, v in _STOPS.items())} FROM w) SELECT id, language, CASE WHEN greatest({_MOST}) = 0 THEN 'en' " + " ".join(f"WHEN n_{k} = greatest({_MOST}) THEN '{k}'" for k in fixed.LANGUAGES) + " END AS detected FROM n")(lambda spark, sf: S.articles(spark, sf).select("id", "language", scores.detect_language(F.col("content")).alias("detected")))
+_GRAMS = "SELECT id, language, lower(substring(coalesce(content, ''), 1, 1000)) AS s FROM"
+_BAYES = f""", m AS ({_GRAMS} (SELECT * FROM articles WHERE id % 5 <> 0 AND language IS NOT NULL ORDER BY md5(id::VARCHAR), id LIMIT 2000)),
+g AS (SELECT language, substring(s, i, 3) AS g, count(*) AS n FROM (SELECT language, s, unnest(range(1, length(s) - 1)) AS i FROM m) GROUP BY ALL), v AS (SELECT count(DISTINCT g) AS v FROM g),
+k AS (SELECT language, floor(1000 * ln(count(*)::DOUBLE / (SELECT count(*) FROM m)))::BIGINT AS prior, (SELECT sum(n) FROM g WHERE g.language = m.language)::DOUBLE + (SELECT v FROM v) AS total FROM m GROUP BY language),
+u AS (SELECT *, floor(1000 * ln(1 / total))::BIGINT AS unknown FROM k), w AS (SELECT g, language, floor(1000 * ln((n + 1) / total))::BIGINT - unknown AS gain FROM g JOIN u USING (language)),
+d AS ({_GRAMS} articles), t AS (SELECT id, substring(s, i, 3) AS g, count(*) AS n FROM (SELECT id, s, unnest(range(1, length(s) - 1)) AS i FROM d) GROUP BY ALL),
+x AS (SELECT id, w.language AS l, sum(n * gain) AS gain FROM t JOIN w USING (g) GROUP BY ALL),
+y AS (SELECT d.id, d.language, s, u.language AS l, prior + unknown * greatest(length(s) - 2, 0) + coalesce(gain, 0) AS score FROM d, u LEFT JOIN x ON x.id = d.id AND x.l = u.language)
+SELECT id, language, CASE WHEN trim(s) = '' THEN 'en' ELSE l END AS detected FROM y QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, l) = 1"""
+
+
+@query("language_detect", _BAYES)
+def _(spark, sf):
+    """Every article; the model has not seen those whose id is divisible by five."""
+    a = S.articles(spark, sf)
+    return N.detect(a, N.fit(a.where("id % 5 <> 0"))).select("id", "language", "detected")
+
+
+query("language_detect_stop_words", f", w AS (SELECT id, language, {S.sql_tokens('lower(substring(content, 1, 1000))')} AS w FROM articles), n AS (SELECT id, language, {', '.join(f'{v} AS n_{k}' for k, v in _STOPS.items())} FROM w) SELECT id, language, CASE WHEN greatest({_MOST}) = 0 THEN 'en' " + " ".join(f"WHEN n_{k} = greatest({_MOST}) THEN '{k}'" for k in fixed.LANGUAGES) + " END AS detected FROM n")(lambda spark, sf: S.articles(spark, sf).select("id", "language", scores.detect_language(F.col("content")).alias("detected")))
 _scalar("hash_embedding", "v", f"list_transform({_VEC.format('content')}, lambda x: round(x, 6))", lambda: F.transform(F.slice(scores.hash_embedding(_c("content")), 17, 16), lambda x: F.round(x, 6)))
 _PAIR = "round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6)"
 
