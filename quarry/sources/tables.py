@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 #: Columns of each table, with the column by which rows are dealt when it is read from a database.
 SCHEMAS: dict[str, tuple[str, str]] = {
@@ -36,6 +36,10 @@ def jdbc_options(table: str, url: str, lower: str, upper: str, parts: int, fetch
 
 
 def read_database(spark: SparkSession, table: str, url: str, lower: str, upper: str, parts: int, **more: str) -> DataFrame:
-    """A table from a database whose JDBC driver the cluster has; filters and columns reach the database."""
-    df = spark.read.format("jdbc").options(**jdbc_options(table, url, lower, upper, parts, **more)).load()
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema(table)])
+    """A table from a database whose JDBC driver the cluster has; filters and columns reach the database. Columns are read as they are
+    declared, since a cast (of VARCHAR to string) would keep a filter out of the database."""
+    plain = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema(table) if not isinstance(f.dataType, ArrayType))
+    options = jdbc_options(table, url, lower, upper, parts, **{"customSchema": plain, "preferTimestampNTZ": "true", **more})
+    df = spark.read.format("jdbc").options(**options).load()
+    have = {f.name: f.dataType.simpleString() for f in df.schema}
+    return df.select(*[F.col(f.name) if have[f.name] == f.dataType.simpleString() else F.col(f.name).cast(f.dataType).alias(f.name) for f in schema(table)])
