@@ -15,6 +15,7 @@ from quarry.operators import filters as K
 from quarry.operators import joins as J
 from quarry.operators import pages as H
 from quarry.operators import similarity as M
+from quarry.operators import vectors as V
 from quarry.operators import writes as I
 from quarry.plans.scratch import run_stream, scratch
 from quarry.sources import domain as S
@@ -238,7 +239,7 @@ query("cosine_pairs", f"SELECT * FROM (SELECT query_id, id, {_COS} AS similarity
 query("semantic_search", f", f AS (SELECT query_id, id, title, content, {_COS} AS similarity FROM {_QV}, articles_emb a WHERE content_embedding IS NOT NULL) SELECT query_id, id, title, similarity, CASE WHEN length(content) > 500 THEN substring(content, 1, 500) || '...' ELSE content END AS preview FROM f WHERE similarity >= 0.1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) <= 10")(
     lambda spark, sf: M.semantic_search(_queries(spark, sf), S.articles_emb(spark, sf), 10, 0.1)
 )
-query("semantic_search_index")(lambda spark, sf: M.index_search(_queries(spark, sf), S.articles_emb(spark, sf)))
+query("semantic_search_index")(lambda spark, sf: V.pq_search(_queries(spark, sf), S.articles_emb(spark, sf)))
 _VECTOR = [((7 * k) % 13 - 6) / 10 for k in range(64)]
 query("topk_similarity", f"SELECT id, {_COS} AS similarity FROM (SELECT {_VECTOR} AS embedding) q, articles_emb a WHERE content_embedding IS NOT NULL ORDER BY similarity DESC, id LIMIT 10")(lambda spark, sf: M.topk_similarity(S.articles_emb(spark, sf), _VECTOR))
 _NEAR = _COS.replace("q.embedding", "q.content_embedding")

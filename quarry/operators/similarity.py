@@ -292,49 +292,6 @@ def similar_articles(articles: DataFrame, article_id: int, limit: int = 5) -> Da
     return near.select("id", F.round(scores.cosine(F.col("content_embedding"), F.col("v")), 6).alias("similarity")).orderBy(F.desc("similarity"), "id").limit(limit)
 
 
-#: Vectors from which an index is fitted, at most, and its lists.
-INDEX_SAMPLE, INDEX_LISTS = 20_000, 64
-
-
-def index_centres(articles: DataFrame, lists: int = INDEX_LISTS, sample: int = INDEX_SAMPLE, rounds: int = 10) -> np.ndarray:
-    """Unit vectors of the lists of an index, by k-means on at most ``sample`` rows in the order of a hash; a fit decides only how
-    well lists separate."""
-    some = articles.where("content_embedding is not null").select("id", "content_embedding").orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()
-    if not len(some):
-        return np.zeros((1, 1))
-    x = np.stack(some["content_embedding"].to_numpy()).astype(float)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    centres = x[: min(lists, len(x))]
-    for _ in range(rounds):
-        of = (x @ centres.T).argmax(1)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, of, x)
-        size = np.linalg.norm(sums, axis=1, keepdims=True)
-        centres = np.where(size > 0, sums / np.maximum(size, 1e-12), centres)
-    return centres
-
-
-def _nearest_lists(centres: np.ndarray, count: int):
-    @F.pandas_udf("array<int>")
-    def nearest(vectors: pd.Series) -> pd.Series:
-        return pd.Series([np.argsort(-(centres @ np.asarray(v, dtype=float)), kind="stable")[:count].tolist() for v in vectors])
-
-    return nearest
-
-
-def index_search(queries: DataFrame, articles: DataFrame, limit: int = 10, probes: int = 40, centres: np.ndarray | None = None) -> DataFrame:
-    """(query_id, id, similarity): about the nearest articles of each query. Every article is in the list of its nearest centre; a
-    query looks into ``probes`` lists, by a join on the list, and similarities there are exact. With as many probes as lists
-    it is exact; with 40 of 64, 0.95 of the ten nearest are found in vectors that hardly cluster. Queries are a stated set and far fewer than articles, so their rows of a list are copied over the parts
-    that a long list is cut into. queries: query_id, embedding."""
-    centres = index_centres(articles) if centres is None else centres
-    parts = 16
-    listed = articles.where("content_embedding is not null").select("id", "content_embedding", F.get(_nearest_lists(centres, 1)("content_embedding"), 0).alias("list"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"))
-    asked = queries.select("query_id", "embedding", F.explode(_nearest_lists(centres, probes)("embedding")).alias("list")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    near = listed.join(asked, ["list", "part"]).select("query_id", "id", F.round(scores.cosine(F.col("embedding"), F.col("content_embedding")), 6).alias("similarity"))
-    return top_per_group(near, ["query_id"], [F.desc("similarity"), F.asc("id")], limit)
-
-
 def _projection(vector: Column, seed: int) -> Column:
     """Sum of the numbers of a vector with signs drawn by position."""
     signed = F.transform(vector, lambda x, i: F.when(F.pmod(F.xxhash64(i, F.lit(seed)), F.lit(2)) == 0, x.cast("double")).otherwise(-x.cast("double")))

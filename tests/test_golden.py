@@ -211,16 +211,6 @@ def test_export(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "j")).first().tags == ["a"]
 
 
-def test_index_finds_what_a_full_search_finds(spark):
-    sf = "/root/testdata/sf0.01"
-    queries, articles = catalog._queries(spark, sf), catalog.S.articles_emb(spark, sf)
-    exact = {(r.query_id, r.id) for r in similarity.cosine_pairs(queries, articles, -2.0, 10).collect()}
-    found = similarity.index_search(queries, articles, 10).collect()
-    assert len(exact & {(r.query_id, r.id) for r in found}) >= 0.9 * len(exact)
-    whole = similarity.index_search(queries, articles, 10, probes=similarity.INDEX_LISTS).collect()
-    assert {(r.query_id, r.id) for r in whole} == exact
-
-
 def test_sequence_bounds_lose_nothing(spark):
     r = random.Random(5)
     texts = ["".join(r.choice("abcd ") for _ in range(60)) for _ in range(6)]
