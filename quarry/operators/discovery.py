@@ -67,13 +67,9 @@ class CrawlState(NamedTuple):
     sources: DataFrame
 
 
-def crawl_batch(fetched: DataFrame, state: CrawlState, now: Column, robots: DataFrame | None = None) -> tuple[CrawlState, DataFrame]:
-    """One ingest job: pages that robots files allow are extracted, known contents and later copies within the batch are
-    duplicates, the others are upserted by url; then hashes, run statistics and source statistics follow. fetched: page_id,
-    url, html; robots: domain, robots_txt; sources are known by their domain.
-
-    A page without content counts as failed. The extraction is written once to the shared folder, as every table that follows
-    reads it."""
+def extract_batch(fetched: DataFrame, now: Column, robots: DataFrame | None = None) -> DataFrame:
+    """What the pages of a batch hold, as far as robots files allow them, written once to the shared folder: every table that follows
+    reads it. fetched: page_id, url, html; robots: domain, robots_txt."""
     spark = fetched.sparkSession
     if robots is not None:
         hosts = fetched.select("page_id", "url", F.lower(F.try_parse_url("url", F.lit("AUTHORITY"))).alias("domain"))
@@ -81,7 +77,12 @@ def crawl_batch(fetched: DataFrame, state: CrawlState, now: Column, robots: Data
     at = f"{scratch(spark)}/extracted"
     e = pages.extract_pages(fetched)
     e.select("page_id", "url", "domain", "title", "content", scores.content_hash(F.col("content")).alias("content_hash"), "author", F.col("published_at").cast("timestamp_ntz").alias("published_at")).write.parquet(at)
-    done = spark.read.parquet(at).withColumn("crawled_at", now)
+    return spark.read.parquet(at).withColumn("crawled_at", now)
+
+
+def apply_batch(done: DataFrame, state: CrawlState, now: Column) -> tuple[CrawlState, DataFrame]:
+    """The tables behind a batch of extracted pages, and its run statistics. The state has to hold the rows of the batch's urls,
+    content hashes and domains; those are what changes. A page without content counts as failed."""
     rows = done.where(F.length("content") > 0)
     first = rows.groupBy("content_hash").agg(F.min("page_id").alias("page_id")).join(state.hashes.select("content_hash"), "content_hash", "left_anti")
     fresh = rows.join(first, ["content_hash", "page_id"], "left_semi")
@@ -94,3 +95,10 @@ def crawl_batch(fetched: DataFrame, state: CrawlState, now: Column, robots: Data
     hashes = writes.register_hashes(state.hashes, rows.select("content_hash", F.col("page_id").alias("id"), "crawled_at", "content"))
     ran = writes.update_source_stats(state.sources, stats, now)
     return CrawlState(merged.drop("updated_at", "outcome"), hashes, ran), stats
+
+
+def crawl_batch(fetched: DataFrame, state: CrawlState, now: Column, robots: DataFrame | None = None) -> tuple[CrawlState, DataFrame]:
+    """One ingest job: pages that robots files allow are extracted, known contents and later copies within the batch are
+    duplicates, the others are upserted by url; then hashes, run statistics and source statistics follow. Sources are known by
+    their domain."""
+    return apply_batch(extract_batch(fetched, now, robots), state, now)

@@ -13,7 +13,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from pyspark.sql.types import IntegerType
 
 from quarry.operators.analytics import insights_of_figures, summed
-from quarry.operators.discovery import CrawlState, crawl_batch
+from quarry.operators.discovery import CrawlState, apply_batch, extract_batch
+from quarry.plans.buckets import COUNT, Buckets
 from quarry.plans.scratch import scratch
 
 def event_time(df: DataFrame, column: str = "ts") -> DataFrame:
@@ -199,25 +200,26 @@ def late_rows(stream: DataFrame, key: list[str], late: str = "1 day") -> DataFra
     return spark.createDataFrame([(sum(kept.values()), listener.rows.get(str(query.runId), 0))], "kept long, dropped long")
 
 
-def crawl_ingest(stream: DataFrame, start: CrawlState, now: Column, path: str, checkpoint: str, robots: DataFrame | None = None) -> tuple[CrawlState, DataFrame]:
-    """The ingest job on a stream of fetched pages: each micro-batch is one crawl batch over the tables that the one before left.
-    Tables are written under the number of their batch, so one that is run again replaces its own. Returns the last tables and
-    the run statistics of all batches."""
+def crawl_ingest(stream: DataFrame, start: CrawlState, now: Column, path: str, checkpoint: str, robots: DataFrame | None = None, buckets: int = COUNT) -> tuple[CrawlState, DataFrame]:
+    """The ingest job on a stream of fetched pages. Tables lie in hash buckets of url, content hash and domain; a micro-batch reads and
+    writes only those that its pages fall into (``Buckets``), and one that is run again changes nothing. Returns the last tables
+    and the run statistics of all batches."""
     spark = stream.sparkSession
-
-    def tables(number: int) -> CrawlState:
-        return CrawlState(*[spark.read.schema(t.schema).parquet(f"{path}/state={number}/{name}") for name, t in start._asdict().items()])
+    keys = {"articles": "url", "hashes": "content_hash", "sources": "id"}
+    held = {name: Buckets(spark, f"{path}/{name}", t.schema, keys[name], buckets) for name, t in start._asdict().items()}
 
     def write(batch: DataFrame, number: int) -> None:
-        new, stats = crawl_batch(batch, tables(number - 1), now, robots)
+        done = extract_batch(batch, now, robots)
+        of = {"articles": done.select("url"), "hashes": done.where(F.length("content") > 0).select("content_hash"), "sources": done.select("domain")}
+        touched = {name: b.touched(of[name]) for name, b in held.items()}
+        new, stats = apply_batch(done, CrawlState(*[held[name].read(number - 1, touched[name]) for name in keys]), now)
         for name, t in new._asdict().items():
-            t.write.mode("overwrite").parquet(f"{path}/state={number}/{name}")
+            held[name].write(number, t, touched[name])
         stats.write.mode("overwrite").parquet(f"{path}/runs/batch={number}")
 
     for name, t in start._asdict().items():
-        t.write.mode("ignore").parquet(f"{path}/state=-1/{name}")
-    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    last = max((p["batchId"] for p in query.recentProgress if p["numInputRows"]), default=-1)
-    runs = f"{path}/runs"
-    return tables(last), spark.read.parquet(runs) if last >= 0 else spark.createDataFrame([], "source_id string, crawled long, batch int")
+        held[name].start(t)
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    last = min(b.last() for b in held.values())
+    runs = spark.read.parquet(f"{path}/runs") if last >= 0 else spark.createDataFrame([], "source_id string, crawled long, batch int")
+    return CrawlState(*[held[name].read(last) for name in keys]), runs

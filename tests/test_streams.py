@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry import catalog
 from quarry.operators import analytics, discovery
+from quarry.plans.buckets import Buckets
 from quarry.plans.scratch import run_stream, scratch
 from quarry.sources import domain
 from quarry.streaming import limits as requests
@@ -168,3 +169,49 @@ def test_failed_pages_and_known_contents(spark, pages):
     rows = {r.source_id: r for r in stats.collect()}
     assert rows["empty.example.org"].failed == 2 and rows["empty.example.org"].errors == ["no content"]
     assert all(r.duplicate == r.crawled for k, r in rows.items() if k != "empty.example.org")
+
+
+def size_of(path):
+    import pathlib
+
+    return sum(f.stat().st_size for f in pathlib.Path(path.removeprefix("file://")).rglob("*.parquet"))
+
+
+def test_a_batch_rewrites_its_buckets_only(spark):
+    """Bytes follow the batch, old versions go, and a batch that is run twice changes nothing."""
+    at = scratch(spark)
+    big = spark.range(40_000).select(F.concat(F.lit("u"), "id").alias("url"), F.md5(F.col("id").cast("string")).alias("value"))
+    table = Buckets(spark, f"{at}/t", big.schema, "url", 32)
+    table.start(big)
+    table.start(big.limit(0))  # it is there already
+    whole = size_of(f"{at}/t/version=-1")
+    want = {r.url: r.value for r in big.collect()}
+    for number in range(4):
+        batch = {f"u{7 * number}": f"v{number}", f"new{number}": "x"}
+        df = spark.createDataFrame(sorted(batch.items()), big.schema)
+        touched = table.touched(df.select("url"))
+        assert 1 <= len(touched) <= 2
+        for _ in range(1 + (number == 2)):
+            old = table.read(number - 1, touched)
+            table.write(number, old.join(df, "url", "left_anti").unionByName(df), touched)
+        want |= batch
+        assert size_of(f"{at}/t/version={number}") < whole / 8
+        assert {r.url: r.value for r in table.read(number).collect()} == want
+    assert table.last() == 3
+    assert size_of(f"{at}/t") < 1.4 * whole
+
+
+def test_ingest_twice_changes_nothing(spark, pages):
+    start, at = catalog._start(spark, SF), scratch(spark)
+    parts = [pages.where("page_id < 10"), pages.where("page_id < 10"), pages.where("page_id >= 10 and page_id < 14")]
+    source = scratch(spark)
+    seen = []
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(source)
+        stream = streams.file_stream(spark, source, pages.schema, "*.parquet", files=1)
+        state, runs = streams.crawl_ingest(stream, start, domain.as_of(), f"{at}/tables", f"{at}/checkpoint", buckets=16)
+        seen.append(sorted((r.url, r.content_hash) for r in state.articles.select("url", "content_hash").collect()))
+    assert seen[0] == seen[1] and len(seen[2]) == len(seen[1]) + 4
+    assert {r.batch: r.n for r in runs.groupBy("batch").agg(F.sum("duplicate").alias("n")).collect()}[1] == 10
+    one, all_ = size_of(f"{at}/tables/articles/version=2"), sum(size_of(f"{at}/tables/articles/version={k}") for k in (-1, 0, 1, 2))
+    assert one < all_ / 2
