@@ -15,6 +15,7 @@ from quarry.operators import filters as K
 from quarry.operators import joins as J
 from quarry.operators import pages as H
 from quarry.operators import similarity as M
+from quarry.operators import sketches as K_
 from quarry.operators import vectors as V
 from quarry.operators import writes as I
 from quarry.plans.scratch import run_stream, scratch
@@ -268,6 +269,35 @@ query("crawl_success_rate", f"SELECT round(coalesce(count(*) FILTER (status = 'c
 query("quality_distribution", "SELECT CASE WHEN quality_score >= 0.8 THEN 'high' WHEN quality_score >= 0.6 THEN 'medium' WHEN quality_score >= 0.4 THEN 'low' ELSE 'very_low' END AS quality_level, count(*) AS article_count FROM articles GROUP BY 1")(lambda spark, sf: A.quality_distribution(S.articles(spark, sf)))
 query("daily_trends", f"SELECT crawled_at::DATE AS date, count(*) AS article_count, {_Q} AS avg_quality FROM articles WHERE {_ago('crawled_at', 30)} GROUP BY 1")(lambda spark, sf: A.daily_trends(S.articles(spark, sf), now()))
 query("top_keywords", f"SELECT keyword, count(*) AS frequency FROM (SELECT unnest(tags) AS keyword FROM articles WHERE {_ago('crawled_at', 30)}) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")(lambda spark, sf: A.top_keywords(S.articles(spark, sf), now()))
+
+
+def _sketches(spark, sf) -> DataFrame:
+    """Sketches of all days, written a third of the days at a time."""
+    a, at = S.articles(spark, sf), scratch(spark)
+    for k in range(3):
+        K_.refresh(a.where(F.pmod(F.dayofmonth("crawled_at"), F.lit(3)) == k), at)
+    return K_.stored(spark, at)
+
+
+_SPANS = "(SELECT unnest([7, 30]) AS days) s JOIN articles ON crawled_at >= {now} - to_days(days)"
+
+
+@query("sketched_uniques", f"SELECT days, count(*)::BIGINT AS articles, true AS within FROM {_SPANS.format(now=NOW)} GROUP BY days")
+def _(spark, sf):
+    """Articles of 7 and 30 days, and whether the merged sketches tell how many differ within three standard deviations."""
+    days, a = _sketches(spark, sf), S.articles(spark, sf)
+    out = None
+    for n in (7, 30):
+        exact = a.where(F.col("crawled_at") >= now() - F.expr(f"interval {n} days")).agg(F.count_distinct("content_hash").alias("exact"))
+        one = K_.uniques(days, now(), n).crossJoin(exact)
+        one = one.select("days", "articles", (F.abs(F.col("unique_articles") - F.col("exact")) <= 3 * K_.ERROR * F.col("exact") + 1).alias("within"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+query("sketched_keywords", f"SELECT days, keyword, count(*) AS frequency FROM (SELECT days, unnest(tags) AS keyword FROM {_SPANS.format(now=NOW)}) GROUP BY days, keyword QUALIFY row_number() OVER (PARTITION BY days ORDER BY count(*) DESC, keyword) <= 20")(
+    lambda spark, sf: (lambda days: K_.keywords(days, now(), 7).unionByName(K_.keywords(days, now(), 30)))(_sketches(spark, sf))
+)
 query("duplication_stats", "SELECT count(*) AS total_articles, count(DISTINCT content_hash) AS unique_articles, count(*) - count(DISTINCT content_hash) AS duplicates, round((count(*) - count(DISTINCT content_hash)) * 100.0::DOUBLE / greatest(count(*), 1), 2) AS duplication_rate FROM articles")(lambda spark, sf: A.duplication_stats(S.articles(spark, sf)))
 _PERF = "round(least(CASE WHEN articles > 100 THEN 30 WHEN articles > 50 THEN 20 WHEN articles > 10 THEN 10 ELSE 0 END + coalesce(quality, 0.0::DOUBLE) * 40 + CASE WHEN recent > 10 THEN 20 WHEN recent > 5 THEN 15 WHEN recent > 0 THEN 10 ELSE 0 END + coalesce(trust_score, 0.0)::DOUBLE * 10, 100.0), 1)"
 query("source_performance", f", {_PER} SELECT id AS source_id, name, url AS base_url, round(coalesce(trust_score, 0.0), 2)::DOUBLE AS trust_score, articles AS total_articles, round(coalesce(quality, 0.0), 2) AS avg_quality, recent AS recent_articles, day AS today_articles, last_crawl, categories AS category_diversity, {_PERF} AS performance_score FROM sa")(lambda spark, sf: A.source_performance(S.sources(spark, sf), S.articles(spark, sf), now()))
