@@ -27,30 +27,36 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each group that links of 0.8 or more 5-word Jaccard similarity make; of
-    rows with one doc_id, one stays. Rows without doc_id stand behind all others, told apart by their texts."""
+    """The document of least doc_id of each group that links of 0.8 or more 5-word Jaccard similarity make; of equal rows one
+    stays. Rows are told apart by doc_id and text: those without doc_id, and further texts of a doc_id, stand behind all
+    others in an order of their hashes. Texts without words are linked with nothing and stay."""
     prepare(spark)
-    names = F.lit(1 << 62).bitwiseOR(F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)))
-    docs = docs.select(COLUMNS).withColumn("_row", F.coalesce(F.col("doc_id").cast("long"), names))
+    own, text = F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull())
+    docs = docs.select(COLUMNS).withColumn("_text", text)
+    # A doc_id of several texts belongs to that of least hash.
+    several = docs.groupBy(own.alias("_id")).agg(F.min("_text").alias("_first"), F.max("_text").alias("_last")).where("_id is not null and _first < _last").select("_id", "_first")
+    docs = docs.join(several, own == F.col("_id"), "left")
+    named = F.lit(1 << 62).bitwiseOR(F.xxhash64("_text", own).bitwiseAND(F.lit((1 << 62) - 1)))
+    docs = docs.withColumn("_row", F.when(own.isNull() | (F.col("_text") != F.col("_first")), named).otherwise(own)).select(*COLUMNS, "_row")
     groups = ngramjoin.jaccard_components(docs, n=5, percent=80, doc_id="_row")
     first = groups.where("component_id = doc_id").select(F.col("doc_id").alias("_row"))
     return docs.join(first, "_row", "left_semi").dropDuplicates(["_row"]).select(COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item within its error budget; null and empty texts hold none, each row is judged for itself."""
     prepare(spark)
     return decontaminate.drop_contaminated(docs.select(COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by its kind."""
+    """Documents with personal data replaced by its kind, where spans tie or overlap as ``pii.find_pii`` orders them; null texts stay null."""
     prepare(spark)
     return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and whether they decode to its text again."""
+    """Token ids of each document, and whether they decode to its text again; null and empty texts have none. Repeated rows stay."""
     prepare(spark)
     coded = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     whole = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
