@@ -198,3 +198,16 @@ def test_regular_words_and_texts_keep_apart(spark):
     assert {tuple(r) for r in ngramjoin.jaccard_components(df, n=3, percent=90).collect()} == joined(rows, 3, 90)
     long = spark.createDataFrame([(1, one), (2, two), (3, "c" * 600), (4, "c" * 601), (5, "c" * 600)], "doc_id long, text string")
     assert {tuple(r)[::2] for r in ngramjoin.jaccard_components(long).collect()} == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 3)}
+
+
+def test_near_duplicates_of_the_pipeline_keep_texts_that_share_an_id(spark):
+    import corpus_pipeline
+
+    texts = {k: " ".join(f"{name}{j}" for j in range(30)) for k, name in enumerate(("one", "two", "three", "four"))}
+    near = texts[1] + " end"
+    rows = [(7, texts[0]), (7, texts[1]), (7, texts[1]), (8, near), (9, texts[2]), (None, texts[2]), (None, texts[3]), (None, texts[3]), (5, None), (5, ""), (5, None), (6, " ")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()), key=str)
+    seven = [t for d, t in got if d == 7]
+    assert [x for x in got if x[0] != 7 and x[1] not in (near, texts[1])] == sorted([(9, texts[2]), (None, texts[3]), (5, None), (5, ""), (6, " ")], key=str)
+    assert texts[0] in seven and sum(t in (near, texts[1]) for _, t in got) == 1
