@@ -251,6 +251,7 @@ query("similar_articles_per_article", f"SELECT q.id, a.id AS other_id, {_NEAR} A
 query("similar_articles_same_label", f"SELECT q.id, a.id AS other_id, {_NEAR} AS similarity FROM articles_emb q JOIN articles_emb a ON q.category || q.emb_category = a.category || a.emb_category AND a.id <> q.id WHERE a.content_embedding IS NOT NULL AND q.content_embedding IS NOT NULL QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY similarity DESC, a.id) <= 5")(
     lambda spark, sf: M.similar_per_article(S.articles_emb(spark, sf).withColumn("category", F.concat("category", F.col("emb_category").cast("string"))))
 )
+query("similar_articles_whole_category", ORACLES["similar_articles_per_article"], "")(QUERIES["similar_articles_per_article"])  # its name of old
 query("embedding_backfill", "SELECT id, true AS processed FROM articles_emb WHERE content_embedding IS NULL OR id % 3 <> 0 ORDER BY crawled_at DESC, id LIMIT 1000")(lambda spark, sf: M.embedding_backfill(S.articles_emb(spark, sf).withColumn("is_processed", F.col("id") % 3 == 0), now()))
 
 # -- aggregates -------------------------------------------------------------------------------------

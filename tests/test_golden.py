@@ -8,10 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry import catalog
-from quarry.functions import scores
+from quarry.functions import fixed, scores
 from quarry.operators import filters, joins, pages, similarity, writes
 from quarry.sources import payloads
-from quarry.streaming import streams
+from quarry.streaming import limits
 
 
 def values(spark, rows, schema, column):
@@ -150,7 +150,7 @@ def test_similar_per_article_over_blocks(spark, monkeypatch):
 def test_similar_query_crosses_labels(spark):
     """The whole-category query also finds neighbours with another embedding label."""
     label = {x.vec_id: x.label for x in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()}
-    assert any(label[x.id] != label[x.other_id] for x in catalog.QUERIES["similar_articles_whole_category"](spark, "/root/testdata/sf0.001").collect())
+    assert any(label[x.id] != label[x.other_id] for x in catalog.QUERIES["similar_articles_per_article"](spark, "/root/testdata/sf0.001").collect())
 
 
 def test_detect_content_update_scores_long_versions(spark, tmp_path):
@@ -178,13 +178,13 @@ def test_language(spark):
 
 
 def test_adaptive_limits():
-    now = (streams.RATE, streams.BURST, streams.DELAY, 0)
-    assert streams.step_limit(*now, 429, 0.1) == (0.5, 2, 2.0, 1)
+    now = (*fixed.DEFAULT_LIMIT, 0)
+    assert limits.step_limit(*now, 429, 0.1) == (0.5, 2, 2.0, 1)
     for _ in range(6):
-        now = streams.step_limit(*now, 500, 0.1)
+        now = limits.step_limit(*now, 500, 0.1)
     assert now == (0.8, 3, 1.5, 6)
     for _ in range(40):
-        now = streams.step_limit(*now, 200, 0.1)
+        now = limits.step_limit(*now, 200, 0.1)
     assert now == (2.0, now[1], now[2], 0) and now[1] == 10 and now[2] < 1.5
 
 
