@@ -35,6 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     docs = docs.select(COLUMNS).withColumn("_text", text)
     # A doc_id of several texts belongs to that of least hash.
     several = docs.groupBy(own.alias("_id")).agg(F.min("_text").alias("_first"), F.max("_text").alias("_last")).where("_id is not null and _first < _last").select("_id", "_first")
+    several = Tables(spark).keep(several, "several")  # hardly any: as a table Spark knows its size and does not deal the texts for it
     docs = docs.join(several, own == F.col("_id"), "left")
     named = F.lit(1 << 62).bitwiseOR(F.xxhash64("_text", own).bitwiseAND(F.lit((1 << 62) - 1)))
     docs = docs.withColumn("_row", F.when(own.isNull() | (F.col("_text") != F.col("_first")), named).otherwise(own)).select(*COLUMNS, "_row")
