@@ -215,3 +215,19 @@ def test_ingest_twice_changes_nothing(spark, pages):
     assert {r.batch: r.n for r in runs.groupBy("batch").agg(F.sum("duplicate").alias("n")).collect()}[1] == 10
     one, all_ = size_of(f"{at}/tables/articles/version=2"), sum(size_of(f"{at}/tables/articles/version={k}") for k in (-1, 0, 1, 2))
     assert one < all_ / 2
+
+
+def test_a_domain_stays_in_one_task_where_its_join_is_broadcast_late(spark):
+    """Limits turn out small only when they are there: Spark then reads the log without dealing it."""
+    log = spark.range(0, 400, 1, 8).select(F.col("id").alias("event_id"), F.concat(F.lit("d"), (F.col("id") % 2).cast("string")).alias("domain"), (F.col("id") * 300_000).alias("us"), F.lit(429).alias("status_code"), F.lit(0.5).alias("response_time"))
+    limits = spark.range(2).select(F.concat(F.lit("d"), F.col("id").cast("string")).alias("domain"), F.lit(0.5).alias("rate"), F.lit(2).alias("burst"), F.lit(1.0).alias("delay"))
+    want = [sorted(map(str, f(log, limits).collect())) for f in (requests.token_bucket, requests.adaptive_rate)]
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        got = [sorted(map(str, f(log, limits).collect())) for f in (requests.token_bucket, requests.adaptive_rate)]
+    finally:
+        for k in keys:
+            spark.conf.unset(k)
+    assert got == want and len(got[0]) == 402 and len(got[1]) == 2
