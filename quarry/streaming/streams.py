@@ -28,6 +28,11 @@ def file_stream(spark: SparkSession, folder: str, schema, pattern: str | None =
     return (reader.option("pathGlobFilter", pattern) if pattern else reader).parquet(folder)
 
 
+def table_stream(spark: SparkSession, sf: str, name: str, schema) -> DataFrame:
+    """A table as a stream, be it a file or a folder of part files. Streams take a single file only by a pattern of paths, which fits both."""
+    return spark.readStream.schema(schema).parquet(f"{sf}/{{{name}}}.parquet")
+
+
 def tumbling(stream: DataFrame, width: str = "15 minutes", late: str = "1 hour") -> DataFrame:
     w = stream.withWatermark("ts", late).groupBy(F.window("ts", width), "metric_name").agg(F.count("*").alias("n"), F.avg("value").alias("avg_value"))
     return w.select(F.col("window.start").alias("start"), "metric_name", "n", F.round("avg_value", 6).alias("avg_value"))

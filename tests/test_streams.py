@@ -231,3 +231,12 @@ def test_a_domain_stays_in_one_task_where_its_join_is_broadcast_late(spark):
         for k in keys:
             spark.conf.unset(k)
     assert got == want and len(got[0]) == 402 and len(got[1]) == 2
+
+
+def test_streams_read_tables_of_several_files(spark, tmp_path):
+    """Documents, pages and events as folders of part files give what they give as single files."""
+    for name in ("documents", "pages", "events"):
+        spark.read.parquet(f"{SF}/{name}.parquet").repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name in ("stream_category_windows", "stream_source_windows", "stream_insights", "stream_tumbling_metrics", "stream_ingest"):
+        want = sorted(map(str, catalog.QUERIES[name](spark, SF).collect()))
+        assert want and sorted(map(str, catalog.QUERIES[name](spark, str(tmp_path)).collect())) == want
