@@ -240,3 +240,17 @@ def test_declared_tables(spark, tmp_path):
         have = {f.name: f.dataType.simpleString() for f in getattr(catalog.S, name)(spark, "/root/testdata/sf0.001").schema}
         for f in tables.schema(name):
             assert have[f.name] == f.dataType.simpleString(), (name, f.name)
+
+
+def test_parities_of_more_classes_rule_out_long_sets(spark):
+    """Two sets of 2,000 hashes with a Jaccard of 0.6: parities of 256 classes pass them at 0.85, those of 4,096 do not; neither exceeds the words that differ."""
+    r = random.Random(3)
+    h = [r.getrandbits(63) for _ in range(2500)]
+    sets = spark.createDataFrame([(1, h[:2000]), (2, h[500:])], "id long, words array<long>")
+    differ = {}
+    for longs in (4, 64):
+        (_, n, x), (_, m, y) = sorted(similarity.set_signatures(sets, longs).collect())
+        assert n == m == 2000 and len(x) == len(y) == longs
+        differ[longs] = sum(((a ^ b) & (2**64 - 1)).bit_count() for a, b in zip(x, y))
+    most = 0.15 / 1.85 * 4000
+    assert differ[4] <= most < differ[64] <= 1000
