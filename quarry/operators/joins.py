@@ -79,14 +79,20 @@ def rate_violations(log: DataFrame, per_second: int = 1, burst: int = 3, per_min
     """Requests with trailing counts of 1, 10 and 60 seconds and the gap since the one before; those over a limit. ``limits`` (domain, rate,
     burst, delay) are those of single domains, where a gap under the delay counts, too. Windows run
     within a minute of a domain, which holds the requests of the minute before, too, so a busy domain is dealt over many tasks;
-    a gap over an empty minute is taken from the last request of the domain's minute before that has one."""
+    a gap over an empty minute is taken from the last request of the domain's minute before that has one. A request adds one where it is and takes it
+    off where each span ends, so counts are running sums and a minute of many requests takes time in proportion."""
     minute = 60_000_000
     log = log.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("minute", F.floor(F.col("us") / minute))
     both = log.select("event_id", "domain", "us", "minute", F.explode(F.array(F.lit(0), F.lit(1))).alias("later")).withColumn("at", F.col("minute") + F.col("later"))
-    base = Window.partitionBy("domain", "at").orderBy("us")
-    counts = {f"in_{s}s": F.count("*").over(base.rangeBetween(-s * 1_000_000, 0)) for s in (1, 10, 60)}
-    gap = F.col("us") - F.lag("us").over(Window.partitionBy("domain", "at").orderBy("us", "event_id"))
-    own = both.withColumns(counts).withColumn("gap_us", gap).where("later = 0")
+    spans = (1, 10, 60)
+    mark = lambda after, of, n: F.struct(F.lit(after).cast("long").alias("after"), *[F.lit(n if of in (None, s) else 0).cast("long").alias(f"d{s}") for s in spans])
+    marks = F.explode(F.array(mark(0, None, 1), *[mark(s * 1_000_000 + 1, s, -1) for s in spans])).alias("m")
+    marked = both.withColumn("m", marks).select("event_id", "domain", "minute", "later", "at", (F.col("us") + F.col("m.after")).alias("us"), F.when(F.col("m.after") == 0, F.col("us")).alias("own"), *[f"m.d{s}" for s in spans])
+    marked = marked.where(F.col("us") < (F.col("at") + 1) * minute)
+    place = Window.partitionBy("domain", "at")
+    counts = {f"in_{s}s": F.sum(f"d{s}").over(place.orderBy("us").rangeBetween(Window.unboundedPreceding, 0)) for s in spans}
+    gap = F.col("us") - F.max("own").over(place.orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, -1))
+    own = marked.withColumn("gap_us", gap).withColumns(counts).where("later = 0 and own is not null")
     last = log.groupBy("domain", "minute").agg(F.max("us").alias("last"))
     last = last.select("domain", F.col("minute").alias("at"), F.lag("last").over(Window.partitionBy("domain").orderBy("minute")).alias("before"))
     out = own.join(last, ["domain", "at"]).withColumn("gap_us", F.coalesce("gap_us", F.col("us") - F.col("before")))

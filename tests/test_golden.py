@@ -254,3 +254,12 @@ def test_parities_of_more_classes_rule_out_long_sets(spark):
         differ[longs] = sum(((a ^ b) & (2**64 - 1)).bit_count() for a, b in zip(x, y))
     most = 0.15 / 1.85 * 4000
     assert differ[4] <= most < differ[64] <= 1000
+
+
+def test_rates_are_running_sums(spark):
+    """Frames that slide are counted anew for each request, which grows with the square of a busy minute."""
+    log = spark.range(3000).select(F.col("id").alias("event_id"), F.lit("d").alias("domain"), F.timestamp_micros(F.col("id") * 40_000).alias("ts"))
+    found = joins.rate_violations(log)
+    assert "RangeFrame, -" not in found._jdf.queryExecution().analyzed().toString()
+    last = found.where("event_id = 2999").first()
+    assert (found.count(), last.in_1s, last.in_10s, last.in_60s, last.gap_us) == (2999, 26, 251, 1501, 40_000)
