@@ -61,6 +61,26 @@ def test_common_subsequence_against_a_table():
         assert sequence.common_at_least(a, b, row[-1]) and not sequence.common_at_least(a, b, row[-1] + 1)
 
 
+def test_shared_grams_bound_the_matching_characters():
+    r = random.Random(10)
+    for _ in range(300):
+        letters = r.choice(ALPHABETS)
+        a = "".join(r.choice(letters) for _ in range(r.choice([3, 30, 199, 200, 260, 700])))
+        b = edited(r, a, 40) or "x"
+        assert sequence.ratio(a, a) == SequenceMatcher(None, a, a).ratio()
+        shared = similarity.Probes([(1, a), (2, "zz" + a)]).shared(b)
+        matched = [sequence.matching(p, b) for p in (a, "zz" + a)]
+        assert all(s >= m - sequence.gram_slack(b) for s, m in zip(shared, matched))
+
+
+def test_candidates_are_about_the_matches():
+    """Texts of one language do not all go to the slow bounds: shared grams rule them out for all probes at once."""
+    rows = duckdb.sql("select doc_id, text from '/root/testdata/sf0.01/documents.parquet' where length(text) >= 200 order by doc_id").fetchall()
+    probes = similarity.Probes(rows[::10])
+    found = sum(len(probes.near(t, 0.85)) for _, t in rows)
+    assert found <= 1.2 * sum(similarity._ratio_over(probes.rows[k][1], t, 0.85) is not None for _, t in rows for k in probes.near(t, 0.85))
+
+
 def all_pairs(probes, rows, threshold):
     out = {}
     for p, x in probes:
