@@ -35,16 +35,27 @@ def exact_duplicates_semi(incoming: DataFrame, hashes: DataFrame) -> DataFrame:
 
 
 def length_band_pairs(probes: DataFrame, articles: DataFrame, now: Column, best: int = 50) -> DataFrame:
-    """Pairs of a probe and a recent article of 0.7 to 1.3 times its length, the best by quality. The
-    band is an equi-join on buckets of the length's logarithm, own and neighbouring, with the exact
-    condition behind; it never compares all pairs. Ids, lengths and qualities are dealt before the join, so texts are read
-    once: behind it Spark would compute a score again for each pair."""
-    size = F.length("content").cast("double")
-    bucket = F.floor(F.log(F.greatest(size, F.lit(1.0))) / F.log(F.lit(1.5))).cast("int")
-    p = probes.select(F.col("id").alias("probe_id"), size.alias("probe_length"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
-    a = articles.where(F.col("crawled_at") >= now - F.expr("interval 30 days")).select("id", size.alias("length"), "quality_score", bucket.alias("bucket")).repartition("id")
-    pairs = p.join(a, "bucket").where(F.col("length").between(F.col("probe_length") * 0.7, F.col("probe_length") * 1.3) & (F.col("id") != F.col("probe_id")))
-    return top_per_group(pairs, ["probe_id"], [F.desc("quality_score"), F.asc("id")], best).select("probe_id", "id", "quality_score")
+    """Pairs of a probe and a recent article of 0.7 to 1.3 times its length, the best by quality. Probes of one length have
+    the same band, and of all articles in a band only the ``best`` and one more (a probe is no match of itself) can count. So the
+    best are kept for each length, then for each stretch of 1, 2, 4, ... lengths; a band is made of a few such stretches, and no article meets a probe
+    before. Ids, lengths and qualities are dealt first, so texts are read
+    once: behind it Spark would compute a score again for each row."""
+    order = [F.desc("quality_score"), F.asc("id")]
+    a = articles.where(F.col("crawled_at") >= now - F.expr("interval 30 days")).where("content is not null").select("id", F.length("content").cast("long").alias("length"), "quality_score").repartition("id")
+    level = F.explode(F.sequence(F.lit(0), F.floor(F.log2(F.col("length") + 1.0)).cast("int") + 1)).alias("level")  # longer stretches fit into no band
+    held = top_per_group(a, ["length"], order, best + 1).select("id", "quality_score", "length", level).withColumn("stretch", F.floor(F.col("length") / F.pow(F.lit(2.0), "level")))
+    held = top_per_group(held.drop("length"), ["level", "stretch"], order, best + 1)
+    p = probes.where("content is not null").select(F.col("id").alias("probe_id"), F.length("content").cast("long").alias("probe_length"))
+    size = F.col("probe_length").cast("double")
+    bands = p.select("probe_length").distinct().select("probe_length", F.ceil(size * 0.7).cast("long").alias("low"), (F.floor(size * 1.3) + 1).cast("long").alias("high"))
+    parts = []
+    for k in range(33):
+        x, y = -F.floor(-F.col("low") / 2.0**k), F.floor(F.col("high") / 2.0**k)  # the whole stretches of this length within the band are x to y - 1
+        parts += [F.when((x < y) & (x % 2 == 1), F.struct(F.lit(k).alias("level"), x.alias("stretch"))), F.when((x < y) & (y % 2 == 1), F.struct(F.lit(k).alias("level"), (y - 1).alias("stretch")))]
+    bands = bands.select("probe_length", F.explode(F.array_compact(F.array(*parts))).alias("s")).select("probe_length", "s.level", "s.stretch")
+    found = top_per_group(bands.join(held, ["level", "stretch"]).drop("level", "stretch"), ["probe_length"], order, best + 1)
+    pairs = p.join(found, "probe_length").where("id <> probe_id")
+    return top_per_group(pairs, ["probe_id"], order, best).select("probe_id", "id", "quality_score")
 
 
 def freshness_join(observed: DataFrame, articles: DataFrame) -> DataFrame:

@@ -147,6 +147,23 @@ def test_similar_per_article_over_blocks(spark, monkeypatch):
     assert {(x.id, x.other_id, x.similarity) for x in similarity.similar_per_article(a).collect()} == want
 
 
+def test_length_bands_of_any_length(spark):
+    """Bands by stretches of lengths equal all pairs: empty and missing texts, many of one length, ties; no article meets a probe before only the best are left."""
+    r = random.Random(12)
+    sizes = [None, 0, 0, 1, 1, 2, 3, 4, 10, 13, 40_000, 51_999] + [100] * 40 + [r.randrange(300) for _ in range(150)]
+    rows = [(k, None if n is None else "x" * n, float(r.randrange(3)), datetime(2024, 1, 20 if k % 9 else 1)) for k, n in enumerate(sizes)]
+    a = spark.createDataFrame(rows, "id long, content string, quality_score double, crawled_at timestamp_ntz").repartition(3)
+    found = joins.length_band_pairs(a.where("id % 3 = 0 or id < 12"), a, F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"), 4)
+    recent = [x for x in rows if x[1] is not None and x[3].day > 1]
+    want = set()
+    for i, p, _, _ in rows:
+        if p is not None and (i % 3 == 0 or i < 12):
+            near = [x for x in recent if x[0] != i and len(p) * 0.7 <= len(x[1]) <= len(p) * 1.3]
+            want |= {(i, x[0], x[2]) for x in sorted(near, key=lambda x: (-x[2], x[0]))[:4]}
+    assert {tuple(x) for x in found.collect()} == want and len(want) > 100
+    assert "stretch" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_similar_query_crosses_labels(spark):
     """The whole-category query also finds neighbours with another embedding label."""
     label = {x.vec_id: x.label for x in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()}
