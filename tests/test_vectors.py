@@ -3,9 +3,12 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarry import catalog
+from quarry.functions import scores
 from quarry.operators import similarity, vectors
+from quarry.operators.filters import top_per_group
 
 
 @pytest.mark.parametrize(("sf", "candidates"), [("sf0.1", vectors.CANDIDATES), ("sf0.01", 60)])
@@ -39,3 +42,19 @@ def test_edges(spark):
     assert got == [(1, 52, 1.0), (1, 53, 1.0)]
     assert vectors.encode(a, vectors.fit_codebooks(a)).count() == 32
     assert vectors.pq_search(q, a.limit(0)).collect() == vectors.pq_search(q.limit(0), a).collect() == []
+
+
+@pytest.mark.parametrize(("limit", "block"), [(None, 32 << 20), (3, 32 << 20), (3, 300), (0, 32 << 20)])
+def test_multiplied_pairs(spark, monkeypatch, limit, block):
+    """Every pair over the threshold or the best of each query, copies and odd vectors included; vectors meet in no join."""
+    monkeypatch.setattr(similarity, "QUERY_BYTES", block)
+    r = random.Random(2)
+    rows = [(k, [float(r.randrange(-3, 4)) for _ in range(5)]) for k in range(700)] + [(1000, None), (1001, [0.0] * 5), (1002, [1.0] * 4), (1003, [1.0, None, 1.0, 1.0, 1.0])]
+    a = spark.createDataFrame(rows, "id long, content_embedding array<float>").repartition(3)
+    q = a.where("id % 50 = 0 or id > 999").select(F.col("id").alias("query_id"), F.col("content_embedding").alias("embedding"))
+    found = similarity.cosine_pairs(q, a, 0.5, limit)
+    both = q.crossJoin(a.where("content_embedding is not null")).select("query_id", "id", F.round(scores.cosine(F.col("embedding"), F.col("content_embedding")), 6).alias("similarity")).where("similarity >= 0.5")
+    want = both if limit is None else top_per_group(both, ["query_id"], [F.desc("similarity"), F.asc("id")], limit)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
