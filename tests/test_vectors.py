@@ -58,3 +58,19 @@ def test_multiplied_pairs(spark, monkeypatch, limit, block):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
+
+
+@pytest.mark.parametrize("cell", [1, 16])
+def test_nearest_of_each_with_copies(spark, monkeypatch, cell):
+    """Equal similarities, zero vectors and small groups, in one cell or many; vectors travel as they are stored."""
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 9)
+    monkeypatch.setattr(similarity, "CELL", cell)
+    r = random.Random(3)
+    rows = [(k, "ab"[k % 2], [float(r.randrange(-2, 3)) for _ in range(3)]) for k in range(80)] + [(100 + k, "b", [1.0, 1.0, 1.0]) for k in range(9)] + [(200, "c", [1.0, 0.0, 0.0]), (201, "c", [0.0] * 3), (202, "d", [1.0, 0.0, 0.0])]
+    a = spark.createDataFrame(rows, "id long, category string, content_embedding array<float>").repartition(3)
+    found = similarity.similar_per_article(a)
+    b = a.select(F.col("id").alias("other_id"), "category", F.col("content_embedding").alias("v"))
+    both = a.join(b, "category").where("id <> other_id").select("id", "other_id", F.round(scores.cosine(F.col("content_embedding"), F.col("v")), 6).alias("similarity"))
+    want = top_per_group(both, ["id"], [F.desc("similarity"), F.asc("other_id")], 5)
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+    assert "array<double>" not in found._jdf.queryExecution().optimizedPlan().toString()
