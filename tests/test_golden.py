@@ -4,6 +4,7 @@ import random
 from datetime import datetime
 from difflib import SequenceMatcher
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,6 +87,22 @@ def test_page_types_and_traps(spark):
     assert (got[5].title, got[5].content, got[7].content) == ("t", "all of it", "")
 
 
+def test_pages_go_out_piece_by_piece():
+    """What is made of a large batch leaves the worker in pieces, before all of it is read."""
+    batch = pa.RecordBatch.from_pylist([{"page_id": k, "html": None if k == 5 else "<p>x"} for k in range(950)])
+    seen = []
+
+    def read(page_id, html):
+        seen.append(page_id)
+        return [(page_id, html)] * (page_id % 3)
+
+    out = pages.by_page(read, "page_id long, html string")(iter([batch]))
+    assert next(out).num_rows == sum(k % 3 for k in range(200)) and len(seen) == 200
+    assert 199 + sum(x.num_rows for x in out) == sum(k % 3 for k in range(950)) and seen == list(range(950))
+    long = pa.RecordBatch.from_pylist([{"page_id": 1, "html": "x" * (1 << 20)}] * 5)
+    assert [x.num_rows for x in pages.by_page(read, "page_id long, html string")(iter([long]))] == [2, 2, 1]
+
+
 def test_upsert_twice_is_once(spark):
     schema = "url string, title string, content string, content_hash string, author string, published_at timestamp, crawled_at timestamp"
     t = datetime(2024, 1, 1)
