@@ -21,6 +21,8 @@ from .filters import top_per_group
 SAMPLE, PART, WORDS = 20_000, 8, 256
 #: Articles of a query that are compared exactly, and bytes of query tables that a broadcast may hold.
 CANDIDATES, TABLE_BYTES = 150, 32 << 20
+#: Articles and queries that a worker compares at a time.
+ROWS, QUERIES = 1024, 256
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -119,12 +121,19 @@ def _scan(codes: DataFrame, names: np.ndarray, tables: list[np.ndarray], candida
         ids_of, entries = shared.value
         ids, values = np.zeros((len(ids_of), 0), np.int64), np.zeros((len(ids_of), 0), np.float32)
         for batch in batches:
-            for a in range(0, batch.num_rows, 4096):
-                some = batch.slice(a, 4096)
+            for a in range(0, batch.num_rows, ROWS):
+                some = batch.slice(a, ROWS)
                 code = np.frombuffer(b"".join(some.column(1).to_pylist()), dtype=np.uint8).reshape(some.num_rows, -1)
-                about = sum(t[:, code[:, j]] for j, t in enumerate(entries))
-                here = np.broadcast_to(some.column(0).to_numpy(), about.shape)
-                ids, values = _best(np.concatenate([ids, here], axis=1), np.concatenate([values, about], axis=1), candidates)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids_of, ids.shape[1])), pa.array(ids.ravel()), pa.array(values.ravel())], names=["query_id", "id", "about"])
+                names, parts = some.column(0).to_numpy(), []
+                for b in range(0, len(ids_of), QUERIES):  # arrays of a few MB, whatever the number of queries
+                    about = np.zeros((len(ids_of[b : b + QUERIES]), len(names)), np.float32)
+                    for j, t in enumerate(entries):
+                        about += t[b : b + QUERIES, code[:, j]]
+                    here = np.broadcast_to(names, about.shape)
+                    parts.append(_best(np.concatenate([ids[b : b + QUERIES], here], axis=1), np.concatenate([values[b : b + QUERIES], about], axis=1), candidates))
+                ids, values = (np.concatenate(p) for p in zip(*parts))
+        for b in range(0, len(ids_of), QUERIES):
+            i = ids[b : b + QUERIES]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids_of[b : b + QUERIES], i.shape[1])), pa.array(i.ravel()), pa.array(values[b : b + QUERIES].ravel())], names=["query_id", "id", "about"])
 
     return codes.mapInArrow(run, f"query_id long, id {kind}, about float")

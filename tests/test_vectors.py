@@ -33,6 +33,19 @@ def test_all_candidates_make_it_exact(spark, monkeypatch):
     assert sorted(tuple(r) for r in vectors.pq_search(queries, articles, candidates=10_000, codebooks=books, codes=vectors.encode(articles, books)).collect()) == want
 
 
+def test_pieces_of_articles_and_queries(spark, monkeypatch):
+    """Searching in pieces of any size finds the same."""
+    sf = "/root/testdata/sf0.01"
+    queries, articles = catalog._queries(spark, sf), catalog.S.articles_emb(spark, sf)
+    books = vectors.fit_codebooks(articles)
+    found = []
+    for size in (1 << 20, 7):
+        monkeypatch.setattr(vectors, "ROWS", size)
+        monkeypatch.setattr(vectors, "QUERIES", size)
+        found.append(sorted(tuple(r) for r in vectors.pq_search(queries, articles, candidates=200, codebooks=books).collect()))
+    assert found[0] == found[1] != []
+
+
 def test_edges(spark):
     r = random.Random(1)
     rows = [(k, [r.random() - 0.5 for _ in range(11)]) for k in range(30)] + [(50, None), (51, [0.0] * 11), (52, [1.0] * 11), (53, [1.0] * 11)]
