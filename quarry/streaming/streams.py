@@ -7,6 +7,7 @@ from contextlib import contextmanager
 from threading import Event
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
@@ -78,60 +79,99 @@ def daily_counts(stream: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 REGISTRY = "content_hash string, duplicate_count long, last_seen timestamp, expired boolean"
+#: Groups of hashes that share a state; the timer of a hash that stays.
+GROUPS, NEVER = 4096, 1 << 62
 
 
 class _Registry(StatefulProcessor):
-    """Duplicates, last and first time of a hash. The timer of a hash without duplicates forgets it."""
+    """Duplicates, last and first time of the hashes of a group. A hash without duplicates is forgotten when it is due; the group has one timer, for the first
+    that is. A call to the state goes through a socket, so a group's rows are read and written in one piece, and a micro-batch takes a few calls a group, not a hash."""
 
     def __init__(self, keep_days: int):
         self.keep_ms = keep_days * 86_400_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getValueState("seen", "n long, last long, first long")
+        self.seen = handle.getValueState("seen", "rows binary, timer long")
 
-    def _store(self, n: int, last: int, first: int, now_ms: int) -> None:
-        for timer in list(self.handle.listTimers()):
+    def _load(self) -> tuple[pd.DataFrame | None, int]:
+        if not self.seen.exists():
+            return None, NEVER
+        rows, timer = self.seen.get()
+        return pa.ipc.open_stream(rows).read_pandas(), timer
+
+    def _store(self, rows: pd.DataFrame, timer: int) -> None:
+        due = int(rows["due"].min()) if len(rows) else NEVER
+        if timer not in (NEVER, due):
             self.handle.deleteTimer(timer)
-        self.seen.update((n, last, first))
-        if n == 0:
-            self.handle.registerTimer(max(first // 1000 + self.keep_ms, now_ms + 1))
+        if due not in (NEVER, timer):
+            self.handle.registerTimer(due)
+        if not len(rows):
+            self.seen.clear()
+            return
+        sink, table = pa.BufferOutputStream(), pa.Table.from_pandas(rows, preserve_index=False)
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        self.seen.update((sink.getvalue().to_pybytes(), due))
 
-    def _row(self, key, expired: bool) -> pd.DataFrame:
-        n, last, _ = self.seen.get()
-        return pd.DataFrame([(key[0], n, pd.Timestamp(last, unit="us"), expired)], columns=["content_hash", "duplicate_count", "last_seen", "expired"])
+    def _due(self, rows: pd.DataFrame, now_ms: int) -> pd.Series:
+        first = rows["first"].astype("int64") // 1000 + self.keep_ms
+        return first.clip(lower=now_ms + 1).where(rows["n"].eq(0) & rows["first"].notna(), NEVER)
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        row = initialState.iloc[0]
-        last, first = (int(pd.Timestamp(row[c]).value) // 1000 for c in ("last_seen_at", "first_seen_at"))
-        self._store(int(row["duplicate_count"]), last, first, max(timerValues.getCurrentWatermarkInMs(), 0))
+        held, timer = self._load()
+        rows = pd.DataFrame({"content_hash": initialState["content_hash"], "n": initialState["duplicate_count"].astype("int64")})
+        rows = rows.assign(**{c: initialState[f"{c}_seen_at"].astype("datetime64[us]") for c in ("last", "first")})
+        rows["due"] = self._due(rows, max(timerValues.getCurrentWatermarkInMs(), 0))
+        self._store(rows if held is None else pd.concat([held, rows], ignore_index=True), timer)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        n, last, first = self.seen.get() if self.seen.exists() else (-1, 0, None)
+        held, timer = self._load()
+        new = None
         for batch in rows:
-            times = batch["ts"].astype("datetime64[us]").astype("int64")
-            n += len(batch)
-            last = max(last, int(times.max()))
-            first = int(times.min()) if first is None else min(first, int(times.min()))
-        self._store(n, last, first, timerValues.getCurrentWatermarkInMs())
-        yield self._row(key, False)
+            times = batch["ts"].astype("datetime64[us]")
+            part = pd.DataFrame({"content_hash": batch["content_hash"], "n": 1, "last": times, "first": times, "due": NEVER})
+            new = _merged(part if new is None else pd.concat([new, part], ignore_index=True))
+        new["n"] -= 1  # the first of a hash is no duplicate
+        kept = held
+        if held is not None:
+            met = held["content_hash"].isin(new["content_hash"])
+            old, kept = held[met], held[~met]
+            new = _merged(pd.concat([old.assign(n=old["n"] + 1), new], ignore_index=True))
+        new["due"] = self._due(new, timerValues.getCurrentWatermarkInMs())
+        self._store(new if kept is None or not len(kept) else pd.concat([kept, new], ignore_index=True), timer)
+        yield self._rows(new, False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.seen.exists():
-            yield self._row(key, True)
-            self.seen.clear()
+        held, timer = self._load()
+        if held is not None:
+            over = held["due"] <= timerValues.getCurrentWatermarkInMs()
+            self._store(held[~over], timer)
+            yield self._rows(held[over], True)
+
+    @staticmethod
+    def _rows(rows: pd.DataFrame, expired: bool) -> pd.DataFrame:
+        return pd.DataFrame({"content_hash": rows["content_hash"], "duplicate_count": rows["n"], "last_seen": rows["last"], "expired": expired})
 
     def close(self) -> None:
         pass
 
 
-def hash_registry(stream: DataFrame, keep_days: int = 90, stored: DataFrame | None = None) -> DataFrame:
+def _merged(rows: pd.DataFrame) -> pd.DataFrame:
+    """One row a hash; a null one stays None, as it comes back from the state."""
+    out = rows.groupby("content_hash", dropna=False, sort=False).agg({"n": "sum", "last": "max", "first": "min", "due": "min"}).reset_index()
+    return out.assign(content_hash=out["content_hash"].astype(object).where(out["content_hash"].notna(), None))
+
+
+def hash_registry(stream: DataFrame, keep_days: int = 90, stored: DataFrame | None = None, groups: int = GROUPS) -> DataFrame:
     """Count and last time of each hash; one without duplicates is forgotten ``keep_days`` after it was first seen. The first batch starts
-    from ``stored``, a registry of one row a hash. State lies in RocksDB (``rocksdb``)."""
+    from ``stored``, a registry of one row a hash. State lies in RocksDB (``rocksdb``), by ``groups`` of hashes, a number that has to stay for a checkpoint: a micro-batch
+    rewrites the groups that its hashes fall into."""
+    group = F.pmod(F.xxhash64("content_hash"), F.lit(groups)).alias("group")
     initial = None
     if stored is not None:
-        initial = stored.select("content_hash", "duplicate_count", F.col("last_seen_at").cast("timestamp").alias("last_seen_at"), F.col("first_seen_at").cast("timestamp").alias("first_seen_at")).groupBy("content_hash")
-    rows = stream.select("content_hash", "ts").withWatermark("ts", "1 hour").groupBy("content_hash")
+        initial = stored.select(group, "content_hash", "duplicate_count", F.col("last_seen_at").cast("timestamp").alias("last_seen_at"), F.col("first_seen_at").cast("timestamp").alias("first_seen_at")).groupBy("group")
+    rows = stream.select(group, "content_hash", "ts").withWatermark("ts", "1 hour").groupBy("group")
     return rows.transformWithStateInPandas(_Registry(keep_days), REGISTRY, "update", "EventTime", initial)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +75,49 @@ def test_hash_registry_starts_from_a_table_and_goes_on_after_a_restart(spark):
     assert arrive([("t", day(21)), ("s", day(21))]) == [("s", 5, False), ("t", 0, False)]
 
 
+def test_hashes_of_one_group_expire_one_by_one(spark):
+    """All hashes in one group: each is due on its own, one that came again stays, one that was forgotten is new."""
+    parts = [[("a", day(0)), ("b", day(2)), ("b", day(2)), ("c", day(4)), (None, day(4))], [("d", day(11)), ("c", day(11))], [("e", day(13))], [("a", day(13)), (None, day(13)), ("f", day(40))], [("f", day(41))]]
+    with streams.rocksdb(spark):
+        out = run_stream(streams.hash_registry(files(spark, parts, "content_hash string, ts timestamp"), keep_days=10, groups=1), "update").collect()
+    assert sorted((str(r.content_hash), r.duplicate_count, r.expired) for r in out) == sorted([
+        ("a", 0, False), ("b", 1, False), ("c", 0, False), ("None", 0, False), ("d", 0, False), ("c", 1, False), ("a", 0, True), ("e", 0, False), ("a", 0, False), ("None", 1, False), ("f", 0, False), ("d", 0, True), ("e", 0, True), ("a", 0, True), ("f", 1, False),
+    ])
+
+
+def test_calls_to_the_state_do_not_grow_with_hashes():
+    """Each call goes through a socket: a group of 2,000 hashes takes as many as one of 2."""
+
+    class Handle:
+        def __init__(self):
+            self.calls, self.held = 0, None
+
+        def __getattr__(self, name):
+            def call(*values):
+                self.calls += 1
+                if name == "get":
+                    return self.held
+                if name == "update":
+                    self.held = values[0]
+                return {"exists": self.held is not None, "listTimers": iter([])}.get(name, self)
+
+            return call
+
+    class Timers:
+        getCurrentWatermarkInMs = staticmethod(lambda: 0)
+
+    counts = []
+    for size in (2, 2000):
+        handle, registry = Handle(), streams._Registry(90)
+        registry.init(handle)
+        for times in (1, 3):
+            batch = pd.DataFrame({"content_hash": [f"h{k}" for k in range(size)] * times, "ts": [day(1)] * size * times})
+            (rows,) = registry.handleInputRows((7,), iter([batch]), Timers)
+            assert len(rows) == size and set(rows["duplicate_count"]) == {0 if times == 1 else 3}
+        counts.append(handle.calls)
+    assert counts[0] == counts[1] < 16
+
+
 def test_rows_behind_the_watermark_are_counted(spark):
     parts = [[(1, day(0.2)), (2, day(3.1)), (2, day(3.1))], [(8, day(3.15))], [(4, day(0.4)), (9, day(1.0)), (5, day(2.5))], [(7, day(9.0)), (7, day(9.0))]]
     assert tuple(streams.late_rows(files(spark, parts, "event_id long, ts timestamp"), ["event_id"]).first()) == (5, 2)
