@@ -37,6 +37,25 @@ def test_ratio_equals_difflib():
     assert sequence.ratio("", "a") == sequence.ratio(None, "a") == 0.0
 
 
+def test_longest_part_of_a_range_is_found_among_the_first():
+    """Equal to a look at all stretches, of which a whole one ends the search."""
+    r = random.Random(11)
+    for _ in range(300):
+        a, b = ("".join(r.choice("abc") for _ in range(r.randrange(1, 60))) for _ in range(2))
+        found = sequence._stretches(a, b)
+        held = list(zip(*(x.tolist() for x in found)))
+        assert held == sorted(held, key=lambda s: (-s[2], s[0], s[1]))
+        assert all(a[i : i + n] == b[j : j + n] and (i == 0 or j == 0 or a[i - 1] != b[j - 1]) and a[i + n : i + n + 1] != (b[j + n : j + n + 1] or "-") for i, j, n in held)
+        alo, blo = r.randrange(len(a)), r.randrange(len(b))
+        ahi, bhi = r.randrange(alo, len(a)) + 1, r.randrange(blo, len(b)) + 1
+        cut = [(min(ahi - i, bhi - j, n) - k, i + k, j + k) for i, j, n in held for k in [max(alo - i, blo - j, 0)]]
+        n, i, j = min(((-n, i, j) for n, i, j in cut if n > 0), default=(0, alo, blo))
+        assert sequence._longest(held, alo, ahi, blo, bhi) == sequence._longest(found, alo, ahi, blo, bhi) == (i, j, -n)
+        looked = []
+        sequence._longest((looked.append(s) or s for s in held), 0, len(a), 0, len(b))
+        assert len(looked) <= 1
+
+
 def test_ratio_of_real_texts():
     texts = [t for (t,) in duckdb.sql(f"select text from '{SF}/documents.parquet' where length(text) between 10 and 6000 order by doc_id limit 60").fetchall()]
     for a, b in zip(texts, texts[7:]):
