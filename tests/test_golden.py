@@ -87,6 +87,22 @@ def test_page_types_and_traps(spark):
     assert (got[5].title, got[5].content, got[7].content) == ("t", "all of it", "")
 
 
+def test_a_page_is_walked_once_until_it_changes():
+    root = pages.parse("<body><h1>t</h1><main><p class='a b'>x</p><nav><p>y</p></nav><br/>z</main></body>")
+    order = list(root.walk())
+    assert [n.tag for n in order] == ["body", "h1", "main", "p", "nav", "p", "br"]
+    assert root.known[1] == order and list(root.walk()) == order and root.known[1] is not order
+    held = root.known[1]
+    assert root.find_all("p") == [order[3], order[5]] and root.first("br") is order[6] and root.known[1] is held
+    main = root.first("main")
+    main.clean()
+    assert [n.tag for n in root.walk()] == ["body", "h1", "main", "p", "br"] and [n.tag for n in main.walk()] == ["p", "br"]
+    assert pages._find(root, ".a") is None and main.text(" ") == "x z"
+    main.children.clear()
+    main.changed()
+    assert [n.tag for n in root.walk()] == ["body", "h1", "main"]
+
+
 def test_pages_go_out_piece_by_piece():
     """What is made of a large batch leaves the worker in pieces, before all of it is read."""
     batch = pa.RecordBatch.from_pylist([{"page_id": k, "html": None if k == 5 else "<p>x"} for k in range(950)])
