@@ -139,3 +139,65 @@ def test_scores_are_computed_once(spark):
     assert plan.count("ArrowEvalPython") <= 1
     plan = catalog.QUERIES["length_band_pairs"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression" in plan
+
+
+def test_candidates_by_grams_of_any_length_are_without_loss():
+    """Each length of grams bounds the matching characters; every probe over the threshold is named, and the others end early."""
+    r = random.Random(12)
+    words = ["".join(r.choice("etaoinshr") for _ in range(r.randrange(2, 7))) + r.choice(["", "", "k", "v", "Q", "é"]) for _ in range(60)]
+    base = [" ".join(r.choice(words) for _ in range(r.choice([20, 60, 200, 400]))) for _ in range(6)]
+    probes = similarity.Probes([(k, edited(r, r.choice(base), 60)) for k in range(60)] + [(100 + k, base[3]) for k in range(4)])
+    used, found = set(), 0
+    for _ in range(15):
+        text = edited(r, r.choice(base), 60)
+        want = [SequenceMatcher(None, t, text) for _, t in probes.rows]
+        for size in similarity.GRAMS:
+            got = [probes.shared(text, size, spare) for spare in (0, 7)]
+            assert all(a >= sum(m.size for m in w.get_matching_blocks()) - sequence.gram_slack(text, size) and a - 7 <= b <= a for a, b, w in zip(*got, want))
+            used |= {size} if 0.7 * len(text) > sequence.gram_slack(text, size) else set()
+        for low in (0.6, 0.85, 1.0):
+            over = [(p, w.ratio()) for (p, _), w in zip(probes.rows, want) if w.ratio() >= low]
+            assert probes.reached(text, low) == over
+            assert [sequence.ratio_at_least(t, text, low) for _, t in probes.rows] == [w.ratio() if w.ratio() >= low else None for w in want]
+            found += len(over)
+    assert len(used) > 1 and found >= 40
+
+
+def test_a_pair_that_cannot_reach_the_threshold_ends_early(monkeypatch):
+    r = random.Random(13)
+    a, b = ("".join(chr(r.randrange(200, 500)) for _ in range(1500)) for _ in range(2))
+    looked, real = [], sequence._longest
+    monkeypatch.setattr(sequence, "_longest", lambda *x: looked.append(1) or real(*x))
+    assert sequence.ratio(a, b) < 0.85
+    whole = len(looked)
+    assert sequence.ratio_at_least(a, b, 0.85) is None and 4 * (len(looked) - whole) < whole
+    monkeypatch.setattr(sequence, "MOST_PAIRS", 10)
+    monkeypatch.setattr(sequence, "SequenceMatcher", None)  # nor does it go to difflib, which is slow
+    assert sequence.ratio_at_least(a, b, 0.85) is None
+
+
+def test_equal_texts_are_compared_once(monkeypatch):
+    r = random.Random(14)
+    base = "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(150))
+    probes = similarity.Probes([(k, base) for k in range(50)])
+    compared, real = [], sequence.matching
+    monkeypatch.setattr(sequence, "matching", lambda *x: compared.append(1) or real(*x))
+    assert len(probes.reached(base[:70] + "-" + base[70:], 0.85)) == 50 and len(compared) == 1
+
+
+def test_articles_meet_only_blocks_of_their_lengths(spark, monkeypatch):
+    """Blocks of probes are by length, so an article does not pass through all of them."""
+    monkeypatch.setattr(similarity, "QUERY_BYTES", 20_000)
+    r = random.Random(15)
+    df = spark.createDataFrame([(k, "".join(r.choice("abcdef ") for _ in range(10 * 2 ** (k % 8)))) for k in range(96)], "id long, content string")
+    out = similarity.sequence_matches(df, df)
+    assert out.count() == 0
+    node, todo, met = None, [out._jdf.queryExecution().optimizedPlan()], []
+    while todo:
+        node = todo.pop()
+        children = [node.children().apply(k) for k in range(node.children().size())]
+        if node.nodeName().startswith("MapInArrow"):
+            met += [spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, c).count() for c in children]
+        else:
+            todo += children
+    assert len(met) >= 6 and sum(met) <= 3 * 96
